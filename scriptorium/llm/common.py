@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Bytes of text handled at once inside a Python worker.
 BLOCK_BYTES = 2_000_000
@@ -44,12 +45,13 @@ def fold(key: str, modulus: int, remainder: int) -> Column:
     return F.crc32(text.cast("binary")) % modulus == remainder
 
 
-def blocks(texts: list, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, list]]:
-    """Consecutive runs of about ``limit`` characters, each with its first index; a longer text stands alone."""
+def blocks(texts: list, limit: int = BLOCK_BYTES, most: int = 10_000) -> Iterator[tuple[int, list]]:
+    """Consecutive runs of about ``limit`` characters and at most ``most`` texts, each with its first index; a longer
+    text stands alone."""
     start, size, run = 0, 0, []
     for i, text in enumerate(texts):
         n = len(text)
-        if run and size + n > limit:
+        if run and (size + n > limit or len(run) >= most):
             yield start, run
             start, size, run = i, 0, []
         run.append(text)
@@ -62,3 +64,8 @@ def with_columns(batch: pa.RecordBatch, keep: list[str], **columns) -> pa.Record
     """The columns ``keep`` of ``batch`` followed by new ones."""
     names = [*keep, *columns]
     return pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(k)) for k in keep] + [v if isinstance(v, pa.Array) else pa.array(v) for v in columns.values()], names=names)
+
+
+def extended(schema: StructType, ddl: str) -> StructType:
+    """A new schema: the fields of ``schema`` and those of ``ddl``."""
+    return StructType([*schema.fields, *StructType.fromDDL(ddl).fields])

@@ -6,7 +6,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scriptorium.llm.best_fit import pack
 from scriptorium.llm.common import fold, table
+from scriptorium.llm.language_profiles import identify_language, learn_prototypes
+from scriptorium.llm.license_index import scan_licenses
 from scriptorium.llm.token_transducer import annotate_token_counts
 
 
@@ -16,5 +19,23 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts,)}
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = fold("doc_id", 4, 2)
+    prototypes = learn_prototypes(docs, text="text", lang="lang", where=~held_out)
+    found = identify_language(docs.select("doc_id", "text", held_out.alias("held_out")), prototypes, text="text")
+    return found.select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pack(docs, text="text", tokenizer=public_tokenizers.path("word_bpe_49k.json"), limit=2048)
+
+
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return scan_licenses(docs, text="text").drop("text", "places")
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op5_language_id, op8_best_fit_packing, op9_license_scan)}
 ORACLES: dict[str, str] = {}

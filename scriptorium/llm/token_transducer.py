@@ -25,7 +25,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from scriptorium.llm.common import blocks, with_columns
+from scriptorium.llm.common import blocks, extended, with_columns
 
 LETTER, NUMBER, OTHER, SPACE, WHITE, APOSTROPHE = range(6)
 # Input symbols of the boundary transducer, after one symbol of look-ahead.
@@ -291,6 +291,5 @@ def annotate_token_counts(docs: DataFrame, *, text: str, tokenizer: str, limit:
                 n_tokens[start : start + len(block)] = count_tokens(block, tokenizer)
             yield with_columns(batch, keep, n_bytes=n_bytes, n_tokens=n_tokens, over_limit=n_tokens > limit)
 
-    kept = docs.select(*keep).schema
-    schema = kept.add("n_bytes", "long").add("n_tokens", "long").add("over_limit", "boolean")
-    return docs.select(*keep).mapInArrow(run, schema)
+    kept = docs.select(*keep)
+    return kept.mapInArrow(run, extended(kept.schema, "n_bytes long, n_tokens long, over_limit boolean"))
