@@ -151,7 +151,8 @@ def scan_licenses(docs: DataFrame, *, text: str, known: list[Template] | None =
     index = RareWordIndex(known, *document_frequencies(docs, text=text, known=known))
     new = "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, places array<struct<label:string,word:long,share:double>>"
     names = [c.strip().split(" ")[0] for c in new.split(", ")]
-    kept = docs.select(*[c for c in docs.columns if c not in names])
+    keep = [c for c in docs.columns if c not in names]
+    kept = docs.select(*keep)
     place_type = pa.list_(pa.struct([("label", pa.string()), ("word", pa.int64()), ("share", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,6 +171,6 @@ def scan_licenses(docs: DataFrame, *, text: str, known: list[Template] | None =
                 )):
                     out[key].append(item)
             kinds = (pa.int64(),) * 4 + (pa.string(),) * 2 + (pa.float64(), place_type)
-            yield with_columns(batch, kept.columns, **{k: pa.array(v, kind) for (k, v), kind in zip(out.items(), kinds)})
+            yield with_columns(batch, keep, **{k: pa.array(v, kind) for (k, v), kind in zip(out.items(), kinds)})
 
     return kept.mapInArrow(run, extended(kept.schema, new))
