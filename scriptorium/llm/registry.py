@@ -10,6 +10,7 @@ from scriptorium.llm.best_fit import pack
 from scriptorium.llm.common import fold, table
 from scriptorium.llm.language_profiles import identify_language, learn_prototypes
 from scriptorium.llm.license_index import scan_licenses
+from scriptorium.llm.near_duplicates import Similarity, near_duplicates
 from scriptorium.llm.token_transducer import annotate_token_counts
 
 
@@ -27,6 +28,11 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op6_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return near_duplicates(docs, id="doc_id", text="text", sim=Similarity(percent=85))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return pack(docs, text="text", tokenizer=public_tokenizers.path("word_bpe_49k.json"), limit=2048)
@@ -37,5 +43,5 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(docs, text="text").drop("text", "places")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op5_language_id, op8_best_fit_packing, op9_license_scan)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op5_language_id, op6_minhash_near_duplicates, op8_best_fit_packing, op9_license_scan)}
 ORACLES: dict[str, str] = {}
