@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from scriptorium.llm.best_fit import pack
 from scriptorium.llm.common import fold, table
+from scriptorium.llm.extendible_sharding import shard
+from scriptorium.llm.hilbert_neighbours import nearest
 from scriptorium.llm.language_profiles import identify_language, learn_prototypes
 from scriptorium.llm.license_index import scan_licenses
 from scriptorium.llm.near_duplicates import Similarity, near_duplicates
@@ -33,6 +35,11 @@ def op6_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(docs, id="doc_id", text="text", sim=Similarity(percent=85))
 
 
+def op7_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return shard(docs, keys=["doc_id"], size=F.octet_length("text"), limit=16 << 20).drop("text")
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return pack(docs, text="text", tokenizer=public_tokenizers.path("word_bpe_49k.json"), limit=2048)
@@ -43,5 +50,10 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(docs, text="text").drop("text", "places")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op5_language_id, op6_minhash_near_duplicates, op8_best_fit_packing, op9_license_scan)}
+def op10_hilbert_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest(vectors, id="vec_id", vector="embedding", is_query=F.col("vec_id") % 100 == 0, k=10)
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op5_language_id, op6_minhash_near_duplicates, op7_extendible_shards, op8_best_fit_packing, op9_license_scan, op10_hilbert_neighbours)}
 ORACLES: dict[str, str] = {}
