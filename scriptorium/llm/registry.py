@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.llm.best_fit import pack
 from scriptorium.llm.common import fold, table
+from scriptorium.llm.decontamination import find_leaks
 from scriptorium.llm.extendible_sharding import shard
 from scriptorium.llm.hilbert_neighbours import nearest
 from scriptorium.llm.language_profiles import identify_language, learn_prototypes
@@ -22,6 +23,11 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op4_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return find_leaks(docs, table(spark, sf_dir, "benchmark"), text="text", item_id="item_id", item_text="text", least=0.8)
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = fold("doc_id", 4, 2)
@@ -55,5 +61,5 @@ def op10_hilbert_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(vectors, id="vec_id", vector="embedding", is_query=F.col("vec_id") % 100 == 0, k=10)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op5_language_id, op6_minhash_near_duplicates, op7_extendible_shards, op8_best_fit_packing, op9_license_scan, op10_hilbert_neighbours)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op4_benchmark_leaks, op5_language_id, op6_minhash_near_duplicates, op7_extendible_shards, op8_best_fit_packing, op9_license_scan, op10_hilbert_neighbours)}
 ORACLES: dict[str, str] = {}
