@@ -6,10 +6,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from scriptorium.llm.best_fit import pack
+from scriptorium.llm.byte_cnn import learn_quality, score_quality
 from scriptorium.llm.common import fold, table
 from scriptorium.llm.decontamination import find_leaks
 from scriptorium.llm.extendible_sharding import shard
+from scriptorium.llm.gru_language_model import language_model_scores
 from scriptorium.llm.hilbert_neighbours import nearest
 from scriptorium.llm.language_profiles import identify_language, learn_prototypes
 from scriptorium.llm.license_index import scan_licenses
@@ -23,6 +26,18 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents").select("doc_id", "text"), fold("doc_id", 5, 0)
+    model = learn_quality(docs, table(spark, sf_dir, "labels"), id="doc_id", text="text", label="quality", where=~held_out)
+    return score_quality(docs.withColumn("held_out", held_out), model, text="text", threshold=0.3).select("doc_id", "held_out", "score", "predicted")
+
+
+def op3_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = fold("doc_id", 5, 1)
+    docs = table(spark, sf_dir, "documents").select("doc_id", held_out.alias("held_out"), "text")
+    return language_model_scores(docs, id="doc_id", text="text", where=~held_out)
+
+
 def op4_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return find_leaks(docs, table(spark, sf_dir, "benchmark"), text="text", item_id="item_id", item_text="text", least=0.8)
@@ -61,5 +76,6 @@ def op10_hilbert_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(vectors, id="vec_id", vector="embedding", is_query=F.col("vec_id") % 100 == 0, k=10)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op4_benchmark_leaks, op5_language_id, op6_minhash_near_duplicates, op7_extendible_shards, op8_best_fit_packing, op9_license_scan, op10_hilbert_neighbours)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_quality_classifier, op3_language_model, op4_benchmark_leaks, op5_language_id, op6_minhash_near_duplicates, op7_extendible_shards, op8_best_fit_packing, op9_license_scan, op10_hilbert_neighbours)}
+QUERIES["pipeline"] = corpus_pipeline.run
 ORACLES: dict[str, str] = {}
