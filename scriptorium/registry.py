@@ -1,4 +1,4 @@
-"""All registered queries and their SQL."""
+"""All registered queries and their SQL.  Importing ``scriptorium.plans`` fills the tables."""
 
 from __future__ import annotations
 
@@ -8,3 +8,28 @@ from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None, name: str | None = None):
+    """Register a function (spark, sf_dir) -> DataFrame, with equivalent DuckDB SQL if there is any."""
+
+    def add(f):
+        key = name or f.__name__
+        assert key not in QUERIES, key
+        QUERIES[key] = f
+        if sql:
+            ORACLES[key] = sql
+        return f
+
+    return add
+
+
+def load() -> None:
+    """Import every module of plans."""
+    import importlib
+    import pkgutil
+
+    from scriptorium import plans
+
+    for module in pkgutil.iter_modules(plans.__path__):
+        importlib.import_module(f"{plans.__name__}.{module.name}")
