@@ -145,11 +145,8 @@ def survivors(pairs: DataFrame, sigs: DataFrame, sim: Similarity) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, sim: Similarity) -> DataFrame:
-    """The (a, b) rows of ``pairs`` that are links on full shingle sets."""
-    wanted = pairs.select("a").union(pairs.select("b")).toDF("id").distinct()
-    texts = docs.join(wanted, "id", "left_semi").dropDuplicates(["id"])
-
+def verified(pairs: DataFrame, texts: DataFrame, sim: Similarity) -> DataFrame:
+    """The (a, b) rows of ``pairs`` that are links on full shingle sets; ``texts`` has a row (id, text) for each."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, own = None, None
         for batch in batches:
@@ -299,22 +296,24 @@ def near_duplicates(docs: DataFrame, *, id: str, text: str, sim: Similarity) ->
 
     pivots = buckets.select(F.explode(F.array("p", "q")).alias("a"), F.col("nid").alias("b")).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     maybe = written(survivors(pivots, sigs, sim), "survivors")
+    # The texts of all that share a bucket: the only shuffle of whole texts that all later steps draw on.
+    sharing = buckets.select(F.col("nid").alias("id")).distinct()
+    texts = written(source.join(sharing, "id", "left_semi").dropDuplicates(["id"]), "texts")
     same_id = full.join(classes, "content").where("id <> nid").select(F.col("id").alias("a"), F.col("nid").alias("b"))
-    links = written(verified(maybe, source, sim), "links")
+    links = written(verified(maybe, texts, sim), "links")
     comps = written(connected_components(links), "components").toDF("nid", "comp")
     clusters = written(connected_components(maybe), "clusters").toDF("nid", "cluster")
 
     members = clusters.join(comps, "nid", "left").withColumn("comp", F.coalesce("comp", "nid"))
     mixed_ones = members.groupBy("cluster").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("cluster")
-    texts = source.join(clusters.select(F.col("nid").alias("id")), "id", "left_semi").dropDuplicates(["id"]).toDF("nid", "text")
-    inside = members.join(mixed_ones, "cluster").join(sigs.toDF("nid", "sig"), "nid").join(texts, "nid")
+    inside = members.join(mixed_ones, "cluster").join(sigs.toDF("nid", "sig"), "nid").join(texts.toDF("nid", "text"), "nid")
     more = written(links_within(inside, sim), "more-links")
 
     labelled = buckets.select("bucket", "band", "nid").join(clusters, "nid", "left").withColumn("cluster", F.coalesce("cluster", "nid"))
     open_ones = labelled.groupBy("bucket").agg(F.min("cluster").alias("x"), F.max("cluster").alias("y")).where("x <> y").select("bucket")
     between = candidates_between(labelled.join(open_ones, "bucket").join(sigs.toDF("nid", "sig"), "nid"), sim)
     rest = written(between.distinct(), "rest")
-    last = verified(rest, source, sim)
+    last = verified(rest, texts, sim)
 
     edges = links.union(more).union(last).union(same_id.distinct())
     final = written(connected_components(edges), "final").toDF("id", "component_id")
