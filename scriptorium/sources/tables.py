@@ -35,7 +35,8 @@ def composed(text: pd.Series) -> pd.Series:
 
 
 def read_raw(spark: SparkSession, path: str) -> DataFrame:
-    """(path, text) of raw files; valid UTF-8 stays in the JVM, only other files are decoded in Python."""
+    """(path, text) of raw files; valid UTF-8 stays in the JVM, only other files are decoded in Python.
+    Spark's scan leaves out files without any byte."""
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     text = F.try_validate_utf8(F.col("content").cast("string"))
     return files.select("path", F.coalesce(text, F.when(text.isNull(), decoded("content"))).alias("text"))
