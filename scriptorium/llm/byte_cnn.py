@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import extended, with_columns
+from scriptorium.llm.common import extended, fitted, sampled, with_columns
 
 EMBED, FILTER_BYTES, STRIDE, FILTERS, HIDDEN = 8, 8, 2, 32, 16
 CHUNK, STEP = 192, 176
@@ -137,16 +137,23 @@ def as_bytes(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "replace")
 
 
-def learn_quality(docs: DataFrame, labels: DataFrame, *, id: str, text: str, label: str, where: Column, most: int = 6000, longest: int = 1 << 15, updates: int = 900) -> ByteCNN:
-    """Fit on a bounded sample of labelled rows of ``where``: the first ``most`` by a hash of the id, of texts of at
-    most ``longest`` bytes.  Both bounds only concern the fit; the driver holds at most their product.
+def learn_quality(docs: DataFrame, labels: DataFrame, *, id: str, text: str, label: str, where: Column, most: int = 7500, longest: int = 1 << 15, updates: int = 900) -> ByteCNN:
+    """Fit on a bounded sample of labelled rows of ``where``: as many ids as ``most`` by their hash, give or take the
+    chance of a hash, of texts of at most ``longest`` bytes.  Both bounds only concern the fit, which is one task; only
+    the sample's texts are shuffled, and only the weights reach the driver.
 
     Rows without a label or text are not learned from.  Without any row, the network stays as drawn.
     """
-    known = labels.where(F.col(label).isNotNull() & F.col(id).isNotNull()).groupBy(id).agg(F.max(label).cast("double").alias("_y"))
-    rows = docs.where(where & F.col(text).isNotNull() & (F.octet_length(text) <= longest)).select(id, text).join(known, id)
-    sample = rows.orderBy(F.xxhash64(id), F.col(id), F.xxhash64(text)).limit(most).collect()
-    return ByteCNN().fit([as_bytes(r[text]) for r in sample], np.array([r["_y"] for r in sample], np.float32), epochs=-(-updates // -(-len(sample) // BATCH)) if sample else 0)
+    known = labels.where(F.col(label).isNotNull() & F.col(id).isNotNull())
+    share = most / max(1, known.count())
+    known = sampled(known, id, share).groupBy(id).agg(F.max(label).cast("double").alias("_y"))
+    rows = sampled(docs.where(where & F.col(text).isNotNull() & (F.octet_length(text) <= longest)), id, share)
+
+    def fit(sample: list[tuple]) -> dict:
+        texts, y = [as_bytes(t) for t, _ in sample], np.array([y for _, y in sample], np.float32)
+        return ByteCNN().fit(texts, y, epochs=-(-updates // -(-len(sample) // BATCH))).weights
+
+    return ByteCNN(weights=fitted(rows.select(id, text).join(known, id).select(text, "_y"), fit) or {})
 
 
 def score_quality(docs: DataFrame, model: ByteCNN, *, text: str, threshold: float = 0.3) -> DataFrame:

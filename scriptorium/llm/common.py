@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -45,6 +46,25 @@ def fold(key: str, modulus: int, remainder: int) -> Column:
     return F.crc32(text.cast("binary")) % modulus == remainder
 
 
+def sampled(rows: DataFrame, id: str, share: float) -> DataFrame:
+    """The rows whose id's hash falls into the first ``share`` of all hashes."""
+    return rows.where(F.pmod(F.xxhash64(id), F.lit(1 << 30)) < F.lit(int(min(1.0, share) * (1 << 30))))
+
+
+def fitted(sample: DataFrame, fit: Callable[[list[tuple]], dict]) -> dict | None:
+    """Weights of a model that one task fits on a bounded sample; only they come back to the driver.
+
+    The rows are put in order first, so that the fit does not depend on how they arrived.  None without any row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted(row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns)))
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(rows))], pa.binary())], names=["weights"])
+
+    found = sample.repartition(1).mapInArrow(run, "weights binary").collect()
+    return pickle.loads(found[0]["weights"]) if found else None
+
+
 def blocks(texts: list, limit: int = BLOCK_BYTES, most: int = 10_000) -> Iterator[tuple[int, list]]:
     """Consecutive runs of about ``limit`` characters and at most ``most`` texts, each with its first index; a longer
     text stands alone."""
