@@ -73,11 +73,15 @@ def retention(spark, sf):
 
 
 def stream(spark, sf):
-    """The events table as a finite stream."""
+    """The events table as a finite stream.
+
+    A folder of part files is streamed itself; a single file by its name from the folder that it lies in.
+    """
     table = f"{sf}/events.parquet"
     source = spark.readStream.schema(spark.read.parquet(table).schema)
-    # a single file and a folder of files both read as a folder
-    e = source.parquet(table) if sf.rsplit("/", 1)[-1].startswith("check") else source.option("pathGlobFilter", "events.parquet").parquet(sf)
+    path = spark._jvm.org.apache.hadoop.fs.Path(table)
+    folder = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).getFileStatus(path).isDirectory()
+    e = source.parquet(table) if folder else source.option("pathGlobFilter", "events.parquet").parquet(sf)
     late = F.make_interval(secs=(F.col("event_id") % 120).cast("decimal(18,6)"))
     return e.select("event_id", F.col("user_id").alias("run_id"), (F.col("event_id") % 4).alias("stage_id"), F.col("event_type").alias("event_name"), F.col("ts").cast("timestamp").alias("occurred_at"), (F.col("ts").cast("timestamp") + late).alias("observed_at"), F.get_json_object("props", "$.k").cast("long").alias("k"))
 

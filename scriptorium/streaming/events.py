@@ -35,7 +35,8 @@ def sessions(events: DataFrame, gap: str = "60 minutes", late: str = LATE) -> Da
 def throttled(events: DataFrame, first: int = 3, late: str = LATE) -> DataFrame:
     """The first diagnostics of every (run, stage, name) as they come, and their total once the watermark has passed.
 
-    State is a count for each key and is dropped at the time-out.
+    State is a count for each key and is dropped at the time-out.  Within a micro-batch the first are the earliest of all
+    its rows, however many Arrow chunks they come in.
     """
 
     def step(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
@@ -46,12 +47,14 @@ def throttled(events: DataFrame, first: int = 3, late: str = LATE) -> DataFrame:
             state.remove()
             yield row("total", n, -1)
             return
-        n = state.get[0] if state.exists else 0
+        before = n = state.get[0] if state.exists else 0
+        head = None
         for batch in batches:
-            for event in batch.sort_values(["occurred_at", "event_id"])["event_id"]:
-                n += 1
-                if n <= first:
-                    yield row("sample", n, event)
+            n += len(batch)
+            rows = batch[["occurred_at", "event_id"]]
+            head = (rows if head is None else pd.concat([head, rows])).sort_values(["occurred_at", "event_id"]).head(max(0, first - before))
+        for i, event in enumerate([] if head is None else head["event_id"], before + 1):
+            yield row("sample", i, event)
         state.update((n,))
         state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + 60_000)
 
