@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -11,8 +9,8 @@ from pyspark.sql import functions as F
 
 from scriptorium.functions.text import word_tokens
 
-#: Queries whose vectors are held in a task at once.
-QUERY_BLOCK = 1024
+#: Queries, and vectors, that meet in a task at once, and vectors of a slice that are scored at once.
+QUERY_BLOCK, VECTOR_SLICE, CHUNK = 1024, 65_536, 2048
 
 
 def postings(docs: DataFrame, *, id: str, text: str) -> DataFrame:
@@ -45,31 +43,41 @@ def top_k(rows: DataFrame, group: str, order: list[Column], k: int) -> DataFrame
 def vector_search(vectors: DataFrame, queries: DataFrame, *, id: str, vector: str, k: int) -> DataFrame:
     """(query_id, id, rank, score): exact cosine top k for every query vector.
 
-    ``queries`` (query_id, vector) are sent to the tasks in blocks of ``QUERY_BLOCK``; vectors never move, a task keeps k
-    rows for each query.  Null and zero vectors take no part.
+    ``queries`` (query_id, vector) meet the vectors in tasks, in blocks of about ``QUERY_BLOCK`` by slices of about
+    ``VECTOR_SLICE``; nothing but two counts reaches the driver.  A block goes to every slice and a slice to every block,
+    and a pair of them keeps k rows for each query.  Null and zero vectors take no part.
     """
-    blocks = F.floor((F.row_number().over(Window.orderBy("query_id")) - 1) / QUERY_BLOCK)
-    asked = [(r["query_id"], r["vector"], r["b"]) for r in queries.where(F.col("vector").isNotNull()).withColumn("b", blocks).collect()]
-    found = None
-    for b in sorted({x[2] for x in asked}):
-        names = np.array([x[0] for x in asked if x[2] == b])
-        table = np.array([x[1] for x in asked if x[2] == b], np.float64)
-        table /= np.maximum(np.linalg.norm(table, axis=1, keepdims=True), 1e-300)
-
-        def run(batches: Iterator[pa.RecordBatch], names=names, table=table) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if not len(batch):
-                    continue
-                x = np.array(batch.column(1).to_pylist(), np.float64)
-                norm = np.linalg.norm(x, axis=1)
-                ids, x = batch.column(0).to_numpy()[norm > 0], (x / np.maximum(norm, 1e-300)[:, None])[norm > 0]
-                score = np.round(table @ x.T, 6)
-                order = np.lexsort((np.broadcast_to(ids, score.shape), -score), axis=1)[:, :k]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, order.shape[1])), pa.array(ids[order].ravel()), pa.array(np.take_along_axis(score, order, 1).ravel())], names=["query_id", id, "score"])
-
-        part = vectors.where(F.col(vector).isNotNull()).select(id, vector).mapInArrow(run, f"query_id long, {id} long, score double")
-        found = part if found is None else found.union(part)
-    return top_k(found, "query_id", [F.desc("score"), F.asc(id)], k)
+    asked = queries.where(F.col("vector").isNotNull()).select("query_id", F.col("vector").cast("array<double>").alias("vector"))
+    known = vectors.where(F.col(vector).isNotNull()).select(id, F.col(vector).cast("array<double>").alias("vector"))
+    blocks, slices = asked.count() // QUERY_BLOCK + 1, known.count() // VECTOR_SLICE + 1
+    dealt = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    left = asked.select("*", dealt("query_id", blocks).alias("block"), every(slices).alias("slice"))
+    right = known.select("*", every(blocks).alias("block"), dealt(id, slices).alias("slice"))
+
+    def table(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        x = np.array(rows.column("vector").to_pylist(), np.float64)
+        return x, np.linalg.norm(x, axis=1, keepdims=True)
+
+    def run(q: pa.Table, v: pa.Table) -> pa.Table:
+        if not len(q) or not len(v):
+            return pa.table({"query_id": pa.array([], pa.int64()), id: pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+        names, (asked_x, asked_norm) = q.column("query_id").to_numpy(), table(q)
+        asked_x /= np.maximum(asked_norm, 1e-300)
+        best_id, best = np.empty((len(names), 0), np.int64), np.empty((len(names), 0))
+        for at in range(0, len(v), CHUNK):
+            some = v.slice(at, CHUNK)
+            x, norm = table(some)
+            keep = norm[:, 0] > 0
+            ids = some.column(id).to_numpy()[keep]
+            score = np.round(asked_x @ (x[keep] / norm[keep]).T, 6)
+            score, ids = np.hstack([best, score]), np.hstack([best_id, np.broadcast_to(ids, score.shape)])
+            order = np.lexsort((ids, -score), axis=1)[:, :k]
+            best, best_id = np.take_along_axis(score, order, 1), np.take_along_axis(ids, order, 1)
+        return pa.table({"query_id": np.repeat(names, best.shape[1]), id: best_id.ravel(), "score": best.ravel()})
+
+    pairs = left.groupBy("block", "slice").cogroup(right.groupBy("block", "slice"))
+    return top_k(pairs.applyInArrow(run, f"query_id long, {id} long, score double"), "query_id", [F.desc("score"), F.asc(id)], k)
 
 
 def retriever_ranks(results: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from scriptorium.functions import text as tx
 from scriptorium.operators import evaluation as ev
 from scriptorium.operators import hooks as hk
 from scriptorium.operators import retrieval as rt
-from scriptorium.plans.retrieval import FUSED, JUDGED, VECTOR, both, vector
+from scriptorium.plans.retrieval import FUSED, JUDGED, VECTOR, both, every, few, vector
 from scriptorium.registry import query
 
 
@@ -96,37 +96,36 @@ def output_matching(spark, sf):
 
 
 @query(f"with {FUSED}, m as (select query_id, result_id, string_agg(distinct retriever, ',' order by retriever) as matched_fields from al group by 1, 2) select fu.query_id, fu.result_id, score, cast(rank as int) as rank, retrievers, matched_fields, case when contains(matched_fields, 'semantic') then 'semantic' else 'lexical' end as source, substr(text, 1, 20) as summary from fu join m using (query_id, result_id) left join documents on doc_id = result_id")
-def field_merge(spark, sf):
+def field_merge(spark, sf, found=both):
     """RF3: fields merged across retrievers, the later metadata win."""
     texts = fx.read(spark, sf, "documents").select(F.col("doc_id").alias("result_id"), F.substring("text", 1, 20).alias("summary"))
-    rows = both(spark, sf).join(texts, "result_id", "left").withColumn("matched_fields", F.array("retriever")).withColumn("metadata", F.create_map(F.lit("source"), F.col("retriever")))
+    rows = found(spark, sf).join(texts, "result_id", "left").withColumn("matched_fields", F.array("retriever")).withColumn("metadata", F.create_map(F.lit("source"), F.col("retriever")))
     merged = hk.fused_with_fields(rows)
     return merged.select("query_id", "result_id", "score", "rank", "retrievers", "matched_fields", F.col("metadata")["source"].alias("source"), "summary")
 
 
 @query(f"with {FUSED} select query_id, result_id, cast(place as int) as place from hy where place <= 10 and query_id % 2 = 0 union all select query_id, vec_id, cast(rank as int) from vec where rank <= 10 and query_id % 2 = 1")
-def search_modes(spark, sf):
+def search_modes(spark, sf, found=both):
     """RF4: quality and exact queries in one batch."""
     works = fx.read(spark, sf, "documents").select(F.col("doc_id").alias("result_id"), F.col("source").alias("material_id"))
-    results = both(spark, sf).join(works, "result_id", "left")
+    results = found(spark, sf).join(works, "result_id", "left")
     asked = results.select("query_id").distinct().withColumn("mode", F.when(F.col("query_id") % 2 == 0, "quality").otherwise("exact"))
     return hk.by_mode(asked, results.where("material_id is not null or query_id % 2 = 1"), 2, 10)
 
 
 @query(f"with {FUSED}, h as (select *, (result_id % 100) / 100 as rescore from fu where rank <= 60) select query_id, result_id, cast(rank as int) as rank, rescore, cast(row_number() over (partition by query_id order by rescore desc, rank) as int) as place from h")
-def rescoring_hook(spark, sf):
+def rescoring_hook(spark, sf, found=both):
     """RF6, UD2: a user's scores on the first sixty, contract checked."""
-    return hk.rescored(rt.reciprocal_rank_fusion(both(spark, sf)), lambda rows: (rows["result_id"] % 100) / 100)
+    return hk.rescored(rt.reciprocal_rank_fusion(found(spark, sf)), lambda rows: (rows["result_id"] % 100) / 100)
 
 
 @query(f"with {VECTOR} select query_id, vec_id as result_id, cast(rank as int) as rank, 'semantic' as retriever from vec where rank <= 5")
-def retriever_registry(spark, sf):
+def retriever_registry(spark, sf, asked=few):
     """UD1: channels by name; one whose table is missing is dropped with a reason."""
     tables = {"vectors": fx.vectors(spark, sf)}
 
     def semantic(queries, t):
-        asked = t["vectors"].where("vec_id < 5").select(F.col("vec_id").alias("query_id"), "vector")
-        return rt.vector_search(t["vectors"], asked, id="vec_id", vector="vector", k=5).select("query_id", F.col("vec_id").alias("result_id"), "rank")
+        return rt.vector_search(t["vectors"], asked(t["vectors"]), id="vec_id", vector="vector", k=5).select("query_id", F.col("vec_id").alias("result_id"), "rank")
 
     found, dropped = hk.retrieve(tables["vectors"], tables, {"semantic": semantic, "lexical": lambda q, t: t["postings"]})
     assert dropped == {"lexical": "no table postings"}
@@ -134,13 +133,13 @@ def retriever_registry(spark, sf):
 
 
 @query(f"with {JUDGED} select query_id, recall, ndcg from mt")
-def evaluated_search(spark, sf):
+def evaluated_search(spark, sf, found=both):
     """UD5, UD3: metrics of a search function."""
     works = fx.read(spark, sf, "documents").select(F.col("doc_id").alias("result_id"), F.col("source").alias("material_id"))
-    cases = both(spark, sf).select("query_id").distinct()
+    cases = found(spark, sf).select("query_id").distinct()
     labels = fx.read(spark, sf, "labels").withColumn("m", F.col("doc_id") % 7)
     judged = cases.withColumn("m", F.col("query_id") % 7).join(labels, "m").select("query_id", F.col("doc_id").alias("result_id"), (F.col("quality") * 2 + 1 - F.col("toxic")).alias("relevance"))
-    return hk.evaluated(cases, lambda c: rt.reciprocal_rank_fusion(both(spark, sf)).join(works, "result_id"), judged, 20).select("query_id", "recall", "ndcg")
+    return hk.evaluated(cases, lambda c: rt.reciprocal_rank_fusion(found(spark, sf)).join(works, "result_id"), judged, 20).select("query_id", "recall", "ndcg")
 
 
 @F.pandas_udf(ArrayType(FloatType()))
@@ -168,8 +167,8 @@ def profile_merge_fields(spark, sf):
 def approximate_candidates(spark, sf):
     """TK3: hashed candidates re-ranked exactly, with the share of the exact top ten that they hold."""
     v = fx.vectors(spark, sf)
-    found = hk.approximate_then_exact(v, v.where("vec_id < 5").select(F.col("vec_id").alias("query_id"), "vector"), 10)
-    exact = vector(spark, sf, 10).select("query_id", "vec_id")
+    found = hk.approximate_then_exact(v, every(v), 10)
+    exact = vector(spark, sf, 10, every).select("query_id", "vec_id")
     hit = found.join(exact, ["query_id", "vec_id"], "left_semi").groupBy("query_id").agg((F.count("*") / 10).alias("recall"))
     gate = ev.candidate_gate(F.col("recall"), F.lit(1.0), F.lit(1.0), F.lit(0.0), F.lit(0))
     return found.join(hit, "query_id").select("query_id", "rank", "vec_id", "score", "recall", gate.alias("passed"))

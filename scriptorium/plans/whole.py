@@ -1,0 +1,24 @@
+"""Registered queries that do the whole of what a query with SQL does for a part of the table only; none has SQL."""
+
+from __future__ import annotations
+
+from scriptorium.plans import retrieval as re
+from scriptorium.plans import search as se
+from scriptorium.registry import query
+
+
+def whole(f, **given):
+    """Register ``f`` over all queries under its name and ``_whole``."""
+
+    def run(spark, sf):
+        return f(spark, sf, **given)
+
+    run.__doc__ = f.__doc__
+    return query(name=f"{f.__name__}_whole")(run)
+
+
+FUSED = (re.rank_fusion, re.hybrid_search, re.diversity_cap, re.search_trace, re.relevance_metrics, re.macro_average_metrics, re.candidate_quality_gate, se.field_merge, se.search_modes, se.rescoring_hook, se.evaluated_search)
+for f in FUSED:
+    whole(f, found=re.both_whole)
+for f in (re.vector_top_k, se.retriever_registry):
+    whole(f, asked=re.every)
