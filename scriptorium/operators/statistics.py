@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scriptorium.sources.shared import new_path
+
 SPECIAL_TYPES = ("afterword", "author_note")
 
 
@@ -73,6 +75,20 @@ def even_sample(rows: DataFrame, group: str, order: list[str], n: int) -> DataFr
     return numbered.where((F.col("_size") <= n) | hit).drop("_size", "_place")
 
 
+def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
+    """Adds the place of each row in the order of the whole table: by range, then within it, after those of all before.
+
+    The ranges are written once, so that counts and rows are of the same ranges.
+    """
+    path = new_path(rows.sparkSession, "numbered")
+    rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()).write.parquet(path)
+    ranged = rows.sparkSession.read.parquet(path)
+    counts = ranged.groupBy("_part").agg(F.count("*").alias("_n"))  # a row for each range
+    offsets = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_offset"))
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return ranged.withColumn("_place", place).join(offsets, "_part").withColumn(name, F.col("_offset") + F.col("_place")).drop("_part", "_place", "_offset")
+
+
 def within_budget(rows: DataFrame, group: str, order: list[str], cost: Column, budget: int) -> DataFrame:
     """The ordered rows of each group until the budget is spent."""
     spent = F.sum(cost).over(Window.partitionBy(group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))

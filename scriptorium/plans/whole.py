@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from scriptorium import fixtures as fx
+from scriptorium.operators import statistics as st
 from scriptorium.plans import retrieval as re
 from scriptorium.plans import search as se
 from scriptorium.registry import query
@@ -22,3 +26,34 @@ for f in FUSED:
     whole(f, found=re.both_whole)
 for f in (re.vector_top_k, se.retriever_registry):
     whole(f, asked=re.every)
+
+
+@query()
+def stage_map_order_whole(spark, sf):
+    """AG24: all works, numbered range by range."""
+    first = fx.order_chapters(spark, sf).groupBy("material_id").agg(F.min(F.when(F.col("tension_level") >= 4, F.col("chapter"))).alias("k"))
+    return st.numbered(first.select("material_id", F.coalesce("k", F.lit(10**9)).alias("k")), ["k", "material_id"], "place").select("material_id", "place")
+
+
+@query()
+def vector_guard_whole(spark, sf):
+    """FI8: of all rows, those without a vector take no part."""
+    return fx.vectors(spark, sf).where(F.col("vector").isNotNull()).select("vec_id", F.col("material_id").alias("label"))
+
+
+@query()
+def profile_merge_whole(spark, sf):
+    """AG2, JO3: profiles of all that appear in any chapter of every work, with counts over regular chapters; a work
+    without any has a row without a name."""
+    seen = fx.appearances(spark, sf)
+    people = seen.select(F.col("material_id").alias("c_custkey"), F.col("name").alias("p_brand")).distinct()
+    counts = st.appearance_counts(seen).toDF("c_custkey", "p_brand", "n", "first", "last")
+    works = fx.read(spark, sf, "customer").select("c_custkey").join(people, "c_custkey", "left")
+    return works.join(counts, ["c_custkey", "p_brand"], "left").select("c_custkey", "p_brand", F.coalesce("n", F.lit(0)).alias("appearances"), "first", "last")
+
+
+@query()
+def sampling_coverage_whole(spark, sf):
+    """FN25: of the even sample of each work's chapters."""
+    c = st.even_sample(fx.order_chapters(spark, sf), "material_id", ["chapter"], 7)
+    return c.groupBy("material_id").agg(F.count("*").alias("sampled"), F.min("chapter").alias("lo"), F.max("chapter").alias("hi"), F.when(F.count("*") < 3, "few chapters").otherwise("").alias("limitation"))
