@@ -95,7 +95,7 @@ NUMERAL = "".join([*DIGITS, *UNITS, *MYRIADS])
 
 
 def numeral_value(text: Column) -> Column:
-    """Integer of a Chinese or ASCII numeral; a myriad multiplies all that stands before it."""
+    """Integer of a Chinese or ASCII numeral; a myriad multiplies all that stands before it; null beyond a long in ASCII."""
     digit = F.create_map(*[F.lit(x) for pair in DIGITS.items() for x in pair])
     unit = F.create_map(*[F.lit(x) for pair in UNITS.items() for x in pair])
     myriad = F.create_map(*[F.lit(x) for pair in MYRIADS.items() for x in pair])
@@ -108,7 +108,7 @@ def numeral_value(text: Column) -> Column:
         return F.when(m.isNotNull(), out((total + section + last) * m, F.lit(0), F.lit(0))).when(u.isNotNull(), out(total, section + F.greatest(last, F.lit(1)) * u, F.lit(0))).when(d.isNotNull(), out(total, section, d)).otherwise(acc)
 
     value = F.aggregate(F.filter(F.split(text, ""), lambda c: c != ""), zero, step, lambda a: a["total"] + a["section"] + a["digit"])
-    return F.when(text.rlike("^[0-9]+$"), text.cast("long")).otherwise(value)
+    return F.when(text.rlike("^[0-9]+$"), text.try_cast("long")).otherwise(value)
 
 
 # Headings.

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from scriptorium import fixtures as fx
+from scriptorium.functions import text as tx
 from scriptorium.operators import statistics as st
 from scriptorium.plans import retrieval as re
 from scriptorium.plans import search as se
@@ -57,3 +58,12 @@ def sampling_coverage_whole(spark, sf):
     """FN25: of the even sample of each work's chapters."""
     c = st.even_sample(fx.order_chapters(spark, sf), "material_id", ["chapter"], 7)
     return c.groupBy("material_id").agg(F.count("*").alias("sampled"), F.min("chapter").alias("lo"), F.max("chapter").alias("hi"), F.when(F.count("*") < 3, "few chapters").otherwise("").alias("limitation"))
+
+
+@query()
+def whitespace_whole(spark, sf):
+    """FN5, FN6: white space of all texts, and the values of all Chinese and ASCII numerals in them."""
+    found = F.regexp_extract_all("text", F.lit(f"[{tx.NUMERAL}]+|[0-9]+"), F.lit(0))
+    values = F.transform(found, lambda x: F.coalesce(tx.numeral_value(x).cast("string"), F.lit("?")))
+    clean = tx.normalize_whitespace(F.col("text"))
+    return fx.read(spark, sf, "documents").select("doc_id", F.length(clean).alias("n"), F.md5(clean).alias("digest"), F.array_join(values, ",").alias("numbers"))

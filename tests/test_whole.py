@@ -1,5 +1,6 @@
 """Queries over whole tables against brute force."""
 
+import hashlib
 import re
 from collections import defaultdict
 
@@ -10,6 +11,7 @@ import pytest
 
 from scriptorium import fixtures as fx
 from scriptorium import registry
+from scriptorium.functions import text as tx
 from scriptorium.operators import retrieval as rt
 
 registry.load()
@@ -82,3 +84,38 @@ def test_whole_table(spark, name):
     want, got = db.sql(TABLES[name]).df(), registry.QUERIES[name](spark, SF).toPandas()
     plain = lambda d: sorted(d[want.columns.tolist()].astype(object).where(d.notna(), None).map(lambda v: str(int(v)) if isinstance(v, float) else str(v)).itertuples(index=False, name=None))
     assert plain(got) == plain(want)
+
+
+def read_numeral(word):
+    """Recursively: what stands before the last myriad times it, plus the rest."""
+    if word.isascii():
+        return str(int(word)) if int(word) < 1 << 63 else "?"
+
+    def below(w):
+        at = next((i for i, c in enumerate(w) if c in tx.UNITS), None)
+        if at is None:
+            return tx.DIGITS[w[-1]] if w else 0
+        return max(1, below(w[:at])) * tx.UNITS[w[at]] + below(w[at + 1 :])
+
+    def value(w):
+        at = max((i for i, c in enumerate(w) if c in tx.MYRIADS), default=None)
+        return below(w) if at is None else value(w[:at]) * tx.MYRIADS[w[at]] + below(w[at + 1 :])
+
+    return str(value(word))
+
+
+@pytest.mark.parametrize("given", [False, True])
+def test_whitespace_of_all_texts(spark, tmp_path, given):
+    texts = ["第十二章\n\n\n\n\u3000\u3000三亿零七 \n  end  ", "  \n", "", "一万二千 42 " + "9" * 25, None]
+    docs = table("documents")[["doc_id", "text"]] if given else pd.DataFrame({"doc_id": range(5), "text": texts})
+    docs.to_parquet(tmp_path / "documents.parquet")
+    want = []
+    for i, t in docs.itertuples(index=False):
+        if t is None:
+            want.append((i, None, None, None))
+            continue
+        lines = [x.strip(" ") for x in t.replace("\u3000", " ").replace("\xa0", " ").split("\n")]
+        clean = re.sub("\n{3,}", "\n\n", "\n".join(lines)).strip(" ")
+        want.append((i, len(clean), hashlib.md5(clean.encode()).hexdigest(), ",".join(map(read_numeral, re.findall(f"[{tx.NUMERAL}]+|[0-9]+", t)))))
+    got = [tuple(r) for r in registry.QUERIES["whitespace_whole"](spark, str(tmp_path)).orderBy("doc_id").collect()]
+    assert got == sorted(want)
