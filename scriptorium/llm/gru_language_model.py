@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.llm.common import extended, fitted, sampled, with_columns, written
 
-CLASSES, MEMBERS = 16, 24
+CLASSES, MEMBERS = 32, 32
 SYMBOLS = CLASSES * MEMBERS
 TAILS = 64
 EMBED, HIDDEN = 12, 16
@@ -218,7 +218,7 @@ class GRU:
             for at in range(0, length, STEPS):
                 n += 1
                 x, y = given[at : at + STEPS], target[at : at + STEPS]
-                grad, h = self.truncated(x, y, h, end, n)
+                grad, h = self.truncated(x, y, h, end, n, every=1)
                 norm = np.sqrt(sum(float((g * g).sum()) for g in grad.values()))
                 speed = rate * (1 - 0.9 * n / total) * min(1.0, n / 10)
                 for k, g in grad.items():
@@ -231,7 +231,8 @@ class GRU:
     def truncated(self, given: np.ndarray, target: np.ndarray, h: np.ndarray, end: int, turn: int = 0, every: int = 2):
         """Gradients of the mean loss over one window, and the state after it.  The end of a text clears the state.
 
-        All tokens pass through the network; every ``every``-th prediction is trained on, windows taking turns."""
+        All tokens pass through the network; every ``every``-th prediction is trained on, windows taking turns; a
+        fit trains on all."""
         gates = (self.w["embed"] @ self.w["x"] + self.w["b"])[given]
         fresh = (given != end).astype(np.float32)[:, :, None]
         kept, states = [], np.empty((*given.shape, HIDDEN), np.float32)
