@@ -4,22 +4,53 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+@lru_cache(None)
+def one_machine_dir(application: str) -> str:
+    return f"file://{tempfile.mkdtemp(prefix='spark-')}"
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a temporary one is set only where there is none."""
+    """The folder named in spark.checkpoint.dir.
+
+    Where none is configured a temporary folder serves, but only for a local master, whose tasks all see it; on a
+    cluster that is an error, since no folder of one machine would do."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = f"file://{tempfile.mkdtemp(prefix='spark-')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if folder:
+        return folder
+    if spark.sparkContext.master.startswith("local"):
+        return one_machine_dir(spark.sparkContext.applicationId)
+    raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+
+
+@lru_cache(None)
+def application_dir(folder: str, application: str) -> str:
+    """A folder of this application under ``folder``, which Hadoop deletes when the driver's JVM ends."""
+    spark = SparkSession.getActiveSession()
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/scriptorium/{application}")
+    files = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    files.mkdirs(path)
+    files.deleteOnExit(path)
+    return path.toString()
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/scriptorium/{label}-{uuid.uuid4().hex}"
+    return f"{application_dir(shared_dir(spark), spark.sparkContext.applicationId)}/{label}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` as Parquet under the shared folder and read it back, which cuts the lineage.
+
+    Lost executors cost a re-read at most.  The tables go when the application ends.
+    """
+    path = new_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 class VersionedTable:
