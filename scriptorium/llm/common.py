@@ -1,10 +1,8 @@
-"""Shared pieces: table access, shared-folder tables, fold predicates and Arrow batch helpers."""
+"""Shared pieces: table access, fold predicates, boxed rows and Arrow batch helpers."""
 
 from __future__ import annotations
 
 import pickle
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -12,6 +10,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from scriptorium.sources.shared import written
+
+__all__ = ["blocks", "boxed", "extended", "fitted", "fold", "sampled", "table", "unboxed", "with_columns", "written"]
+
 #: Bytes of text handled at once inside a Python worker.
 BLOCK_BYTES = 2_000_000
 
@@ -20,26 +22,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one is set only where none is configured."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = f"file://{tempfile.mkdtemp(prefix='spark-')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet under the shared folder and read it back, which cuts the lineage.
-
-    Lost executors cost a re-read at most.  The tables may be deleted when the application has ended.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/scriptorium/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def fold(key: str, modulus: int, remainder: int) -> Column:
     """True where crc32(key as text) mod ``modulus`` is ``remainder``; a null key counts as empty text."""
     text = F.coalesce(F.col(key).cast("string"), F.lit(""))
@@ -89,3 +71,17 @@ def with_columns(batch: pa.RecordBatch, keep: list[str], **columns) -> pa.Record
 def extended(schema: StructType, ddl: str) -> StructType:
     """A new schema: the fields of ``schema`` and those of ``ddl``."""
     return StructType([*schema.fields, *StructType.fromDDL(ddl).fields])
+
+
+#: The column that holds all of a caller's columns while an operator works with columns of its own.
+BOX = "caller"
+
+
+def boxed(docs: DataFrame, columns: list[str], **own: Column) -> DataFrame:
+    """The caller's ``columns`` in one struct, beside columns of the operator's own, so that no names can clash."""
+    return docs.select(F.struct(F.lit(None).cast("int"), *columns).alias(BOX), *[c.alias(k) for k, c in own.items()])
+
+
+def unboxed(columns: list[str], schema: StructType) -> list[Column]:
+    """The caller's columns out of the struct, by place: their names may be any."""
+    return [F.col(BOX)[schema[BOX].dataType.names[i + 1]].alias(c) for i, c in enumerate(columns)]

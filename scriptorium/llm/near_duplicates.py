@@ -1,9 +1,9 @@
 """MinHash near-duplicates with sequential Bayesian verification.
 
 Documents with the same shingle set form a class, of which one representative is compared.  Banded MinHash signatures
-put similar classes into common buckets.  Within a bucket classes are compared with a few pivots first; what these
+put similar classes into common buckets.  Within a bucket classes are compared with two pivots first; what these
 links connect needs no further comparison, so that a large group of near copies costs a row for each member.  Only
-pairs of a bucket that are still in different components are then compared with one another.
+members that are still in different components of a bucket are then compared with one another.
 
 A pair's signatures are compared batch by batch.  With a uniform prior, the posterior of its similarity after m matches
 of n is a Beta distribution; once the chance of reaching the threshold falls under the chosen miss probability, the
@@ -20,6 +20,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -108,22 +109,26 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def sketches(docs: DataFrame, sim: Similarity) -> DataFrame:
-    """(id, n_shingles, content, sig, bands) of (id, text) rows; ``content`` identifies the shingle set."""
+    """(row, id, h, n_shingles, content, sig, bands) of (id, h, text) rows; ``content`` identifies the shingle set, and
+    ``row`` the row, once the result is written."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = TaskContext.get().partitionId() << 36
         for batch in batches:
             for part in (batch.slice(i, 1000) for i in range(0, len(batch), 1000)):
                 n, content, sigs, bands = [], [], [], []
-                for text in part.column(1).to_pylist():
+                for text in part.column(2).to_pylist():
                     own = shingles(text)
                     n.append(len(own))
                     content.append(xxhash.xxh3_128_digest(own.tobytes()) if len(own) else None)
                     sig = signature(own, sim.values) if len(own) else None
                     sigs.append(sig.tobytes() if len(own) else None)
                     bands.append(band_keys(sig, sim.rows) if len(own) else None)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(content, pa.binary()), pa.array(sigs, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["id", "n_shingles", "content", "sig", "bands"])
+                columns = [pa.array(range(row, row + len(part)), pa.int64()), part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(content, pa.binary()), pa.array(sigs, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["row", "id", "h", "n_shingles", "content", "sig", "bands"])
+                row += len(part)
 
-    return docs.mapInArrow(run, "id long, n_shingles long, content binary, sig binary, bands array<long>")
+    return docs.mapInArrow(run, "row long, id long, h long, n_shingles long, content binary, sig binary, bands array<long>")
 
 
 def survivors(pairs: DataFrame, sigs: DataFrame, sim: Similarity) -> DataFrame:
@@ -145,36 +150,34 @@ def survivors(pairs: DataFrame, sigs: DataFrame, sim: Similarity) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, sim: Similarity) -> DataFrame:
-    """The (a, b) rows of ``pairs`` that are links on full shingle sets; ``texts`` has a row (id, text) for each."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, own = None, None
-        for batch in batches:
-            a, keep = batch.column(0).to_pylist(), []
-            for i, (x, y) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
-                if a[i] != last:
-                    last, own = a[i], shingles(x)
-                if linked(own, shingles(y), sim.percent):
-                    keep.append(i)
-            yield batch.select([0, 1]).take(pa.array(keep, pa.int64()))
-
-    both = pairs.join(texts.toDF("b", "text_b"), "b").join(texts.toDF("a", "text_a"), "a").select("a", "b", "text_a", "text_b")
-    return both.mapInArrow(run, "a long, b long")
+#: Members that one task compares with a pivot, or a block with another.
+BLOCK_ROWS = 1024
 
 
-#: Rows of a block; two blocks are compared in one task.
-BLOCK_ROWS = 256
+def verified(pairs: DataFrame, texts: DataFrame, sim: Similarity) -> DataFrame:
+    """The (a, b) rows of ``pairs`` that are links on full shingle sets; ``texts`` has a row (nid, text) for each.
 
+    The members b that meet one a are dealt out in blocks, and the text of a goes to each block once, however many
+    members it has."""
+    hot = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("parts")).where("parts > 1")
+    parts = F.coalesce("parts", F.lit(1))
+    members = pairs.join(hot, "a", "left").select("a", F.pmod(F.xxhash64("b"), parts).cast("int").alias("part"), F.col("b").alias("nid"), F.lit(True).alias("member"))
+    leads = pairs.select("a").distinct().join(hot, "a", "left").select("a", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.col("a").alias("nid"), F.lit(False).alias("member"))
+    met = members.union(leads).join(texts, "nid").repartition("a", "part").sortWithinPartitions("a", "part", "member")
 
-def block_pairs(members: DataFrame, group: str) -> DataFrame:
-    """Give every member of a group its block and send it to each pair of blocks that it takes part in.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lead, own = None, None
+        for batch in batches:
+            left, right = [], []
+            for a, part, nid, member, text in zip(*(batch.column(c).to_pylist() for c in ("a", "part", "nid", "member", "text"))):
+                if not member:
+                    lead, own = (a, part), shingles(text)
+                elif lead == (a, part) and linked(own, shingles(text), sim.percent):
+                    left.append(a)
+                    right.append(nid)
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
 
-    Members are spread over blocks by hash, so no group is gathered anywhere; a task sees two blocks at a time."""
-    sizes = members.groupBy(group).agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("nid"), F.col("blocks")).cast("int")
-    met = members.join(sizes, group).withColumn("own", own).withColumn("met", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = met.withColumn("lo", F.least("own", "met")).withColumn("hi", F.greatest("own", "met")).drop("blocks", "met")
-    return met.repartition(group, "lo", "hi").sortWithinPartitions(group, "lo", "hi")
+    return met.select("a", "part", "nid", "member", "text").mapInArrow(run, "a long, b long")
 
 
 def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -200,77 +203,64 @@ def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.T
         yield pa.Table.from_batches(held)
 
 
-def likely(sigs: np.ndarray, i: int, others: np.ndarray, sim: Similarity, steps: list, band: int | None) -> np.ndarray:
-    """The ``others`` that Bayesian pruning leaves for row i; with ``band``, only if it is the first band in common."""
-    same = sigs[others] == sigs[i]
-    keep = np.ones(len(others), bool)
-    for n, least in steps:
-        keep &= same[:, :n].sum(1) >= least
-    if band is not None and keep.any():
-        bands = same.reshape(len(others), -1, sim.rows).all(2)
-        keep &= bands.argmax(1) == band
-    return others[keep]
+def open_members(buckets: DataFrame, comps: DataFrame) -> DataFrame:
+    """(bucket, band, nid, comp, n, main, strays): the members of buckets that hold more than one component; ``main`` is
+    the component of most of the n members, ``strays`` the number of those outside it."""
+    labelled = written(buckets.join(comps, "nid", "left").withColumn("comp", F.coalesce("comp", "nid")), "labelled")
+    counted = labelled.groupBy("bucket", "comp").agg(F.count("*").alias("c")).groupBy("bucket").agg(F.sum("c").alias("n"), F.max("c").alias("most"), F.max_by("comp", "c").alias("main"))
+    several = written(counted.where("n > most").select("bucket", "n", "main", (F.col("n") - F.col("most")).alias("strays")), "open-buckets")
+    return labelled.join(several, "bucket")
 
 
-class Union:
-    def __init__(self):
-        self.parent: dict = {}
+def meetings(members: DataFrame) -> DataFrame:
+    """Every member in its home block, and every stray in each home block that it visits; see ``candidates``."""
+    blocks = lambda n: F.ceil(F.col(n) / BLOCK_ROWS).cast("int")
+    dealt = members.select("bucket", "band", "nid", "comp", (F.col("comp") != F.col("main")).alias("stray"), blocks("n").alias("homes"), blocks("strays").alias("visits"))
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("nid"), F.col("homes")).cast("int"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    home = dealt.withColumn("visit", every("visits")).select("bucket", F.col("own").alias("home"), "visit", F.lit(False).alias("visitor"), "band", "nid", "comp", "stray")
+    guests = dealt.where("stray").withColumn("visit", F.pmod(F.xxhash64("nid", F.lit(1)), F.col("visits")).cast("int")).withColumn("home", every("homes"))
+    return home.union(guests.select("bucket", "home", "visit", F.lit(True).alias("visitor"), "band", "nid", "comp", "stray"))
 
-    def find(self, x):
-        while (p := self.parent.get(x, x)) != x:
-            self.parent[x] = self.parent.get(p, p)
-            x = p
-        return x
 
-    def join(self, x, y) -> None:
-        self.parent[self.find(x)] = self.find(y)
+def candidates(members: DataFrame, sigs: DataFrame, sim: Similarity, best: bool) -> DataFrame:
+    """Pairs (a, b) of different components that meet in a bucket and survive Bayesian pruning, each from the first
+    band that they share; with ``best``, for every stray and block only the partner of most equal values.
 
-
-def links_within(clusters: DataFrame, sim: Similarity) -> DataFrame:
-    """Links between different components of a cluster: every such pair is compared, and a link is returned unless the
-    same task has connected the two already.  Rows: (cluster, nid, comp, sig, text)."""
-    steps = sim.least_matches()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in grouped(batches, ["cluster", "lo", "hi"]):
-            comp, own, nid, texts = (t.column(c).to_pylist() for c in ("comp", "own", "nid", "text"))
-            if len({*comp}) == 1:
-                continue
-            sigs = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint32).reshape(len(nid), -1)
-            comps, blocks, two = np.array(comp), np.array(own), t.column("lo")[0].as_py() != t.column("hi")[0].as_py()
-            sets, union, out = {}, Union(), []
-            get = lambda i: sets[i] if i in sets else sets.setdefault(i, shingles(texts[i]))  # noqa: E731, B023
-            for i in range(len(nid)):
-                others = np.flatnonzero((comps[:i] != comps[i]) & (blocks[:i] != blocks[i] if two else True))
-                for j in likely(sigs, i, others, sim, steps, None).tolist():
-                    if union.find(comp[i]) != union.find(comp[j]) and linked(get(i), get(j), sim.percent):
-                        union.join(comp[i], comp[j])
-                        out.append((comp[i], comp[j]))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
-
-    return block_pairs(clusters, "cluster").mapInArrow(run, "a long, b long")
-
-
-def candidates_between(buckets: DataFrame, sim: Similarity) -> DataFrame:
-    """Pairs of a bucket that belong to different clusters and survive Bayesian pruning, each from the first bucket
-    that they share.  Rows: (bucket, band, nid, cluster, sig)."""
+    Strays, the members outside the bucket's main component, are blocked and sent to every block of members; so a group
+    of near copies costs a row for each member and one for each stray and block, and members of one component never
+    meet.  A task sees two blocks at a time, and no bucket is gathered anywhere.
+    """
     steps = sim.least_matches()
+    met = meetings(members).join(sigs, "nid").repartition("bucket", "home", "visit").sortWithinPartitions("bucket", "home", "visit")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in grouped(batches, ["bucket", "lo", "hi"]):
-            cluster, own, nid = (np.array(t.column(c).to_pylist()) for c in ("cluster", "own", "nid"))
+        for t in grouped(batches, ["bucket", "home", "visit"]):
+            visitor, nid, comp, stray = (t.column(c).to_numpy() for c in ("visitor", "nid", "comp", "stray"))
             sigs = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint32).reshape(len(nid), -1)
-            two, band, left, right = t.column("lo")[0].as_py() != t.column("hi")[0].as_py(), t.column("band")[0].as_py(), [], []
-            for i in range(len(nid)):
-                others = np.flatnonzero((cluster[:i] != cluster[i]) & (own[:i] != own[i] if two else True))
-                found = likely(sigs, i, others, sim, steps, band)
+            band, there, left, right = t.column("band")[0].as_py(), np.flatnonzero(~visitor), [], []
+            for i in np.flatnonzero(visitor).tolist():
+                # two strays meet in the home block of either; one of the meetings is enough
+                others = there[(comp[there] != comp[i]) & (~stray[there] | (nid[there] < nid[i]))]
+                same = sigs[others] == sigs[i]
+                keep = np.ones(len(others), bool)
+                for n, least in steps:
+                    keep &= same[:, :n].sum(1) >= least
+                others, same = others[keep], same[keep]
+                if best:
+                    found = others[[same.sum(1).argmax()]] if len(others) else others
+                else:
+                    found = others[same.reshape(len(others), sim.bands, sim.rows).all(2).argmax(1) == band]
                 left += [nid[i]] * len(found)
                 right += nid[found].tolist()
             if left:
                 yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
 
-    return block_pairs(buckets, "bucket").mapInArrow(run, "a long, b long")
+    return met.mapInArrow(run, "a long, b long").distinct()
+
+
+#: Meetings of strays and members in one bucket from which strays are compared with their likeliest partners first.
+MANY_MEETINGS = 1 << 18
 
 
 def near_duplicates(docs: DataFrame, *, id: str, text: str, sim: Similarity) -> DataFrame:
@@ -279,44 +269,51 @@ def near_duplicates(docs: DataFrame, *, id: str, text: str, sim: Similarity) ->
 
     A null or empty text, or one without words, has no shingles and is linked with nothing; identical texts are one
     class; rows that repeat an id are one document, linked by whatever any of its texts is linked by.  ``id`` is an
-    integer column; a null id comes back with a null component and ``kept`` true.  An empty table gives an empty one.
+    integer column; a null id comes back with a null component and ``kept`` true, and links nothing.  An empty table
+    gives an empty one.
+
+    Classes of equal shingle sets are compared, each by one row of it; ids only come in at the end.
 
     Scale: band rows are shuffled once to be counted and once to be joined; everything after works on classes that share
-    a bucket.  Only the members of clusters with unlinked members are sent to blocks with their texts.
+    a bucket.  A pivot's text goes to each block of its members once.  What the pivots leave unlinked in a large bucket
+    is linked to likely partners first, so that few strays are left to be compared with all.
     """
-    source = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
+    source = docs.select(F.col(id).cast("long").alias("id"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
     rows = written(sketches(source, sim), "sketches")
     full = rows.where("content is not null and id is not null")
-    classes = written(full.groupBy("content").agg(F.min("id").alias("nid")), "classes")
-    reps = written(full.join(classes.select(F.col("nid").alias("id")).distinct(), "id", "left_semi").select("id", "sig", "bands").dropDuplicates(["id"]), "representatives")
-    sigs = reps.select("id", "sig")
-    spread = reps.select(F.col("id").alias("nid"), F.posexplode("bands").alias("band", "bucket"))
-    common = spread.groupBy("bucket").agg(F.count("*").alias("n"), F.min("nid").alias("p"), F.max("nid").alias("q")).where("n > 1").drop("n")
+    classes = written(full.groupBy("content").agg(F.min_by("row", "id").alias("nid"), F.min("id").alias("least")), "classes")
+    reps = written(rows.join(classes.select(F.col("nid").alias("row")), "row", "left_semi").select(F.col("row").alias("nid"), "id", "h", "sig", "bands"), "representatives")
+    sigs, ids = reps.select("nid", "sig"), reps.select("nid", "id")
+    spread = reps.select("nid", F.posexplode("bands").alias("band", "bucket"))
+    common = written(spread.groupBy("bucket").agg(F.count("*").alias("n"), F.min("nid").alias("p"), F.max("nid").alias("q")).where("n > 1").drop("n"), "common")
     buckets = written(spread.join(common, "bucket"), "buckets")
 
-    pivots = buckets.select(F.explode(F.array("p", "q")).alias("a"), F.col("nid").alias("b")).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    # Each bucket's members meet two pivots, the first of which is a.
+    pivots = buckets.select(F.explode(F.array("p", "q")).alias("a"), F.col("nid").alias("b"), "p").where("a <> b and (a = p or b <> p)").select("a", "b").distinct()
     maybe = written(survivors(pivots, sigs, sim), "survivors")
     # The texts of all that share a bucket: the only shuffle of whole texts that all later steps draw on.
-    sharing = buckets.select(F.col("nid").alias("id")).distinct()
-    texts = written(source.join(sharing, "id", "left_semi").dropDuplicates(["id"]), "texts")
-    same_id = full.join(classes, "content").where("id <> nid").select(F.col("id").alias("a"), F.col("nid").alias("b"))
+    sharing = buckets.select("nid").distinct().join(reps.select("nid", "id", "h"), "nid")
+    texts = written(source.join(sharing, ["id", "h"]).select("id", "h", "nid", "text").dropDuplicates(["id", "h"]).select("nid", "text"), "texts")
     links = written(verified(maybe, texts, sim), "links")
-    comps = written(connected_components(links), "components").toDF("nid", "comp")
-    clusters = written(connected_components(maybe), "clusters").toDF("nid", "cluster")
-
-    members = clusters.join(comps, "nid", "left").withColumn("comp", F.coalesce("comp", "nid"))
-    mixed_ones = members.groupBy("cluster").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("cluster")
-    inside = members.join(mixed_ones, "cluster").join(sigs.toDF("nid", "sig"), "nid").join(texts.toDF("nid", "text"), "nid")
-    more = written(links_within(inside, sim), "more-links")
-
-    labelled = buckets.select("bucket", "band", "nid").join(clusters, "nid", "left").withColumn("cluster", F.coalesce("cluster", "nid"))
-    open_ones = labelled.groupBy("bucket").agg(F.min("cluster").alias("x"), F.max("cluster").alias("y")).where("x <> y").select("bucket")
-    between = candidates_between(labelled.join(open_ones, "bucket").join(sigs.toDF("nid", "sig"), "nid"), sim)
-    rest = written(between.distinct(), "rest")
-    last = verified(rest, texts, sim)
-
-    edges = links.union(more).union(last).union(same_id.distinct())
-    final = written(connected_components(edges), "final").toDF("id", "component_id")
+    seen = maybe
+
+    buckets = buckets.select("bucket", "band", "nid")
+    while True:
+        comps = written(connected_components(links), "components").toDF("nid", "comp")
+        members = open_members(buckets, comps)
+        large = members.where(F.col("n") * F.col("strays") > MANY_MEETINGS)
+        if seen is not maybe or large.isEmpty():
+            break
+        seen = written(candidates(large, sigs, sim, True), "likeliest")
+        links = written(links.union(verified(seen, texts, sim)), "links")
+    turned = lambda p: p.union(p.select("b", "a"))
+    tried = turned(maybe) if seen is maybe else turned(maybe.union(seen))
+    rest = written(candidates(members, sigs, sim, False).join(tried, ["a", "b"], "left_anti"), "rest")
+    links = links.union(verified(rest, texts, sim))
+
+    by_id = links.join(ids.toDF("b", "id_b"), "b").join(ids.toDF("a", "id_a"), "a").select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
+    same = full.select("id", "content").join(classes, "content").where("id <> least").select(F.col("id").alias("a"), F.col("least").alias("b"))
+    final = written(connected_components(by_id.union(same)), "final").toDF("id", "component_id")
     out = rows.select("id", "n_shingles").join(final, "id", "left")
     component = F.coalesce("component_id", "id")
     return out.select(F.col("id").alias(id), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))

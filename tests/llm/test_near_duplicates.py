@@ -62,6 +62,57 @@ def test_group_of_near_copies_with_unlinked_members(spark, monkeypatch):
     assert run(spark, texts, 80) == brute(texts, 80)
 
 
+def of_rows(rows: list[tuple[int, str]], percent: int) -> dict[int, int]:
+    """Component by id where ids may repeat: texts are compared, and a text's ids are one document each."""
+    whole = brute(dict(enumerate(t for _, t in rows)), percent)
+    root = {i: i for i, _ in rows}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for k, (i, _) in enumerate(rows):
+        j = rows[whole[k][1]][0]
+        if find(i) != find(j):
+            root[max(find(i), find(j))] = min(find(i), find(j))
+    return {i: find(i) for i in root}
+
+
+def test_repeated_ids_keep_the_links_of_all_their_texts(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(40)) for x in "ab")
+    rows = [(1, a), (1, b), (2, b + " e"), (3, a + " e")]
+    for own in (rows, [rows[1], rows[0], *rows[2:]], rows[::-1]):
+        got = nd.near_duplicates(spark.createDataFrame(own, "id long, text string"), id="id", text="text", sim=nd.Similarity()).collect()
+        assert {r.component_id for r in got} == {1} and len(got) == 4
+    rng = random.Random(8)
+    rows = []
+    for _ in range(150):
+        base = rng.randrange(25)
+        own = [f"g{base}-{i}" for i in range(40)]
+        for _ in range(rng.choice([0, 1, 1, 2])):
+            own[rng.randrange(40)] = f"x{rng.randrange(1000)}"
+        rows.append((rng.randrange(60), " ".join(own)))
+    got = nd.near_duplicates(spark.createDataFrame(rows, "id long, text string").repartition(3), id="id", text="text", sim=nd.Similarity()).collect()
+    assert {r.id: r.component_id for r in got} == of_rows(rows, 80)
+
+
+def test_ten_thousand_near_copies_cost_a_row_each(spark):
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join([*words[:-1], f"end{i}"])) for i in range(10_000)]
+    for i in range(10_000, 10_100):  # strays: an own edit in the middle, near the whole group all the same
+        own = words[:]
+        own[rng.randrange(20, 40)] = f"x{i}"
+        rows.append((i, " ".join(own)))
+    docs = spark.createDataFrame(rows, "id long, text string")
+    got = nd.near_duplicates(docs, id="id", text="text", sim=nd.Similarity())
+    assert got.groupBy("component_id").count().collect() == [(0, 10_100)]
+    # of one bucket with 100 strays, the rows sent to blocks are far from the group's square
+    members = spark.range(10_000).selectExpr("0L as bucket", "0 as band", "id as nid", "if(id < 100, id, 100) as comp", "10000L as n", "100L as main", "100L as strays")
+    assert nd.meetings(members).count() == 10_000 + 100 * -(-10_000 // nd.BLOCK_ROWS)
+
+
 def test_edge_cases(spark):
     texts = {1: None, 2: "", 3: " \t\n", 4: "a b", 5: "A  b", 6: "a b c", 7: "b a", 8: "x " * 4000, 9: "x y " * 3000}
     want = brute(texts, 85)
