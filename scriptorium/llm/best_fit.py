@@ -1,12 +1,13 @@
 """Bulk-synchronous best-fit packing of token sequences.
 
-Pieces of equal length are one run of the length-sorted order, and open sequences with equal room are one run of the
-gap-sorted order, so that a sweep works on at most ``limit`` runs of either kind, however many pieces there are.  The
-sweep takes runs of pieces from long to short; in each superstep the pieces of a run are matched to the successor run of
-gaps (the smallest room that fits), conflicts are resolved by rank (piece r of the run gets gap r; those beyond the
-run's end go to the next superstep), and the gaps left are put back by their new size.  The result is the same as best
-fit decreasing.  Spark numbers the pieces of each run across partitions and looks every piece's rank up in the table of
-matches, whose size depends on the limit and not on the number of pieces.
+Pieces of equal length are interchangeable, and so are open sequences of equal room; both are kept as runs, tables of
+(size, n, first) whose rows depend on the limit and not on the number of pieces.  A superstep range-sorts the runs of
+waiting pieces and of gaps together, from large to small, and sweeps every range at once: a run of pieces takes the
+nearest larger gaps, its successors, as a closing bracket takes the nearest open one.  What a range leaves over is matched
+in a second sweep over the leftovers of all ranges.  Conflicts are resolved by rank: piece r of a run gets gap r, and the
+pieces beyond the gaps wait for the next superstep.  The gaps that took pieces come back with the room that they have
+left, new sequences are opened when no gap fits what waits, and the supersteps repeat until nothing waits.  Spark then
+ranks the pieces of each run across partitions and looks their places up in the table of matches.
 """
 
 from __future__ import annotations
@@ -14,8 +15,6 @@ from __future__ import annotations
 import re
 import zlib
 from array import array
-from bisect import bisect_left, insort
-from collections import deque
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -25,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import extended, with_columns, written
+from scriptorium.llm.common import BOX, boxed, extended, unboxed, with_columns, written
 from scriptorium.llm.token_transducer import byte_letters
 
 #: Words whose ids a worker keeps.
@@ -111,55 +110,97 @@ def word_ids(path: str) -> WordIds:
     return WordIds(path)
 
 
-def best_fit_runs(counts: dict[int, int], limit: int) -> list[tuple[int, int, int, int, int]]:
-    """Matches of runs: (length, first rank, pieces, first sequence, offset); piece k of a match goes to sequence
-    ``first sequence + k``.  ``counts`` holds the number of pieces of each length."""
-    gaps: dict[int, deque] = {}
-    sizes: list[int] = []
-    matches, opened = [], 0
-
-    def put(room: int, start: int, n: int) -> None:
-        if room:
-            if room not in gaps:
-                gaps[room] = deque()
-                insort(sizes, room)
-            gaps[room].append((start, n))
-
-    for length in sorted((k for k, n in counts.items() if n), reverse=True):
-        rank, left = 0, counts[length]
-        while left:
-            at = bisect_left(sizes, length)
-            if at == len(sizes):
-                n = -(-left // (limit // length))  # sequences that only hold this run from now on
-                put(limit, opened, n)
-                opened += n
-                continue
-            room = sizes[at]
-            run, freed = gaps[room], []
-            while run and left:
-                start, n = run.popleft()
-                taken = min(n, left)
-                if taken < n:
-                    run.appendleft((start + taken, n - taken))
-                matches.append((length, rank, taken, start, limit - room))
-                freed.append((start, taken))
-                rank, left = rank + taken, left - taken
-            if not run:
-                del gaps[room]
-                sizes.pop(at)
-            for start, n in freed:
-                put(room - length, start, n)
-    return matches
-
-
-def tokenized_pieces(docs: DataFrame, *, text: str, tokenizer: str, limit: int, end_id: int = 0) -> DataFrame:
-    """Rows (all columns but the text, piece, start, length, ids_crc32, part, local_rank): documents cut at ``limit``."""
-    keep = [c for c in docs.columns if c != text]
+GAP, WAITING, MATCH = range(3)
+RUNS = "kind int, size long, n long, first long, per long, seq long, room long"
+#: Ranges that a superstep sweeps side by side.
+RANGES = 8
+
+
+def sweep(rows: list[tuple[int, int, int, int]]) -> tuple[list[tuple], list[tuple], list[tuple]]:
+    """One pass over runs (kind, size, n, first), from large to small and gaps before pieces of the same size.
+
+    Returns matches (length, pieces, first rank, pieces a gap, first sequence, room), the gaps that come of them
+    (room, n, first), and the runs that found no match.  A gap takes as many pieces of one run as it holds."""
+    stack, matches, used, waiting = [], [], [], []
+    for kind, size, n, first in rows:
+        if kind == GAP:
+            stack.append([size, n, first])
+            continue
+        while n and stack:
+            room, gaps, seq = stack[-1]
+            per = room // size
+            take = min(gaps, -(-n // per))
+            placed = min(n, take * per)
+            matches.append((size, placed, first, per, seq, room))
+            whole = placed // per
+            used.append((room - per * size, whole, seq))
+            if whole < take:
+                used.append((room - (placed - whole * per) * size, 1, seq + whole))
+            n, first = n - placed, first + placed
+            stack[-1] = [room, gaps - take, seq + take]
+            if gaps == take:
+                stack.pop()
+        if n:
+            waiting.append((WAITING, size, n, first))
+    return matches, [g for g in used if g[0] and g[1]], waiting + [(GAP, *g) for g in stack]
+
+
+def swept(runs: DataFrame, ranges: int) -> DataFrame:
+    """Sweep ``ranges`` ranges of the sorted runs side by side.  Rows of the kind ``GAP + 4`` are gaps of the next
+    superstep; the other gaps and the waiting runs are what found no match in their range."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [row for batch in batches for row in zip(*(batch.column(c).to_pylist() for c in ("kind", "size", "n", "first")))]
+        matches, used, rest = sweep(rows)
+        out = [(MATCH, *m) for m in matches] + [(GAP + 4, *g, None, None, None) for g in used] + [(*r, None, None, None) for r in rest]
+        columns = list(zip(*out)) or [()] * 7
+        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32())] + [pa.array(c, pa.int64()) for c in columns[1:]], names=["kind", "size", "n", "first", "per", "seq", "room"])
+
+    order = (F.desc("size"), F.asc("kind"), F.asc("first"))
+    dealt = runs.repartitionByRange(ranges, *order) if ranges > 1 else runs.coalesce(1)
+    return dealt.sortWithinPartitions(*order).mapInArrow(run, RUNS)
+
+
+def best_fit_matches(counts: DataFrame, limit: int, classes: tuple[int, ...]) -> tuple[DataFrame, int]:
+    """All matches of (length, n) runs, and their number.
+
+    Pieces longer than ``limit / c`` are placed before shorter ones come in, for each c of ``classes``: long pieces are
+    the hard ones.  The rows of a superstep are bounded by the limit; the driver sees a few sums of each."""
+    spark = counts.sparkSession
+    state = written(counts.select(F.lit(WAITING).alias("kind"), F.col("length").cast("long").alias("size"), F.col("n").cast("long").alias("n"), F.lit(0).cast("long").alias("first"), *[F.lit(None).cast("long").alias(c) for c in ("per", "seq", "room")]), "runs")
+    opened = 0
+    edges = [*(limit // c for c in sorted(classes)), 0]
+    while True:
+        waits, takes = (F.col("kind") == WAITING) & (F.col("size") > edges[0]), F.col("kind") == GAP
+        sums = state.agg(
+            F.sum(F.when(waits, F.col("size") * F.col("n"))).alias("tokens"), F.sum(F.when(waits & (2 * F.col("size") > limit), F.col("n"))).alias("alone"),
+            F.min(F.when(waits, F.col("size"))).alias("least"), F.max(F.when(takes, F.col("size"))).alias("most"), F.count(F.when(F.col("kind") == MATCH, 1)).alias("matches"),
+        ).first()
+        if not sums["least"]:
+            if len(edges) == 1:
+                return state.where(F.col("kind") == MATCH), sums["matches"]
+            edges.pop(0)
+            continue
+        if (sums["most"] or 0) < sums["least"]:  # no gap fits anything that waits
+            new = max(sums["alone"] or 0, -(-sums["tokens"] // limit))
+            state = state.union(spark.range(1).select(F.lit(GAP), F.lit(limit).cast("long"), F.lit(new).cast("long"), F.lit(opened).cast("long"), *[F.lit(None).cast("long")] * 3))
+            opened += new
+        taking = waits | takes
+        first = written(swept(state.where(taking), RANGES), "ranges")
+        left = F.col("kind").isin(GAP, WAITING)
+        second = swept(first.where(left), 1)
+        after = first.where(~left).union(second).withColumn("kind", F.col("kind") % 4)
+        state = written(state.where(~taking).union(after).coalesce(1), "runs")
+
+
+def tokenized_pieces(docs: DataFrame, *, tokenizer: str, limit: int, end_id: int = 0) -> DataFrame:
+    """Rows (box, piece, start, length, ids_crc32, part, local_rank) of (box, text): documents cut at ``limit``; the rank is
+    among the pieces of the same length and partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seen, end = TaskContext.get().partitionId(), np.zeros(limit + 1, np.int64), np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            texts = [t or "" for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
+            texts = [t or "" for t in batch.column(1).to_pylist()]
             for at in range(0, len(texts), 500):
                 row, out = [], []
                 for i, ids in enumerate(word_ids(tokenizer).encode(texts[at : at + 500]), at):
@@ -171,42 +212,36 @@ def tokenized_pieces(docs: DataFrame, *, text: str, tokenizer: str, limit: int,
                         out.append((piece, start // 4, n, zlib.crc32(cut), seen[n]))
                         seen[n] += 1
                 piece, start, length, crc, rank = zip(*out)
-                yield with_columns(batch.take(pa.array(row)), keep, piece=pa.array(piece, pa.int32()), start=pa.array(start, pa.int64()), length=pa.array(length, pa.int64()), ids_crc32=pa.array(crc, pa.int64()), part=pa.array([part] * len(row), pa.int64()), local_rank=pa.array(rank, pa.int64()))
+                yield with_columns(batch.take(pa.array(row)), [BOX], piece=pa.array(piece, pa.int32()), start=pa.array(start, pa.int64()), length=pa.array(length, pa.int64()), ids_crc32=pa.array(crc, pa.int64()), part=pa.array([part] * len(row), pa.int64()), local_rank=pa.array(rank, pa.int64()))
+
+    return docs.mapInArrow(run, extended(docs.select(BOX).schema, "piece int, start long, length long, ids_crc32 long, part long, local_rank long"))
 
-    return docs.mapInArrow(run, extended(docs.select(*keep).schema, "piece int, start long, length long, ids_crc32 long, part long, local_rank long"))
 
+#: Matches that are broadcast at most; more are joined by length.
+BROADCAST_MATCHES = 1 << 17
 
-def pack(docs: DataFrame, *, text: str, tokenizer: str, limit: int = 2048, end_id: int = 0) -> DataFrame:
+
+def pack(docs: DataFrame, *, text: str, tokenizer: str, limit: int = 2048, end_id: int = 0, classes: tuple[int, ...] = (2, 3, 4)) -> DataFrame:
     """Pack all documents into as few sequences of at most ``limit`` tokens as best fit finds.
 
     Returns the other columns of ``docs`` and piece, start, length, ids_crc32, sequence_id and offset, a row for each
     piece.  A null or empty text is the end token alone; repeated rows are packed each; an empty table gives an empty
-    result.  Existing columns of the new names are replaced.
+    result.  Existing columns of the new names are replaced; columns of any other name pass through.
     """
-    new = {"piece", "start", "length", "ids_crc32", "part", "local_rank", "sequence_id", "offset"}
-    docs = docs.select(*[c for c in docs.columns if c not in new])
-    keep = [c for c in docs.columns if c != text]
-    pieces = written(tokenized_pieces(docs, text=text, tokenizer=tokenizer, limit=limit, end_id=end_id), "pieces")
+    new = ("piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    keep = [c for c in docs.columns if c != text and c not in new]
+    box = boxed(docs, keep, text=F.col(text))
+    pieces = written(tokenized_pieces(box, tokenizer=tokenizer, limit=limit, end_id=end_id), "pieces")
     # Ranks across partitions: a row for each partition and length, summed up before each.
-    runs = pieces.groupBy("length", "part").agg(F.count("*").alias("n"))
+    runs = written(pieces.groupBy("length", "part").agg(F.count("*").alias("n")), "piece-runs")
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = runs.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
-    counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    matches = np.array(sorted(best_fit_runs(counts, limit)), np.int64).reshape(-1, 5)
-    length_at = np.searchsorted(matches[:, 0], np.arange(limit + 2))
-    table = docs.sparkSession.sparkContext.broadcast((matches, length_at))
-
-    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matches, length_at = table.value
-        for batch in batches:
-            length, rank = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("length", "rank"))
-            at = np.empty(len(length), np.int64)
-            for n in np.unique(length):
-                own = length == n
-                lo, hi = length_at[n], length_at[n + 1]
-                at[own] = lo + np.searchsorted(matches[lo:hi, 1], rank[own], side="right") - 1
-            yield with_columns(batch, out, sequence_id=matches[at, 3] + rank - matches[at, 1], offset=matches[at, 4])
-
-    out = [*keep, "piece", "start", "length", "ids_crc32"]
-    ranked = pieces.join(offsets, ["length", "part"]).withColumn("rank", F.col("local_rank") + F.col("before")).select(*out, "rank")
-    return ranked.mapInArrow(look_up, extended(ranked.select(*out).schema, "sequence_id long, offset long"))
+    matches, n_matches = best_fit_matches(runs.groupBy("length").agg(F.sum("n").alias("n")), limit, classes)
+    matches = matches.select(F.col("size").alias("length"), F.col("n").alias("placed"), "first", "per", "seq", "room")
+    if n_matches <= BROADCAST_MATCHES:
+        matches = F.broadcast(matches)
+    at = F.col("local_rank") + F.col("before")
+    placed = pieces.join(offsets, ["length", "part"]).withColumn("rank", at).join(matches, "length").where((F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("first") + F.col("placed")))
+    k = F.col("rank") - F.col("first")
+    sequence, offset = F.col("seq") + F.floor(k / F.col("per")), F.lit(limit) - F.col("room") + k % F.col("per") * F.col("length")
+    return placed.select(*unboxed(keep, pieces.schema), "piece", "start", "length", "ids_crc32", sequence.cast("long").alias("sequence_id"), offset.cast("long").alias("offset"))

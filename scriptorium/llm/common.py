@@ -12,7 +12,7 @@ from pyspark.sql.types import StructType
 
 from scriptorium.sources.shared import written
 
-__all__ = ["blocks", "boxed", "extended", "fitted", "fold", "sampled", "table", "unboxed", "with_columns", "written"]
+__all__ = ["BOX", "blocks", "boxed", "extended", "fitted", "fold", "sampled", "table", "unboxed", "with_columns", "written"]
 
 #: Bytes of text handled at once inside a Python worker.
 BLOCK_BYTES = 2_000_000

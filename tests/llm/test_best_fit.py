@@ -19,28 +19,70 @@ def test_ids_equal_library():
     assert bf.WordIds(PATH).encode(texts) == want
 
 
-def test_runs_equal_best_fit_decreasing():
+def decreasing(lengths: list[int], limit: int) -> int:
+    """Sequences of best fit decreasing, piece by piece."""
+    rooms = []
+    for n in sorted(lengths, reverse=True):
+        fits = [r for r in rooms if r >= n]
+        if fits:
+            rooms.remove(min(fits))
+        rooms.append((min(fits) if fits else limit) - n)
+    return len(rooms)
+
+
+def test_sweep_gives_every_piece_its_successor_gap():
+    random.seed(7)
+    for _ in range(300):
+        gaps, pieces = ([random.randrange(1, 40) for _ in range(random.randrange(15))] for _ in range(2))
+        gap_runs, rows = Counter(gaps), Counter(pieces)
+        sizes = sorted({*gaps, *pieces}, reverse=True)
+        runs = []
+        for s in sizes:
+            if gap_runs[s]:
+                runs.append((bf.GAP, s, gap_runs[s], 100 * s))
+            if rows[s]:
+                runs.append((bf.WAITING, s, rows[s], 0))
+        matches, used, rest = bf.sweep(runs)
+        free, want = sorted(gaps), []
+        waiting = sorted(pieces, reverse=True)
+        while waiting:  # a gap serves one length, as often as it goes in
+            n = waiting[0]
+            fits = [g for g in free if g >= n]
+            if not fits:
+                waiting.pop(0)
+                continue
+            free.remove(min(fits))
+            k = min(waiting.count(n), min(fits) // n)
+            want.append((n, min(fits), k))
+            for _ in range(k):
+                waiting.remove(n)
+        got = [(length, room, min(per, n - i * per)) for length, n, _, per, _, room in matches for i in range(-(-n // per))]
+        assert sorted(got) == sorted(want)
+        assert sum(n for k, _, n, _ in rest if k == bf.WAITING) == len(pieces) - sum(k for *_, k in want)
+        assert sum(r * n for r, n, _ in used) == sum(room - length * k for length, room, k in want)
+
+
+def test_supersteps_are_near_best_fit_decreasing(spark, monkeypatch):
+    monkeypatch.setattr(bf, "RANGES", 3)
     random.seed(5)
-    for _ in range(30):
-        lengths = [random.choice([1, 2, 3, 7, 20, 33, 50, 64]) for _ in range(random.randrange(1, 300))]
-        rooms = []
-        for n in sorted(lengths, reverse=True):
-            fits = [r for r in rooms if r >= n]
-            if fits:
-                rooms.remove(min(fits))
-            rooms.append((min(fits) if fits else 64) - n)
-        matches = bf.best_fit_runs(Counter(lengths), 64)
-        used = {}
-        for length, _, n, start, offset in matches:
-            for s in range(start, start + n):
-                used.setdefault(s, []).append((offset, length))
-        assert len(used) == len(rooms)
+    for choice in ([1, 2, 3, 7, 20, 33, 50, 64], range(20, 45), [5]):
+        lengths = [random.choice(choice) for _ in range(400)]
+        runs = spark.createDataFrame(list(Counter(lengths).items()), "length long, n long")
+        matches, n = bf.best_fit_matches(runs, 64, (2, 3, 4))
+        used, ranks = {}, Counter()
+        for r in matches.collect():
+            n -= 1
+            for i in range(r.n):
+                used.setdefault(r.seq + i // r.per, []).append((64 - r.room + i % r.per * r.size, r.size))
+                ranks[r.size, r["first"] + i] += 1
+        assert n == 0 and set(ranks.values()) == {1} and Counter(s for s, _ in ranks) == Counter(lengths)
         for places in used.values():
             at = 0
             for offset, length in sorted(places):
                 assert offset == at
                 at += length
             assert at <= 64
+        assert len(used) <= decreasing(lengths, 64) + 2
 
 
 def test_rows(spark):
@@ -61,3 +103,10 @@ def test_rows(spark):
     first = [r for r in got if r.doc_id == 3 and r.piece == 1]
     assert {r.ids_crc32 for r in first} == {zlib.crc32(np.array(ids[16:32], "<u4").tobytes())}
     assert bf.pack(docs.limit(0), text="text", tokenizer=PATH).count() == 0
+
+
+def test_columns_of_any_name_pass_through(spark):
+    names = ["rank", "before", "part", "local_rank", "caller", "seq", "room", "n", "first", "per", "box", "kind"]
+    docs = spark.createDataFrame([(*range(len(names)), "a b c", {"k": 1})] * 3, [*names, "text", "m"])
+    got = bf.pack(docs, text="text", tokenizer=PATH, limit=16).collect()
+    assert len(got) == 3 and all([r[c] for c in names] == [*range(len(names))] and r.m == {"k": 1} for r in got)
