@@ -112,8 +112,8 @@ def word_ids(path: str) -> WordIds:
 
 GAP, WAITING, MATCH = range(3)
 RUNS = "kind int, size long, n long, first long, per long, seq long, room long"
-#: Ranges that a superstep sweeps side by side.
-RANGES = 8
+#: Runs of one range; a superstep sweeps as many ranges side by side as its runs need.
+RANGE_RUNS = 2048
 
 
 def sweep(rows: list[tuple[int, int, int, int]]) -> tuple[list[tuple], list[tuple], list[tuple]]:
@@ -174,7 +174,7 @@ def best_fit_matches(counts: DataFrame, limit: int, classes: tuple[int, ...]) ->
         waits, takes = (F.col("kind") == WAITING) & (F.col("size") > edges[0]), F.col("kind") == GAP
         sums = state.agg(
             F.sum(F.when(waits, F.col("size") * F.col("n"))).alias("tokens"), F.sum(F.when(waits & (2 * F.col("size") > limit), F.col("n"))).alias("alone"),
-            F.min(F.when(waits, F.col("size"))).alias("least"), F.max(F.when(takes, F.col("size"))).alias("most"), F.count(F.when(F.col("kind") == MATCH, 1)).alias("matches"),
+            F.min(F.when(waits, F.col("size"))).alias("least"), F.max(F.when(takes, F.col("size"))).alias("most"), F.count(F.when(F.col("kind") == MATCH, 1)).alias("matches"), F.count(F.when(waits | takes, 1)).alias("runs"),
         ).first()
         if not sums["least"]:
             if len(edges) == 1:
@@ -182,15 +182,18 @@ def best_fit_matches(counts: DataFrame, limit: int, classes: tuple[int, ...]) ->
             edges.pop(0)
             continue
         if (sums["most"] or 0) < sums["least"]:  # no gap fits anything that waits
-            new = max(sums["alone"] or 0, -(-sums["tokens"] // limit))
+            new = sums["alone"] or -(-sums["tokens"] // limit)  # pieces over half the limit take one each in any case
             state = state.union(spark.range(1).select(F.lit(GAP), F.lit(limit).cast("long"), F.lit(new).cast("long"), F.lit(opened).cast("long"), *[F.lit(None).cast("long")] * 3))
             opened += new
-        taking = waits | takes
-        first = written(swept(state.where(taking), RANGES), "ranges")
-        left = F.col("kind").isin(GAP, WAITING)
-        second = swept(first.where(left), 1)
-        after = first.where(~left).union(second).withColumn("kind", F.col("kind") % 4)
-        state = written(state.where(~taking).union(after).coalesce(1), "runs")
+        taking = waits | (takes & (F.col("size") >= sums["least"]))
+        after, ranges = state.where(taking), -(-sums["runs"] // RANGE_RUNS)
+        if ranges > 1:
+            first = written(swept(after, ranges), "ranges")
+            left = F.col("kind").isin(GAP, WAITING)
+            after = first.where(~left).union(swept(first.where(left), 1))
+        else:
+            after = swept(after, 1)
+        state = written(state.where(~taking).union(after.withColumn("kind", F.col("kind") % 4)).coalesce(1), "runs")
 
 
 def tokenized_pieces(docs: DataFrame, *, tokenizer: str, limit: int, end_id: int = 0) -> DataFrame:
@@ -221,7 +224,7 @@ def tokenized_pieces(docs: DataFrame, *, tokenizer: str, limit: int, end_id: int
 BROADCAST_MATCHES = 1 << 17
 
 
-def pack(docs: DataFrame, *, text: str, tokenizer: str, limit: int = 2048, end_id: int = 0, classes: tuple[int, ...] = (2, 3, 4)) -> DataFrame:
+def pack(docs: DataFrame, *, text: str, tokenizer: str, limit: int = 2048, end_id: int = 0, classes: tuple[int, ...] = (3, 4)) -> DataFrame:
     """Pack all documents into as few sequences of at most ``limit`` tokens as best fit finds.
 
     Returns the other columns of ``docs`` and piece, start, length, ids_crc32, sequence_id and offset, a row for each
