@@ -12,7 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import written
+from scriptorium.llm.common import BOX, boxed, unboxed, written
 
 #: Bits of the first histogram; deeper ones are taken where the number of shards asks for them.
 FIRST_BITS = 14
@@ -23,8 +23,8 @@ BROADCAST_ENTRIES = 1 << 15
 
 
 def prefix(bits: int | Column) -> Column:
-    """The first ``bits`` bits of the hash ``_h``."""
-    return F.expr("0L") if isinstance(bits, int) and bits == 0 else F.shiftrightunsigned("_h", 64 - bits)
+    """The first ``bits`` bits of the hash ``h``."""
+    return F.expr("0L") if isinstance(bits, int) and bits == 0 else F.shiftrightunsigned("h", 64 - bits)
 
 
 def directory(cells: DataFrame, bits: int, limit: int) -> DataFrame:
@@ -46,15 +46,16 @@ def shard(docs: DataFrame, *, keys: list[str], size: Column, limit: int) -> Data
     ``n_bytes`` is ``size`` (null: 0).  Rows of one ``shard_id`` have at most ``limit`` bytes together, but for a single
     row that is larger itself, which stands alone.  ``depth`` is the number of hash bits that the bucket uses, ``chain``
     the place in its overflow chain (0 without one).  Null keys hash like a value of their own; repeated rows are placed
-    each; an empty table gives an empty one; existing columns of the new names are replaced.
+    each; an empty table gives an empty one; existing columns of the new names are replaced, and columns of any other name
+    pass through.
 
     Two scans of the key and the size, no shuffle of the rows themselves unless the directory is too large to broadcast.
     Only the rows of buckets at full depth that are still over the limit are written and numbered, by their own
     partition first, so that a key with a third of all rows is never gathered.
     """
-    rows = docs.select(*[c for c in docs.columns if c not in ("shard_id", "depth", "chain", "n_bytes")])
-    rows = rows.withColumn("_h", F.xxhash64(*keys)).withColumn("_n", F.coalesce(size.cast("long"), F.lit(0).cast("long")))
-    histogram = lambda b: written(rows.groupBy(prefix(b).alias("cell")).agg(F.sum("_n").alias("bytes")), "cells")
+    keep = [c for c in docs.columns if c not in ("shard_id", "depth", "chain", "n_bytes")]
+    rows = boxed(docs, keep, h=F.xxhash64(*keys), n=F.coalesce(size.cast("long"), F.lit(0).cast("long")))
+    histogram = lambda b: written(rows.groupBy(prefix(b).alias("cell")).agg(F.sum("n").alias("bytes")), "cells")
     cells, bits = histogram(FIRST_BITS), FIRST_BITS
     total = cells.agg(F.sum("bytes")).first()[0] or 0
     wanted = min(48, math.ceil(math.log2(max(1.0, total / limit))) + SPARE_BITS)
@@ -66,27 +67,26 @@ def shard(docs: DataFrame, *, keys: list[str], size: Column, limit: int) -> Data
     full = written(cells.where(F.col("bytes") > limit).select("cell"), "full-cells")
     placed = rows.withColumn("cell", prefix(bits)).join(entries, "cell")
     code = F.expr("shiftleft(1L, depth)") + F.col("bucket")
-    names = [c for c in rows.columns if c not in ("_h", "_n")]
-    out = [*names, "shard_id", "depth", "chain", F.col("_n").alias("n_bytes")]
+    result = lambda df: df.select(*unboxed(keep, rows.schema), F.concat_ws("-", code, "chain").alias("shard_id"), "depth", "chain", F.col("n").alias("n_bytes"))
+    none = F.lit(0).cast("long")
     if full.isEmpty():
-        return placed.withColumn("shard_id", F.concat_ws("-", code, F.lit("0"))).withColumn("chain", F.lit(0).cast("long")).select(*out)
+        return result(placed.withColumn("chain", none))
 
-    plain = placed.join(full, "cell", "left_anti").withColumn("chain", F.lit(0).cast("long"))
-    over = placed.join(full, "cell", "left_semi").withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id())
+    plain = placed.join(full, "cell", "left_anti").withColumn("chain", none)
+    over = placed.join(full, "cell", "left_semi").withColumn("part", F.spark_partition_id()).withColumn("row", F.monotonically_increasing_id())
     over = written(over, "overflow")
     # Rows over half the limit stand alone; the others fill places of a stride that leaves room for the row on its edge.
-    small = over.where(F.col("_n") <= limit // 2)
+    small = over.where(F.col("n") <= limit // 2)
     stride = limit - limit // 2
-    sums = small.groupBy("cell", "_part").agg(F.sum("_n").alias("_sum"))
-    before = Window.partitionBy("cell").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.withColumn("_start", F.coalesce(F.sum("_sum").over(before), F.lit(0))).drop("_sum")
-    within = Window.partitionBy("cell", "_part").orderBy("_h", "_row").rowsBetween(Window.unboundedPreceding, -1)
-    numbered = small.withColumn("_own", F.coalesce(F.sum("_n").over(within), F.lit(0))).join(starts, ["cell", "_part"])
-    numbered = numbered.withColumn("chain", F.floor((F.col("_start") + F.col("_own")) / stride).cast("long"))
-    alone = over.where(F.col("_n") > limit // 2).withColumn("chain", -1 - F.col("_row"))
-    chained = numbered.select(*over.columns, "chain").union(alone.select(*over.columns, "chain"))
-    every = plain.select(*names, "_n", "depth", "bucket", "chain").union(chained.select(*names, "_n", "depth", "bucket", "chain"))
-    return every.withColumn("shard_id", F.concat_ws("-", code, "chain")).select(*out)
+    sums = small.groupBy("cell", "part").agg(F.sum("n").alias("sum"))
+    before = Window.partitionBy("cell").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.withColumn("start", F.coalesce(F.sum("sum").over(before), F.lit(0))).drop("sum")
+    within = Window.partitionBy("cell", "part").orderBy("h", "row").rowsBetween(Window.unboundedPreceding, -1)
+    numbered = small.withColumn("own", F.coalesce(F.sum("n").over(within), F.lit(0))).join(starts, ["cell", "part"])
+    numbered = numbered.withColumn("chain", F.floor((F.col("start") + F.col("own")) / stride).cast("long"))
+    alone = over.where(F.col("n") > limit // 2).withColumn("chain", -1 - F.col("row"))
+    ready = lambda df: df.select(BOX, "n", "depth", "bucket", "chain")
+    return result(ready(plain).union(ready(numbered)).union(ready(alone)))
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:

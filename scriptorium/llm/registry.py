@@ -57,8 +57,8 @@ def op6_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return shard(docs, keys=["doc_id"], size=F.octet_length("text"), limit=16 << 20).drop("text")
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.octet_length("text").alias("size"))
+    return shard(docs, keys=["doc_id"], size=F.col("size"), limit=16 << 20).drop("size")
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -40,3 +40,11 @@ def test_overflow_chains(spark):
         kinds[r.shard_id].add(r.doc_id)
     assert len(got) == len(rows) and all(n <= 100 or (n == 500 and kinds[s] == {2}) for s, n in sums.items())
     assert es.shard(docs.limit(0), keys=["doc_id"], size=F.octet_length("text"), limit=100).count() == 0
+
+
+def test_columns_of_any_name_pass_through(spark):
+    names = ["bucket", "cell", "_part", "_row", "_h", "_n", "h", "n", "part", "row", "start", "own", "caller"]
+    docs = spark.createDataFrame([(*range(len(names)), i % 3, "x" * 50) for i in range(60)], [*names, "key", "text"])
+    for limit in (10_000, 200):  # without and with overflow chains
+        got = es.shard(docs, keys=["key"], size=F.octet_length("text"), limit=limit).collect()
+        assert len(got) == 60 and all([r[c] for c in names] == [*range(len(names))] for r in got)
