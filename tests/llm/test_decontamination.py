@@ -42,7 +42,7 @@ def test_equals_brute_force(spark):
     got = Counter((r.doc_id, r.item_id, round(r.similarity, 9), r.first_word) for r in found)
     want = Counter((d, i, *v) for d, t in docs for i, v in brute(t, items, 0.8).items())
     assert got == want and len(got) > 40
-    kept = dc.drop_leaks(frame, bench, id="doc_id", text="text", item_id="item_id", item_text="text").count()
+    kept = dc.drop_leaks(frame, bench, text="text", item_id="item_id", item_text="text").count()
     assert kept == sum(d not in {g[0] for g in got} for d, _ in docs)
     assert dc.find_leaks(frame.limit(0), bench, text="text", item_id="item_id", item_text="text").count() == 0
     assert dc.find_leaks(frame, bench.limit(0), text="text", item_id="item_id", item_text="text").count() == 0
@@ -60,9 +60,46 @@ def test_a_large_benchmark_takes_several_passes(spark, monkeypatch):
 def test_the_blocks_find_every_fingerprint_within_the_radius():
     rng = np.random.default_rng(1)
     index = dc.ItemIndex([(i, rng.integers(0, 2**63, 12, np.uint64)) for i in range(30)])
-    for far in (0, 5, 15, 23):
-        for i, value in enumerate(index.prints.tolist()):
-            for bit in rng.choice(64, far, replace=False).tolist():
+    whole = lambda words: int.from_bytes(words.tobytes(), "little")
+    prints = [whole(b) for b in index.blocks]
+    for far in (0, 5, 25, 38):
+        for i, value in enumerate(prints):
+            for bit in rng.choice(128, far, replace=False).tolist():
                 value ^= 1 << bit
-            found = {item for _, item, _ in index.candidates(np.array([value], np.uint64), np.arange(30))}
-            assert i in found and found == {j for j, p in enumerate(index.prints.tolist()) if (p ^ value).bit_count() <= 23}
+            asked = np.frombuffer(value.to_bytes(16, "little"), np.uint64)[None, :]
+            found = {item for _, item, _ in index.candidates(asked, np.arange(30))}
+            assert i in found and found == {j for j, p in enumerate(prints) if (p ^ value).bit_count() <= dc.RADIUS}
+
+
+def test_fingerprints_of_windows_at_the_threshold_are_within_the_radius():
+    rng, caught, unrelated = np.random.default_rng(4), 0, 0
+    for _ in range(3000):
+        size = int(rng.integers(9, 120))
+        a = rng.integers(0, 2**63, size, np.uint64)
+        b = a.copy()
+        own = rng.choice(size, int(size / 9), replace=False)  # shared / all = 0.8 at least
+        b[own] = rng.integers(0, 2**63, len(own), np.uint64)
+        near, far = (dc.window_fingerprints(x, size)[0] for x in (b, rng.integers(0, 2**63, size, np.uint64)))
+        mine = dc.window_fingerprints(a, size)[0]
+        assert dc.similarity(a, b) >= 0.8
+        caught += np.bitwise_count(mine ^ near).sum() <= dc.RADIUS
+        unrelated += np.bitwise_count(mine ^ far).sum() <= dc.RADIUS
+    assert caught >= 0.999 * 3000 and unrelated <= 3
+
+
+def test_a_long_text_is_read_in_slices(monkeypatch):
+    rng = random.Random(6)
+    item = words(rng, 40)
+    text = " ".join([*words(rng, 30_000), *item, *words(rng, 500), *item, *words(rng, 9000), *["rep"] * 2000])
+    index = dc.ItemIndex([(1, dc.shingle_sequence(" ".join(item))), (2, dc.shingle_sequence("rep " * 30))])
+    want = index.matches(text, 0.8)
+    monkeypatch.setattr(dc, "SLICE_BYTES", 1000)
+    monkeypatch.setattr(dc, "WINDOWS", 64)
+    assert index.matches(text, 0.8) == want == [(1, 1.0, 30_000, 36, 0), (2, 1.0, 39_580, 26, 0)]
+
+
+def test_rows_of_null_ids_are_judged_by_their_own_text(spark):
+    bench = spark.createDataFrame([(1, "a b c d e f g h")], "item_id long, text string")
+    docs = spark.createDataFrame([(None, "x a b c d e f g h"), (None, "clean words only"), (7, "clean"), (7, "a b c d e f g h")], "doc_id long, text string")
+    kept = dc.drop_leaks(docs, bench, text="text", item_id="item_id", item_text="text").collect()
+    assert sorted((str(r.doc_id), r.text) for r in kept) == [("7", "clean"), ("None", "clean words only")]
