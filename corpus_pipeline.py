@@ -8,7 +8,7 @@ again, so that a lost executor costs a stage's task and not the pipeline.
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.llm.best_fit import pack
@@ -44,23 +44,27 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_groups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: the one of the smallest id; of rows that repeat an id, the first by text."""
+    """One document of each group stays: the one of the smallest id.  Of rows that repeat an id, which are one document,
+    the first by text stays; rows without an id are no group."""
     groups = near_duplicates(docs, id=ID, text=TEXT, sim=Similarity(percent=NEAR_DUPLICATE_PERCENT))
     gone = written(groups.where(~F.col("kept")).select(ID).distinct(), "duplicates")
-    first = Window.partitionBy(ID).orderBy(*docs.columns)
     stay = docs.join(gone, ID, "left_anti").select(*docs.columns)
-    return stay.withColumn("_n", F.when(F.col(ID).isNull(), 1).otherwise(F.row_number().over(first))).where("_n = 1").drop("_n")
+    repeated = written(docs.where(F.col(ID).isNotNull()).groupBy(ID).count().where("count > 1").select(ID), "repeated")
+    if repeated.isEmpty():
+        return stay
+    once = stay.join(repeated, ID, "left_anti").select(*docs.columns)
+    box = stay.join(repeated, ID, "left_semi").select(F.struct(*docs.columns).alias("row"), F.col(ID).alias("key"), F.coalesce(TEXT, F.lit("")).alias("by"))
+    return once.union(box.groupBy("key").agg(F.min_by("row", "by").alias("row")).select("row.*"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents in which a benchmark item is found."""
-    stay = drop_leaks(docs, table(spark, sf_dir, "benchmark"), id=ID, text=TEXT, item_id="item_id", item_text="text", least=LEAK_SIMILARITY)
-    return stay.select(*docs.columns)
+    return drop_leaks(docs, table(spark, sf_dir, "benchmark"), text=TEXT, item_id="item_id", item_text="text", least=LEAK_SIMILARITY)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document that is left, in sequences for training."""
-    return pack(docs.select(ID, TEXT), text=TEXT, tokenizer=public_tokenizers.path("word_bpe_49k.json"), limit=SEQUENCE_TOKENS)
+    return pack(docs, text=TEXT, tokenizer=public_tokenizers.path("word_bpe_49k.json"), limit=SEQUENCE_TOKENS)
 
 
 STAGES = [
