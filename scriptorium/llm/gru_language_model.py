@@ -4,9 +4,9 @@ The most frequent words have symbols of their own; every other word shares a sym
 (a hash of its last letters), within which it is drawn in proportion to its count in the training corpus.  Symbols are
 dealt to classes by frequency, and the output is the class's probability times the symbol's within the class.
 
-Counts cover all training documents.  The network starts from a fit on a bounded sample, and every partition of the
-training documents then trains its own copy by truncated back-propagation; the copies are averaged by their tokens.
-Documents are scored whole: the state is carried from window to window until the end.
+Counts cover all training documents.  The network is trained in two rounds of truncated back-propagation, the first over
+a sixteenth of the training documents, the second over all of them; in each, tasks train copies of their own, which are
+averaged by their tokens.  Documents are scored whole: the state is carried from window to window until the end.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import extended, fitted, sampled, with_columns, written
+from scriptorium.llm.common import extended, sampled, with_columns, written
 
 CLASSES, MEMBERS = 32, 32
 SYMBOLS = CLASSES * MEMBERS
@@ -31,14 +31,17 @@ EMBED, HIDDEN = 12, 16
 #: Words between ASCII white space are never empty, so that the empty word can stand for the end.
 END = b""
 #: Words whose counts are broadcast; those of all others are joined.
-LEXICON = 120_000
+LEXICON = 250_000
 #: Distinct words that a task counts before it passes them on.
 FLUSH = 400_000
 #: Model copies that are trained side by side at most.
 COPIES = 4096
-WARM_DOCS = 1500
-STREAMS, STEPS, WINDOW, GROUP = (64, 512), 16, 32, 256
-#: Updates that a fit makes at least, if its tokens allow it with the fewest streams.
+#: Share of the training documents in the first round, and the documents it has at least, if there are so many.
+FIRST_SHARE, FIRST_LEAST = 1 / 16, 1500
+#: Tokens that a copy lays out in streams at once, whatever batches they come in.
+UNIT = 1 << 21
+STREAMS, STEPS, WINDOW = (64, 512), 16, 32
+#: Updates that a unit makes at least, if its tokens allow it with the fewest streams.
 UPDATES = 200
 SLICE = 512
 
@@ -133,20 +136,27 @@ def build_lexicon(counts: DataFrame) -> Lexicon:
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * np.tanh(0.5 * x) + 0.5
+    """In the place of ``x``; the exponential is the fastest way there, and its argument is kept from overflowing."""
+    np.negative(x, out=x)
+    np.minimum(x, 80, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
 
 
-def softmax_logs(x: np.ndarray, pick: np.ndarray, bound: float) -> tuple[np.ndarray, np.ndarray]:
-    """Log softmax of each row at ``pick``, and the softmax, in the place of ``x``.  Rows whose values are within a
-    proven bound need no shift against overflow."""
+def softmax_logs(x: np.ndarray, pick: np.ndarray, bound: float, scale: float | None) -> np.ndarray:
+    """Log softmax of each row at ``pick``; with ``scale``, ``x`` becomes the gradient of the negative sum, scaled.  Rows
+    whose values are within a proven bound need no shift against overflow."""
     if bound > 60:
         x -= x.max(1, keepdims=True)
     row = np.arange(len(x))
     out = x[row, pick]
     np.exp(x, out=x)
     total = x @ np.ones(x.shape[1], np.float32)
-    x /= total[:, None]
-    return out - np.log(total), x
+    if scale is not None:
+        x *= (np.float32(scale) / total)[:, None]
+        x[row, pick] -= np.float32(scale)
+    return out - np.log(total)
 
 
 class GRU:
@@ -164,31 +174,30 @@ class GRU:
         hu = h @ self.w["u"]
         zr = sigmoid(gates[:, : 2 * HIDDEN] + hu[:, : 2 * HIDDEN])
         z, r, hn = zr[:, :HIDDEN], zr[:, HIDDEN:], hu[:, 2 * HIDDEN :]
-        n = np.tanh(gates[:, 2 * HIDDEN :] + r * hn)
-        return n + z * (h - n), (h, z, r, hn, n)
+        n = 2 * sigmoid(2 * (gates[:, 2 * HIDDEN :] + r * hn)) - 1  # tanh
+        return n + z * (h - n), (z, r, hn, n)
 
-    def log_probabilities(self, h: np.ndarray, symbols: np.ndarray, grad: dict | None = None, weight: np.ndarray | None = None):
+    def log_probabilities(self, h: np.ndarray, symbols: np.ndarray, grad: dict | None = None):
         """Natural log probability of each symbol after each state; with ``grad`` also adds the gradients of the
-        negative weighted sum, and returns that of the states."""
+        negative mean, and returns that of the states."""
         order = np.argsort(symbols.astype(np.int16), kind="stable")  # so that a class's rows are a slice
         h, cls, member = h[order], symbols[order] // MEMBERS, symbols[order] % MEMBERS
         edges = np.searchsorted(cls, np.arange(CLASSES + 1)).tolist()
         bound = lambda w, b: float((np.abs(w).sum(-2) + np.abs(b)).max())  # noqa: E731  states are within -1 and 1
-        row = np.arange(len(h))
-        logs, by_class = softmax_logs(h @ self.w["class"] + self.w["class_b"], cls, bound(self.w["class"], self.w["class_b"]))
+        scale = None if grad is None else 1 / max(1, len(h))
+        by_class = h @ self.w["class"]
+        by_class += self.w["class_b"]
+        logs = softmax_logs(by_class, cls, bound(self.w["class"], self.w["class_b"]), scale)
         inner = np.empty((len(h), MEMBERS), np.float32)
         slices = [(c, slice(edges[c], edges[c + 1])) for c in range(CLASSES) if edges[c] < edges[c + 1]]
         for c, own in slices:
             np.matmul(h[own], self.w["member"][c], out=inner[own])
             inner[own] += self.w["member_b"][c]
-        more, inner = softmax_logs(inner, member, bound(self.w["member"], self.w["member_b"]))
+        logs += softmax_logs(inner, member, bound(self.w["member"], self.w["member_b"]), scale)
         out = np.empty(len(h))
-        out[order] = logs + more
+        out[order] = logs
         if grad is None:
             return out, None
-        for d, at in ((by_class, cls), (inner, member)):
-            d[row, at] -= 1
-            d *= weight[order, None]
         grad["class"] += h.T @ by_class
         grad["class_b"] += by_class.sum(0)
         d_h = by_class @ self.w["class"].T
@@ -200,63 +209,32 @@ class GRU:
         back[order] = d_h
         return out, back
 
-    def fit(self, symbols: np.ndarray, end: int, *, rate: float, passes: int = 1) -> GRU:
-        """Truncated back-propagation over parallel streams of whole documents, Adam, gradients clipped."""
-        if len(symbols) < 2:
-            return self
-        streams = max(1, min(max(STREAMS[0], min(STREAMS[1], len(symbols) // (STEPS * UPDATES))), len(symbols) // (2 * STEPS)))
-        length = -(-len(symbols) // streams)
-        grid = np.full(streams * length, end, np.int64)
-        grid[: len(symbols)] = symbols
-        target = grid.reshape(streams, length).T
-        given = np.full_like(target, end)
-        given[1:] = target[:-1]
-        first, second = ({k: np.zeros_like(v) for k, v in self.w.items()} for _ in range(2))
-        total, n = max(1, passes * -(-length // STEPS)), 0
-        for _ in range(passes):
-            h = np.zeros((streams, HIDDEN), np.float32)
-            for at in range(0, length, STEPS):
-                n += 1
-                x, y = given[at : at + STEPS], target[at : at + STEPS]
-                grad, h = self.truncated(x, y, h, end, n, every=1)
-                norm = np.sqrt(sum(float((g * g).sum()) for g in grad.values()))
-                speed = rate * (1 - 0.9 * n / total) * min(1.0, n / 10)
-                for k, g in grad.items():
-                    g *= min(1.0, 1.0 / (norm + 1e-9))
-                    first[k] += 0.1 * (g - first[k])
-                    second[k] += 0.005 * (g * g - second[k])
-                    self.w[k] -= speed * first[k] / (1 - 0.9**n) / (np.sqrt(second[k] / (1 - 0.995**n)) + 1e-8)
-        return self
-
-    def truncated(self, given: np.ndarray, target: np.ndarray, h: np.ndarray, end: int, turn: int = 0, every: int = 2):
-        """Gradients of the mean loss over one window, and the state after it.  The end of a text clears the state.
-
-        All tokens pass through the network; every ``every``-th prediction is trained on, windows taking turns; a
-        fit trains on all."""
+    def truncated(self, given: np.ndarray, target: np.ndarray, h: np.ndarray, end: int):
+        """Gradients of the mean loss over one window, and the state after it.  The end of a text clears the state."""
         gates = (self.w["embed"] @ self.w["x"] + self.w["b"])[given]
         fresh = (given != end).astype(np.float32)[:, :, None]
-        kept, states = [], np.empty((*given.shape, HIDDEN), np.float32)
+        before, states, z, r, hn, n = (np.empty((*given.shape, HIDDEN), np.float32) for _ in range(6))
         for t in range(len(given)):
-            h, memo = self.step(gates[t], h * fresh[t])
-            kept.append(memo)
+            np.multiply(h, fresh[t], out=before[t])
+            h, (z[t], r[t], hn[t], n[t]) = self.step(gates[t], before[t])
             states[t] = h
         grad = {k: np.zeros_like(v) for k, v in self.w.items()}
-        trained = slice(turn % min(every, len(given)), None, every)
-        weight = np.full(target[trained].size, 1 / target[trained].size, np.float32)
-        _, d_trained = self.log_probabilities(states[trained].reshape(-1, HIDDEN), target[trained].ravel(), grad, weight)
-        d_out = np.zeros_like(states)
-        d_out[trained] = d_trained.reshape(-1, *states.shape[1:])
-        d_gates, d_hu, before, d_next = np.empty_like(gates), np.empty_like(gates), np.empty_like(states), np.zeros_like(h)
+        _, d_out = self.log_probabilities(states.reshape(-1, HIDDEN), target.ravel(), grad)
+        d_out = d_out.reshape(states.shape)
+        # What the loop over steps needs of each step, for the whole window at once.
+        to_n, to_z, to_r = (1 - z) * (1 - n * n), (before - n) * z * (1 - z), hn * r * (1 - r)
+        d_gates, d_hu, d_next, back = np.empty_like(gates), np.empty_like(gates), np.zeros_like(h), self.w["u"].T.copy()
         for t in range(len(given) - 1, -1, -1):
-            before[t], z, r, hn, n = kept[t]
-            d = d_out[t] + d_next
-            d_n = d * (1 - z) * (1 - n * n)
-            d_gates[t, :, :HIDDEN] = d * (before[t] - n) * z * (1 - z)
-            d_gates[t, :, HIDDEN : 2 * HIDDEN] = d_n * hn * r * (1 - r)
+            d, own = d_out[t] + d_next, d_hu[t]
+            d_n = d * to_n[t]
+            np.multiply(d, to_z[t], out=own[:, :HIDDEN])
+            np.multiply(d_n, to_r[t], out=own[:, HIDDEN : 2 * HIDDEN])
+            np.multiply(d_n, r[t], out=own[:, 2 * HIDDEN :])
             d_gates[t, :, 2 * HIDDEN :] = d_n
-            d_hu[t] = d_gates[t]
-            d_hu[t, :, 2 * HIDDEN :] *= r
-            d_next = (d * z + d_hu[t] @ self.w["u"].T) * fresh[t]
+            d *= z[t]
+            d += own @ back
+            d_next = d * fresh[t]
+        d_gates[:, :, : 2 * HIDDEN] = d_hu[:, :, : 2 * HIDDEN]
         grad["u"] += before.reshape(-1, HIDDEN).T @ d_hu.reshape(-1, 3 * HIDDEN)
         flat = d_gates.reshape(-1, 3 * HIDDEN)
         order = np.argsort(given.astype(np.int16), axis=None, kind="stable")
@@ -269,36 +247,90 @@ class GRU:
         return grad, h
 
     def score(self, texts: list[np.ndarray], end: int) -> np.ndarray:
-        """Natural log probability of each whole symbol sequence, the state carried across windows."""
-        table = self.w["embed"] @ self.w["x"] + self.w["b"]
+        """Natural log probability of each whole symbol sequence.
+
+        Sequences stand one after the other in streams of about equal length, longer ones in streams of their own; the
+        state is carried through a stream from window to window, and the end of a text clears it."""
+        out = np.zeros(len(texts))
         size = np.fromiter(map(len, texts), np.int64, len(texts))
-        out, order = np.zeros(len(texts)), np.argsort(-size, kind="stable")
-        for at in range(0, len(order), GROUP):
-            own = order[at : at + GROUP]
-            n = size[own]
-            h = np.zeros((len(own), HIDDEN), np.float32)
-            last = np.full(len(own), end)
-            for start in range(0, int(n[0]) if len(n) else 0, WINDOW):
-                active = int((n > start).sum())
-                grid = np.full((active, WINDOW), -1, np.int64)
-                for i in range(active):
-                    part = texts[own[i]][start : start + WINDOW]
-                    grid[i, : len(part)] = part
-                h, states, wanted, whose = h[:active], [], [], []
-                x = last[:active]
-                for t in range(min(WINDOW, int(n[0]) - start)):
-                    active = int((n > start + t).sum())
-                    h, _ = self.step(table[x[:active]], h[:active])
-                    x = grid[:active, t]
-                    states.append(h)
-                    wanted.append(x)
-                    whose.append(own[:active])
-                last = x
-                logs, _ = self.log_probabilities(np.concatenate(states), np.concatenate(wanted))
-                out += np.bincount(np.concatenate(whose), logs, len(texts))
+        if not size.sum():
+            return out
+        table = self.w["embed"] @ self.w["x"] + self.w["b"]
+        share = max(1, int(size.sum()) // STREAMS[1])
+        alone, short = np.flatnonzero(2 * size > share), np.flatnonzero(2 * size <= share)
+        begins = np.cumsum(size[short]) - size[short]
+        order = np.concatenate([alone, short])
+        stream = np.concatenate([np.arange(len(alone)), len(alone) + begins // share])
+        flat = np.concatenate([texts[i] for i in order.tolist()])
+        whose = np.repeat(order, size[order])
+        before = np.append(end, flat[:-1])
+        before[np.cumsum(size[order])[:-1][size[order][1:] > 0]] = end
+        names, at = np.unique(stream, return_index=True)
+        starts = (np.cumsum(size[order]) - size[order])[at]
+        length = np.diff(np.append(starts, len(flat)))
+        longest = np.argsort(-length, kind="stable")
+        starts, length = starts[longest], length[longest]
+        h = np.zeros((len(starts), HIDDEN), np.float32)
+        for at in range(0, int(length[0]), WINDOW):
+            active = int((length > at).sum())
+            steps = np.arange(at, min(at + WINDOW, int(length[0])))[:, None]
+            places = np.minimum(starts[:active] + steps, len(flat) - 1)
+            given, h, states = before[places], h[:active], np.empty((*places.shape, HIDDEN), np.float32)
+            fresh, gates = (given != end).astype(np.float32)[:, :, None], table[given]
+            for t in range(len(steps)):
+                h, _ = self.step(gates[t], h * fresh[t])
+                states[t] = h
+            real = steps < length[:active]
+            own = places[real]
+            out += np.bincount(whose[own], self.log_probabilities(states[real], flat[own])[0], len(texts))
         return out
 
 
+class Trainer:
+    """Truncated back-propagation over parallel streams of whole documents, Adam, gradients clipped.
+
+    Documents are laid out when a unit of tokens is full, so that training does not depend on the batches that they come
+    in; the optimiser goes on from unit to unit."""
+
+    def __init__(self, model: GRU, end: int, rate: float):
+        self.model, self.end, self.rate = model, end, rate
+        self.first, self.second = ({k: np.zeros_like(v) for k, v in model.w.items()} for _ in range(2))
+        self.updates, self.tokens, self.held, self.size = 0, 0, [], 0
+
+    def add(self, symbols: np.ndarray) -> None:
+        self.held.append(symbols)
+        self.size += len(symbols)
+        if self.size >= UNIT:
+            self.flush()
+
+    def flush(self) -> None:
+        if self.size >= 2:
+            self.unit(np.concatenate(self.held))
+        self.tokens += self.size
+        self.held, self.size = [], 0
+
+    def unit(self, symbols: np.ndarray) -> None:
+        streams = max(1, min(max(STREAMS[0], min(STREAMS[1], len(symbols) // (STEPS * UPDATES))), len(symbols) // (2 * STEPS)))
+        length = -(-len(symbols) // streams)
+        grid = np.full(streams * length, self.end, np.int64)
+        grid[: len(symbols)] = symbols
+        target = grid.reshape(streams, length).T
+        given = np.full_like(target, self.end)
+        given[1:] = target[:-1]
+        h, w = np.zeros((streams, HIDDEN), np.float32), self.model.w
+        for at in range(0, length, STEPS):
+            self.updates += 1
+            n = self.updates
+            grad, h = self.model.truncated(given[at : at + STEPS], target[at : at + STEPS], h, self.end)
+            norm = np.sqrt(sum(float((g * g).sum()) for g in grad.values()))
+            speed = self.rate * min(1.0, n / 10) / (1 + n / 200)
+            for k, g in grad.items():
+                g *= min(1.0, 1.0 / (norm + 1e-9))
+                self.first[k] += 0.1 * (g - self.first[k])
+                self.second[k] += 0.005 * (g * g - self.second[k])
+                w[k] -= speed * self.first[k] / (1 - 0.9**n) / (np.sqrt(self.second[k] / (1 - 0.995**n)) + 1e-8)
+
+
 def symbols_of(words: list[bytes], lex: Lexicon) -> tuple[np.ndarray, np.ndarray]:
     """Entries of the lexicon (-1: none) and symbols of a text's words and its end."""
     at = np.fromiter(map(lex.words.get, words, repeat(-1)), np.int64, len(words))
@@ -309,45 +341,44 @@ def symbols_of(words: list[bytes], lex: Lexicon) -> tuple[np.ndarray, np.ndarray
     return np.append(at, lex.end), np.append(symbol, lex.symbol[lex.end])
 
 
-def train(docs: DataFrame, *, id: str, text: str, lexicon, lex: Lexicon) -> GRU:
-    """Start from a fit on about ``WARM_DOCS`` rows by the hash of their ids, which is one task, then average the copies
-    that all partitions train on all rows."""
-    warm = sampled(docs.where(F.octet_length(text) <= 1 << 15), id, WARM_DOCS / max(1, int(lex.count[lex.end])))
-
-    def fit(sample: list[tuple]) -> dict:
-        streams = [symbols_of(words_of(t), lexicon.value)[1] for (t,) in sample]
-        return GRU().fit(np.concatenate(streams), lexicon.value.end, rate=0.01, passes=2).w
-
-    start = GRU(fitted(warm.select(text).where(F.col(text).isNotNull()), fit))
+def train_round(docs: DataFrame, start: GRU, *, text: str, lexicon, rate: float, copies: int) -> GRU:
+    """The average, by tokens, of the copies that at most ``copies`` tasks train on all rows."""
     names = list(start.w)
-    shapes = {k: start.w[k].shape for k in names}
     weights = docs.sparkSession.sparkContext.broadcast(start.w)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, tokens = GRU({k: v.copy() for k, v in weights.value.items()}), 0
+        own = Trainer(GRU({k: v.copy() for k, v in weights.value.items()}), int(lexicon.value.symbol[lexicon.value.end]), rate)
         for batch in batches:
-            held = [symbols_of(words_of(t), lexicon.value)[1] for t in batch.column(0).to_pylist()]
-            if held:
-                flat = np.concatenate(held)
-                own.fit(flat, lexicon.value.end, rate=0.002)
-                tokens += len(flat)
-        if tokens:
-            flat = np.concatenate([own.w[k].ravel() for k in names]).astype(np.float64) * tokens
+            for value in batch.column(0).to_pylist():
+                own.add(symbols_of(words_of(value), lexicon.value)[1])
+        own.flush()
+        if own.tokens:
+            flat = np.concatenate([own.model.w[k].ravel() for k in names]).astype(np.float64) * own.tokens
             flat = np.append(flat, np.zeros(-len(flat) % SLICE)).reshape(-1, SLICE)
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(flat)), pa.int32()), pa.array([tokens] * len(flat), pa.int64()), pa.array(flat.tolist(), pa.list_(pa.float64()))], names=["i", "tokens", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(flat)), pa.int32()), pa.array([own.tokens] * len(flat), pa.int64()), pa.array(flat.tolist(), pa.list_(pa.float64()))], names=["i", "tokens", "v"])
 
-    copies = docs.select(text).coalesce(COPIES).mapInArrow(run, "i int, tokens long, v array<double>")
-    rows = copies.groupBy("i").agg(F.sum("tokens").alias("tokens"), F.array(*[F.sum(F.col("v")[j]) for j in range(SLICE)]).alias("v")).orderBy("i").collect()
+    trained = docs.select(text).coalesce(copies).mapInArrow(run, "i int, tokens long, v array<double>")
+    rows = trained.groupBy("i").agg(F.sum("tokens").alias("tokens"), F.array(*[F.sum(F.col("v")[j]) for j in range(SLICE)]).alias("v")).orderBy("i").collect()
     if not rows:
         return start
     flat, at, averaged = np.concatenate([np.array(r["v"]) / r["tokens"] for r in rows]), 0, {}
     for k in names:
-        n = int(np.prod(shapes[k]))
-        averaged[k] = flat[at : at + n].reshape(shapes[k]).astype(np.float32)
+        n = start.w[k].size
+        averaged[k] = flat[at : at + n].reshape(start.w[k].shape).astype(np.float32)
         at += n
     return GRU(averaged)
 
 
+def train(docs: DataFrame, *, id: str, text: str, lexicon, lex: Lexicon) -> GRU:
+    """Two rounds: over a share of all documents, by the hash of their ids, with a copy for each unit of its tokens, and
+    over all documents with a copy for each partition.  Both grow with the corpus."""
+    n_docs = max(1, int(lex.count[lex.end]))
+    share = min(1.0, max(FIRST_SHARE, FIRST_LEAST / n_docs))
+    few = max(1, min(COPIES, round(lex.tokens * share / UNIT)))
+    model = train_round(sampled(docs, id, share), GRU(), text=text, lexicon=lexicon, rate=0.01, copies=few)
+    return train_round(docs, model, text=text, lexicon=lexicon, rate=0.002, copies=COPIES)
+
+
 def language_model_scores(docs: DataFrame, *, id: str, text: str, where: Column) -> DataFrame:
     """Learn from the rows of ``where`` and score every row.
 
@@ -382,7 +413,7 @@ def language_model_scores(docs: DataFrame, *, id: str, text: str, where: Column)
                 offsets.append(len(rare_words))
                 for k, item in zip(columns, (len(at), int((lex.count[own] > 0).sum()), float(seen_log[own].sum()), float(lex.tail_log[own].sum()))):
                     columns[k].append(item)
-            score = gru.score(symbols, lex.end) / np.log(10) + np.array(columns["_tail"])
+            score = gru.score(symbols, int(lex.symbol[lex.end])) / np.log(10) + np.array(columns["_tail"])
             parts = [pa.array(rare_words, pa.binary()).cast(pa.string()), pa.array(list(map(tail_bucket, rare_words)), pa.int32()), pa.array(rare_counts, pa.int64())]
             rare = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(parts, names=["word", "tail", "n"]))
             yield with_columns(batch, keep, _part=pa.array([part] * len(batch), pa.int64()), _row=pa.array(range(row, row + len(batch)), pa.int64()), _n=pa.array(columns["_n"], pa.int64()), _known=pa.array(columns["_known"], pa.int64()), _base=pa.array(columns["_base"], pa.float64()), _score=pa.array(score), _rare=rare)

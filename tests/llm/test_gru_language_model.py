@@ -40,14 +40,14 @@ def test_gradients_equal_differences():
     rng = np.random.default_rng(0)
     model, given, target = g.GRU(), rng.integers(0, g.SYMBOLS, (4, 3)), rng.integers(0, g.SYMBOLS, (4, 3))
     start = rng.uniform(-1, 1, (3, g.HIDDEN)).astype(np.float32)
-    grad, _ = model.truncated(given, target, start, 7, turn=1)
+    grad, _ = model.truncated(given, target, start, 7)
 
     def loss():
         table, h, states = model.w["embed"] @ model.w["x"] + model.w["b"], start, []
         for x in given:
             h, _ = model.step(table[x], h * (x != 7)[:, None])
             states.append(h)
-        return -model.log_probabilities(np.concatenate(states[1::2]), target[1::2].ravel())[0].mean()
+        return -model.log_probabilities(np.concatenate(states), target.ravel())[0].mean()
 
     for name, w in model.w.items():
         i = np.unravel_index(np.abs(grad[name]).argmax(), w.shape)
@@ -65,6 +65,7 @@ def test_the_output_is_a_distribution_and_windows_carry_the_state():
     logs, _ = model.log_probabilities(np.repeat(h, g.SYMBOLS, 0), np.arange(g.SYMBOLS))
     assert np.exp(logs).sum() == pytest.approx(1, abs=1e-4)
     texts = [np.random.default_rng(n).integers(0, g.SYMBOLS, n) for n in (1, 31, 32, 33, 200)]
+    texts = [np.append(t[t != 5], 5) for t in texts]  # the end stands last and nowhere else
     for text, got in zip(texts, model.score(texts, 5)):
         table, h, want = model.w["embed"] @ model.w["x"] + model.w["b"], np.zeros((1, g.HIDDEN), np.float32), 0.0
         for x, y in zip([5, *text[:-1]], text):
@@ -82,3 +83,27 @@ def test_odd_rows(spark):
     check(got, texts, [t for i, t, _ in rows if i < 4])
     assert g.language_model_scores(docs.limit(0), id="doc_id", text="text", where=F.lit(True)).count() == 0
     assert {r.n_known for r in g.language_model_scores(docs, id="doc_id", text="text", where=F.lit(False)).collect()} == {0}
+
+
+def test_scores_do_not_depend_on_the_batches_that_documents_come_in(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    found = []
+    for rows in (10_000, 7):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+        try:
+            found.append({r.doc_id: r.score for r in g.language_model_scores(docs, id="doc_id", text="text", where=F.lit(True)).collect()})
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert found[0].keys() == found[1].keys() and all(found[1][i] == pytest.approx(x, rel=1e-5) for i, x in found[0].items())
+
+
+def test_units_carry_the_optimiser_on(monkeypatch):
+    monkeypatch.setattr(g, "UNIT", 4000)
+    rng, sizes = np.random.default_rng(2), []
+    unit = g.Trainer.unit
+    monkeypatch.setattr(g.Trainer, "unit", lambda self, symbols: sizes.append((len(symbols), self.updates)) or unit(self, symbols))
+    own = g.Trainer(g.GRU(), 5, 0.01)
+    for _ in range(100):
+        own.add(rng.integers(0, g.SYMBOLS, 90))
+    own.flush()
+    assert own.tokens == 9000 and [n for n, _ in sizes] == [4050, 4050, 900] and sizes[0][1] == 0 and 0 < sizes[1][1] < sizes[2][1] < own.updates
