@@ -27,7 +27,7 @@ from scriptorium.llm.common import extended, sampled, with_columns, written
 CLASSES, MEMBERS = 32, 32
 SYMBOLS = CLASSES * MEMBERS
 TAILS = 64
-EMBED, HIDDEN = 12, 16
+EMBED, HIDDEN = 16, 24
 #: Words between ASCII white space are never empty, so that the empty word can stand for the end.
 END = b""
 #: Words whose counts are broadcast; those of all others are joined.
