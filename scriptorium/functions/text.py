@@ -112,7 +112,7 @@ def numeral_value(text: Column) -> Column:
 
 
 # Headings.
-NUMERAL_HEADING = rf"^(\s*第\s*)([{NUMERAL}]+)(\s*[章节回篇卷部])"
+NUMERAL_HEADING = rf"(第\s*)([{NUMERAL}]+)(\s*[章节回篇])"
 HEADING = r"^\s*(?:第\s*\d+\s*[章回篇卷部]|第\s*\d+\s*节(?!课)|楔子|引子|序章|终章|尾声)\s*"
 NUMBERED = r"^\s*\d{1,4}[、\s]\s*[^\d\s].{1,50}$"
 NUMBERED_PREFIX = r"^\s*\d+[、\s]\s*"
@@ -125,11 +125,12 @@ def is_heading(line: Column) -> Column:
     return line.rlike(HEADING) | numbered
 
 
-def arabic_heading(line: Column) -> Column:
-    """The heading with its number in digits; other lines as they are."""
-    number = numeral_value(F.regexp_extract(line, NUMERAL_HEADING, 2)).cast("string")
-    new = F.concat(F.regexp_extract(line, NUMERAL_HEADING, 1), number, F.regexp_extract(line, NUMERAL_HEADING, 3), F.regexp_replace(line, NUMERAL_HEADING, ""))
-    return F.when(line.rlike(NUMERAL_HEADING), new).otherwise(line)
+def arabic_headings(text: Column) -> Column:
+    """The text with the number of every numbered heading in digits, wherever it stands."""
+    group = lambda i: F.regexp_extract_all(text, F.lit(NUMERAL_HEADING), i)
+    joined = lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))
+    found = F.zip_with(F.zip_with(group(1), F.transform(group(2), lambda n: numeral_value(n).cast("string")), joined), group(3), joined)
+    return F.when(text.rlike(NUMERAL_HEADING), F.array_join(F.zip_with(F.split(text, NUMERAL_HEADING), found, joined), "")).otherwise(text)
 
 
 # Lines that are dropped.
@@ -150,7 +151,7 @@ BOILERPLATE_LINES = (
     r"^\s*更新不易.{0,30}\s*$",
     r"^\s*(?:扫码|关注|微信|公众号|QQ|群).{0,30}\s*$",
     r"^\s*添加.*?(?:微信|QQ|群|公众号).{0,30}\s*$",
-    r"^\s*[锞晞囂鐜讚魐鏴灚矗薋鬻龘鵺麣鸂鱼].{0,50}\s*$",
+    r"^\s*[锞晞囂鐜讚魐鏴灚矗薋鬻龘鵺麣鸂鼱].{0,50}\s*$",
     r"^\s*[★☆●○◆◇■□▲△▼▽◐◑◑▓▒░]{3,}\s*$",
 )
 # Strings that are cut out of lines, in this order.
@@ -170,7 +171,7 @@ BOILERPLATE_PARTS = (
     r"扫码关注.{0,20}",
     r"添加.{0,5}(?:微信|QQ|群|公众号).{0,20}",
     r"(?:微信|公众号|QQ群)[^。\n]*(?:关注|添加|扫码)",
-    r"[锞晞囂鐜讚魐鏴灚矗薋鬻龘鵺麣鸂鱼]+",
+    r"[锞晞囂鐜讚魐鏴灚矗薋鬻龘鵺麣鸂鼱]+",
 )
 
 
@@ -184,10 +185,16 @@ def strip_boilerplate(line: Column) -> Column:
     return line
 
 
+#: What every boilerplate pattern and numbered heading needs at least; texts without any of it skip them all.
+TRIGGER = r"[一-鿿：★☆●○◆◇■□▲△▼▽◐◑▓▒░]|://|[-=_*]{5}|17k|APP|QQ"
+
+
 def clean_text(text: Column) -> Column:
     """Line endings, boilerplate lines and parts, headings in digits, white space: the whole chain, idempotent."""
-    lines = F.filter(F.split(normalize_line_endings(text), "\n"), lambda x: ~is_boilerplate(x))
-    return normalize_whitespace(F.array_join(F.transform(lines, lambda x: arabic_heading(strip_boilerplate(x))), "\n"))
+    plain = normalize_line_endings(text)
+    lines = F.filter(F.split(plain, "\n"), lambda x: ~is_boilerplate(x))
+    cut = arabic_headings(F.array_join(F.transform(lines, strip_boilerplate), "\n"))
+    return normalize_whitespace(F.when(text.rlike(TRIGGER), cut).otherwise(plain))
 
 
 # Keys whose values are hidden, and values that look like secrets with what replaces them.

@@ -35,12 +35,16 @@ def stage_costs(events: DataFrame) -> DataFrame:
     return one.select("run_id", "stage_id", "tokens", "calls", F.round(F.col("errors") / F.col("calls"), 6).alias("error_rate"), F.round(share, 6).alias("share"), F.round(F.col("tokens") / F.col("calls"), 6).alias("per_call"))
 
 
-def duration_baseline(runs: DataFrame, last: int = 3) -> DataFrame:
-    """Adds ``baseline`` (median duration of the last successful runs before) and ``delta`` in percent."""
+def duration_baseline(runs: DataFrame) -> DataFrame:
+    """Adds ``baseline`` (median duration of the last three successful runs before) and ``delta`` in percent.
+
+    A success knows its two forerunners by ``lag``; every run then takes over what the last success before it knows.  All
+    frames grow by a row at a time, so that a work of many runs costs a sort and no more."""
+    own = Window.partitionBy("material_id", "ok").orderBy("started_at", "run_id")
     before = Window.partitionBy("material_id").orderBy("started_at", "run_id").rowsBetween(Window.unboundedPreceding, -1)
-    good = F.filter(F.collect_list(F.struct("ok", "ms")).over(before), lambda r: r["ok"])
-    recent = F.array_sort(F.transform(F.slice(good, -F.least(F.size(good), F.lit(last)), F.greatest(F.least(F.size(good), F.lit(last)), F.lit(1))), lambda r: r["ms"]))
-    return runs.withColumn("_g", F.when(F.size(good) > 0, recent)).withColumn("baseline", median("_g")).withColumn("delta", F.round(100 * (F.col("ms") - F.col("baseline")) / F.col("baseline"), 4)).drop("_g")
+    known = F.array_sort(F.array_compact(F.array("ms", F.lag("ms", 1).over(own), F.lag("ms", 2).over(own))))
+    marked = runs.repartition("material_id").withColumn("_k", F.when(F.col("ok"), known)).withColumn("_g", F.last("_k", ignorenulls=True).over(before))
+    return marked.withColumn("baseline", median("_g")).withColumn("delta", F.round(100 * (F.col("ms") - F.col("baseline")) / F.col("baseline"), 4)).drop("_g", "_k")
 
 
 def median(array: str):

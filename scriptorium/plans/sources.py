@@ -86,7 +86,7 @@ def catalogue_scan(spark, sf):
 
 @query("select page_id, length(regexp_replace(html, '<[^>]*>', ' ', 'g')) as n, len(regexp_extract_all(html, '<a [^>]*href=')) as links from pages")
 def page_text(spark, sf):
-    """SC1, FN4: markup cut out of raw pages."""
+    """Markup cut out of raw pages."""
     html = F.col("html")
     return fx.read(spark, sf, "pages").select("page_id", F.length(F.regexp_replace(html, "<[^>]*>", " ")).alias("n"), F.size(F.regexp_extract_all(html, F.lit("<a [^>]*href="), 0)).alias("links"))
 
@@ -109,7 +109,7 @@ def paragraph_dedupe(spark, sf):
 
 @query("with l as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as i from documents), h as (select *, ends_with(line, 'the.') or contains(line, ' | ') as head from l), s as (select *, sum(head::int) over (partition by doc_id order by i) as seg from h) select doc_id, cast(seg as bigint) as chapter, min(i) as start_line, max(i) as end_line, cast(sum(length(regexp_replace(line, '\\s', '', 'g'))) as bigint) as word_count from s where seg > 0 group by 1, 2")
 def segmentation(spark, sf):
-    """WN2: heading lines open a segment that runs to the next; text before the first is dropped."""
+    """WN2: marked lines open a segment that runs to the next; text before the first is dropped."""
     lines = fx.read(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("p", "line")).withColumn("i", F.col("p") + 1)
     head = F.col("line").endswith("the.") | F.contains("line", F.lit(" | "))
     cut = lines.withColumn("chapter", F.sum(head.cast("int")).over(Window.partitionBy("doc_id").orderBy("i"))).where("chapter > 0")
@@ -118,9 +118,36 @@ def segmentation(spark, sf):
 
 @query()
 def cleaned_texts(spark, sf):
-    """FN2, FN7, FN8, WN12: the whole cleaning chain with NFC; heading patterns are checked in the tests."""
+    """FN2, FN7, WN12: the whole cleaning chain with NFC over whole texts."""
     text = tb.composed(tx.clean_text(F.col("text")))
-    return fx.read(spark, sf, "documents").select("doc_id", F.length(text).alias("n"))
+    return fx.read(spark, sf, "documents").select("doc_id", text.alias("text"))
+
+
+CHAPTERS = "select o_custkey, o_orderkey, row_number() over (partition by o_custkey order by o_orderkey) as k from orders"
+
+
+@query(
+    f"with o as ({CHAPTERS}) select o_custkey as work_id, k as chapter, '第' || k || '章 T' || o_orderkey as heading, 'A' || o_orderkey || '。tail' || chr(10) || chr(10) || '鱼在水里游' || (case when k % 2 = 0 then chr(10) || '见第' || k || '回。' else '' end) as body from o"
+)
+def chapter_segmentation(spark, sf):
+    """FN3, FN4, FN5, FN7, FN8, WN2: raw works with numbered headings in Chinese numerals, watermarks and boilerplate, through
+    the cleaning chain and the heading detector into chapters."""
+    k, key = F.col("k"), F.col("o_orderkey").cast("string")
+    digit = lambda n: F.substring(F.lit("一二三四五六七八九"), n, F.lit(1))
+    tens = F.floor(k / 10).cast("int")
+    numeral = F.concat(F.when(tens > 1, digit(tens)).otherwise(""), F.when(tens > 0, "十").otherwise(""), F.when(k % 10 > 0, digit((k % 10).cast("int"))).otherwise(""))
+    ordered = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    chapters = fx.read(spark, sf, "orders").select("o_custkey", "o_orderkey", F.row_number().over(ordered).alias("k"))
+    aside = F.when(k % 2 == 0, F.concat(F.lit("\n见第"), numeral, F.lit("回。"))).otherwise("")
+    raw = F.concat(
+        F.lit("第"), numeral, F.lit("章 T"), key, F.lit("\r\n本书来自某站\r\n  A"), key, F.lit("请记住本站网址www.example.com。tail\n\n\n-----\n　鱼在水里游（本章完）"), aside, F.lit("\nhttp://example.com/x\n锞晞囂\n")
+    )
+    works = chapters.select("o_custkey", "k", raw.alias("raw")).groupBy("o_custkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "raw"))), lambda c: c["raw"]), "\n").alias("text"))
+    lines = works.select(F.col("o_custkey").alias("work_id"), F.posexplode(F.split(tx.clean_text(F.col("text")), "\n")).alias("i", "line"))
+    head = tx.is_heading(F.col("line"))
+    cut = lines.withColumn("head", head).withColumn("chapter", F.sum(head.cast("long")).over(Window.partitionBy("work_id").orderBy("i"))).where("chapter > 0")
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~F.col("head"), F.struct("i", "line")))), lambda x: x["line"]), "\n")
+    return cut.groupBy("work_id", "chapter").agg(F.max(F.when(F.col("head"), F.col("line"))).alias("heading"), F.trim(body, F.lit("\n")).alias("body"))
 
 
 @query("select doc_id, case when contains(text, '番外') then 'extra' else 'normal' end as type from documents")
@@ -133,4 +160,4 @@ def chapter_types(spark, sf):
 def redacted_texts(spark, sf):
     """FN21: secrets hidden in values and by key."""
     attributes = F.create_map(F.lit("api_key"), F.col("source"), F.lit("text"), F.col("text"))
-    return fx.read(spark, sf, "documents").select("doc_id", F.map_values(tx.redact_map(attributes))[0].alias("key_value"), F.length(F.map_values(tx.redact_map(attributes))[1]).alias("n"))
+    return fx.read(spark, sf, "documents").select("doc_id", F.map_values(tx.redact_map(attributes))[0].alias("key_value"), F.map_values(tx.redact_map(attributes))[1].alias("text"))

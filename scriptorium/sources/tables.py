@@ -29,11 +29,15 @@ def decoded(content: pd.Series) -> pd.Series:
 
 
 @F.pandas_udf(StringType())
-def composed(text: pd.Series) -> pd.Series:
-    """Unicode NFC."""
+def nfc(text: pd.Series) -> pd.Series:
     return text.str.normalize("NFC")
 
 
+def composed(text: Column) -> Column:
+    """Unicode NFC; a text in ASCII is composed as it is and is not sent to Python."""
+    return F.coalesce(nfc(F.when(text.rlike(r"[^\x00-\x7F]"), text)), text)
+
+
 def read_raw(spark: SparkSession, path: str) -> DataFrame:
     """(path, text) of raw files; valid UTF-8 stays in the JVM, only other files are decoded in Python.
     Spark's scan leaves out files without any byte."""

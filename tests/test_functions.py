@@ -19,7 +19,7 @@ def test_numerals(spark):
 def test_headings(spark):
     lines = ["第一百二十三章 雨夜", "第12章 告别", "楔子", "第3节课", "1、重生", "1、2、3", "12 第二章", "普通的一行", None]
     assert apply(spark, tx.is_heading, *lines) == [False, True, True, False, True, False, False, False, None]
-    assert apply(spark, tx.arabic_heading, *lines)[0] == "第123章 雨夜"
+    assert apply(spark, tx.arabic_headings, "第一百二十三章 雨夜\n见第二 回和第十章", "第三卷", None) == ["第123章 雨夜\n见第2 回和第10章", "第三卷", None]
 
 
 def test_chapter_types(spark):
@@ -31,6 +31,9 @@ def test_cleaning_is_idempotent_and_drops_boilerplate(spark):
     once = apply(spark, tx.clean_text, text)[0]
     assert once == "第1章 开始\n正文一\n\n正文二\n第2章 结束"
     assert apply(spark, tx.clean_text, once)[0] == once
+    fish = ["鱼在水里游。", "他钓到一条大鱼\n鱼很大", "plain\r\n text \n\n\n\nend", None]
+    assert apply(spark, tx.clean_text, *fish) == [*fish[:2], "plain\ntext\n\nend", None]
+    assert apply(spark, tx.clean_text, "a 鼱鼱 b\n锞 line") == ["a  b"]
 
 
 def test_tokens_and_similarity(spark):
