@@ -37,3 +37,18 @@ def macro_average(metrics: DataFrame, kind: str) -> DataFrame:
 def candidate_gate(recall: Column, ndcg: Column, exact_ndcg: Column, p95_ms: Column, lost: Column) -> Column:
     """Whether approximate candidates are good enough."""
     return (recall >= 0.98) & (exact_ndcg - ndcg <= 0.01 + 1e-12) & (p95_ms <= 180_000) & (lost == 0)
+
+
+def gated_run(exact: DataFrame, candidate: DataFrame, judgments: DataFrame, latencies: DataFrame, k: int) -> DataFrame:
+    """One row: how a run of candidates compares with the exact run, and whether it passes ``candidate_gate``.
+
+    ``recall`` is the mean share of a query's exact first ``k`` that the candidates' first ``k`` hold, ``ndcg`` and
+    ``exact_ndcg`` are means over judged queries, ``lost`` counts queries that have something relevant in the exact run
+    only, ``p95`` is over ``latencies`` (ms)."""
+    first = lambda run: run.where(F.col("rank") <= k).select("query_id", "result_id")
+    kept = first(candidate).withColumn("kept", F.lit(1))
+    share = first(exact).join(kept, ["query_id", "result_id"], "left").groupBy("query_id").agg((F.count("kept") / F.count("*")).alias("share")).agg(F.avg("share").alias("recall"))
+    score = lambda run, name: metrics_at(run.select("query_id", "result_id", "rank", F.lit(0).alias("material_id")), judgments, k).select("query_id", F.col("ndcg").alias(name), (F.col("recall") > 0).alias(f"{name}_found"))
+    both = score(exact, "e").join(score(candidate, "c"), "query_id").agg(F.avg("e").alias("exact_ndcg"), F.avg("c").alias("ndcg"), F.count_if(F.col("e_found") & ~F.col("c_found")).alias("lost"))
+    one = share.crossJoin(both).crossJoin(latencies.agg(F.percentile("ms", 0.95).alias("p95")))  # single rows
+    return one.withColumn("passed", candidate_gate(F.col("recall"), F.col("ndcg"), F.col("exact_ndcg"), F.col("p95"), F.col("lost")))

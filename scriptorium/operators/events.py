@@ -60,7 +60,13 @@ def remaining_estimate(progress: DataFrame, window: int = 5) -> DataFrame:
     return rates.withColumn("eta", F.when(F.size("_r") >= 2, F.round(median("_r") * F.col("left"), 3))).drop("_r")
 
 
-def retained(events: DataFrame, newest: int) -> DataFrame:
-    """(day, keep): the newest days stay."""
-    days = events.select(F.to_date("occurred_at").alias("day")).distinct()
-    return days.groupBy().agg(F.sort_array(F.collect_list("day"), asc=False).alias("d")).select(F.posexplode("d").alias("i", "day")).select(F.date_format("day", "yyyy-MM-dd").alias("day"), (F.col("i") < newest).alias("keep"))
+def retained(files: DataFrame, newest: int, most: int) -> DataFrame:
+    """(day, file, keep) of log files (day, file): those of the ``newest`` days stay, and of these the ``most`` latest by
+    day and name.  Days are numbered by a count of the later ones, files by the days' totals before and a rank within
+    the day."""
+    days = files.groupBy("day").agg(F.count("*").alias("n"))
+    # One row a day: a window over all of them is as long as the log's history in days.
+    latest = Window.orderBy(F.desc("day"))
+    placed = days.withColumn("nth", F.row_number().over(latest)).withColumn("before", F.coalesce(F.sum("n").over(latest.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    rank = F.row_number().over(Window.partitionBy("day").orderBy(F.desc("file")))
+    return files.withColumn("rank", rank).join(placed, "day").select("day", "file", ((F.col("nth") <= newest) & (F.col("before") + F.col("rank") <= most)).alias("keep"))

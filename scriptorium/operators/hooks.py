@@ -89,7 +89,7 @@ def rescored(ranked: DataFrame, score: Callable[[pd.DataFrame], pd.Series], firs
         try:
             own = score(rows).astype(float)
             valid = len(own) == len(rows) and own.between(0, 1).all()
-        except Exception:
+        except (ValueError, TypeError, KeyError, ArithmeticError):  # of the user's function; others stop the job
             valid = False
         rows = rows.assign(rescore=own.to_numpy() if valid else 1.0 / (rows["rank"] + 1))
         rows = rows.sort_values(["rescore", "rank"], ascending=[False, True])
@@ -120,10 +120,14 @@ def matched_outputs(requests: DataFrame, outputs: DataFrame, keys: list[str]) ->
 
 
 def merged_profiles(profiles: DataFrame) -> DataFrame:
-    """Fields of all profiles of a work: a later definition of a field wins, lists are united in order."""
-    fields = profiles.select("material_id", "order", F.explode("fields").alias("field", "definition"))
-    last = fields.groupBy("material_id", "field").agg(F.max_by("definition", "order").alias("definition"))
-    return last.groupBy("material_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("field", "definition")))).alias("fields"))
+    """(material_id, fields, lists) of all profiles (material_id, order, fields, lists) of a work: a later definition of a
+    field wins, lists of the same name are united in order, each item once."""
+    by_name = lambda column: profiles.select("material_id", "order", F.explode(column).alias("name", "value"))
+    collected = lambda rows, name: rows.groupBy("material_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "value")))).alias(name))
+    last = by_name("fields").groupBy("material_id", "name").agg(F.max_by("value", "order").alias("value"))
+    in_order = F.transform(F.array_sort(F.collect_list(F.struct("order", "value"))), lambda x: x["value"])
+    united = by_name("lists").groupBy("material_id", "name").agg(F.array_distinct(F.flatten(in_order)).alias("value"))
+    return collected(last, "fields").join(collected(united, "lists"), "material_id", "full")
 
 
 def approximate_then_exact(vectors: DataFrame, queries: DataFrame, k: int, seed: int = 7) -> DataFrame:

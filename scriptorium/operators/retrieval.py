@@ -105,3 +105,17 @@ def with_neighbours(hits: DataFrame, chapters: DataFrame, *, text: str) -> DataF
     before = near.select("material_id", (F.col("chapter") + 1).alias("chapter"), F.col(text).alias("previous"))
     after = near.select("material_id", (F.col("chapter") - 1).alias("chapter"), F.col(text).alias("next"))
     return hits.join(before, ["material_id", "chapter"], "left").join(after, ["material_id", "chapter"], "left")
+
+
+def label_pool(cases: DataFrame, tiers: list[tuple[str, DataFrame]], *, limit: int, least: int) -> DataFrame:
+    """(query_id, place, result_id, source) for labelling: all hits of the first tier up to ``limit``, then those of later
+    ones while the pool has fewer than ``least``; a result counts for its first source.  A case without any has a row of
+    the source "none".  Tiers are (name, (query_id, result_id, rank)), each ranked from 1."""
+    union = None
+    for i, (name, hits) in enumerate(tiers):
+        own = hits.where(F.col("rank") <= limit).select("query_id", "result_id", F.lit(i).alias("tier"), "rank", F.lit(name).alias("source"))
+        union = own if union is None else union.union(own)
+    first = union.groupBy("query_id", "result_id").agg(F.min("tier").alias("tier"), F.min_by("rank", "tier").alias("rank"), F.min_by("source", "tier").alias("source"))
+    placed = first.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("tier", "rank")))
+    pool = placed.where((F.col("tier") == 0) | (F.col("place") <= least)).select("query_id", "place", "result_id", "source")
+    return cases.select("query_id").join(pool, "query_id", "left").withColumn("source", F.coalesce("source", F.lit("none")))

@@ -105,16 +105,29 @@ def neighbour_degree(appearances: DataFrame) -> DataFrame:
     return one.join(other, ["material_id", "chapter"]).where("name <> other").groupBy("material_id", "name").agg(F.countDistinct("other").alias("degree"))
 
 
-def biography_targets(appearances: DataFrame, key_function: str, most: int = 12) -> DataFrame:
-    """(material_id, name, score, rank): weighted signals, each relative to the work's maximum."""
+def biography_targets(appearances: DataFrame, key_function: str, navigation: DataFrame, most: int = 12, minor: int = 5) -> DataFrame:
+    """(material_id, name, score, reasons, role_hint, rank): weighted signals, each relative to the work's maximum, and the
+    confidence of navigation candidates (material_id, name, confidence).
+
+    Characters of at least ``minor`` chapters and candidates that appear at all are ranked; ``most`` of a work stay."""
     signals = regular(appearances).groupBy("material_id", "name").agg(
         F.count("*").alias("n"), (F.max("chapter") - F.min("chapter") + 1).alias("span"), F.count_if(F.col("function") == key_function).alias("key")
-    ).join(neighbour_degree(appearances), ["material_id", "name"], "left").fillna(0, ["degree"])
+    ).join(neighbour_degree(appearances), ["material_id", "name"], "left").fillna(0, ["degree"]).join(navigation, ["material_id", "name"], "left")
     work = Window.partitionBy("material_id")
     share = lambda c: F.coalesce(F.col(c) / F.nullif(F.max(c).over(work), F.lit(0)), F.lit(0.0))
-    score = F.round(0.35 * share("n") + 0.20 * share("span") + 0.20 * share("key") + 0.10 * share("degree"), 6)
+    prior = F.coalesce("confidence", F.lit(0.0))
+    parts = signals.select("*", *[share(c).alias(f"_{c}") for c in ("n", "span", "key", "degree")])
+    score = F.round(0.35 * F.col("_n") + 0.20 * F.col("_span") + 0.20 * F.col("_key") + 0.10 * F.col("_degree") + 0.15 * prior, 6)
+    why = lambda when, *text: F.when(when, F.concat(*[F.lit(t) if isinstance(t, str) else t.cast("string") for t in text]))
+    reasons = F.array_compact(F.array(
+        why(F.col("_n") > 0, "chapters:", F.col("n")), why(F.col("_span") >= 0.5, "long span"), why(F.col("_key") > 0, "key events:", F.col("key")),
+        why(F.col("_degree") > 0, "neighbours:", F.col("degree")), why(F.col("confidence").isNotNull(), "candidate:", F.col("confidence").cast("decimal(4,2)")),
+    ))
+    hint = F.when((prior >= 0.8) | (F.col("n") >= 50), "protagonist").when(F.col("n") >= 10, "supporting").otherwise("minor")
     order = Window.partitionBy("material_id").orderBy(F.desc("score"), F.desc("n"), "name")
-    return signals.withColumn("score", score).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
+    able = parts.where((F.col("n") >= minor) | F.col("confidence").isNotNull())
+    ranked = able.select("material_id", "name", "n", score.alias("score"), reasons.alias("reasons"), hint.alias("role_hint")).withColumn("rank", F.row_number().over(order))
+    return ranked.where(F.col("rank") <= most)
 
 
 def character_tier(n: Column, core: int = 50, supporting: int = 10, minor: int = 5) -> Column:

@@ -66,10 +66,11 @@ def remaining_estimate(spark, sf):
     return ev.remaining_estimate(p).select("event_id", "eta")
 
 
-@query(f"with {EV}, d as (select distinct strftime(occurred_at, '%Y-%m-%d') as day from ev) select day, row_number() over (order by day desc) <= 7 as keep from d")
+@query(f"with {EV}, f as (select distinct strftime(occurred_at, '%Y-%m-%d') as day, run_id as file from ev), r as (select *, dense_rank() over (order by day desc) as nth, row_number() over (order by day desc, file desc) as place from f) select day, file, nth <= 7 and place <= 400 as keep from r")
 def retention(spark, sf):
-    """ST6."""
-    return ev.retained(fx.run_events(spark, sf), 7)
+    """ST6: the files of the newest seven days, the latest 400 of them."""
+    files = fx.run_events(spark, sf).select(F.date_format("occurred_at", "yyyy-MM-dd").alias("day"), F.col("run_id").alias("file")).distinct()
+    return ev.retained(files, 7, 400)
 
 
 def stream(spark, sf):
@@ -105,11 +106,12 @@ def stream_daily_counts(spark, sf):
     return out.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_name", "n")
 
 
-@query("with g as (select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) < interval 60 minutes then 0 else 1 end as new from events), s as (select user_id, sum(new) over (partition by user_id order by ts rows unbounded preceding) as s from g) select user_id as run_id, s, count(*) as n from s group by 1, 2")
+@query("with g as (select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) < interval 60 minutes then 0 else 1 end as new from events), s as (select user_id, ts, sum(new) over (partition by user_id order by ts rows unbounded preceding) as s from g) select user_id as run_id, s, count(*) as n, max(ts) + interval 60 minutes < (select max(ts) from events) as silent from s group by 1, 2")
 def stream_sessions(spark, sf):
-    """ST4: liveness as session windows."""
+    """ST4: liveness as session windows; a session that had ended when the last event of all came is silent."""
     out = st.drained(st.sessions(stream(spark, sf)), "complete")
-    return out.select("run_id", F.row_number().over(Window.partitionBy("run_id").orderBy("start")).alias("s"), "n")
+    last = fx.run_events(spark, sf).agg(F.max("occurred_at").cast("timestamp").alias("now"))
+    return out.crossJoin(F.broadcast(last)).select("run_id", F.row_number().over(Window.partitionBy("run_id").orderBy("start")).alias("s"), "n", (F.col("end") < F.col("now")).alias("silent"))
 
 
 @query(f"with {EV}, r as (select *, row_number() over (partition by run_id, stage_id, event_name order by occurred_at, event_id) as n from ev) select run_id, stage_id, event_name, n, event_id from r where n <= 3")

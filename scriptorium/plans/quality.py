@@ -37,23 +37,9 @@ def invalid_chapters(spark, sf):
     return chapter_contract(spark, sf).select("doc_id").distinct()
 
 
-@query("select event_id, try_cast(json_extract_string(props, '$.k') as bigint) as k, try_cast(json_extract_string(props, '$.k') as bigint) is null or try_cast(json_extract_string(props, '$.k') as bigint) > 90 as bad from events")
-def record_contract(spark, sf):
-    """DQ4, DQ11, DQ12, DQ13: typed records from JSON."""
-    k = F.from_json("props", "k long, _bad string", {"columnNameOfCorruptRecord": "_bad", "mode": "PERMISSIVE"})["k"]
-    return fx.read(spark, sf, "events").select("event_id", k.alias("k"), (k.isNull() | (k > 90)).alias("bad"))
-
-
-@query("select p_type, p_name from part group by 1, 2 having min(p_size) > max(p_size) or count(*) > 5")
-def range_contract(spark, sf):
-    """DQ10: ranges of nested records."""
-    one = fx.read(spark, sf, "part").groupBy("p_type", "p_name").agg(F.min("p_size").alias("a"), F.max("p_size").alias("b"), F.count("*").alias("n"))
-    return one.where("a > b or n > 5").select("p_type", "p_name")
-
-
 @query("select conv_id, case when count(*) < 4 then 'missing:turns' when sum((role = 'user')::int) = 0 then 'missing:user' else 'ok' end as state, count(*) as n from conversations group by 1")
 def required_fields(spark, sf):
-    """DQ9: required fields against a profile."""
+    """Required turns of a conversation."""
     c = fx.read(spark, sf, "conversations").groupBy("conv_id").agg(F.count("*").alias("n"), F.count_if(F.col("role") == "user").alias("u"))
     return c.select("conv_id", F.when(F.col("n") < 4, "missing:turns").when(F.col("u") == 0, "missing:user").otherwise("ok").alias("state"), "n")
 
@@ -101,7 +87,7 @@ RANK = "case severity when 'blocker' then 0 when 'error' then 1 when 'warning' t
 
 @query(f"with {ISSUES} select *, cast(row_number() over (partition by material_id order by {RANK}, code, artifact, message) as int) as place from iss")
 def audit_issues(spark, sf):
-    """AU2-AU5, AU8, TK7, UD4: the rule registry."""
+    """AU8, TK7, UD4: the rule registry."""
     return ql.ordered(issues(spark, sf))
 
 

@@ -155,12 +155,16 @@ def pending_vectors(spark, sf):
     return out.select("doc_id", F.size("vector").alias("dimension"), F.round(F.col("vector")[0].cast("double"), 5).alias("first"))
 
 
-@query("select c_custkey as material_id, string_agg(o_orderpriority || '=' || last, ',' order by o_orderpriority) as fields from (select o_custkey as c_custkey, o_orderpriority, arg_max(o_orderstatus, o_orderkey) as last from orders group by 1, 2) group by 1")
+@query(
+    "with f as (select o_custkey as material_id, string_agg(p || '=' || last, ',' order by p) as fields from (select o_custkey, o_orderpriority as p, arg_max(o_orderstatus, o_orderkey) as last from orders group by 1, 2) group by 1), i as (select o_custkey as material_id, item, min(place) as place from (select o_custkey, o_orderstatus as item, o_orderkey * 2 as place from orders union all select o_custkey, o_orderpriority, o_orderkey * 2 + 1 from orders) group by 1, 2), l as (select material_id, string_agg(item, ',' order by place) as items from i group by 1) select * from f join l using (material_id)"
+)
 def profile_merge_fields(spark, sf):
-    """SE5: later definitions of a field win."""
-    rows = fx.read(spark, sf, "orders").select(F.col("o_custkey").alias("material_id"), F.col("o_orderkey").alias("order"), F.create_map("o_orderpriority", "o_orderstatus").alias("fields"))
+    """SE5: later definitions of a field win, lists are united in order."""
+    lists = F.create_map(F.lit("functions"), F.array("o_orderstatus", "o_orderpriority"))
+    rows = fx.read(spark, sf, "orders").select(F.col("o_custkey").alias("material_id"), F.col("o_orderkey").alias("order"), F.create_map("o_orderpriority", "o_orderstatus").alias("fields"), lists.alias("lists"))
     merged = hk.merged_profiles(rows)
-    return merged.select("material_id", F.array_join(F.transform(F.map_entries("fields"), lambda e: F.concat_ws("=", e["key"], e["value"])), ",").alias("fields"))
+    fields = F.array_join(F.transform(F.map_entries("fields"), lambda e: F.concat_ws("=", e["key"], e["value"])), ",")
+    return merged.select("material_id", fields.alias("fields"), F.array_join(F.col("lists")["functions"], ",").alias("items"))
 
 
 @query()

@@ -143,11 +143,17 @@ def coappearance_degree(spark, sf):
  dg as (select a.material_id, a.name, count(distinct b.name) as degree from one a join one b on a.material_id = b.material_id and a.chapter = b.chapter and a.name <> b.name group by 1, 2),
  sg as (select material_id, name, count(*) as n, max(chapter) - min(chapter) + 1 as span, sum((function = '2-HIGH')::int) as key from ap where {REG} group by 1, 2),
  j as (select sg.*, coalesce(degree, 0) as degree from sg left join dg using (material_id, name)),
- sc as (select material_id, name, n, round(0.35 * coalesce(n / nullif(max(n) over w, 0), 0) + 0.20 * coalesce(span / nullif(max(span) over w, 0), 0) + 0.20 * coalesce(key / nullif(max(key) over w, 0), 0) + 0.10 * coalesce(degree / nullif(max(degree) over w, 0), 0), 6) as score from j window w as (partition by material_id)),
- rk as (select *, row_number() over (partition by material_id order by score desc, n desc, name) as rank from sc) select material_id, name, score, cast(rank as int) as rank from rk where rank <= 12""")
+ nv as (select o_custkey as material_id, 'Brand#' || (o_custkey % 25 + 1) as name, max(o_orderkey % 11) / 10 as confidence from orders group by 1, 2),
+ sh as (select j.*, confidence, coalesce(n / nullif(max(n) over w, 0), 0) as a, coalesce(span / nullif(max(span) over w, 0), 0) as b, coalesce(key / nullif(max(key) over w, 0), 0) as c, coalesce(degree / nullif(max(degree) over w, 0), 0) as d from j left join nv using (material_id, name) window w as (partition by material_id)),
+ sc as (select *, round(0.35 * a + 0.20 * b + 0.20 * c + 0.10 * d + 0.15 * coalesce(confidence, 0), 6) as score from sh where n >= 5 or confidence is not null),
+ rk as (select *, row_number() over (partition by material_id order by score desc, n desc, name) as rank from sc)
+ select material_id, name, score, cast(rank as int) as rank, case when coalesce(confidence, 0) >= 0.8 or n >= 50 then 'protagonist' when n >= 10 then 'supporting' else 'minor' end as role_hint,
+ concat_ws(',', case when a > 0 then 'chapters:' || n end, case when b >= 0.5 then 'long span' end, case when c > 0 then 'key events:' || key end, case when d > 0 then 'neighbours:' || degree end, case when confidence is not null then 'candidate:' || cast(confidence as decimal(4,2)) end) as reasons from rk where rank <= 12""")
 def biography_targets(spark, sf):
-    """TK5."""
-    return st.biography_targets(fx.appearances(spark, sf), "2-HIGH").select("material_id", "name", "score", "rank")
+    """TK5: targets with reasons and role hints; candidates of the navigation count by their confidence."""
+    w = F.col("o_custkey")
+    navigation = fx.read(spark, sf, "orders").groupBy(w.alias("material_id"), F.concat(F.lit("Brand#"), (w % 25 + 1).cast("string")).alias("name")).agg((F.max(F.col("o_orderkey") % 11) / 10).alias("confidence"))
+    return st.biography_targets(fx.appearances(spark, sf), "2-HIGH", navigation).select("material_id", "name", "score", "rank", "role_hint", F.array_join("reasons", ",").alias("reasons"))
 
 
 @query(f"with {AP}, c as (select name, count(*) as n from ap where {REG} group by 1) select name, n, case when n >= 50 then 'core' when n >= 10 then 'supporting' when n >= 5 then 'minor' else 'background' end as tier from c")
