@@ -15,7 +15,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -150,8 +150,8 @@ def survivors(pairs: DataFrame, sigs: DataFrame, sim: Similarity) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
-#: Members that one task compares with a pivot, or a block with another.
-BLOCK_ROWS = 1024
+#: Members of a block: those that meet one copy of a pivot, or a block of strays, in one task.
+BLOCK_ROWS = 512
 
 
 def verified(pairs: DataFrame, texts: DataFrame, sim: Similarity) -> DataFrame:
@@ -203,64 +203,106 @@ def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.T
         yield pa.Table.from_batches(held)
 
 
-def open_members(buckets: DataFrame, comps: DataFrame) -> DataFrame:
-    """(bucket, band, nid, comp, n, main, strays): the members of buckets that hold more than one component; ``main`` is
-    the component of most of the n members, ``strays`` the number of those outside it."""
-    labelled = written(buckets.join(comps, "nid", "left").withColumn("comp", F.coalesce("comp", "nid")), "labelled")
-    counted = labelled.groupBy("bucket", "comp").agg(F.count("*").alias("c")).groupBy("bucket").agg(F.sum("c").alias("n"), F.max("c").alias("most"), F.max_by("comp", "c").alias("main"))
-    several = written(counted.where("n > most").select("bucket", "n", "main", (F.col("n") - F.col("most")).alias("strays")), "open-buckets")
-    return labelled.join(several, "bucket")
+def open_members(groups: DataFrame, comps: DataFrame) -> DataFrame:
+    """(grp, band, nid, comp, main, n, strays): the members of groups that hold more than one component; ``main`` is the
+    component of most of the n members, ``strays`` the number of those outside it."""
+    labelled = written(groups.join(comps, "nid", "left").withColumn("comp", F.coalesce("comp", "nid")), "labelled")
+    counted = labelled.groupBy("grp", "comp").agg(F.count("*").alias("c")).groupBy("grp").agg(F.sum("c").alias("n"), F.max("c").alias("most"), F.max_by("comp", "c").alias("main"))
+    several = written(counted.where("n > most").select("grp", "n", "main", (F.col("n") - F.col("most")).alias("strays")), "open-groups")
+    return labelled.join(several, "grp")
 
 
 def meetings(members: DataFrame) -> DataFrame:
-    """Every member in its home block, and every stray in each home block that it visits; see ``candidates``."""
+    """Every member in its home block, and every stray in each home block that it visits.
+
+    Strays, the members outside the group's main component, are blocked too, and a task sees one block of either kind; so
+    a group of near copies costs a row for each member and one for each stray and block, members of the main component
+    never meet, and no group is gathered anywhere."""
     blocks = lambda n: F.ceil(F.col(n) / BLOCK_ROWS).cast("int")
-    dealt = members.select("bucket", "band", "nid", "comp", (F.col("comp") != F.col("main")).alias("stray"), blocks("n").alias("homes"), blocks("strays").alias("visits"))
+    dealt = members.select("grp", "band", "nid", "comp", (F.col("comp") != F.col("main")).alias("stray"), blocks("n").alias("homes"), blocks("strays").alias("visits"))
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64("nid"), F.col("homes")).cast("int"))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    home = dealt.withColumn("visit", every("visits")).select("bucket", F.col("own").alias("home"), "visit", F.lit(False).alias("visitor"), "band", "nid", "comp", "stray")
+    home = dealt.withColumn("visit", every("visits")).select("grp", F.col("own").alias("home"), "visit", F.lit(False).alias("visitor"), "band", "nid", "comp", "stray")
     guests = dealt.where("stray").withColumn("visit", F.pmod(F.xxhash64("nid", F.lit(1)), F.col("visits")).cast("int")).withColumn("home", every("homes"))
-    return home.union(guests.select("bucket", "home", "visit", F.lit(True).alias("visitor"), "band", "nid", "comp", "stray"))
+    return home.union(guests.select("grp", "home", "visit", F.lit(True).alias("visitor"), "band", "nid", "comp", "stray"))
 
 
-def candidates(members: DataFrame, sigs: DataFrame, sim: Similarity, best: bool) -> DataFrame:
-    """Pairs (a, b) of different components that meet in a bucket and survive Bayesian pruning, each from the first
-    band that they share; with ``best``, for every stray and block only the partner of most equal values.
+def met(members: DataFrame, *values: DataFrame) -> DataFrame:
+    """The meetings with each member's values, a block of members and one of strays side by side."""
+    rows = reduce(lambda left, right: left.join(right, "nid"), values, meetings(members))
+    return rows.repartition("grp", "home", "visit").sortWithinPartitions("grp", "home", "visit")
 
-    Strays, the members outside the bucket's main component, are blocked and sent to every block of members; so a group
-    of near copies costs a row for each member and one for each stray and block, and members of one component never
-    meet.  A task sees two blocks at a time, and no bucket is gathered anywhere.
-    """
+
+def likely(batches: Iterator[pa.RecordBatch], sim: Similarity) -> Iterator[tuple[pa.Table, int, np.ndarray, np.ndarray]]:
+    """(meeting, stray, partners, equal values) for every stray of every meeting: the members of other components that
+    Bayesian pruning leaves, most alike first."""
     steps = sim.least_matches()
-    met = meetings(members).join(sigs, "nid").repartition("bucket", "home", "visit").sortWithinPartitions("bucket", "home", "visit")
+    for t in grouped(batches, ["grp", "home", "visit"]):
+        visitor, nid, comp, stray = (t.column(c).to_numpy() for c in ("visitor", "nid", "comp", "stray"))
+        sigs, there = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint32).reshape(len(nid), -1), np.flatnonzero(~visitor)
+        for i in np.flatnonzero(visitor).tolist():
+            # two strays meet in the home block of either; one of the meetings is enough
+            others = there[(comp[there] != comp[i]) & (~stray[there] | (nid[there] < nid[i]))]
+            same = sigs[others] == sigs[i]
+            keep = np.ones(len(others), bool)
+            for n, least in steps:
+                keep &= same[:, :n].sum(1) >= least
+            if keep.any():
+                order = np.argsort(-same[keep].sum(1), kind="stable")
+                yield t, i, others[keep][order], same[keep][order]
+
+
+def pairs_of(left: list, right: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
+
+
+class Union:
+    def __init__(self):
+        self.parent: dict = {}
+
+    def find(self, x):
+        while (p := self.parent.get(x, x)) != x:
+            self.parent[x] = self.parent.get(p, p)
+            x = p
+        return x
+
+    def join(self, x, y) -> None:
+        self.parent[self.find(x)] = self.find(y)
+
+
+def links_within(members: DataFrame, sigs: DataFrame, texts: DataFrame, sim: Similarity) -> DataFrame:
+    """Links (a, b) between different components of a cluster: all pairs of a stray and another member are compared, but
+    for components that the same task has linked already."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in grouped(batches, ["bucket", "home", "visit"]):
-            visitor, nid, comp, stray = (t.column(c).to_numpy() for c in ("visitor", "nid", "comp", "stray"))
-            sigs = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint32).reshape(len(nid), -1)
-            band, there, left, right = t.column("band")[0].as_py(), np.flatnonzero(~visitor), [], []
-            for i in np.flatnonzero(visitor).tolist():
-                # two strays meet in the home block of either; one of the meetings is enough
-                others = there[(comp[there] != comp[i]) & (~stray[there] | (nid[there] < nid[i]))]
-                same = sigs[others] == sigs[i]
-                keep = np.ones(len(others), bool)
-                for n, least in steps:
-                    keep &= same[:, :n].sum(1) >= least
-                others, same = others[keep], same[keep]
-                if best:
-                    found = others[[same.sum(1).argmax()]] if len(others) else others
-                else:
-                    found = others[same.reshape(len(others), sim.bands, sim.rows).all(2).argmax(1) == band]
-                left += [nid[i]] * len(found)
-                right += nid[found].tolist()
-            if left:
-                yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
-
-    return met.mapInArrow(run, "a long, b long").distinct()
-
-
-#: Meetings of strays and members in one bucket from which strays are compared with their likeliest partners first.
-MANY_MEETINGS = 1 << 18
+        last, out = None, ([], [])
+        for t, i, others, _ in likely(batches, sim):
+            if t is not last:
+                last, sets, union = t, {}, Union()
+                comp, nid, text = (t.column(c) for c in ("comp", "nid", "text"))
+            get = lambda k: sets[k] if k in sets else sets.setdefault(k, shingles(text[k].as_py()))  # noqa: B023, E731
+            own = comp[i].as_py()
+            for k in others.tolist():
+                if union.find(own) != union.find(comp[k].as_py()) and linked(get(i), get(k), sim.percent):
+                    union.join(own, comp[k].as_py())
+                    out[0].append(nid[i].as_py())
+                    out[1].append(nid[k].as_py())
+        yield pairs_of(*out)
+
+    return met(members, sigs, texts).mapInArrow(run, "a long, b long")
+
+
+def candidates_between(members: DataFrame, sigs: DataFrame, sim: Similarity) -> DataFrame:
+    """Pairs (a, b) of different clusters that meet in a bucket and survive Bayesian pruning, each from the first band
+    that they share."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, i, others, same in likely(batches, sim):
+            own = others[same.reshape(len(others), sim.bands, sim.rows).all(2).argmax(1) == t.column("band")[0].as_py()]
+            if len(own):
+                yield pairs_of([t.column("nid")[i].as_py()] * len(own), t.column("nid").to_numpy()[own].tolist())
+
+    return met(members, sigs).mapInArrow(run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, *, id: str, text: str, sim: Similarity) -> DataFrame:
@@ -275,8 +317,8 @@ def near_duplicates(docs: DataFrame, *, id: str, text: str, sim: Similarity) ->
     Classes of equal shingle sets are compared, each by one row of it; ids only come in at the end.
 
     Scale: band rows are shuffled once to be counted and once to be joined; everything after works on classes that share
-    a bucket.  A pivot's text goes to each block of its members once.  What the pivots leave unlinked in a large bucket
-    is linked to likely partners first, so that few strays are left to be compared with all.
+    a bucket.  A pivot's text goes to each block of its members once.  What the pivots leave unlinked in a cluster meets
+    its members in blocks, each member being sent once and each stray once a block.
     """
     source = docs.select(F.col(id).cast("long").alias("id"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
     rows = written(sketches(source, sim), "sketches")
@@ -295,21 +337,15 @@ def near_duplicates(docs: DataFrame, *, id: str, text: str, sim: Similarity) ->
     sharing = buckets.select("nid").distinct().join(reps.select("nid", "id", "h"), "nid")
     texts = written(source.join(sharing, ["id", "h"]).select("id", "h", "nid", "text").dropDuplicates(["id", "h"]).select("nid", "text"), "texts")
     links = written(verified(maybe, texts, sim), "links")
-    seen = maybe
-
-    buckets = buckets.select("bucket", "band", "nid")
-    while True:
-        comps = written(connected_components(links), "components").toDF("nid", "comp")
-        members = open_members(buckets, comps)
-        large = members.where(F.col("n") * F.col("strays") > MANY_MEETINGS)
-        if seen is not maybe or large.isEmpty():
-            break
-        seen = written(candidates(large, sigs, sim, True), "likeliest")
-        links = written(links.union(verified(seen, texts, sim)), "links")
-    turned = lambda p: p.union(p.select("b", "a"))
-    tried = turned(maybe) if seen is maybe else turned(maybe.union(seen))
-    rest = written(candidates(members, sigs, sim, False).join(tried, ["a", "b"], "left_anti"), "rest")
-    links = links.union(verified(rest, texts, sim))
+    comps = written(connected_components(links), "components").toDF("nid", "comp")
+    clusters = written(connected_components(maybe), "clusters").toDF("nid", "cluster")
+
+    # Within the clusters of likely pairs, whose members are each sent once; then between clusters, by bucket.
+    inside = open_members(clusters.select(F.col("cluster").alias("grp"), F.lit(-1).alias("band"), "nid"), comps)
+    more = written(links_within(inside, sigs, texts, sim), "more-links")
+    across = open_members(buckets.select(F.col("bucket").alias("grp"), "band", "nid"), clusters.toDF("nid", "comp"))
+    rest = written(candidates_between(across, sigs, sim), "rest")
+    links = links.union(more).union(verified(rest, texts, sim))
 
     by_id = links.join(ids.toDF("b", "id_b"), "b").join(ids.toDF("a", "id_a"), "a").select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
     same = full.select("id", "content").join(classes, "content").where("id <> least").select(F.col("id").alias("a"), F.col("least").alias("b"))

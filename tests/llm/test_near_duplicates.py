@@ -108,8 +108,8 @@ def test_ten_thousand_near_copies_cost_a_row_each(spark):
     docs = spark.createDataFrame(rows, "id long, text string")
     got = nd.near_duplicates(docs, id="id", text="text", sim=nd.Similarity())
     assert got.groupBy("component_id").count().collect() == [(0, 10_100)]
-    # of one bucket with 100 strays, the rows sent to blocks are far from the group's square
-    members = spark.range(10_000).selectExpr("0L as bucket", "0 as band", "id as nid", "if(id < 100, id, 100) as comp", "10000L as n", "100L as main", "100L as strays")
+    # of one group with 100 strays, the rows sent to blocks are far from the group's square
+    members = spark.range(10_000).selectExpr("0L as grp", "0 as band", "id as nid", "if(id < 100, id, 100) as comp", "10000L as n", "100L as main", "100L as strays")
     assert nd.meetings(members).count() == 10_000 + 100 * -(-10_000 // nd.BLOCK_ROWS)
 
 
