@@ -223,3 +223,51 @@ def slug(kind: Column, name: Column) -> Column:
     """kind_name in ASCII letters, digits and underscores, or kind_ and 8 digits of SHA-1 where nothing is left."""
     ascii_name = F.regexp_replace(F.regexp_replace(F.lower(name), "[^a-z0-9]+", "_"), "^_+|_+$", "")
     return F.concat_ws("_", kind, F.when(ascii_name == "", F.substring(F.sha1(name), 1, 8)).otherwise(ascii_name))
+
+
+# Labels of the parts of a text to be embedded, and properties of world entities by type.
+PREMISE_LABELS = {"premise": "前提", "theme": "主题", "tone": "基调"}
+CHARACTER_LABELS = {"arc_summary": "弧线", "description": "描述", "fatal_flaw": "fatal_flaw", "obsession": "obsession", "soft_spot": "soft_spot", "motivation": "motivation", "narrative_function": "功能"}
+ENTITY_NAME, ENTITY_DESCRIPTION, ENTITY_EVIDENCE = "名称", "描述", "证据"
+ENTITY_PROPERTIES = {"power_systems": ("levels", "rules"), "factions": ("leader", "strength", "allies", "enemies"), "regions": ("notable_features", "importance")}
+
+
+def labelled(label: str, value: Column) -> Column:
+    """"label: value", or null where the value is null or empty."""
+    return F.when(value != "", F.concat(F.lit(f"{label}: "), value))
+
+
+def labelled_parts(labels: dict[str, str], values: dict[str, Column], otherwise: Column) -> Column:
+    """Parts in the order of ``labels``, joined by bars; the fallback where all are missing."""
+    return F.coalesce(F.nullif(F.concat_ws(" | ", *[labelled(label, values[key]) for key, label in labels.items()]), F.lit("")), otherwise, F.lit(""))
+
+
+def premise_text(premise: Column, theme: Column, tone: Column) -> Column:
+    """Of a work; theme and tone are arrays."""
+    return labelled_parts(PREMISE_LABELS, {"premise": premise, "theme": F.array_join(theme, ", "), "tone": F.array_join(tone, ", ")}, F.lit(""))
+
+
+def character_text(name: Column, arc_summary: Column, description: Column, psychology: Column, narrative_function: Column) -> Column:
+    """Of a character; psychology is a map.  A character without any part is its name."""
+    given = {"arc_summary": arc_summary, "description": description, "narrative_function": narrative_function}
+    return labelled_parts(CHARACTER_LABELS, {key: given.get(key, F.try_element_at(psychology, F.lit(key))) for key in CHARACTER_LABELS}, name)
+
+
+def entity_text(kind: Column, name: Column, description: Column, properties: Column, evidence: Column) -> Column:
+    """Of a world entity: name, description, the properties that its type calls for, and up to five pieces of evidence.
+
+    ``properties`` maps names to arrays; of a power system's the first five items count.  A type without a list of its
+    own has all properties in the order of the map, the first eight items of each.
+    """
+    items = lambda value, n: F.array_join(F.slice(value, 1, n) if n else value, ", ")
+    own = [F.when(kind == k, F.concat_ws(" | ", *[labelled(p, items(F.try_element_at(properties, F.lit(p)), 5 if k == "power_systems" else 0)) for p in ps])) for k, ps in ENTITY_PROPERTIES.items()]
+    every = F.filter(F.map_entries(properties), lambda e: F.size(e["value"]) > 0)
+    rest = F.array_join(F.transform(every, lambda e: F.concat(e["key"], F.lit(": "), items(e["value"], 8))), " | ")
+    told = F.filter(evidence, lambda x: x != "")
+    parts = [labelled(ENTITY_NAME, name), labelled(ENTITY_DESCRIPTION, description), F.nullif(F.coalesce(*own, rest), F.lit("")), labelled(ENTITY_EVIDENCE, F.array_join(F.slice(told, 1, 5), "; "))]
+    return F.concat_ws(" | ", *parts)
+
+
+def beat_text(title: Column, description: Column) -> Column:
+    """Of a beat: title and description, or the one that there is; null for neither."""
+    return F.nullif(F.concat_ws(" | ", F.nullif(title, F.lit("")), F.nullif(description, F.lit(""))), F.lit(""))

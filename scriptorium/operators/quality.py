@@ -71,3 +71,32 @@ def release_gate(stages: DataFrame) -> DataFrame:
     one = stages.groupBy("material_id").agg(of("failed", "interrupted").alias("bad"), of("degraded", "running", "pending").alias("open"))
     decision = F.when(F.size("bad") > 0, "block").when(F.size("open") > 0, "hold").otherwise("allow")
     return one.select("material_id", decision.alias("decision"), F.array_join(F.concat("bad", "open"), ",").alias("reasons"))
+
+
+# Levels of a profile, from the best.
+PROFILE_LEVELS = ("full", "enriched", "partial", "fallback")
+
+
+def profile_level(level: Column, complete: Column, schema_issues: Column) -> Column:
+    """The level as given where it is known; else full for a complete biography, partial for one with issues, or fallback."""
+    return F.when(level.isin(*PROFILE_LEVELS), level).when(complete, "full").when(F.size(schema_issues) > 0, "partial").otherwise("fallback")
+
+
+def profile_quality(works: DataFrame, profiles: DataFrame, targets: DataFrame) -> DataFrame:
+    """(material_id, one count for each level, targets, completed, brief, failed) of every work.
+
+    ``works`` (material_id, target_count, failed_count), ``profiles`` (material_id, name, level, complete, schema_issues),
+    ``targets`` (material_id, name).  A count that is null or negative falls back to the number of named targets, or to 0.
+    Full profiles with a complete biography are completed; where targets are named only theirs, and never more than
+    there are targets.  The join is on work and name, so that no list of targets is gathered.
+    """
+    named = targets.where(F.col("name").isNotNull()).groupBy("material_id").agg(F.count("*").alias("named"))
+    marked = profiles.join(targets.select("material_id", "name").distinct().withColumn("target", F.lit(True)), ["material_id", "name"], "left")
+    level = profile_level(F.col("level"), F.col("complete"), F.col("schema_issues"))
+    done = (F.col("level") == "full") & F.col("complete")
+    counts = marked.groupBy("material_id").agg(*[F.count_if(level == x).alias(x) for x in PROFILE_LEVELS], F.count_if(F.col("level") == "brief").alias("brief"), F.count_if(done).alias("done"), F.count_if(done & F.col("target")).alias("hit"))
+    both = works.join(named, "material_id", "left").join(counts, "material_id", "left").na.fill(0, ["named", "brief", "done", "hit", *PROFILE_LEVELS])
+    asked = F.when(F.col("target_count") >= 0, F.col("target_count")).otherwise(F.col("named"))
+    completed = F.when(F.col("named") > 0, F.col("hit")).otherwise(F.col("done"))
+    failed = F.when(F.col("failed_count") >= 0, F.col("failed_count")).otherwise(0)
+    return both.select("material_id", *PROFILE_LEVELS, asked.alias("targets"), F.when(asked > 0, F.least(asked, completed)).otherwise(completed).alias("completed"), "brief", failed.alias("failed"))

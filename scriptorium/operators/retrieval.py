@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scriptorium.functions.text import word_tokens
+from scriptorium.functions.text import trigram_similarity, word_tokens
 
 #: Queries, and vectors, that meet in a task at once, and vectors of a slice that are scored at once.
 QUERY_BLOCK, VECTOR_SLICE, CHUNK = 1024, 65_536, 2048
@@ -18,11 +18,13 @@ def postings(docs: DataFrame, *, id: str, text: str) -> DataFrame:
     return docs.select(id, F.posexplode(word_tokens(F.col(text))).alias("pos", "term"))
 
 
-def lexical_search(docs: DataFrame, queries: DataFrame, *, id: str, text: str, match: str = "all", limit: int = 200) -> DataFrame:
+def lexical_search(docs: DataFrame, queries: DataFrame, *, id: str, text: str, match: str = "all", limit: int = 200, title: str | None = None, ties: tuple[Column, ...] = ()) -> DataFrame:
     """(query_id, id, rank, score): documents with all (or any) words of the query, by cover density.
 
-    The score is the number of places of query words over the span that they cover; ties go to the smaller id.  Only
-    postings of words that some query asks for are shuffled, counted for each document before they meet.
+    The score is the number of places of query words over the span that they cover.  Ties go to the trigram similarity of
+    ``title`` with the query, then to the document type's own order ``ties``, then to the smaller id.  Only postings of
+    words that some query asks for are shuffled, counted for each document before they meet; titles are compared for
+    matches only.
     """
     terms = queries.select("query_id", F.explode(F.array_distinct(word_tokens(F.col("query")))).alias("term"))
     wanted = terms.groupBy("query_id").agg(F.count("*").alias("n_terms"))
@@ -32,7 +34,14 @@ def lexical_search(docs: DataFrame, queries: DataFrame, *, id: str, text: str, m
     if match == "all":
         met = met.join(wanted, "query_id").where("hit = n_terms")
     scored = met.withColumn("score", F.round(F.col("n") / (F.col("hi") - F.col("lo") + 1), 6))
-    return top_k(scored, "query_id", [F.desc("score"), F.asc(id)], limit).select("query_id", id, "rank", "score")
+    order = [F.desc("score")]
+    if title or ties:
+        scored = scored.select("query_id", id, "score").join(docs.drop(text) if title != text else docs, id)
+    if title:
+        scored = scored.join(queries.select("query_id", F.col("query").alias("_asked")), "query_id")
+        scored = scored.withColumn("_likeness", F.round(trigram_similarity(F.col(title), F.col("_asked")), 6))
+        order.append(F.desc("_likeness"))
+    return top_k(scored, "query_id", [*order, *ties, F.asc(id)], limit).select("query_id", id, "rank", "score")
 
 
 def top_k(rows: DataFrame, group: str, order: list[Column], k: int) -> DataFrame:

@@ -75,6 +75,13 @@ def even_sample(rows: DataFrame, group: str, order: list[str], n: int) -> DataFr
     return numbered.where((F.col("_size") <= n) | hit).drop("_size", "_place")
 
 
+def progressive_batches(rows: DataFrame, group: str, order: list[str], size: int, batches: int = 5) -> DataFrame:
+    """An even sample of each group, dealt in order into ``batches`` of ``size`` rows, numbered from 1 in ``batch``: a reader
+    can stop after any of them.  Small groups fill the first batches only."""
+    place = F.row_number().over(Window.partitionBy(group).orderBy(*order)) - 1
+    return even_sample(rows, group, order, size * batches).withColumn("batch", F.floor(place / size) + 1)
+
+
 def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
     """Adds the place of each row in the order of the whole table: by range, then within it, after those of all before.
 

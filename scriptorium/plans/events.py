@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from scriptorium import fixtures as fx
 from scriptorium.operators import events as ev
 from scriptorium.registry import query
+from scriptorium.sources.shared import VersionedTable, new_path
 from scriptorium.streaming import events as st
 
 EV = fx.RUN_EVENTS
@@ -126,3 +127,10 @@ def late_event_lag(spark, sf):
     """ST5: lag between both clocks, on whole seconds."""
     e = fx.run_events(spark, sf).withColumn("occurred_at", F.date_trunc("second", "occurred_at")).withColumn("observed_at", F.date_trunc("second", "observed_at"))
     return st.late_events(e).select("event_id", "lag", "late")
+
+
+@query(f"with {EV} select run_id, arg_max(event_id, (occurred_at, event_id)) as event_id, arg_max(event_name, (occurred_at, event_id)) as event_name from ev group by 1")
+def stream_upsert(spark, sf):
+    """ST7: the state of every run, upserted from a stream of changes."""
+    changes = stream(spark, sf).select("run_id", "event_id", "event_name", "occurred_at")
+    return st.upserted(changes, VersionedTable(spark, new_path(spark, "runs")), ["run_id"], ["occurred_at", "event_id"]).select("run_id", "event_id", "event_name")

@@ -164,3 +164,21 @@ def insight_scores(spark, sf):
     rate = lambda c: F.round(F.avg(c.cast("int")), 6)
     valid = F.when(F.count("quality") == 0, 1.0).otherwise(F.sum("quality") / F.count("quality"))
     return d.groupBy("lang").agg(rate(F.length("text") >= 100).alias("field_rate"), rate(words).alias("keyword_rate"), F.round(valid, 6).alias("valid_rate"))
+
+
+PROFILES = "pr as (select o_custkey as material_id, o_orderkey as name, case o_orderkey % 6 when 0 then 'full' when 1 then 'brief' when 2 then 'enriched' when 3 then 'other' end as level, o_orderkey % 4 <> 1 as complete, o_orderkey % 5 = 0 as issues from orders), tg as (select o_custkey as material_id, o_orderkey as name from orders where o_orderkey % 2 = 0 and o_custkey % 3 > 0)"
+
+
+@query(f"""with {PROFILES}, lv as (select pr.*, tg.name is not null as target, level = 'full' and complete as done, case when level in ('full', 'enriched', 'partial', 'fallback') then level when complete then 'full' when issues then 'partial' else 'fallback' end as quality from pr left join tg using (material_id, name)),
+ ct as (select material_id, count(*) filter (quality = 'full') as "full", count(*) filter (quality = 'enriched') as enriched, count(*) filter (quality = 'partial') as partial, count(*) filter (quality = 'fallback') as fallback, count(*) filter (level = 'brief') as brief, count(*) filter (done) as done, count(*) filter (done and target) as hit from lv group by 1),
+ nm as (select material_id, count(*) as named from tg group by 1),
+ al as (select c_custkey as material_id, coalesce("full", 0) as "full", coalesce(enriched, 0) as enriched, coalesce(partial, 0) as partial, coalesce(fallback, 0) as fallback, coalesce(brief, 0) as brief, coalesce(case when named > 0 then hit else done end, 0) as got, case when c_custkey % 5 > 0 then c_custkey % 5 - 1 else coalesce(named, 0) end as targets, greatest(c_custkey % 7 - 2, 0) as failed from customer left join ct on ct.material_id = c_custkey left join nm on nm.material_id = c_custkey)
+ select material_id, "full", enriched, partial, fallback, targets, case when targets > 0 then least(targets, got) else got end as completed, brief, failed from al""")
+def profile_quality(spark, sf):
+    """AG19: profiles by level, and targets, completed, brief and failed biographies of every work."""
+    k, c = F.col("o_orderkey"), fx.read(spark, sf, "customer")
+    level = F.when(k % 6 == 0, "full").when(k % 6 == 1, "brief").when(k % 6 == 2, "enriched").when(k % 6 == 3, "other")
+    issues = F.when(k % 5 == 0, F.array(F.lit("name"))).otherwise(F.array().cast("array<string>"))
+    profiles = fx.read(spark, sf, "orders").select(F.col("o_custkey").alias("material_id"), k.alias("name"), level.alias("level"), (k % 4 != 1).alias("complete"), issues.alias("schema_issues"))
+    works = c.select(F.col("c_custkey").alias("material_id"), (F.col("c_custkey") % 5 - 1).alias("target_count"), (F.col("c_custkey") % 7 - 2).alias("failed_count"))
+    return ql.profile_quality(works, profiles, profiles.where("name % 2 = 0 and material_id % 3 > 0").select("material_id", "name"))

@@ -21,7 +21,7 @@ LEXICAL = f"""{fx.search_queries_sql()},
  sc as (select query_id, doc_id, round(n / (hi - lo + 1), 6) as score from met join nt using (query_id) where hit = n_terms),
  lex as (select query_id, doc_id, score, row_number() over (partition by query_id order by score desc, doc_id) as rank from sc)"""
 
-VECTOR = """q as (select vec_id as query_id, embedding::double[] as v from embeddings where vec_id < 5),
+VECTOR = """q as (select vec_id // 50 as query_id, embedding::double[] as v from embeddings where vec_id % 50 = 0),
  s as (select query_id, vec_id, round(list_cosine_similarity(v, embedding::double[]), 6) as score from q, embeddings),
  vec as (select query_id, vec_id, score, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)"""
 
@@ -30,19 +30,14 @@ def lexical(spark, sf, limit=200) -> DataFrame:
     return rt.lexical_search(fx.read(spark, sf, "documents"), fx.search_queries(spark, sf), id="doc_id", text="text", limit=limit)
 
 
-def few(v) -> DataFrame:
-    """The query vectors of the queries with SQL."""
-    return v.where("vec_id < 5").select(F.col("vec_id").alias("query_id"), "vector")
-
-
 def every(v) -> DataFrame:
     """All query vectors, numbered as benchmark items are: every fiftieth."""
     return v.where("vec_id % 50 = 0").select((F.col("vec_id") / 50).cast("long").alias("query_id"), "vector")
 
 
-def vector(spark, sf, k=200, asked=few) -> DataFrame:
+def vector(spark, sf, k=200) -> DataFrame:
     v = fx.vectors(spark, sf)
-    return rt.vector_search(v, asked(v), id="vec_id", vector="vector", k=k)
+    return rt.vector_search(v, every(v), id="vec_id", vector="vector", k=k)
 
 
 @query(f"with {LEXICAL} select query_id, doc_id, cast(rank as int) as rank, score from lex where rank <= 20")
@@ -60,28 +55,20 @@ def lexical_match_any(spark, sf):
 
 
 @query(f"with {VECTOR} select query_id, vec_id, cast(rank as int) as rank, score from vec where rank <= 20")
-def vector_top_k(spark, sf, asked=few):
+def vector_top_k(spark, sf):
     """TK2: exact cosine top k."""
-    return vector(spark, sf, 20, asked).select("query_id", "vec_id", "rank", "score")
+    return vector(spark, sf, 20).select("query_id", "vec_id", "rank", "score")
 
 
 def both(spark, sf) -> DataFrame:
-    """(query_id, retriever, result_id, rank, material_id): lexical hits and vectors of the same number."""
-    return joined(lexical(spark, sf).where("query_id < 5"), vector(spark, sf))
-
-
-def both_whole(spark, sf) -> DataFrame:
-    """The same for the whole benchmark and all query vectors; queries that have one of them only keep that one."""
-    return joined(lexical(spark, sf), vector(spark, sf, asked=every))
-
-
-def joined(lex, vec) -> DataFrame:
-    lex = lex.select("query_id", F.lit("lexical").alias("retriever"), F.col("doc_id").alias("result_id"), "rank")
-    return lex.union(vec.select("query_id", F.lit("semantic").alias("retriever"), F.col("vec_id").alias("result_id"), "rank"))
+    """(query_id, retriever, result_id, rank): hits of the whole benchmark and of all query vectors of the same numbers;
+    queries that have one of them only keep that one."""
+    lex = lexical(spark, sf).select("query_id", F.lit("lexical").alias("retriever"), F.col("doc_id").alias("result_id"), "rank")
+    return lex.union(vector(spark, sf).select("query_id", F.lit("semantic").alias("retriever"), F.col("vec_id").alias("result_id"), "rank"))
 
 
 FUSED = f"""{LEXICAL}, {VECTOR},
- al as (select query_id, 'lexical' as retriever, doc_id as result_id, rank from lex where rank <= 200 and query_id < 5 union all select query_id, 'semantic', vec_id, rank from vec where rank <= 200),
+ al as (select query_id, 'lexical' as retriever, doc_id as result_id, rank from lex where rank <= 200 union all select query_id, 'semantic', vec_id, rank from vec where rank <= 200),
  f0 as (select query_id, result_id, round(sum(1 / (60 + rank)), 9) as score, string_agg(retriever, ',' order by retriever) as retrievers from al group by 1, 2),
  fu as (select *, row_number() over (partition by query_id order by score desc, result_id) as rank from f0),
  hy0 as (select fu.*, source as material_id, row_number() over (partition by query_id, source order by rank) as nth from fu join documents on doc_id = result_id),
@@ -89,31 +76,31 @@ FUSED = f"""{LEXICAL}, {VECTOR},
 
 
 @query(f"with {FUSED} select query_id, result_id, score, retrievers, cast(rank as int) as rank from fu")
-def rank_fusion(spark, sf, found=both):
+def rank_fusion(spark, sf):
     """RF1, RF2, WN8: reciprocal rank fusion of two retrievers."""
-    return rt.reciprocal_rank_fusion(found(spark, sf))
+    return rt.reciprocal_rank_fusion(both(spark, sf))
 
 
 @query(f"with {FUSED}, {fx.TEXT_CHAPTERS} select hy.query_id, cast(place as int) as place, result_id, hy.material_id, tc.chapter, score, substr(p.summary, 1, 40) as previous, substr(n.summary, 1, 40) as next from hy join tc on tc.doc_id = result_id left join tc p on p.material_id = tc.material_id and p.chapter = tc.chapter - 1 left join tc n on n.material_id = tc.material_id and n.chapter = tc.chapter + 1 where place <= 10")
-def hybrid_search(spark, sf, found=both):
+def hybrid_search(spark, sf):
     """The flagship: lexical and vector retrieval, fusion, two results of a work first, context of the final hits."""
     chapters = fx.text_chapters(spark, sf).withColumn("short", F.substring("summary", 1, 40))
-    placed = rt.reciprocal_rank_fusion(found(spark, sf)).join(chapters.select(F.col("doc_id").alias("result_id"), "material_id", "chapter"), "result_id")
+    placed = rt.reciprocal_rank_fusion(both(spark, sf)).join(chapters.select(F.col("doc_id").alias("result_id"), "material_id", "chapter"), "result_id")
     hits = rt.diversified(placed, cap=2, limit=10)
     return rt.with_neighbours(hits, chapters, text="short").select("query_id", "place", "result_id", "material_id", "chapter", "score", "previous", "next")
 
 
 @query(f"with {FUSED} select query_id, cast(place as int) as place, result_id from hy where place <= 10")
-def diversity_cap(spark, sf, found=both):
+def diversity_cap(spark, sf):
     """WN9."""
     docs = fx.read(spark, sf, "documents").select(F.col("doc_id").alias("result_id"), F.col("source").alias("material_id"))
-    return rt.diversified(rt.reciprocal_rank_fusion(found(spark, sf)).join(docs, "result_id"), cap=2, limit=10).select("query_id", "place", "result_id")
+    return rt.diversified(rt.reciprocal_rank_fusion(both(spark, sf)).join(docs, "result_id"), cap=2, limit=10).select("query_id", "place", "result_id")
 
 
 @query(f"with {FUSED} select query_id, retriever, count(*) as candidates, substr(sha256(cast(query_id as varchar)), 1, 16) as query_hash from al group by 1, 2")
-def search_trace(spark, sf, found=both):
+def search_trace(spark, sf):
     """RF8: candidates by retriever, with the query hashed."""
-    return found(spark, sf).groupBy("query_id", "retriever").agg(F.count("*").alias("candidates")).withColumn("query_hash", F.substring(F.sha2(F.col("query_id").cast("string"), 256), 1, 16))
+    return both(spark, sf).groupBy("query_id", "retriever").agg(F.count("*").alias("candidates")).withColumn("query_hash", F.substring(F.sha2(F.col("query_id").cast("string"), 256), 1, 16))
 
 
 JUDGED = f"""{FUSED}, jd as (select query_id, doc_id as result_id, quality * 2 + (1 - toxic) as relevance from (select distinct query_id from al), labels where doc_id % 7 = query_id % 7),
@@ -133,22 +120,22 @@ def judgments(spark, sf, lists) -> DataFrame:
     return asked.join(labels, "m").select("query_id", F.col("doc_id").alias("result_id"), (F.col("quality") * 2 + 1 - F.col("toxic")).alias("relevance"))
 
 
-def metrics(spark, sf, found=both) -> DataFrame:
+def metrics(spark, sf) -> DataFrame:
     docs = fx.read(spark, sf, "documents").select(F.col("doc_id").alias("result_id"), F.col("source").alias("material_id"))
-    ranked = rt.reciprocal_rank_fusion(found(spark, sf)).join(docs, "result_id")
-    return ev.metrics_at(ranked, judgments(spark, sf, found(spark, sf)), 20)
+    ranked = rt.reciprocal_rank_fusion(both(spark, sf)).join(docs, "result_id")
+    return ev.metrics_at(ranked, judgments(spark, sf, both(spark, sf)), 20)
 
 
 @query(f"with {JUDGED} select * from mt")
-def relevance_metrics(spark, sf, found=both):
+def relevance_metrics(spark, sf):
     """EV1-EV4, JO19, SE3."""
-    return metrics(spark, sf, found)
+    return metrics(spark, sf)
 
 
 @query(f"with {JUDGED} select case when query_id % 2 = 0 then 'even' else 'odd' end as kind, count(*) as n, round(avg(recall), 5) as recall, round(avg(precision), 5) as precision, round(avg(reciprocal_rank), 5) as reciprocal_rank, round(avg(ndcg), 5) as ndcg, round(avg(works), 5) as works from mt group by rollup (1)")
-def macro_average_metrics(spark, sf, found=both):
+def macro_average_metrics(spark, sf):
     """AG18: grouping sets over query kinds and all."""
-    return ev.macro_average(metrics(spark, sf, found).withColumn("kind", F.when(F.col("query_id") % 2 == 0, "even").otherwise("odd")), "kind")
+    return ev.macro_average(metrics(spark, sf).withColumn("kind", F.when(F.col("query_id") % 2 == 0, "even").otherwise("odd")), "kind")
 
 
 GATED = f"""{JUDGED},
@@ -164,10 +151,10 @@ GATED = f"""{JUDGED},
 
 
 @query(f"with {GATED} select round(recall, 6) as recall, round(e, 6) as exact_ndcg, round(c, 6) as ndcg, lost, round(p95, 4) as p95, recall >= 0.98 and e - c <= 0.01 + 1e-12 and p95 <= 180000 and lost = 0 as passed from g")
-def candidate_quality_gate(spark, sf, found=both):
+def candidate_quality_gate(spark, sf):
     """EV6: the fusion of each retriever's first fifty as candidates against that of all, measured on judgments; latencies
     are those of the events."""
-    lists = found(spark, sf)
+    lists = both(spark, sf)
     exact, candidate = rt.reciprocal_rank_fusion(lists), rt.reciprocal_rank_fusion(lists.where("rank <= 50"))
     one = ev.gated_run(exact, candidate, judgments(spark, sf, lists), fx.run_events(spark, sf).select(F.col("duration_ms").alias("ms")), 20)
     return one.select(*[F.round(c, 6).alias(c) for c in ("recall", "exact_ndcg", "ndcg")], "lost", F.round("p95", 4).alias("p95"), "passed")

@@ -12,7 +12,7 @@ from scriptorium.functions import text as tx
 from scriptorium.operators import evaluation as ev
 from scriptorium.operators import hooks as hk
 from scriptorium.operators import retrieval as rt
-from scriptorium.plans.retrieval import FUSED, JUDGED, VECTOR, both, every, few, vector
+from scriptorium.plans.retrieval import FUSED, JUDGED, TRIGRAMS, VECTOR, both, every, vector
 from scriptorium.registry import query
 
 
@@ -70,11 +70,10 @@ def unknown_filters(spark, sf):
     return hk.unknown_filters(q)
 
 
-@query("select vec_id, label from embeddings where embedding is not null and list_sum(embedding) is not null and vec_id % 2 = 0")
+@query("select vec_id, label from embeddings where embedding is not null")
 def vector_guard(spark, sf):
     """FI8: rows without a vector take no part."""
-    v = fx.vectors(spark, sf).where("vec_id % 2 = 0")
-    return v.where(F.col("vector").isNotNull()).select("vec_id", F.col("material_id").alias("label"))
+    return fx.vectors(spark, sf).where(F.col("vector").isNotNull()).select("vec_id", F.col("material_id").alias("label"))
 
 
 @query("with l as (select source, doc_id, len(regexp_split_to_array(text, '\\n')) as n from documents), i as (select source, doc_id, sum(n) over (partition by source order by doc_id) - n + 1 as start_line, sum(n) over (partition by source order by doc_id) as end_line from l where doc_id % 4 <> 0) select d.doc_id, cast(start_line as bigint) as start_line, cast(end_line as bigint) as end_line, start_line is null as missing from documents d left join i using (doc_id)")
@@ -96,36 +95,36 @@ def output_matching(spark, sf):
 
 
 @query(f"with {FUSED}, m as (select query_id, result_id, string_agg(distinct retriever, ',' order by retriever) as matched_fields from al group by 1, 2) select fu.query_id, fu.result_id, score, cast(rank as int) as rank, retrievers, matched_fields, case when contains(matched_fields, 'semantic') then 'semantic' else 'lexical' end as source, substr(text, 1, 20) as summary from fu join m using (query_id, result_id) left join documents on doc_id = result_id")
-def field_merge(spark, sf, found=both):
+def field_merge(spark, sf):
     """RF3: fields merged across retrievers, the later metadata win."""
     texts = fx.read(spark, sf, "documents").select(F.col("doc_id").alias("result_id"), F.substring("text", 1, 20).alias("summary"))
-    rows = found(spark, sf).join(texts, "result_id", "left").withColumn("matched_fields", F.array("retriever")).withColumn("metadata", F.create_map(F.lit("source"), F.col("retriever")))
+    rows = both(spark, sf).join(texts, "result_id", "left").withColumn("matched_fields", F.array("retriever")).withColumn("metadata", F.create_map(F.lit("source"), F.col("retriever")))
     merged = hk.fused_with_fields(rows)
     return merged.select("query_id", "result_id", "score", "rank", "retrievers", "matched_fields", F.col("metadata")["source"].alias("source"), "summary")
 
 
 @query(f"with {FUSED} select query_id, result_id, cast(place as int) as place from hy where place <= 10 and query_id % 2 = 0 union all select query_id, vec_id, cast(rank as int) from vec where rank <= 10 and query_id % 2 = 1")
-def search_modes(spark, sf, found=both):
+def search_modes(spark, sf):
     """RF4: quality and exact queries in one batch."""
     works = fx.read(spark, sf, "documents").select(F.col("doc_id").alias("result_id"), F.col("source").alias("material_id"))
-    results = found(spark, sf).join(works, "result_id", "left")
+    results = both(spark, sf).join(works, "result_id", "left")
     asked = results.select("query_id").distinct().withColumn("mode", F.when(F.col("query_id") % 2 == 0, "quality").otherwise("exact"))
     return hk.by_mode(asked, results.where("material_id is not null or query_id % 2 = 1"), 2, 10)
 
 
 @query(f"with {FUSED}, h as (select *, (result_id % 100) / 100 as rescore from fu where rank <= 60) select query_id, result_id, cast(rank as int) as rank, rescore, cast(row_number() over (partition by query_id order by rescore desc, rank) as int) as place from h")
-def rescoring_hook(spark, sf, found=both):
+def rescoring_hook(spark, sf):
     """RF6, UD2: a user's scores on the first sixty, contract checked."""
-    return hk.rescored(rt.reciprocal_rank_fusion(found(spark, sf)), lambda rows: (rows["result_id"] % 100) / 100)
+    return hk.rescored(rt.reciprocal_rank_fusion(both(spark, sf)), lambda rows: (rows["result_id"] % 100) / 100)
 
 
 @query(f"with {VECTOR} select query_id, vec_id as result_id, cast(rank as int) as rank, 'semantic' as retriever from vec where rank <= 5")
-def retriever_registry(spark, sf, asked=few):
+def retriever_registry(spark, sf):
     """UD1: channels by name; one whose table is missing is dropped with a reason."""
     tables = {"vectors": fx.vectors(spark, sf)}
 
     def semantic(queries, t):
-        return rt.vector_search(t["vectors"], asked(t["vectors"]), id="vec_id", vector="vector", k=5).select("query_id", F.col("vec_id").alias("result_id"), "rank")
+        return rt.vector_search(t["vectors"], every(t["vectors"]), id="vec_id", vector="vector", k=5).select("query_id", F.col("vec_id").alias("result_id"), "rank")
 
     found, dropped = hk.retrieve(tables["vectors"], tables, {"semantic": semantic, "lexical": lambda q, t: t["postings"]})
     assert dropped == {"lexical": "no table postings"}
@@ -133,13 +132,13 @@ def retriever_registry(spark, sf, asked=few):
 
 
 @query(f"with {JUDGED} select query_id, recall, ndcg from mt")
-def evaluated_search(spark, sf, found=both):
+def evaluated_search(spark, sf):
     """UD5, UD3: metrics of a search function."""
     works = fx.read(spark, sf, "documents").select(F.col("doc_id").alias("result_id"), F.col("source").alias("material_id"))
-    cases = found(spark, sf).select("query_id").distinct()
+    cases = both(spark, sf).select("query_id").distinct()
     labels = fx.read(spark, sf, "labels").withColumn("m", F.col("doc_id") % 7)
     judged = cases.withColumn("m", F.col("query_id") % 7).join(labels, "m").select("query_id", F.col("doc_id").alias("result_id"), (F.col("quality") * 2 + 1 - F.col("toxic")).alias("relevance"))
-    return hk.evaluated(cases, lambda c: rt.reciprocal_rank_fusion(found(spark, sf)).join(works, "result_id"), judged, 20).select("query_id", "recall", "ndcg")
+    return hk.evaluated(cases, lambda c: rt.reciprocal_rank_fusion(both(spark, sf)).join(works, "result_id"), judged, 20).select("query_id", "recall", "ndcg")
 
 
 @F.pandas_udf(ArrayType(FloatType()))
@@ -172,14 +171,56 @@ def approximate_candidates(spark, sf):
     """TK3: hashed candidates re-ranked exactly, with the share of the exact top ten that they hold."""
     v = fx.vectors(spark, sf)
     found = hk.approximate_then_exact(v, every(v), 10)
-    exact = vector(spark, sf, 10, every).select("query_id", "vec_id")
+    exact = vector(spark, sf, 10).select("query_id", "vec_id")
     hit = found.join(exact, ["query_id", "vec_id"], "left_semi").groupBy("query_id").agg((F.count("*") / 10).alias("recall"))
     gate = ev.candidate_gate(F.col("recall"), F.lit(1.0), F.lit(1.0), F.lit(0.0), F.lit(0))
     return found.join(hit, "query_id").select("query_id", "rank", "vec_id", "score", "recall", gate.alias("passed"))
 
 
-@query("select doc_id, length(replace(text, chr(12288), ' ')) - length(text) as change, length(trim(text)) as n from documents where not contains(text, chr(10)) and text = trim(text)")
+@query(r"with c as (select doc_id, trim(regexp_replace(regexp_replace(replace(replace(text, chr(12288), ' '), chr(160), ' '), ' *\n *', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), ' ') as t from documents) select doc_id, length(t) as n, md5(t) as digest from c")
 def whitespace(spark, sf):
-    """FN5, FN6: white space and numerals; on one-line texts the chain changes nothing."""
-    d = fx.read(spark, sf, "documents").where(~F.contains("text", F.lit("\n")) & (F.col("text") == F.trim("text")))
-    return d.select("doc_id", (F.length(F.translate("text", "　", " ")) - F.length("text")).alias("change"), F.length(tx.normalize_whitespace(F.col("text"))).alias("n"))
+    """FN6: white space of all texts."""
+    clean = tx.normalize_whitespace(F.col("text"))
+    return fx.read(spark, sf, "documents").select("doc_id", F.length(clean).alias("n"), F.md5(clean).alias("digest"))
+
+
+@query()
+def whitespace_whole(spark, sf):
+    """FN5, FN6: white space of all texts, and the values of all Chinese and ASCII numerals in them."""
+    found = F.regexp_extract_all("text", F.lit(f"[{tx.NUMERAL}]+|[0-9]+"), F.lit(0))
+    values = F.transform(found, lambda x: F.coalesce(tx.numeral_value(x).cast("string"), F.lit("?")))
+    clean = tx.normalize_whitespace(F.col("text"))
+    return fx.read(spark, sf, "documents").select("doc_id", F.length(clean).alias("n"), F.md5(clean).alias("digest"), F.array_join(values, ",").alias("numbers"))
+
+
+def ranked_sql(kind: str, queries: str, docs: str, ties: str) -> str:
+    """Lexical ranking of ``docs`` (id, title, text, …) for ``queries`` (query_id, query) in SQL."""
+    words, tri = (lambda c: f"regexp_extract_all(lower({c}), '[\\p{{L}}\\p{{N}}]+')"), TRIGRAMS.format
+    return f"""select * from (with qs as ({queries}), d as ({docs}), terms as (select distinct query_id, unnest({words("query")}) as term from qs), nt as (select query_id, count(*) as n_terms from terms group by 1),
+ pos as (select id, unnest({words("text")}) as term, generate_subscripts({words("text")}, 1) as pos from d),
+ met as (select query_id, id, count(distinct pos.term) as hit, count(*) as n, min(pos) as lo, max(pos) as hi from pos join terms using (term) group by 1, 2),
+ tri as (select d.*, query_id, round(n / (hi - lo + 1), 6) as score, {tri("title")} as a, {tri("query")} as b from met join nt using (query_id) join d using (id) join qs using (query_id) where hit = n_terms),
+ lik as (select *, round(len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))), 6) as likeness from tri),
+ r as (select query_id, id, score, row_number() over (partition by query_id order by score desc, likeness desc, {ties}, id) as rank from lik)
+ select '{kind}' as document_type, query_id, id, cast(rank as int) as rank, score from r where rank <= 20)"""
+
+
+TITLE = "array_to_string(list_slice(regexp_split_to_array(text, '\\s+'), 1, 4), ' ')"
+
+
+@query(
+    ranked_sql("chapter", "select item_id as query_id, array_to_string(list_slice(regexp_split_to_array(text, '\\s+'), 1, 2), ' ') as query from benchmark", f"select doc_id as id, {TITLE} as title, text, row_number() over (partition by source order by doc_id) as chapter from documents", "chapter")
+    + " union all "
+    + ranked_sql("character", "select distinct cast(substr(p_brand, 7) as bigint) as query_id, 'widget ' || p_brand as query from part", "select p_partkey as id, p_name as title, concat_ws(' ', p_name, p_type, p_brand) as text, p_size from part", "p_size desc")
+)
+def typed_lexical(spark, sf):
+    """TK1: by cover density, then likeness of the title, then the order of the type: chapters by number, characters by
+    how often they appear."""
+    d, p, c = fx.read(spark, sf, "documents"), fx.read(spark, sf, "part"), F.col
+    title = F.array_join(F.slice(F.split("text", r"\s+"), 1, 4), " ")
+    chapters = d.select(c("doc_id").alias("id"), title.alias("title"), "text", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")).alias("chapter"))
+    people = p.select(c("p_partkey").alias("id"), c("p_name").alias("title"), F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("text"), "p_size")
+    asked = p.select("p_brand").distinct().select(F.substring("p_brand", 7, 9).cast("long").alias("query_id"), F.concat(F.lit("widget "), "p_brand").alias("query"))
+    by_type = {"chapter": (chapters, fx.search_queries(spark, sf), (F.asc("chapter"),)), "character": (people, asked, (F.desc("p_size"),))}
+    found = [rt.lexical_search(docs, queries, id="id", text="text", limit=20, title="title", ties=ties).select(F.lit(kind).alias("document_type"), "query_id", "id", "rank", "score") for kind, (docs, queries, ties) in by_type.items()]
+    return found[0].union(found[1])

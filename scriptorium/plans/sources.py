@@ -161,3 +161,30 @@ def redacted_texts(spark, sf):
     """FN21: secrets hidden in values and by key."""
     attributes = F.create_map(F.lit("api_key"), F.col("source"), F.lit("text"), F.col("text"))
     return fx.read(spark, sf, "documents").select("doc_id", F.map_values(tx.redact_map(attributes))[0].alias("key_value"), F.map_values(tx.redact_map(attributes))[1].alias("text"))
+
+
+#: Latin-1 letters whose bytes are 你好 in GB 18030, and one whose byte begins no character of it, of Big5 or of UTF-8.
+GB_BYTES, LATIN = "ÄãºÃ", "ÿ"
+
+
+@query(rf"with a as (select doc_id, text, regexp_replace(text, '[^\x00-\x7F]', '?', 'g') as plain from documents) select doc_id, md5(case doc_id % 3 when 0 then text when 1 then '你好' || plain else '{LATIN}' || plain end) as digest from a")
+def raw_scan(spark, sf):
+    """SC1: raw files in UTF-8, GB 18030 and Latin-1, each read in the first encoding that fits."""
+    docs, path = fx.read(spark, sf, "documents").select("doc_id", "text"), new_path(spark, "raw")
+    plain = F.regexp_replace("text", r"[^\x00-\x7F]", "?")
+    for i, (text, charset) in enumerate([(F.col("text"), "UTF-8"), (F.concat(F.lit(GB_BYTES), plain), "ISO-8859-1"), (F.concat(F.lit(LATIN), plain), "ISO-8859-1")]):
+        docs.where(F.col("doc_id") % 3 == i).select("doc_id", text.alias("text")).write.option("encoding", charset).option("maxRecordsPerFile", 200).json(f"{path}/{i}")
+    lines = tb.read_raw(spark, f"{path}/*").select(F.explode(F.split("text", "\n")).alias("line")).where("line <> ''")
+    return lines.select(F.from_json("line", "doc_id long, text string").alias("r")).select("r.doc_id", F.md5("r.text").alias("digest"))
+
+
+@query("select item_id as n, case when item_id % 11 = 0 then 'missing id' when item_id % 7 = 0 then 'missing query' when item_id % 5 = 0 then 'filters is no map' when item_id % 13 = 0 then 'judgments is no map' end as issue, case when item_id % 11 = 0 or item_id % 7 = 0 or item_id % 5 = 0 or item_id % 13 = 0 then null else 2 end as relevance from benchmark")
+def golden_queries(spark, sf):
+    """SC6: evaluation queries written as JSON lines and read with the checks of their structure."""
+    i, path = F.col("item_id"), new_path(spark, "cases")
+    flag = lambda n: i % n == 0
+    known = F.to_json(F.struct(F.when(~flag(11), F.concat(F.lit("q"), i.cast("string"))).alias("id"), F.when(flag(7), "").otherwise(F.col("text")).alias("query"), i.cast("string").alias("document_type")))
+    more = F.concat(F.lit(',"filters":'), F.when(flag(5), '["en"]').otherwise('{"genre":"en"}'), F.lit(',"judgments":'), F.when(flag(13), '"2"').otherwise('{"1":2}'), F.lit("}"))
+    fx.read(spark, sf, "benchmark").select(F.concat(F.substring(known, F.lit(1), F.length(known) - 1), more).alias("value")).write.text(path)
+    cases = tb.read_search_cases(spark, path)
+    return cases.select(F.col("document_type").cast("long").alias("n"), "issue", F.try_element_at("judgments", F.lit("1")).cast("int").alias("relevance"))

@@ -20,12 +20,14 @@ def appearance_counts(spark, sf):
     return st.appearance_counts(fx.appearances(spark, sf))
 
 
-@query(f"with {AP}, ac as (select material_id, name, count(*) as n, min(chapter) as first, max(chapter) as last from ap where {REG} group by 1, 2) select c_custkey, p_brand, coalesce(n, 0) as appearances, first, last from customer join (select distinct p_brand from part where p_size = 1) on true left join ac on material_id = c_custkey and name = p_brand where c_custkey % 10 = c_nationkey % 10")
+@query(f"with {AP} select c_custkey, name as p_brand, count(*) filter ({REG}) as appearances, min(chapter) filter ({REG}) as first, max(chapter) filter ({REG}) as last from customer left join ap on material_id = c_custkey group by 1, 2")
 def profile_merge(spark, sf):
-    """AG2, JO3: counts merged into profiles that may have none."""
-    people = fx.read(spark, sf, "part").where("p_size = 1").select("p_brand").distinct().agg(F.array_sort(F.collect_list("p_brand")).alias("brands"))
-    works = fx.read(spark, sf, "customer").where("c_custkey % 10 = c_nationkey % 10").select("c_custkey").crossJoin(F.broadcast(people)).select("c_custkey", F.explode("brands").alias("p_brand"))
-    counts = st.appearance_counts(fx.appearances(spark, sf)).toDF("c_custkey", "p_brand", "n", "first", "last")
+    """AG2, JO3: profiles of all that appear in any chapter of every work, with counts over regular chapters; a work
+    without any has a row without a name."""
+    seen = fx.appearances(spark, sf)
+    people = seen.select(F.col("material_id").alias("c_custkey"), F.col("name").alias("p_brand")).distinct()
+    counts = st.appearance_counts(seen).toDF("c_custkey", "p_brand", "n", "first", "last")
+    works = fx.read(spark, sf, "customer").select("c_custkey").join(people, "c_custkey", "left")
     return works.join(counts, ["c_custkey", "p_brand"], "left").select("c_custkey", "p_brand", F.coalesce("n", F.lit(0)).alias("appearances"), "first", "last")
 
 
@@ -220,16 +222,21 @@ def first_wins_dedupe(spark, sf):
     return fx.read(spark, sf, "part").withColumn("n", F.row_number().over(w)).where("n = 1").select("p_partkey", "p_type", "p_name")
 
 
-@query(f"with {OC}, m as (select material_id, min(chapter) filter (tension_level >= 4) as k, min(chapter) as c from oc group by 1) select material_id, cast(row_number() over (order by coalesce(k, 1000000000), material_id) as int) as place from m where c is not null and material_id < 50")
+@query(f"with {OC}, m as (select material_id, min(chapter) filter (tension_level >= 4) as k from oc group by 1) select material_id, row_number() over (order by coalesce(k, 1000000000), material_id) as place from m")
 def stage_map_order(spark, sf):
-    """AG24: stages by the start of their first range, those without one last."""
-    first = fx.order_chapters(spark, sf).where("material_id < 50").groupBy("material_id").agg(F.min(F.when(F.col("tension_level") >= 4, F.col("chapter"))).alias("k"))
-    order = F.array_sort(F.collect_list(F.struct(F.coalesce("k", F.lit(10**9)).alias("k"), "material_id")))
-    return first.agg(order.alias("a")).select(F.posexplode("a").alias("p", "s")).select("s.material_id", (F.col("p") + 1).alias("place"))
+    """AG24: stages of all works by the start of their first range, those without one last; numbered range by range."""
+    first = fx.order_chapters(spark, sf).groupBy("material_id").agg(F.min(F.when(F.col("tension_level") >= 4, F.col("chapter"))).alias("k"))
+    return st.numbered(first.select("material_id", F.coalesce("k", F.lit(10**9)).alias("k")), ["k", "material_id"], "place").select("material_id", "place")
 
 
-@query(f"with {OC} select material_id, count(*) as sampled, min(chapter) as lo, max(chapter) as hi, case when count(*) < 3 then 'few chapters' else '' end as limitation from oc where chapter % 5 = 1 group by 1")
+@query(f"with {OC}, s as (select material_id, chapter, max(chapter) over (partition by material_id) as n from oc), t as (select * from s where n <= 7 or list_contains(list_transform(range(7), lambda i: i * (n - 1) // 6), chapter - 1)) select material_id, count(*) as sampled, min(chapter) as lo, max(chapter) as hi, case when count(*) < 3 then 'few chapters' else '' end as limitation from t group by 1")
 def sampling_coverage(spark, sf):
-    """FN25."""
-    c = fx.order_chapters(spark, sf).where("chapter % 5 = 1")
+    """FN25: of the even sample of each work's chapters."""
+    c = st.even_sample(fx.order_chapters(spark, sf), "material_id", ["chapter"], 7)
     return c.groupBy("material_id").agg(F.count("*").alias("sampled"), F.min("chapter").alias("lo"), F.max("chapter").alias("hi"), F.when(F.count("*") < 3, "few chapters").otherwise("").alias("limitation"))
+
+
+@query("with n as (select doc_id, source, row_number() over (partition by source order by doc_id) - 1 as place, count(*) over (partition by source) as size from documents), s as (select * from n where size <= 15 or list_contains(list_transform(range(15), lambda i: i * (size - 1) // 14), place)) select doc_id, source, cast((row_number() over (partition by source order by doc_id) - 1) // 3 + 1 as bigint) as batch from s")
+def progressive_batches(spark, sf):
+    """WN6: five batches of three from each work."""
+    return st.progressive_batches(fx.read(spark, sf, "documents").select("doc_id", "source"), "source", ["doc_id"], 3)

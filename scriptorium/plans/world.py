@@ -133,3 +133,26 @@ def vector_attach(spark, sf):
     v = fx.read(spark, sf, "embeddings").select("vec_id", "label")
     a, b = v.where("vec_id % 2 = 0").toDF("vec_id", "a"), v.where("vec_id % 3 = 0").toDF("vec_id", "b")
     return v.select("vec_id").join(a, "vec_id", "left").join(b, "vec_id", "left").select("vec_id", F.coalesce("a", "b").alias("label"))
+
+
+@query("""with b as (select s_suppkey as k, s_name as name, n_name as nation, s_suppkey % 5 as m from supplier join nation on s_nationkey = n_nationkey)
+ select 'premise:' || k as key, concat_ws(' | ', case when m > 0 then '前提: ' || name end, case when m <> 1 then '主题: ' || nation || ', ' || name end, case when m = 2 then '基调: ' || nation end) as text from b
+ union all select 'character:' || k, case when m = 4 then name else concat_ws(' | ', '弧线: ' || nation, case when m = 1 then 'obsession: ' || name end, case when m = 1 then 'motivation: ' || nation end, case when m = 2 then '功能: ' || name end) end from b
+ union all select 'entity:' || k, concat_ws(' | ', '名称: ' || name, case when m = 0 then '描述: ' || nation end, case k % 4 when 0 then 'levels: 1, 2, 3, 4, 5 | rules: ' || name when 1 then 'leader: ' || nation when 2 then 'importance: ' || nation else 'levels: 1, 2, 3, 4, 5, 6, 7, 8 | rules: ' || name || ' | leader: ' || nation || ' | importance: ' || nation end, case when m > 2 then '证据: a; b; c; d; e' end) from b
+ union all select 'beat:' || k, case m when 0 then name when 1 then nation when 2 then null else name || ' | ' || nation end from b""")
+def embedding_builders(spark, sf):
+    """FN20: texts of works, characters, world entities by type, and beats."""
+    b = fx.read(spark, sf, "supplier").join(fx.read(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    k, m, name, nation, no = F.col("s_suppkey"), F.col("s_suppkey") % 5, F.col("s_name"), F.col("n_name"), F.lit(None).cast("string")
+    only = lambda when, value: F.when(when, value)
+    premise = tx.premise_text(only(m > 0, name), only(m != 1, F.array(nation, name)), only(m == 2, F.array(nation)))
+    mind = F.when(m == 1, F.create_map(F.lit("motivation"), nation, F.lit("obsession"), name, F.lit("age"), name))
+    character = tx.character_text(name, only(m != 4, nation), no, mind, only(m == 2, name))
+    kind = F.when(k % 4 == 0, "power_systems").when(k % 4 == 1, "factions").when(k % 4 == 2, "regions").otherwise("items")
+    levels = F.array(*[F.lit(str(i)) for i in range(1, 10)])
+    properties = F.create_map(F.lit("levels"), levels, F.lit("rules"), F.array(name), F.lit("leader"), F.array(nation), F.lit("importance"), F.array(nation))
+    evidence = F.when(m > 2, F.array(*[F.lit(x) for x in ("a", "", "b", "c", "d", "e", "f")]))
+    entity = tx.entity_text(kind, name, only(m == 0, nation), properties, evidence)
+    beat = tx.beat_text(only(m != 1, only(m != 2, name)), F.when(m == 1, nation).when(m > 2, nation).otherwise(""))
+    texts = F.map_from_arrays(F.array(*[F.lit(x) for x in ("premise", "character", "entity", "beat")]), F.array(premise, character, entity, beat))
+    return b.select(k, F.explode(texts).alias("kind", "text")).select(F.concat_ws(":", "kind", k.cast("string")).alias("key"), "text")

@@ -98,3 +98,17 @@ def sync_status(results: DataFrame) -> DataFrame:
     count = lambda s: F.count_if(F.col("status") == s)
     one = results.agg(F.count("*").alias("total"), count("succeeded").alias("succeeded"), count("failed").alias("failed"), count("skipped").alias("skipped"))
     return one.withColumn("status", F.when(F.col("failed") == 0, "success").when(F.col("succeeded") > 0, "degraded").otherwise("failed"))
+
+
+SEARCH_CASE = "id string, query string, document_type string, filters string, judgments string, require_diversity boolean, require_neighbors boolean, broken string"
+
+
+def read_search_cases(spark: SparkSession, path: str) -> DataFrame:
+    """Evaluation queries as JSON lines, with the first structural fault of each in ``issue``, null for none: no JSON object,
+    a required field that is missing or empty, or filters or judgments that are no map.  Absent maps are empty."""
+    rows = spark.read.schema(SEARCH_CASE).option("columnNameOfCorruptRecord", "broken").json(path)
+    no_map = lambda c: F.col(c).isNotNull() & ~F.startswith(F.ltrim(c), F.lit("{"))
+    missing = [F.when(F.coalesce(c, F.lit("")) == "", f"missing {c}") for c in ("id", "query", "document_type")]
+    issue = F.coalesce(F.when(F.col("broken").isNotNull(), "no object"), *missing, *[F.when(no_map(c), f"{c} is no map") for c in ("filters", "judgments")])
+    read = lambda c: F.coalesce(F.from_json(c, "map<string,string>"), F.create_map().cast("map<string,string>"))
+    return rows.withColumn("issue", issue).withColumns({c: F.when(F.col("issue").isNull(), read(c)) for c in ("filters", "judgments")})

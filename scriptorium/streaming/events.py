@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.sources.shared import new_path
+from scriptorium.sources.shared import VersionedTable, new_path
 
 LATE = "10 minutes"
 
@@ -78,3 +78,18 @@ def drained(stream: DataFrame, mode: str) -> DataFrame:
     sink = stream.writeStream.outputMode(mode).option("checkpointLocation", state).trigger(availableNow=True)
     sink.foreachBatch(lambda rows, _: rows.write.mode(write).parquet(out)).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
+
+
+def upserted(stream: DataFrame, table: VersionedTable, keys: list[str], order: list[str]) -> DataFrame | None:
+    """Every micro-batch of changed rows upserted into ``table``: the newest row of a key by ``order`` stays, whichever batch
+    it comes in, so that a batch that is run again changes nothing.  Each batch writes the next version of the whole
+    table; readers keep the one that they began with.  Returns the table once the stream is drained."""
+
+    def step(rows: DataFrame, _: int) -> None:
+        stored = table.read()
+        both = rows if stored is None else stored.unionByName(rows)
+        table.write(both.groupBy(*keys).agg(F.max_by(F.struct(*rows.columns), F.struct(*order)).alias("row")).select("row.*"))
+
+    state = new_path(stream.sparkSession, "stream-state")
+    stream.writeStream.option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(step).start().awaitTermination()
+    return table.read()

@@ -82,3 +82,29 @@ def test_throttle_totals_come_with_the_watermark(spark, tmp_path):
     got = sv.drained(sv.throttled(stream), "append").collect()
     assert sorted((r.run_id, r.n) for r in got if r.kind == "sample") == [(1, 1), (1, 2), (1, 3), (2, 1), (2, 2)]
     assert [(r.run_id, r.n) for r in got if r.kind == "total"] == [(1, 5)]
+
+
+def test_search_cases_are_checked(spark, tmp_path):
+    lines = ['{"id":"a","query":"x","document_type":"chapter","judgments":{"1":3}}', '{"id":"","query":"x","document_type":"chapter"}', '{"id":"b","query":"x","document_type":"chapter","filters":[1]}', "no json", '{"id":"c","query":"x","document_type":"chapter","judgments":"x"}']
+    (tmp_path / "cases.json").write_text("\n".join(lines))
+    got = tb.read_search_cases(spark, str(tmp_path)).select("id", "issue", "filters", "judgments").collect()
+    assert sorted((r["issue"] or "") for r in got) == ["", "filters is no map", "judgments is no map", "missing id", "no object"]
+    assert [(r["filters"], r["judgments"]) for r in got if r["issue"] is None] == [({}, {"1": "3"})]
+
+
+def test_profile_quality_without_targets_or_profiles(spark):
+    works = spark.createDataFrame([(1, None, None), (2, -1, -1), (3, 1, 4)], "material_id int, target_count int, failed_count int")
+    rows = [(1, "a", "full", True, None), (1, "b", None, True, None), (1, "c", None, None, ["x"]), (3, "a", "full", True, None), (3, "b", "full", True, None)]
+    profiles = spark.createDataFrame(rows, "material_id int, name string, level string, complete boolean, schema_issues array<string>")
+    targets = spark.createDataFrame([(2, "z"), (3, "a"), (3, "b"), (3, None)], "material_id int, name string")
+    got = {r["material_id"]: r.asDict() for r in ql.profile_quality(works, profiles, targets).collect()}
+    assert (got[1]["full"], got[1]["partial"], got[1]["targets"], got[1]["completed"], got[1]["failed"]) == (2, 1, 0, 1, 0)
+    assert (got[2]["full"], got[2]["targets"], got[2]["completed"]) == (0, 1, 0)
+    assert (got[3]["targets"], got[3]["completed"], got[3]["failed"]) == (1, 1, 4)
+
+
+def test_lexical_ties_by_title_then_by_type(spark):
+    docs = spark.createDataFrame([(1, "zzz", "red ring", 5), (2, "red", "red ring", 1), (3, "zzz", "red ring", 9), (4, None, "red ring", 9)], "id int, name string, body string, size int")
+    asked = spark.createDataFrame([(7, "red")], "query_id int, query string")
+    found = rt.lexical_search(docs, asked, id="id", text="body", title="name", ties=(F.desc("size"),))
+    assert [r["id"] for r in found.orderBy("rank").collect()] == [2, 3, 1, 4]

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scriptorium.plans import events as plan
+from scriptorium.sources.shared import VersionedTable, new_path
 from scriptorium.streaming import events as st
 
 SF = "/root/testdata/sf0.001"
@@ -36,3 +37,13 @@ def test_throttle_takes_the_earliest_of_all_chunks(spark, tmp_path):
     finally:
         spark.conf.set(key, before)
     assert got.sort_values("n")["event_id"].tolist() == [49, 48, 47]
+
+
+def test_upsert_keeps_the_newest_row_whichever_file_it_comes_in(spark, tmp_path):
+    for i, rows in enumerate([[(1, 5, "new"), (2, 1, "only")], [(1, 3, "old"), (3, 7, "late")]]):
+        pd.DataFrame(rows, columns=["k", "at", "v"]).to_parquet(tmp_path / f"part-{i}.parquet")
+    changes = spark.readStream.schema("k long, at long, v string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path))
+    table = VersionedTable(spark, new_path(spark, "upserted"))
+    got = st.upserted(changes, table, ["k"], ["at"])
+    assert sorted(r["v"] for r in got.collect()) == ["late", "new", "only"]
+    assert table.version() == 2

@@ -4,12 +4,10 @@ import hashlib
 import re
 from collections import defaultdict
 
-import duckdb
 import numpy as np
 import pandas as pd
 import pytest
 
-from scriptorium import fixtures as fx
 from scriptorium import registry
 from scriptorium.functions import text as tx
 from scriptorium.operators import retrieval as rt
@@ -47,7 +45,7 @@ def matching(k):
 def test_vector_search_in_blocks_and_slices(spark, monkeypatch):
     for name, n in (("QUERY_BLOCK", 3), ("VECTOR_SLICE", 100), ("CHUNK", 32)):
         monkeypatch.setattr(rt, name, n)
-    got = registry.QUERIES["vector_top_k_whole"](spark, SF).toPandas().sort_values(["query_id", "rank"])
+    got = registry.QUERIES["vector_top_k"](spark, SF).toPandas().sort_values(["query_id", "rank"])
     assert got.groupby("query_id")["vec_id"].agg(list).to_dict() == nearest(20)
 
 
@@ -57,35 +55,16 @@ def test_fusion_of_the_whole_benchmark(spark):
         for q, ids in found.items():
             for rank, i in enumerate(ids, 1):
                 score[q, i] += 1 / (60 + rank)
-    got = registry.QUERIES["rank_fusion_whole"](spark, SF).toPandas()
+    got = registry.QUERIES["rank_fusion"](spark, SF).toPandas()
     assert {(q, r): s for q, r, s in got[["query_id", "result_id", "score"]].itertuples(index=False)} == {k: round(s, 9) for k, s in score.items()}
 
 
 def test_metrics_and_candidates_of_more_than_five_queries(spark):
     asked = set(matching(1)) | set(nearest(1))
-    assert set(registry.QUERIES["relevance_metrics_whole"](spark, SF).toPandas()["query_id"]) == asked
+    assert set(registry.QUERIES["relevance_metrics"](spark, SF).toPandas()["query_id"]) == asked
     assert set(registry.QUERIES["approximate_candidates"](spark, SF).toPandas()["query_id"]) == set(nearest(1))
 
 
-AP, OC = fx.APPEARANCES, fx.ORDER_CHAPTERS
-TABLES = {
-    "stage_map_order_whole": f"with {OC}, m as (select material_id, min(chapter) filter (tension_level >= 4) as k from oc group by 1) select material_id, row_number() over (order by coalesce(k, 1000000000), material_id) as place from m",
-    "vector_guard_whole": "select vec_id, label from embeddings where embedding is not null",
-    "profile_merge_whole": f"with {AP} select c_custkey, name as p_brand, count(*) filter (type not in ('afterword', 'author_note')) as appearances, min(chapter) filter (type not in ('afterword', 'author_note')) as first, max(chapter) filter (type not in ('afterword', 'author_note')) as last from customer left join ap on material_id = c_custkey group by 1, 2",
-    "sampling_coverage_whole": f"with {OC}, s as (select material_id, chapter, max(chapter) over (partition by material_id) as n from oc), t as (select * from s where n <= 7 or list_contains(list_transform(range(7), lambda i: i * (n - 1) // 6), chapter - 1)) select material_id, count(*) as sampled, min(chapter) as lo, max(chapter) as hi, case when count(*) < 3 then 'few chapters' else '' end as limitation from t group by 1",
-}
-
-
-@pytest.mark.parametrize("name", sorted(TABLES))
-def test_whole_table(spark, name):
-    db = duckdb.connect()
-    for t in "customer part orders lineitem embeddings".split():
-        db.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
-    want, got = db.sql(TABLES[name]).df(), registry.QUERIES[name](spark, SF).toPandas()
-    plain = lambda d: sorted(d[want.columns.tolist()].astype(object).where(d.notna(), None).map(lambda v: str(int(v)) if isinstance(v, float) else str(v)).itertuples(index=False, name=None))
-    assert plain(got) == plain(want)
-
-
 def read_numeral(word):
     """Recursively: what stands before the last myriad times it, plus the rest."""
     if word.isascii():
