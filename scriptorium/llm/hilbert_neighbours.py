@@ -67,6 +67,23 @@ def vectors_of(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 1)
 
 
+def packed(x: np.ndarray, dtype: str) -> pa.Array:
+    """Rows of a matrix as byte strings, which Spark shuffles as they are."""
+    x = np.ascontiguousarray(x, dtype)
+    ends = np.arange(len(x) + 1, dtype=np.int32) * np.int32(x.shape[1] * x.itemsize)
+    return pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(ends), pa.py_buffer(x)])
+
+
+def unpacked(column: pa.Array, dtype: str, d: int) -> np.ndarray:
+    """The float64 matrix of ``d`` columns that was packed."""
+    column = column.cast(pa.binary())
+    if not len(column):
+        return np.empty((0, d))
+    _, ends, data = column.buffers()
+    ends = np.frombuffer(ends, np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(data, np.uint8)[ends[0] : ends[-1]].view(dtype).reshape(len(column), d).astype(np.float64)
+
+
 def usable(vectors: DataFrame, id: str, vector: str) -> DataFrame:
     """(vec_id, vec) of the rows that take part."""
     vec = F.col(vector).cast("array<double>")
@@ -81,11 +98,14 @@ def nearest(vectors: DataFrame, *, id: str, vector: str, is_query: Column, k: in
     another length than most take no part.  Ties go to the smaller id; a query never finds its own id, and rows that
     repeat an id count as one vector, the nearest of them.  An empty table gives an empty result.
 
+    Vectors travel as byte strings, of single floats where the column holds those.
+
     Recall rests on ``how.share``: windows are a share of all rows because the recall of a fixed window falls as rows
     are added.
     """
     spark = vectors.sparkSession
     rows = usable(vectors, id, vector)
+    dtype = "<f4" if vectors.select(vector).schema[0].dataType.elementType.typeName() == "float" else "<f8"
     result = "query_id long, rank int, vec_id long, score double"
     sizes = rows.groupBy(F.size("vec").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").limit(1).collect()
     if not sizes:
@@ -113,11 +133,12 @@ def nearest(vectors: DataFrame, *, id: str, vector: str, is_query: Column, k: in
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in (batch.slice(i, 2000) for i in range(0, len(batch), 2000)):
-                x = vectors_of(part.column(1)) - mean
+                own = vectors_of(part.column(1))
+                x, vec = own - mean, packed(own, dtype)
                 for c in range(how.curves):
                     grid = (x @ turns[c] / spread[c] + 3 + shift[c] / 2) / 6.5 * (1 << how.bits)
                     key = hilbert_index(np.clip(grid, 0, (1 << how.bits) - 1).astype(np.int64), how.bits)
-                    yield pa.RecordBatch.from_arrays([pa.array([c] * len(part), pa.int32()), pa.array(key), *part.columns], names=["curve", "key", "vec_id", "vec"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), c, np.int32)), pa.array(key), part.column(0), vec], names=["curve", "key", "vec_id", "vec"])
 
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seen = TaskContext.get().partitionId(), {}
@@ -128,12 +149,12 @@ def nearest(vectors: DataFrame, *, id: str, vector: str, is_query: Column, k: in
                 own = np.flatnonzero(curve == c)
                 place[own] = seen.get(c, 0) + np.arange(len(own))
                 seen[c] = seen.get(c, 0) + len(own)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array([part] * len(batch), pa.int64()), pa.array(place)], names=["curve", "vec_id", "vec", "part", "place"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(np.full(len(batch), part, np.int64)), pa.array(place)], names=["curve", "vec_id", "vec", "part", "place"])
 
     parts = max(how.curves, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    placed = rows.mapInArrow(keyed, "curve int, key long, vec_id long, vec array<double>")
+    placed = rows.mapInArrow(keyed, "curve int, key long, vec_id long, vec binary")
     placed = placed.repartitionByRange(parts, "curve", "key", "vec_id").sortWithinPartitions("curve", "key", "vec_id")
-    ordered = written(placed.mapInArrow(numbered, "curve int, vec_id long, vec array<double>, part long, place long"), "curves")
+    ordered = written(placed.mapInArrow(numbered, "curve int, vec_id long, vec binary, part long, place long"), "curves")
     before = Window.partitionBy("curve").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = ordered.groupBy("curve", "part").agg(F.count("*").alias("n")).withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
     ranked = ordered.join(starts, ["curve", "part"]).withColumn("at", F.col("place") + F.col("start")).drop("part", "place", "start")
@@ -153,7 +174,7 @@ def nearest(vectors: DataFrame, *, id: str, vector: str, is_query: Column, k: in
             t = t.combine_chunks()
             asks = t.column("query").to_numpy()
             at, ids = t.column("at").to_numpy(), t.column("vec_id").to_numpy()
-            x = vectors_of(t.column("vec").chunk(0))
+            x = unpacked(t.column("vec").chunk(0), dtype, d)
             q, r = np.flatnonzero(asks), np.flatnonzero(~asks)
             if not len(q) or not len(r):
                 continue

@@ -23,6 +23,15 @@ def test_the_curve_visits_neighbouring_cells():
         assert (np.abs(np.diff(path, axis=0)).sum(1) == 1).all()
 
 
+def test_vectors_come_back_from_byte_strings():
+    x = np.random.default_rng(3).normal(size=(9, 5)).astype(np.float32)
+    for dtype in ("<f4", "<f8"):
+        one = hn.packed(x, dtype)
+        assert (hn.unpacked(one, dtype, 5) == x.astype(np.float64)).all()
+        assert (hn.unpacked(one.slice(4, 3), dtype, 5) == x[4:7]).all()
+        assert hn.unpacked(one.slice(9), dtype, 5).shape == (0, 5)
+
+
 def test_small_tables_are_exact_and_odd_vectors_take_no_part(spark):
     rng = np.random.default_rng(1)
     rows = [(i, rng.normal(size=4).tolist()) for i in range(60)]
