@@ -10,13 +10,16 @@ import corpus_pipeline
 from scriptorium.llm.best_fit import pack
 from scriptorium.llm.byte_cnn import learn_quality, score_quality
 from scriptorium.llm.common import fold, table
+from scriptorium.llm.conversation_repair import damaged, repaired_conversations
 from scriptorium.llm.decontamination import find_leaks
 from scriptorium.llm.extendible_sharding import shard
 from scriptorium.llm.gru_language_model import language_model_scores
 from scriptorium.llm.hilbert_neighbours import nearest
 from scriptorium.llm.language_profiles import identify_language, learn_prototypes
 from scriptorium.llm.license_index import scan_licenses
+from scriptorium.llm.line_cleaning import clean_lines
 from scriptorium.llm.near_duplicates import Similarity, near_duplicates
+from scriptorium.llm.spelling_trie import spelling_variants
 from scriptorium.llm.token_transducer import annotate_token_counts
 
 
@@ -76,6 +79,20 @@ def op10_hilbert_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(vectors, id="vec_id", vector="embedding", is_query=F.col("vec_id") % 100 == 0, k=10)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_quality_classifier, op3_language_model, op4_benchmark_leaks, op5_language_id, op6_minhash_near_duplicates, op7_extendible_shards, op8_best_fit_packing, op9_license_scan, op10_hilbert_neighbours)}
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"), id="doc_id", text="text", spoil=199)
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    return repaired_conversations(damaged(turns), turns)
+
+
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return clean_lines(docs, text="text").select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_quality_classifier, op3_language_model, op4_benchmark_leaks, op5_language_id, op6_minhash_near_duplicates, op7_extendible_shards, op8_best_fit_packing, op9_license_scan, op10_hilbert_neighbours, op11_spelling_variants, op12_conversation_repair, op13_quality_rules)}
 QUERIES["pipeline"] = corpus_pipeline.run
 ORACLES: dict[str, str] = {}
