@@ -21,8 +21,9 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from scriptorium.llm.common import extended, sampled, with_columns, written
+from scriptorium.llm.common import BOX, boxed, extended, sampled, unboxed, with_columns, written
 
 CLASSES, MEMBERS = 32, 32
 SYMBOLS = CLASSES * MEMBERS
@@ -385,16 +386,17 @@ def language_model_scores(docs: DataFrame, *, id: str, text: str, where: Column)
     Adds ``n_tokens`` (words and the end), ``n_known`` (those that occur in training), ``train_tokens``, ``base_score``
     (the smoothed unigram log10 probability) and ``score`` (the model's log10 probability of the whole text).  A null or
     empty text is its end alone; repeated rows are scored alike; without any training row every word is unseen.
-    Existing columns of the new names are replaced; an empty table gives an empty one.
+    Existing columns of the new names are replaced, all others are kept whatever their names; an empty table gives an
+    empty one.
     """
     spark = docs.sparkSession
     new = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
     keep = [c for c in docs.columns if c != text and c not in new]
-    training = docs.where(where).select(id, text)
-    counts = written(count_words(training, text), "word-counts")
+    training = docs.where(where).select(F.col(id).alias("id"), F.col(text).alias("text"))
+    counts = written(count_words(training, "text"), "word-counts")
     lex = build_lexicon(counts)
     lexicon = spark.sparkContext.broadcast(lex)
-    model = spark.sparkContext.broadcast(train(training, id=id, text=text, lexicon=lexicon, lex=lex).w)
+    model = spark.sparkContext.broadcast(train(training, id="id", text="text", lexicon=lexicon, lex=lex).w)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex, gru, part, row = lexicon.value, GRU(model.value), TaskContext.get().partitionId(), 0
@@ -402,7 +404,7 @@ def language_model_scores(docs: DataFrame, *, id: str, text: str, where: Column)
         for batch in batches:
             columns: dict[str, list] = {k: [] for k in ("_n", "_known", "_base", "_tail")}
             symbols, rare_words, rare_counts, offsets = [], [], [], [0]
-            for value in batch.column(batch.schema.get_field_index(text)).to_pylist():
+            for value in batch.column(1).to_pylist():
                 words = words_of(value)
                 at, symbol = symbols_of(words, lex)
                 symbols.append(symbol)
@@ -416,11 +418,11 @@ def language_model_scores(docs: DataFrame, *, id: str, text: str, where: Column)
             score = gru.score(symbols, int(lex.symbol[lex.end])) / np.log(10) + np.array(columns["_tail"])
             parts = [pa.array(rare_words, pa.binary()).cast(pa.string()), pa.array(list(map(tail_bucket, rare_words)), pa.int32()), pa.array(rare_counts, pa.int64())]
             rare = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(parts, names=["word", "tail", "n"]))
-            yield with_columns(batch, keep, _part=pa.array([part] * len(batch), pa.int64()), _row=pa.array(range(row, row + len(batch)), pa.int64()), _n=pa.array(columns["_n"], pa.int64()), _known=pa.array(columns["_known"], pa.int64()), _base=pa.array(columns["_base"], pa.float64()), _score=pa.array(score), _rare=rare)
+            yield with_columns(batch, [BOX], _part=pa.array([part] * len(batch), pa.int64()), _row=pa.array(range(row, row + len(batch)), pa.int64()), _n=pa.array(columns["_n"], pa.int64()), _known=pa.array(columns["_known"], pa.int64()), _base=pa.array(columns["_base"], pa.float64()), _score=pa.array(score), _rare=rare)
             row += len(batch)
 
-    kept = docs.select(*keep, text)
-    schema = extended(docs.select(*keep).schema, "_part long, _row long, _n long, _known long, _base double, _score double, _rare array<struct<word:string,tail:int,n:bigint>>")
+    kept = boxed(docs, keep, text=F.col(text))
+    schema = extended(StructType([kept.schema[BOX]]), "_part long, _row long, _n long, _known long, _base double, _score double, _rare array<struct<word:string,tail:int,n:bigint>>")
     scored = written(kept.mapInArrow(run, schema), "scored")
     rare = scored.select("_part", "_row", F.explode("_rare").alias("r")).select("_part", "_row", "r.*")
     c = F.coalesce("c", F.lit(0)) + 0.5
@@ -430,4 +432,4 @@ def language_model_scores(docs: DataFrame, *, id: str, text: str, where: Column)
     )
     out = scored.drop("_rare").join(added, ["_part", "_row"], "left")
     zero = lambda name: F.coalesce(name, F.lit(0))
-    return out.select(*keep, F.col("_n").alias("n_tokens"), (F.col("_known") + zero("k")).alias("n_known"), F.lit(lex.tokens).cast("long").alias("train_tokens"), (F.col("_base") + zero("b")).alias("base_score"), (F.col("_score") + zero("s")).alias("score"))
+    return out.select(*unboxed(keep, kept.schema), F.col("_n").alias("n_tokens"), (F.col("_known") + zero("k")).alias("n_known"), F.lit(lex.tokens).cast("long").alias("train_tokens"), (F.col("_base") + zero("b")).alias("base_score"), (F.col("_score") + zero("s")).alias("score"))

@@ -85,6 +85,15 @@ def test_odd_rows(spark):
     assert {r.n_known for r in g.language_model_scores(docs, id="doc_id", text="text", where=F.lit(False)).collect()} == {0}
 
 
+def test_columns_of_any_name_pass_through(spark):
+    names = ["s", "b", "k", "_n", "_part", "_row", "_known", "_base", "_score", "_rare", "word", "c", "caller", "id", "score"]
+    docs = spark.createDataFrame([(1, "a b a", *range(15)), (2, "c", *range(15))], ["doc_id", "text", *names])
+    rows = g.language_model_scores(docs, id="doc_id", text="text", where=F.col("doc_id") == 1).collect()
+    plain = g.language_model_scores(docs.select("doc_id", "text"), id="doc_id", text="text", where=F.col("doc_id") == 1).collect()
+    assert all([r[n] for n in names[:-1]] == list(range(14)) for r in rows)
+    assert {(r.doc_id, r.n_known, r.score) for r in rows} == {(r.doc_id, r.n_known, r.score) for r in plain}
+
+
 def test_scores_do_not_depend_on_the_batches_that_documents_come_in(spark, monkeypatch):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
     found = []
