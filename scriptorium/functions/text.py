@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 # Classes of characters.
 CJK = r"一-鿿"
 WORD = r"[\p{L}\p{N}]+"
+# All white space of Unicode, and the separators of ASCII.
+WHITE_SPACE = "\t\n\v\f\r \x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+#: White space and digits of all scripts in \s and \d, for the patterns that it precedes.
+ALL_SCRIPTS = "(?U)"
 
 
 def normalize_line_endings(text: Column) -> Column:
@@ -20,8 +24,13 @@ def normalize_whitespace(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.array_join(lines, "\n"), "\n{3,}", "\n\n"))
 
 
+def stripped(text: Column) -> Column:
+    """Without white space of any script at the ends."""
+    return F.btrim(text, F.lit(WHITE_SPACE))
+
+
 def non_blank_length(text: Column) -> Column:
-    return F.length(F.regexp_replace(text, r"\s", ""))
+    return F.length(F.regexp_replace(text, rf"{ALL_SCRIPTS}\s+", ""))
 
 
 def word_tokens(text: Column) -> Column:
@@ -120,17 +129,19 @@ NUMBERED_PREFIX = r"^\s*\d+[、\s]\s*"
 
 def is_heading(line: Column) -> Column:
     """A chapter heading: a numbered or named one, or a number and a short title."""
-    title = F.trim(F.regexp_replace(line, NUMBERED_PREFIX, ""))
-    numbered = line.rlike(NUMBERED) & ~line.rlike(NUMBERED_PREFIX + r"\d") & (F.length(title) >= 2) & ~title.startswith("第")
-    return line.rlike(HEADING) | numbered
+    title = stripped(F.regexp_replace(line, ALL_SCRIPTS + NUMBERED_PREFIX, ""))
+    is_like = lambda pattern: line.rlike(ALL_SCRIPTS + pattern)
+    numbered = is_like(NUMBERED) & ~is_like(NUMBERED_PREFIX + r"\d") & (F.length(title) >= 2) & ~title.startswith("第")
+    return is_like(HEADING) | numbered
 
 
 def arabic_headings(text: Column) -> Column:
     """The text with the number of every numbered heading in digits, wherever it stands."""
-    group = lambda i: F.regexp_extract_all(text, F.lit(NUMERAL_HEADING), i)
+    pattern = ALL_SCRIPTS + NUMERAL_HEADING
+    group = lambda i: F.regexp_extract_all(text, F.lit(pattern), i)
     joined = lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))
     found = F.zip_with(F.zip_with(group(1), F.transform(group(2), lambda n: numeral_value(n).cast("string")), joined), group(3), joined)
-    return F.when(text.rlike(NUMERAL_HEADING), F.array_join(F.zip_with(F.split(text, NUMERAL_HEADING), found, joined), "")).otherwise(text)
+    return F.when(text.rlike(pattern), F.array_join(F.zip_with(F.split(text, pattern), found, joined), "")).otherwise(text)
 
 
 # Lines that are dropped.
@@ -176,25 +187,21 @@ BOILERPLATE_PARTS = (
 
 
 def is_boilerplate(line: Column) -> Column:
-    return line.rlike("|".join(f"(?:{p})" for p in BOILERPLATE_LINES))
-
-
-def strip_boilerplate(line: Column) -> Column:
-    for pattern in BOILERPLATE_PARTS:
-        line = F.regexp_replace(line, f"(?i){pattern}", "")
-    return line
+    """Every pattern begins at the start of the line, which is therefore asked for once."""
+    parts = [f"(?i:{p.removeprefix('(?i)^')})" if p.startswith("(?i)") else f"(?:{p.removeprefix('^')})" for p in BOILERPLATE_LINES]
+    return line.rlike(f"{ALL_SCRIPTS}^(?:{'|'.join(parts)})")
 
 
-#: What every boilerplate pattern and numbered heading needs at least; texts without any of it skip them all.
-TRIGGER = r"[一-鿿：★☆●○◆◇■□▲△▼▽◐◑▓▒░]|://|[-=_*]{5}|17k|APP|QQ"
+#: A character that every part has; lines without it, or without any part, are not cut.
+IN_EVERY_PART = f"[{CJK}：]"
 
 
-def clean_text(text: Column) -> Column:
-    """Line endings, boilerplate lines and parts, headings in digits, white space: the whole chain, idempotent."""
-    plain = normalize_line_endings(text)
-    lines = F.filter(F.split(plain, "\n"), lambda x: ~is_boilerplate(x))
-    cut = arabic_headings(F.array_join(F.transform(lines, strip_boilerplate), "\n"))
-    return normalize_whitespace(F.when(text.rlike(TRIGGER), cut).otherwise(plain))
+def strip_boilerplate(line: Column) -> Column:
+    cut = line
+    for pattern in BOILERPLATE_PARTS:
+        cut = F.regexp_replace(cut, f"(?i){pattern}", "")
+    any_part = "(?i)" + "|".join(f"(?:{p})" for p in BOILERPLATE_PARTS)
+    return F.when(line.rlike(IN_EVERY_PART) & line.rlike(any_part), cut).otherwise(line)
 
 
 # Keys whose values are hidden, and values that look like secrets with what replaces them.

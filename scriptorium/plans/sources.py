@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from scriptorium import fixtures as fx
 from scriptorium.functions import text as tx
+from scriptorium.operators.cleaning import cleaned, joined
 from scriptorium.registry import query
 from scriptorium.sources import tables as tb
 from scriptorium.sources.shared import VersionedTable, new_path
@@ -116,38 +117,75 @@ def segmentation(spark, sf):
     return cut.groupBy("doc_id", "chapter").agg(F.min("i").cast("long").alias("start_line"), F.max("i").cast("long").alias("end_line"), F.sum(tx.non_blank_length(F.col("line"))).alias("word_count"))
 
 
-@query()
+@query(
+    r"""with l as (select doc_id, unnest(string_split(replace(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10))) as line, generate_subscripts(string_split(replace(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)), 1) as i from documents),
+ t as (select doc_id, i, regexp_replace(line, '^\s+|\s+$', '', 'g') as line from l where not regexp_matches(line, '^\s*[-=_*]{5,}\s*$')),
+ p as (select *, sum((line = '')::int) over (partition by doc_id order by i) as p from t),
+ b as (select doc_id, p, string_agg(line, chr(10) order by i) as body from p where line <> '' group by 1, 2),
+ n as (select *, row_number() over (partition by doc_id, body order by p) as nth from b)
+ select d.doc_id, md5(coalesce(string_agg(body, chr(10) || chr(10) order by p) filter (where nth = 1 or length(body) < 20), '')) as digest from documents d left join n on n.doc_id = d.doc_id group by 1"""
+)
 def cleaned_texts(spark, sf):
-    """FN2, FN7, WN12: the whole cleaning chain with NFC over whole texts."""
-    text = tb.composed(tx.clean_text(F.col("text")))
-    return fx.read(spark, sf, "documents").select("doc_id", text.alias("text"))
+    """FN2, FN7, WN11, WN12: the whole cleaning chain with NFC over whole texts."""
+    return cleaned(fx.read(spark, sf, "documents"), id="doc_id", text="text").select("doc_id", F.md5("text").alias("digest"))
+
+
+@query(
+    r"""with l as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as i from documents),
+ n as (select *, row_number() over (partition by doc_id, trim(line) order by i) as n from l where trim(line) <> '')
+ select doc_id, md5(string_agg(trim(line), chr(10) || chr(10) order by i) filter (where n = 1 or length(trim(line)) < 20)) as digest from n group by 1"""
+)
+def deduplicated_paragraphs(spark, sf):
+    """WN11: every line a paragraph of its own, the text put together again from the first of each."""
+    docs = fx.read(spark, sf, "documents").select("doc_id", F.regexp_replace("text", "\n", "\n\n").alias("text"))
+    return cleaned(docs, id="doc_id", text="text").select("doc_id", F.md5("text").alias("digest"))
 
 
 CHAPTERS = "select o_custkey, o_orderkey, row_number() over (partition by o_custkey order by o_orderkey) as k from orders"
 
 
+#: A paragraph that comes again in every chapter.
+REFRAIN = "江流日夜不停，两岸的灯火一盏一盏熄灭，船上的人都睡了。"
+
+
 @query(
-    f"with o as ({CHAPTERS}) select o_custkey as work_id, k as chapter, '第' || k || '章 T' || o_orderkey as heading, 'A' || o_orderkey || '。tail' || chr(10) || chr(10) || '鱼在水里游' || (case when k % 2 = 0 then chr(10) || '见第' || k || '回。' else '' end) as body from o"
+    f"""with o as ({CHAPTERS}) select o_custkey as work_id, k as chapter, (case k % 3 when 0 then '第' || translate(k::varchar, '0123456789', '０１２３４５６７８９') || '章' when 1 then '第' || k || '章' else '第 ' || k || ' 章' end) || ' T' || o_orderkey as heading,
+ 'A' || o_orderkey || '。tail' || chr(10) || chr(10) || '鱼在水里游' || (case when k % 2 = 0 then chr(10) || '见第' || k || '回。' else '' end) || (case when k = 1 then chr(10) || chr(10) || '{REFRAIN}' else '' end) as body from o"""
 )
 def chapter_segmentation(spark, sf):
-    """FN3, FN4, FN5, FN7, FN8, WN2: raw works with numbered headings in Chinese numerals, watermarks and boilerplate, through
-    the cleaning chain and the heading detector into chapters."""
+    """FN3, FN4, FN5, FN7, FN8, WN2, WN11: raw works indented with ideographic spaces, with headings in Chinese numerals and
+    full-width digits, watermarks, boilerplate and a repeated paragraph, through the cleaning chain and the heading detector
+    into chapters."""
     k, key = F.col("k"), F.col("o_orderkey").cast("string")
     digit = lambda n: F.substring(F.lit("一二三四五六七八九"), n, F.lit(1))
     tens = F.floor(k / 10).cast("int")
     numeral = F.concat(F.when(tens > 1, digit(tens)).otherwise(""), F.when(tens > 0, "十").otherwise(""), F.when(k % 10 > 0, digit((k % 10).cast("int"))).otherwise(""))
+    wide = F.translate(k.cast("string"), "0123456789", "０１２３４５６７８９")
+    heading = F.when(k % 3 == 0, F.concat(F.lit("第"), wide, F.lit("章"))).when(k % 3 == 1, F.concat(F.lit("　第"), numeral, F.lit("章"))).otherwise(F.concat(F.lit("第　"), numeral, F.lit("　章")))
     ordered = Window.partitionBy("o_custkey").orderBy("o_orderkey")
     chapters = fx.read(spark, sf, "orders").select("o_custkey", "o_orderkey", F.row_number().over(ordered).alias("k"))
     aside = F.when(k % 2 == 0, F.concat(F.lit("\n见第"), numeral, F.lit("回。"))).otherwise("")
     raw = F.concat(
-        F.lit("第"), numeral, F.lit("章 T"), key, F.lit("\r\n本书来自某站\r\n  A"), key, F.lit("请记住本站网址www.example.com。tail\n\n\n-----\n　鱼在水里游（本章完）"), aside, F.lit("\nhttp://example.com/x\n锞晞囂\n")
-    )
+        heading, F.lit(" T"), key, F.lit("\r\n　　本书来自某站\r\n  A"), key, F.lit("请记住本站网址www.example.com。tail\n\n\n-----\n　鱼在水里游（本章完）"), aside,
+        F.lit(f"\nhttp://example.com/x\n锞晞囂\n　　推荐收藏\n\n　　{REFRAIN}\n"),
+    )
     works = chapters.select("o_custkey", "k", raw.alias("raw")).groupBy("o_custkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "raw"))), lambda c: c["raw"]), "\n").alias("text"))
-    lines = works.select(F.col("o_custkey").alias("work_id"), F.posexplode(F.split(tx.clean_text(F.col("text")), "\n")).alias("i", "line"))
-    head = tx.is_heading(F.col("line"))
-    cut = lines.withColumn("head", head).withColumn("chapter", F.sum(head.cast("long")).over(Window.partitionBy("work_id").orderBy("i"))).where("chapter > 0")
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~F.col("head"), F.struct("i", "line")))), lambda x: x["line"]), "\n")
-    return cut.groupBy("work_id", "chapter").agg(F.max(F.when(F.col("head"), F.col("line"))).alias("heading"), F.trim(body, F.lit("\n")).alias("body"))
+    lines = cleaned(works, id="o_custkey", text="text").select(F.col("o_custkey").alias("work_id"), F.posexplode(F.split("text", "\n")).alias("i", "line"))
+    lines = lines.select("work_id", "i", "line", tx.is_heading(F.col("line")).alias("head"))
+    cut = lines.withColumn("chapter", F.sum(F.col("head").cast("long")).over(Window.partitionBy("work_id").orderBy("i"))).where("chapter > 0")
+    body = F.trim(joined("i", "line", ~F.col("head"), "\n"), F.lit("\n"))
+    return cut.groupBy("work_id", "chapter").agg(F.max(F.when(F.col("head"), F.col("line"))).alias("heading"), body.alias("body"))
+
+
+#: Titles of chapters, by the remainder of the document.
+TITLES = ("后记", "完本感言（一）", "番外 其一", "某某外传", "作者的话", "PS：请假", "ps:一句", "第十章 后记", "番外完本说", "第一章")
+
+
+@query(f"with t as (select doc_id, (array[{', '.join(repr(t) for t in TITLES)}])[doc_id % 10 + 1] as title from documents) select doc_id, case when doc_id % 10 in (0, 1, 8) then 'afterword' when doc_id % 10 in (2, 3) then 'extra' when doc_id % 10 in (4, 5, 6) then 'author_note' else 'normal' end as type from t")
+def chapter_title_types(spark, sf):
+    """FN9: types by titles, afterwords before extras before notes of the author."""
+    title = F.element_at(F.array(*[F.lit(t) for t in TITLES]), (F.col("doc_id") % 10 + 1).cast("int"))
+    return fx.read(spark, sf, "documents").select("doc_id", tx.chapter_type(title).alias("type"))
 
 
 @query("select doc_id, case when contains(text, '番外') then 'extra' else 'normal' end as type from documents")

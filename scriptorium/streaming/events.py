@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scriptorium.sources.keyed_table import KeyedTable
 from scriptorium.sources.shared import VersionedTable, new_path
 
 LATE = "10 minutes"
@@ -93,3 +94,16 @@ def upserted(stream: DataFrame, table: VersionedTable, keys: list[str], order: l
     state = new_path(stream.sparkSession, "stream-state")
     stream.writeStream.option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(step).start().awaitTermination()
     return table.read()
+
+
+def merged_by_batch(stream: DataFrame, table: KeyedTable, every: int = 10, state: str | None = None) -> None:
+    """Every micro-batch of changed rows stored in ``table``, in the buckets of its keys only; after each ``every`` batches
+    the buckets that changed are compacted.  With the checkpoint ``state`` of an earlier run it goes on from there."""
+
+    def step(rows: DataFrame, batch: int) -> None:
+        table.apply(rows, batch)
+        if batch % every == every - 1:
+            table.compact()
+
+    state = state or new_path(stream.sparkSession, "stream-state")
+    stream.writeStream.option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(step).start().awaitTermination()

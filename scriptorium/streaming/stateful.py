@@ -9,23 +9,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 LATE = "10 minutes"
 
 
-def micros(rows: Iterator[pd.DataFrame]) -> tuple[np.ndarray, np.ndarray]:
-    """Times in microseconds and event ids of a key's new rows, in order."""
-    parts = [(r["occurred_at"].to_numpy().astype("datetime64[us]").astype(np.int64), r["event_id"].to_numpy(np.int64)) for r in rows]
-    at, event = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
-    order = np.lexsort((event, at))
-    return at[order], event[order]
-
-
 class Episodes(StatefulProcessor):
     """What both have in common: the count and the last time of the episode that is open, and its timer."""
 
@@ -34,29 +25,30 @@ class Episodes(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.open = handle.getValueState("open", "n long, last long")
+        self.open = handle.getValueState("open", "n long, last long, timer long")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        n, last = self.open.get() if self.open.exists() else (0, None)
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:  # noqa: N802, N803
+        n, last, timer = self.open.get() or (0, None, None)
         out = []
-        for at, event in zip(*(x.tolist() for x in micros(rows))):
+        for at, event in sorted((r.at, r.event_id) for r in rows):
             if last is not None and at - last > self.gap:
                 out += self.ended(n, last)
                 n = 0
             n, last = n + 1, at if last is None else max(at, last)
             out += self.came(n, event)
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        # A timer of milliseconds, after the last moment at which the next event would still belong to the episode.
-        self.handle.registerTimer((last + self.gap) // 1000 + 1)
-        self.open.update((n, last))
-        if out:
-            yield self.frame(key, out)
-
-    def handleExpiredTimer(self, key, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        out = self.ended(*self.open.get())
+        # In milliseconds, after the last moment at which the next event would still belong to the episode.
+        expiry = (last + self.gap) // 1000 + 1
+        if timer != expiry:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(expiry)
+        self.open.update((n, last, expiry))
+        yield from (self.row(key, *o) for o in out)
+
+    def handleExpiredTimer(self, key, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
+        out = self.ended(*self.open.get()[:2])
         self.open.clear()
-        yield self.frame(key, out)
+        yield from (self.row(key, *o) for o in out)
 
     def close(self) -> None:
         pass
@@ -71,9 +63,8 @@ class Silence(Episodes):
     def ended(self, n: int, last: int) -> list[tuple]:
         return [(last, n)]
 
-    def frame(self, key, out: list[tuple]) -> pd.DataFrame:
-        since = pd.to_datetime(np.array([o[0] for o in out], np.int64), unit="us")
-        return pd.DataFrame({"run_id": np.full(len(out), key[0], np.int64), "silent_since": since, "n": np.array([o[1] for o in out], np.int64)})
+    def row(self, key, last: int, n: int) -> Row:
+        return Row(run_id=key[0], silent_since=last, n=n)
 
 
 class Throttle(Episodes):
@@ -89,21 +80,23 @@ class Throttle(Episodes):
     def ended(self, n: int, last: int) -> list[tuple]:
         return [("total", n, -1)]
 
-    def frame(self, key, out: list[tuple]) -> pd.DataFrame:
-        kinds, n, event = zip(*out)
-        return pd.DataFrame({"run_id": np.full(len(out), key[0], np.int64), "stage_id": np.full(len(out), key[1], np.int64), "event_name": [key[2]] * len(out), "kind": list(kinds), "n": np.array(n, np.int64), "event_id": np.array(event, np.int64)})
+    def row(self, key, kind: str, n: int, event: int) -> Row:
+        return Row(run_id=key[0], stage_id=key[1], event_name=key[2], kind=kind, n=n, event_id=event)
 
 
 def _with_state(events: DataFrame, keys: list[str], processor: StatefulProcessor, schema: str, late: str) -> DataFrame:
     events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
-    return events.withWatermark("occurred_at", late).groupBy(*keys).transformWithStateInPandas(processor, schema, "Append", "eventTime")
+    # Times are microseconds there, so that no time zone of a worker matters.
+    timed = events.withWatermark("occurred_at", late).withColumn("at", F.unix_micros("occurred_at"))
+    return timed.groupBy(*keys).transformWithState(processor, schema, "Append", "eventTime")
 
 
 def silences(events: DataFrame, gap_seconds: int = 3600, late: str = LATE) -> DataFrame:
     """(run_id, silent_since, n): a row as soon as the watermark tells that a run had no event for ``gap_seconds``.
 
     ``events`` has run_id long, event_id long and occurred_at timestamp."""
-    return _with_state(events, ["run_id"], Silence(gap_seconds), "run_id long, silent_since timestamp, n long", late)
+    found = _with_state(events, ["run_id"], Silence(gap_seconds), "run_id long, silent_since long, n long", late)
+    return found.withColumn("silent_since", F.timestamp_micros("silent_since"))
 
 
 def throttled_episodes(events: DataFrame, gap_seconds: int = 6 * 3600, first: int = 3, late: str = LATE) -> DataFrame:

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scriptorium.functions import text as tx
+from scriptorium.operators.cleaning import cleaned
 from scriptorium.sources import tables as tb
 
 
@@ -26,14 +27,29 @@ def test_chapter_types(spark):
     assert apply(spark, tx.chapter_type, "后记", "完本感言", "番外 一", "PS：请假", "第一章 后记之谜", "雨夜") == ["afterword", "afterword", "extra", "author_note", "normal", "normal"]
 
 
+def clean(spark, *texts):
+    rows = spark.createDataFrame([(i, t, "x", 1) for i, t in enumerate(texts)], "n int, t string, line string, paragraph int")
+    return [r["t"] for r in cleaned(rows, id="n", text="t").orderBy("n").collect()]
+
+
 def test_cleaning_is_idempotent_and_drops_boilerplate(spark):
     text = "第一章 开始\r\n=====\r\n  正文一　\r\r\n\n\n\n（本章完）\n请记住本站网址\nhttp://abc.example\n正文二本章完\n第二章 结束"
-    once = apply(spark, tx.clean_text, text)[0]
+    once = clean(spark, text)[0]
     assert once == "第1章 开始\n正文一\n\n正文二\n第2章 结束"
-    assert apply(spark, tx.clean_text, once)[0] == once
-    fish = ["鱼在水里游。", "他钓到一条大鱼\n鱼很大", "plain\r\n text \n\n\n\nend", None]
-    assert apply(spark, tx.clean_text, *fish) == [*fish[:2], "plain\ntext\n\nend", None]
-    assert apply(spark, tx.clean_text, "a 鼱鼱 b\n锞 line") == ["a  b"]
+    assert clean(spark, once)[0] == once
+    fish = ["鱼在水里游。", "他钓到一条大鱼\n鱼很大", "plain\r\n text \n\n\n\nend", None, "", " \n\n", "=====\n本章完"]
+    assert clean(spark, *fish) == [*fish[:2], "plain\ntext\n\nend", "", "", "", ""]
+    assert clean(spark, "a 鼱鼱 b\n锞 line") == ["a  b"]
+    assert clean(spark) == []
+
+
+def test_cleaning_of_indented_texts_and_repeated_paragraphs(spark):
+    assert clean(spark, "　　本书来自某站\n　　推荐收藏\n　正文。", "第１２章 风起", "第　十二　章 风起") == ["正文。", "第１２章 风起", "第 12 章 风起"]
+    assert apply(spark, tx.is_heading, "第１２章 风起", "第 12 章 风起", "１２　风起云涌") == [True, True, True]
+    assert apply(spark, tx.non_blank_length, "　　本书 来自\u00a0某站") == [6]
+    long = "这是一段足够长的文字，" * 3
+    assert clean(spark, f"{long}\n\nshort\n\n　{long}　\n\nshort\n\n\n{long}\nmore") == [f"{long}\n\nshort\n\nshort\n\n{long}\nmore"]
+    assert clean(spark, "e\u0301te\u0301 " * 9 + "\n\n" + "été " * 9) == [("été " * 9).strip()]
 
 
 def test_tokens_and_similarity(spark):
