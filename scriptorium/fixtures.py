@@ -10,15 +10,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from scriptorium.operators.statistics import numbered_within
+
 
 def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
 def text_chapters(spark: SparkSession, sf: str) -> DataFrame:
-    """(material_id, chapter, doc_id, genre, summary): documents of a source in order."""
-    place = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
-    return read(spark, sf, "documents").select(F.col("source").alias("material_id"), place.alias("chapter"), "doc_id", F.col("lang").alias("genre"), F.col("text").alias("summary"))
+    """(material_id, chapter, doc_id): documents of a source in order, numbered range by range, without their texts."""
+    docs = read(spark, sf, "documents").select(F.col("source").alias("material_id"), "doc_id")
+    return numbered_within(docs, "material_id", ["doc_id"], "chapter")
 
 
 TEXT_CHAPTERS = "tc as (select source as material_id, cast(row_number() over (partition by source order by doc_id) as int) as chapter, doc_id, lang as genre, text as summary from documents)"
@@ -92,11 +94,9 @@ def vectors(spark: SparkSession, sf: str) -> DataFrame:
     return read(spark, sf, "embeddings").select("vec_id", F.col("label").alias("material_id"), F.col("embedding").alias("vector"))
 
 
-def search_queries(spark: SparkSession, sf: str, words: int = 2) -> DataFrame:
-    """(query_id, query): the first words of every benchmark item."""
-    first = F.array_join(F.slice(F.split("text", r"\s+"), 1, words), " ")
-    return read(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), first.alias("query"))
+def search_queries(spark: SparkSession, sf: str) -> DataFrame:
+    """(query_id, query): every benchmark item as a whole."""
+    return read(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
-def search_queries_sql(words: int = 2) -> str:
-    return rf"qs as (select item_id as query_id, array_to_string(list_slice(regexp_split_to_array(text, '\s+'), 1, {words}), ' ') as query from benchmark)"
+SEARCH_QUERIES = "qs as (select item_id as query_id, text as query from benchmark)"

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from scriptorium.functions.text import trigram_similarity, word_tokens
 
-#: Queries, and vectors, that meet in a task at once, and vectors of a slice that are scored at once.
-QUERY_BLOCK, VECTOR_SLICE, CHUNK = 1024, 65_536, 2048
+#: Bytes of queries, and of vectors, that meet in a task at once, and vectors of a slice that are scored at once.
+QUERY_BYTES, VECTOR_BYTES, CHUNK = 8 << 20, 64 << 20, 2048
 
 
 def postings(docs: DataFrame, *, id: str, text: str) -> DataFrame:
@@ -52,20 +52,21 @@ def top_k(rows: DataFrame, group: str, order: list[Column], k: int) -> DataFrame
 def vector_search(vectors: DataFrame, queries: DataFrame, *, id: str, vector: str, k: int) -> DataFrame:
     """(query_id, id, rank, score): exact cosine top k for every query vector.
 
-    ``queries`` (query_id, vector) meet the vectors in tasks, in blocks of about ``QUERY_BLOCK`` by slices of about
-    ``VECTOR_SLICE``; nothing but two counts reaches the driver.  A block goes to every slice and a slice to every block,
+    ``queries`` (query_id, vector) meet the vectors in tasks, in blocks of about ``QUERY_BYTES`` by slices of about
+    ``VECTOR_BYTES``; nothing but two sizes reaches the driver.  A block goes to every slice and a slice to every block,
     and a pair of them keeps k rows for each query.  Null and zero vectors take no part.
     """
     asked = queries.where(F.col("vector").isNotNull()).select("query_id", F.col("vector").cast("array<double>").alias("vector"))
     known = vectors.where(F.col(vector).isNotNull()).select(id, F.col(vector).cast("array<double>").alias("vector"))
-    blocks, slices = asked.count() // QUERY_BLOCK + 1, known.count() // VECTOR_SLICE + 1
+    size = lambda rows: 8 * (rows.agg(F.sum(F.size("vector"))).first()[0] or 0)
+    blocks, slices = size(asked) // QUERY_BYTES + 1, size(known) // VECTOR_BYTES + 1
     dealt = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
     left = asked.select("*", dealt("query_id", blocks).alias("block"), every(slices).alias("slice"))
     right = known.select("*", every(blocks).alias("block"), dealt(id, slices).alias("slice"))
 
     def table(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        x = np.array(rows.column("vector").to_pylist(), np.float64)
+        x = np.array(rows.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(rows), -1)
         return x, np.linalg.norm(x, axis=1, keepdims=True)
 
     def run(q: pa.Table, v: pa.Table) -> pa.Table:

@@ -96,6 +96,14 @@ def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
     return ranged.withColumn("_place", place).join(offsets, "_part").withColumn(name, F.col("_offset") + F.col("_place")).drop("_part", "_place", "_offset")
 
 
+def numbered_within(rows: DataFrame, group: str, order: list[str], name: str) -> DataFrame:
+    """Adds the place of each row in its group, from 1, an int: its place in the whole table less those of earlier groups, so
+    that a group of any size lies in many tasks.  ``group`` has no nulls."""
+    placed = numbered(rows, [group, *order], name)
+    first = placed.groupBy(group).agg((F.min(name) - 1).alias("_before"))
+    return placed.join(first, group).withColumn(name, (F.col(name) - F.col("_before")).cast("int")).select(*rows.columns, name)
+
+
 def within_budget(rows: DataFrame, group: str, order: list[str], cost: Column, budget: int) -> DataFrame:
     """The ordered rows of each group until the budget is spent."""
     spent = F.sum(cost).over(Window.partitionBy(group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))

@@ -23,7 +23,7 @@ from scriptorium.sources.shared import written
 
 #: Folders by hash of the word, and documents of a range, over all lengths.
 FOLDERS, RANGE = 64, 2048
-#: Ranges that are scored first for every query.
+#: Ranges that are scored first for every query; at least as many as documents are asked for, so that there is a k-th score.
 FIRST = 4
 
 
@@ -120,7 +120,7 @@ class TextIndex:
         bound = F.least(F.lit(1.0), F.round(most, 6)).alias("bound")
         ranges = maxima.join(terms, "term").groupBy("query_id", "segment", "range").agg(F.count("*").alias("hit"), bound).join(wanted, "query_id")
         ranges = written(ranges.where("hit = n_terms") if match == "all" else ranges, "ranges")
-        first = top_k(ranges, "query_id", [F.desc("bound"), F.asc("segment"), F.asc("range")], FIRST).select("query_id", "segment", "range")
+        first = top_k(ranges, "query_id", [F.desc("bound"), F.asc("segment"), F.asc("range")], max(FIRST, limit)).select("query_id", "segment", "range")
         head = written(self._score(first, terms, wanted, match), "scored")
         least = head.withColumn("nth", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("id")))).where(F.col("nth") == limit).select("query_id", F.col("score").alias("least"))
         rest = ranges.join(first, ["query_id", "segment", "range"], "left_anti").join(least, "query_id", "left").where("least is null or bound >= least")

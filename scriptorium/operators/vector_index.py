@@ -2,7 +2,7 @@
 
 ``build`` fits centroids and code books on a bounded sample, in one task, and stores every vector in the folder of its
 nearest centroid, with a code of one byte for each part of it.  ``search`` opens the cells that lie nearest to a query,
-scores codes by table look-up, and takes the exact cosine of the best few candidates only.  How many cells are opened
+scores codes by table look-up, and takes the exact cosine of the best few candidates only.  Ids of both are longs.  How many cells are opened
 is measured when the index is built: as many as hold the asked share of the sample's own neighbours.
 """
 
@@ -25,6 +25,7 @@ SAMPLE, CALIBRATED, NEIGHBOURS = 32_768, 256, 10
 MOST_CELLS, CODES = 1024, 256
 #: Dimensions of a part, queries and codes that meet in a task, and codes that are scored at once.
 PART, QUERY_BLOCK, SLICE, CHUNK = 4, 1024, 262_144, 4096
+MODEL, CELL = "kind string, at int, value array<float>", "id long, vector array<float>, codes binary, cell int"
 
 
 def means(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 12) -> np.ndarray:
@@ -98,7 +99,7 @@ def build(vectors: DataFrame, *, id: str, vector: str, path: str, dimension: int
     several files and tasks.
     """
     spark = vectors.sparkSession
-    rows = vectors.select(F.col(id).alias("id"), F.col(vector).cast("array<float>").alias("vector"))
+    rows = vectors.select(F.col(id).cast("long").alias("id"), F.col(vector).cast("array<float>").alias("vector"))
     total = rows.count()
     cells = int(min(MOST_CELLS, max(1, total**0.5)))
 
@@ -115,7 +116,7 @@ def build(vectors: DataFrame, *, id: str, vector: str, path: str, dimension: int
 
     share = F.lit(int(min(1.0, 0.9 * SAMPLE / max(total, 1)) * (1 << 30)))
     sample = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < share).repartition(1)
-    sample.mapInArrow(fit, "kind string, at int, value array<float>").write.parquet(f"{path}/model")
+    sample.mapInArrow(fit, MODEL).write.parquet(f"{path}/model")
     model = read_model(spark, path)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,13 +129,13 @@ def build(vectors: DataFrame, *, id: str, vector: str, path: str, dimension: int
                     codes[i] = code.tobytes()
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(codes, pa.binary()), pa.array(cell)], names=["id", "vector", "codes", "cell"])
 
-    placed = rows.mapInArrow(assign, f"id {rows.schema['id'].dataType.simpleString()}, vector array<float>, codes binary, cell int")
+    placed = rows.mapInArrow(assign, CELL)
     placed.hint("rebalance", F.col("cell")).write.partitionBy("cell").parquet(f"{path}/cells")
 
 
 def read_model(spark: SparkSession, path: str) -> Model | None:
     """The stored model; its size is bounded, see ``MOST_CELLS``."""
-    rows = sorted((r["kind"], r["at"], r["value"]) for r in spark.read.parquet(f"{path}/model").collect())
+    rows = sorted((r["kind"], r["at"], r["value"]) for r in spark.read.schema(MODEL).parquet(f"{path}/model").collect())
     if not rows:
         return None
     of = lambda kind: np.array([v for k, _, v in rows if k == kind], np.float32)
@@ -144,14 +145,14 @@ def read_model(spark: SparkSession, path: str) -> Model | None:
 
 def cells(spark: SparkSession, path: str) -> DataFrame:
     """(id, vector, codes, cell) of the vectors that take part."""
-    return spark.read.parquet(f"{path}/cells").where("cell >= 0")
+    return spark.read.schema(CELL).parquet(f"{path}/cells").where("cell >= 0")
 
 
 def rejects(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/cells").where("cell < 0").select("id", "vector")
+    return spark.read.schema(CELL).parquet(f"{path}/cells").where("cell < 0").select("id", "vector")
 
 
-def routed(queries: DataFrame, model: Model, kind: str) -> DataFrame:
+def routed(queries: DataFrame, model: Model) -> DataFrame:
     """(query_id, asked, cell): every query vector, of norm 1, once for each cell that it opens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,7 +163,7 @@ def routed(queries: DataFrame, model: Model, kind: str) -> DataFrame:
             asked = pa.array([v.tobytes() for v in np.repeat(x, order.shape[1], axis=0)], pa.binary())
             yield pa.RecordBatch.from_arrays([names, asked, pa.array(order.ravel().astype(np.int32))], names=["query_id", "asked", "cell"])
 
-    return queries.select("query_id", F.col("vector").cast("array<float>").alias("vector")).mapInArrow(run, f"query_id {kind}, asked binary, cell int")
+    return queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("vector").cast("array<float>").alias("vector")).mapInArrow(run, "query_id long, asked binary, cell int")
 
 
 def candidates(spark: SparkSession, path: str, queries: DataFrame, *, most: int) -> tuple[DataFrame, DataFrame]:
@@ -170,10 +171,9 @@ def candidates(spark: SparkSession, path: str, queries: DataFrame, *, most: int)
     scanned), the codes that were looked at.  ``queries`` is (query_id, vector).  Only the folders of opened cells are read,
     and of those the codes."""
     model = read_model(spark, path)
-    kind, id_kind = queries.schema["query_id"].dataType.simpleString(), spark.read.parquet(f"{path}/cells").schema["id"].dataType.simpleString()
     if model is None:
-        return spark.createDataFrame([], f"query_id {kind}, id {id_kind}, cell int, asked binary, guess double, rank int"), spark.createDataFrame([], f"query_id {kind}, scanned long")
-    asked = written(routed(queries, model, kind), "routed")
+        return spark.createDataFrame([], "query_id long, id long, cell int, asked binary, guess double, rank int"), spark.createDataFrame([], "query_id long, scanned long")
+    asked = written(routed(queries, model), "routed")
     opened = [r["cell"] for r in asked.select("cell").distinct().collect()]  # at most MOST_CELLS
     codes = cells(spark, path).where(F.col("cell").isin(opened)).select("id", "codes", "cell")
     sizes = codes.groupBy("cell").agg(F.count("*").alias("n")).withColumn("slices", (F.col("n") / SLICE).cast("int") + 1)
@@ -215,7 +215,7 @@ def candidates(spark: SparkSession, path: str, queries: DataFrame, *, most: int)
 
 def search(spark: SparkSession, path: str, queries: DataFrame, *, k: int, most: int) -> DataFrame:
     """(query_id, id, rank, score, scanned): the ``k`` best of every query by exact cosine, to six places, among its ``most``
-    candidates, and how many codes were looked at for it.  Ids are longs.  Null, zero and odd vectors take no part."""
+    candidates, and how many codes were looked at for it.  Null, zero and odd vectors take no part."""
     found, scanned = candidates(spark, path, queries, most=most)
     found = written(found.select("query_id", "id", "cell", "asked"), "candidates")
     opened = [r["cell"] for r in found.select("cell").distinct().collect()]

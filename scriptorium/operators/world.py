@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -20,7 +20,10 @@ def relation_summaries(edges: DataFrame) -> DataFrame:
     """(entity_id, relations, degree): both directions, a loop once."""
     forward = edges.select(F.col("source_id").alias("entity_id"), F.concat(F.lit("> "), "target_id").alias("line"))
     back = edges.where("source_id <> target_id").select(F.col("target_id").alias("entity_id"), F.concat(F.lit("< "), "source_id").alias("line"))
-    return forward.union(back).groupBy("entity_id").agg(F.array_join(F.slice(F.array_sort(F.collect_list("line")), 1, 5), "; ").alias("relations"), F.count("*").alias("degree"))
+    lines = forward.union(back)
+    nth = F.row_number().over(Window.partitionBy("entity_id").orderBy("line"))
+    shown = lines.withColumn("nth", nth).where("nth <= 5").groupBy("entity_id").agg(F.array_join(F.array_sort(F.collect_list("line")), "; ").alias("relations"))
+    return shown.join(lines.groupBy("entity_id").agg(F.count("*").alias("degree")), "entity_id")
 
 
 def resolve_names(edges: DataFrame, entities: DataFrame) -> DataFrame:

@@ -10,10 +10,11 @@ from scriptorium.functions import text as tx
 from scriptorium.operators import evaluation as ev
 from scriptorium.operators import retrieval as rt
 from scriptorium.registry import query
+from scriptorium.sources.shared import written
 
 WORDS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+')"
 
-LEXICAL = f"""{fx.search_queries_sql()},
+LEXICAL = f"""{fx.SEARCH_QUERIES},
  terms as (select distinct query_id, unnest({WORDS.format('query')}) as term from qs),
  nt as (select query_id, count(*) as n_terms from terms group by 1),
  pos as (select doc_id, unnest({WORDS.format('text')}) as term, generate_subscripts({WORDS.format('text')}, 1) as pos from documents),
@@ -46,7 +47,7 @@ def lexical_top_k(spark, sf):
     return lexical(spark, sf, 20)
 
 
-@query(f"with {fx.search_queries_sql()}, terms as (select distinct query_id, unnest({WORDS.format('query')}) as term from qs), pos as (select distinct doc_id, unnest({WORDS.format('text')}) as term from documents) select query_id, count(distinct doc_id) as n_docs from terms join pos using (term) group by 1")
+@query(f"with {fx.SEARCH_QUERIES}, terms as (select distinct query_id, unnest({WORDS.format('query')}) as term from qs), pos as (select distinct doc_id, unnest({WORDS.format('text')}) as term from documents) select query_id, count(distinct doc_id) as n_docs from terms join pos using (term) group by 1")
 def lexical_match_any(spark, sf):
     """FI11 with any word."""
     docs = fx.read(spark, sf, "documents").select("doc_id", F.explode(F.array_distinct(tx.word_tokens(F.col("text")))).alias("term"))
@@ -64,7 +65,8 @@ def both(spark, sf) -> DataFrame:
     """(query_id, retriever, result_id, rank): hits of the whole benchmark and of all query vectors of the same numbers;
     queries that have one of them only keep that one."""
     lex = lexical(spark, sf).select("query_id", F.lit("lexical").alias("retriever"), F.col("doc_id").alias("result_id"), "rank")
-    return lex.union(vector(spark, sf).select("query_id", F.lit("semantic").alias("retriever"), F.col("vec_id").alias("result_id"), "rank"))
+    semantic = vector(spark, sf).select("query_id", F.lit("semantic").alias("retriever"), F.col("vec_id").alias("result_id"), "rank")
+    return written(lex.union(semantic), "results")  # searched once, however often a query reads them
 
 
 FUSED = f"""{LEXICAL}, {VECTOR},
@@ -84,10 +86,13 @@ def rank_fusion(spark, sf):
 @query(f"with {FUSED}, {fx.TEXT_CHAPTERS} select hy.query_id, cast(place as int) as place, result_id, hy.material_id, tc.chapter, score, substr(p.summary, 1, 40) as previous, substr(n.summary, 1, 40) as next from hy join tc on tc.doc_id = result_id left join tc p on p.material_id = tc.material_id and p.chapter = tc.chapter - 1 left join tc n on n.material_id = tc.material_id and n.chapter = tc.chapter + 1 where place <= 10")
 def hybrid_search(spark, sf):
     """The flagship: lexical and vector retrieval, fusion, two results of a work first, context of the final hits."""
-    chapters = fx.text_chapters(spark, sf).withColumn("short", F.substring("summary", 1, 40))
-    placed = rt.reciprocal_rank_fusion(both(spark, sf)).join(chapters.select(F.col("doc_id").alias("result_id"), "material_id", "chapter"), "result_id")
-    hits = rt.diversified(placed, cap=2, limit=10)
-    return rt.with_neighbours(hits, chapters, text="short").select("query_id", "place", "result_id", "material_id", "chapter", "score", "previous", "next")
+    chapters = fx.text_chapters(spark, sf)
+    placed = rt.reciprocal_rank_fusion(both(spark, sf)).join(chapters.withColumnRenamed("doc_id", "result_id"), "result_id")
+    hits = rt.with_neighbours(rt.diversified(placed, cap=2, limit=10), chapters, text="doc_id")
+    for side in ("previous", "next"):  # texts of the final hits' neighbours only
+        short = fx.read(spark, sf, "documents").select(F.col("doc_id").alias(side), F.substring("text", 1, 40).alias("short"))
+        hits = hits.join(short, side, "left").withColumn(side, F.col("short")).drop("short")
+    return hits.select("query_id", "place", "result_id", "material_id", "chapter", "score", "previous", "next")
 
 
 @query(f"with {FUSED} select query_id, cast(place as int) as place, result_id from hy where place <= 10")
@@ -122,8 +127,9 @@ def judgments(spark, sf, lists) -> DataFrame:
 
 def metrics(spark, sf) -> DataFrame:
     docs = fx.read(spark, sf, "documents").select(F.col("doc_id").alias("result_id"), F.col("source").alias("material_id"))
-    ranked = rt.reciprocal_rank_fusion(both(spark, sf)).join(docs, "result_id")
-    return ev.metrics_at(ranked, judgments(spark, sf, both(spark, sf)), 20)
+    lists = both(spark, sf)
+    ranked = rt.reciprocal_rank_fusion(lists).join(docs, "result_id")
+    return ev.metrics_at(ranked, judgments(spark, sf, lists), 20)
 
 
 @query(f"with {JUDGED} select * from mt")
@@ -177,11 +183,12 @@ def label_import_violations(spark, sf):
 def label_pool(spark, sf):
     """SE1: strict hits (even queries ask for one language), relaxed ones without the filter, then the inventory, which
     every fifth query has none of."""
-    docs = fx.read(spark, sf, "documents").select("doc_id", "lang")
-    hits = lexical(spark, sf, 1_000_000)
-    strict = hits.join(docs, "doc_id").where("query_id % 2 = 1 or lang = 'de'")
-    strict = strict.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank")))
-    cases = fx.search_queries(spark, sf).select("query_id")
+    docs, asked = fx.read(spark, sf, "documents"), fx.search_queries(spark, sf)
+    search = lambda rows, queries: rt.lexical_search(rows, queries, id="doc_id", text="text", limit=30)
+    hits = search(docs, asked)
+    # The filter goes before the limit, so that no strict hit is lost to others.
+    strict = search(docs.where("lang = 'de'"), asked.where("query_id % 2 = 0")).union(hits.where("query_id % 2 = 1"))
+    cases = asked.select("query_id")
     stock = docs.select("doc_id").orderBy("doc_id").limit(10).agg(F.array_sort(F.collect_list("doc_id")).alias("ids"))
     rest = cases.where("query_id % 5 <> 0").crossJoin(F.broadcast(stock)).select("query_id", F.posexplode("ids").alias("i", "doc_id")).select("query_id", "doc_id", (F.col("i") + 1).alias("rank"))
     tier = lambda df: df.select("query_id", F.col("doc_id").alias("result_id"), "rank")

@@ -135,10 +135,11 @@ def retriever_registry(spark, sf):
 def evaluated_search(spark, sf):
     """UD5, UD3: metrics of a search function."""
     works = fx.read(spark, sf, "documents").select(F.col("doc_id").alias("result_id"), F.col("source").alias("material_id"))
-    cases = both(spark, sf).select("query_id").distinct()
+    lists = both(spark, sf)
+    cases = lists.select("query_id").distinct()
     labels = fx.read(spark, sf, "labels").withColumn("m", F.col("doc_id") % 7)
     judged = cases.withColumn("m", F.col("query_id") % 7).join(labels, "m").select("query_id", F.col("doc_id").alias("result_id"), (F.col("quality") * 2 + 1 - F.col("toxic")).alias("relevance"))
-    return hk.evaluated(cases, lambda c: rt.reciprocal_rank_fusion(both(spark, sf)).join(works, "result_id"), judged, 20).select("query_id", "recall", "ndcg")
+    return hk.evaluated(cases, lambda asked: rt.reciprocal_rank_fusion(lists.join(asked, "query_id", "left_semi")).join(works, "result_id"), judged, 20).select("query_id", "recall", "ndcg")
 
 
 @F.pandas_udf(ArrayType(FloatType()))

@@ -70,15 +70,15 @@ def late_events(events: DataFrame, late_seconds: int = 90) -> DataFrame:
 
 
 def drained(stream: DataFrame, mode: str) -> DataFrame:
-    """Everything that a finite stream gives, written to the shared folder: appended, or the last complete result."""
+    """Everything that a finite stream gives, written to the shared folder: by micro-batch, so that one that runs again
+    changes nothing, or the last complete result."""
     spark = stream.sparkSession
     out, state = new_path(spark, "stream"), new_path(spark, "stream-state")
-    empty = spark.createDataFrame([], stream.schema)
-    empty.write.parquet(out)
-    write = "overwrite" if mode == "complete" else "append"
+    place = lambda batch: out if mode == "complete" else f"{out}/batch={batch}"
+    spark.createDataFrame([], stream.schema).write.parquet(place(-1))
     sink = stream.writeStream.outputMode(mode).option("checkpointLocation", state).trigger(availableNow=True)
-    sink.foreachBatch(lambda rows, _: rows.write.mode(write).parquet(out)).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+    sink.foreachBatch(lambda rows, batch: rows.write.mode("overwrite").parquet(place(batch))).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(out).select(*stream.columns)
 
 
 def upserted(stream: DataFrame, table: VersionedTable, keys: list[str], order: list[str]) -> DataFrame | None:

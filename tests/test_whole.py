@@ -43,7 +43,7 @@ def matching(k):
 
 
 def test_vector_search_in_blocks_and_slices(spark, monkeypatch):
-    for name, n in (("QUERY_BLOCK", 3), ("VECTOR_SLICE", 100), ("CHUNK", 32)):
+    for name, n in (("QUERY_BYTES", 3 * 512), ("VECTOR_BYTES", 100 * 512), ("CHUNK", 32)):
         monkeypatch.setattr(rt, name, n)
     got = registry.QUERIES["vector_top_k"](spark, SF).toPandas().sort_values(["query_id", "rank"])
     assert got.groupby("query_id")["vec_id"].agg(list).to_dict() == nearest(20)
