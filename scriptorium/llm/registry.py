@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from scriptorium.llm import oracles
 from scriptorium.llm.best_fit import pack
 from scriptorium.llm.byte_cnn import learn_quality, score_quality
 from scriptorium.llm.common import fold, table
@@ -95,4 +96,4 @@ def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_token_counts, op2_quality_classifier, op3_language_model, op4_benchmark_leaks, op5_language_id, op6_minhash_near_duplicates, op7_extendible_shards, op8_best_fit_packing, op9_license_scan, op10_hilbert_neighbours, op11_spelling_variants, op12_conversation_repair, op13_quality_rules)}
 QUERIES["pipeline"] = corpus_pipeline.run
-ORACLES: dict[str, str] = {}
+ORACLES = {"op6_minhash_near_duplicates": oracles.NEAR_DUPLICATES, "op11_spelling_variants": oracles.SPELLING, "op12_conversation_repair": oracles.REPAIR, "op13_quality_rules": oracles.QUALITY}
