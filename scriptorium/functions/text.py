@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -187,21 +189,21 @@ BOILERPLATE_PARTS = (
 
 
 def is_boilerplate(line: Column) -> Column:
-    """Every pattern begins at the start of the line, which is therefore asked for once."""
-    parts = [f"(?i:{p.removeprefix('(?i)^')})" if p.startswith("(?i)") else f"(?:{p.removeprefix('^')})" for p in BOILERPLATE_LINES]
-    return line.rlike(f"{ALL_SCRIPTS}^(?:{'|'.join(parts)})")
+    """Every pattern begins with white space at the start of the line, which is taken off once."""
+    parts = [f"(?i:{p.removeprefix('(?i)^').removeprefix(chr(92) + 's*')})" if p.startswith("(?i)") else f"(?:{p.removeprefix('^').removeprefix(chr(92) + 's*')})" for p in BOILERPLATE_LINES]
+    return stripped(line).rlike(f"{ALL_SCRIPTS}^(?:{'|'.join(parts)})")
 
 
-#: A character that every part has; lines without it, or without any part, are not cut.
-IN_EVERY_PART = f"[{CJK}：]"
+#: A character that every part has, and those that parts begin with; lines without them, or without any part, are not cut.
+IN_EVERY_PART, PART_STARTS = f"[{CJK}：]", "[（(请本更pP【扫添微公qQ锞晞囂鐜讚魐鏴灚矗薋鬻龘鵺麣鸂鼱]"
 
 
 def strip_boilerplate(line: Column) -> Column:
-    cut = line
-    for pattern in BOILERPLATE_PARTS:
-        cut = F.regexp_replace(cut, f"(?i){pattern}", "")
-    any_part = "(?i)" + "|".join(f"(?:{p})" for p in BOILERPLATE_PARTS)
-    return F.when(line.rlike(IN_EVERY_PART) & line.rlike(any_part), cut).otherwise(line)
+    cut, parts = line, [f"(?i:{p})" if re.search("[A-Za-z]", p) else f"(?:{p})" for p in BOILERPLATE_PARTS]  # others have no case
+    for part in parts:
+        cut = F.regexp_replace(cut, part, "")
+    any_part = "|".join(parts)
+    return F.when(line.rlike(IN_EVERY_PART) & line.rlike(PART_STARTS) & line.rlike(any_part), cut).otherwise(line)
 
 
 # Keys whose values are hidden, and values that look like secrets with what replaces them.

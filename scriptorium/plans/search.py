@@ -210,7 +210,7 @@ TITLE = "array_to_string(list_slice(regexp_split_to_array(text, '\\s+'), 1, 4),
 
 
 @query(
-    ranked_sql("chapter", "select item_id as query_id, array_to_string(list_slice(regexp_split_to_array(text, '\\s+'), 1, 2), ' ') as query from benchmark", f"select doc_id as id, {TITLE} as title, text, row_number() over (partition by source order by doc_id) as chapter from documents", "chapter")
+    ranked_sql("chapter", "select item_id as query_id, text as query from benchmark", f"select doc_id as id, {TITLE} as title, text, row_number() over (partition by source order by doc_id) as chapter from documents", "chapter")
     + " union all "
     + ranked_sql("character", "select distinct cast(substr(p_brand, 7) as bigint) as query_id, 'widget ' || p_brand as query from part", "select p_partkey as id, p_name as title, concat_ws(' ', p_name, p_type, p_brand) as text, p_size from part", "p_size desc")
 )
@@ -219,7 +219,7 @@ def typed_lexical(spark, sf):
     how often they appear."""
     d, p, c = fx.read(spark, sf, "documents"), fx.read(spark, sf, "part"), F.col
     title = F.array_join(F.slice(F.split("text", r"\s+"), 1, 4), " ")
-    chapters = d.select(c("doc_id").alias("id"), title.alias("title"), "text", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")).alias("chapter"))
+    chapters = d.select("doc_id", title.alias("title"), "text").join(fx.text_chapters(spark, sf), "doc_id").select(c("doc_id").alias("id"), "title", "text", "chapter")
     people = p.select(c("p_partkey").alias("id"), c("p_name").alias("title"), F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("text"), "p_size")
     asked = p.select("p_brand").distinct().select(F.substring("p_brand", 7, 9).cast("long").alias("query_id"), F.concat(F.lit("widget "), "p_brand").alias("query"))
     by_type = {"chapter": (chapters, fx.search_queries(spark, sf), (F.asc("chapter"),)), "character": (people, asked, (F.desc("p_size"),))}
