@@ -32,7 +32,7 @@ def matching(k):
     words = lambda t: re.findall(r"[^\W_]+", t.lower())
     docs, out = [(d, words(t)) for d, t in table("documents")[["doc_id", "text"]].itertuples(index=False)], {}
     for item, text in table("benchmark")[["item_id", "text"]].itertuples(index=False):
-        asked, hits = set(words(" ".join(text.split()[:2]))), []
+        asked, hits = set(words(text)), []
         for d, t in docs:
             at = [i for i, w in enumerate(t) if w in asked]
             if at and {t[i] for i in at} == asked:
