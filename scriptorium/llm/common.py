@@ -12,7 +12,7 @@ from pyspark.sql.types import StructType
 
 from scriptorium.sources.shared import written
 
-__all__ = ["BOX", "blocks", "boxed", "extended", "fitted", "fold", "sampled", "table", "unboxed", "with_columns", "written"]
+__all__ = ["BOX", "blocks", "boxed", "extended", "fitted", "fold", "in_share", "sampled", "table", "unboxed", "with_columns", "written"]
 
 #: Bytes of text handled at once inside a Python worker.
 BLOCK_BYTES = 2_000_000
@@ -28,9 +28,14 @@ def fold(key: str, modulus: int, remainder: int) -> Column:
     return F.crc32(text.cast("binary")) % modulus == remainder
 
 
+def in_share(id: Column, share: float) -> Column:
+    """True where the id's hash falls into the first ``share`` of all hashes."""
+    return F.pmod(F.xxhash64(id), F.lit(1 << 30)) < F.lit(int(min(1.0, share) * (1 << 30)))
+
+
 def sampled(rows: DataFrame, id: str, share: float) -> DataFrame:
     """The rows whose id's hash falls into the first ``share`` of all hashes."""
-    return rows.where(F.pmod(F.xxhash64(id), F.lit(1 << 30)) < F.lit(int(min(1.0, share) * (1 << 30))))
+    return rows.where(in_share(F.col(id), share))
 
 
 def fitted(sample: DataFrame, fit: Callable[[list[tuple]], dict]) -> dict | None:

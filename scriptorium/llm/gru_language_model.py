@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from scriptorium.llm.common import BOX, boxed, extended, sampled, unboxed, with_columns, written
+from scriptorium.llm.common import BOX, boxed, extended, in_share, unboxed, with_columns, written
 
 CLASSES, MEMBERS = 32, 32
 SYMBOLS = CLASSES * MEMBERS
@@ -45,6 +45,8 @@ STREAMS, STEPS, WINDOW = (64, 512), 16, 32
 #: Updates that a unit makes at least, if its tokens allow it with the fewest streams.
 UPDATES = 200
 SLICE = 512
+#: How a symbol is stored.
+SYMBOL = np.uint16
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -342,23 +344,23 @@ def symbols_of(words: list[bytes], lex: Lexicon) -> tuple[np.ndarray, np.ndarray
     return np.append(at, lex.end), np.append(symbol, lex.symbol[lex.end])
 
 
-def train_round(docs: DataFrame, start: GRU, *, text: str, lexicon, rate: float, copies: int) -> GRU:
-    """The average, by tokens, of the copies that at most ``copies`` tasks train on all rows."""
+def train_round(coded: DataFrame, start: GRU, *, end: int, rate: float, copies: int) -> GRU:
+    """The average, by tokens, of the copies that at most ``copies`` tasks train on all rows (symbols)."""
     names = list(start.w)
-    weights = docs.sparkSession.sparkContext.broadcast(start.w)
+    weights = coded.sparkSession.sparkContext.broadcast(start.w)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Trainer(GRU({k: v.copy() for k, v in weights.value.items()}), int(lexicon.value.symbol[lexicon.value.end]), rate)
+        own = Trainer(GRU({k: v.copy() for k, v in weights.value.items()}), end, rate)
         for batch in batches:
-            for value in batch.column(0).to_pylist():
-                own.add(symbols_of(words_of(value), lexicon.value)[1])
+            for value in batch.column(0):
+                own.add(np.frombuffer(value.as_buffer(), SYMBOL).astype(np.int64))
         own.flush()
         if own.tokens:
             flat = np.concatenate([own.model.w[k].ravel() for k in names]).astype(np.float64) * own.tokens
             flat = np.append(flat, np.zeros(-len(flat) % SLICE)).reshape(-1, SLICE)
             yield pa.RecordBatch.from_arrays([pa.array(range(len(flat)), pa.int32()), pa.array([own.tokens] * len(flat), pa.int64()), pa.array(flat.tolist(), pa.list_(pa.float64()))], names=["i", "tokens", "v"])
 
-    trained = docs.select(text).coalesce(copies).mapInArrow(run, "i int, tokens long, v array<double>")
+    trained = coded.coalesce(copies).mapInArrow(run, "i int, tokens long, v array<double>")
     rows = trained.groupBy("i").agg(F.sum("tokens").alias("tokens"), F.array(*[F.sum(F.col("v")[j]) for j in range(SLICE)]).alias("v")).orderBy("i").collect()
     if not rows:
         return start
@@ -370,66 +372,85 @@ def train_round(docs: DataFrame, start: GRU, *, text: str, lexicon, rate: float,
     return GRU(averaged)
 
 
-def train(docs: DataFrame, *, id: str, text: str, lexicon, lex: Lexicon) -> GRU:
+def train(coded: DataFrame, lex: Lexicon) -> GRU:
     """Two rounds: over a share of all documents, by the hash of their ids, with a copy for each unit of its tokens, and
     over all documents with a copy for each partition.  Both grow with the corpus."""
-    n_docs = max(1, int(lex.count[lex.end]))
-    share = min(1.0, max(FIRST_SHARE, FIRST_LEAST / n_docs))
-    few = max(1, min(COPIES, round(lex.tokens * share / UNIT)))
-    model = train_round(sampled(docs, id, share), GRU(), text=text, lexicon=lexicon, rate=0.01, copies=few)
-    return train_round(docs, model, text=text, lexicon=lexicon, rate=0.002, copies=COPIES)
+    few, end = max(1, min(COPIES, round(lex.tokens * first_share(lex) / UNIT))), int(lex.symbol[lex.end])
+    model = train_round(coded.where("first").select("symbols"), GRU(), end=end, rate=0.01, copies=few)
+    return train_round(coded.where("learn").select("symbols"), model, end=end, rate=0.002, copies=COPIES)
 
 
-def language_model_scores(docs: DataFrame, *, id: str, text: str, where: Column) -> DataFrame:
-    """Learn from the rows of ``where`` and score every row.
+def first_share(lex: Lexicon) -> float:
+    return min(1.0, max(FIRST_SHARE, FIRST_LEAST / max(1, int(lex.count[lex.end]))))
 
-    Adds ``n_tokens`` (words and the end), ``n_known`` (those that occur in training), ``train_tokens``, ``base_score``
-    (the smoothed unigram log10 probability) and ``score`` (the model's log10 probability of the whole text).  A null or
-    empty text is its end alone; repeated rows are scored alike; without any training row every word is unseen.
-    Existing columns of the new names are replaced, all others are kept whatever their names; an empty table gives an
-    empty one.
-    """
-    spark = docs.sparkSession
-    new = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
-    keep = [c for c in docs.columns if c != text and c not in new]
-    training = docs.where(where).select(F.col(id).alias("id"), F.col(text).alias("text"))
-    counts = written(count_words(training, "text"), "word-counts")
-    lex = build_lexicon(counts)
-    lexicon = spark.sparkContext.broadcast(lex)
-    model = spark.sparkContext.broadcast(train(training, id="id", text="text", lexicon=lexicon, lex=lex).w)
+
+CODED = "learn boolean, first boolean, part long, row long, n long, known long, base double, tail double, symbols binary, rare array<struct<word:string,tail:int,n:bigint>>"
+
+
+def coded_texts(boxes: DataFrame, lexicon) -> DataFrame:
+    """The boxed rows (caller, text, learn, first) with their text as symbols, and what its score has besides the model's."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lex, gru, part, row = lexicon.value, GRU(model.value), TaskContext.get().partitionId(), 0
+        lex, part, row = lexicon.value, TaskContext.get().partitionId(), 0
         seen_log = np.log10((lex.count + 0.5) / lex.base_mass)
         for batch in batches:
-            columns: dict[str, list] = {k: [] for k in ("_n", "_known", "_base", "_tail")}
-            symbols, rare_words, rare_counts, offsets = [], [], [], [0]
+            told, symbols, rare_words, rare_counts, offsets = [], [], [], [], [0]
             for value in batch.column(1).to_pylist():
                 words = words_of(value)
                 at, symbol = symbols_of(words, lex)
-                symbols.append(symbol)
+                symbols.append(symbol.astype(SYMBOL).tobytes())
                 own = at[at >= 0]
                 rare = Counter([words[i] for i in np.flatnonzero(at < 0).tolist()])
                 rare_words += rare
                 rare_counts += rare.values()
                 offsets.append(len(rare_words))
-                for k, item in zip(columns, (len(at), int((lex.count[own] > 0).sum()), float(seen_log[own].sum()), float(lex.tail_log[own].sum()))):
-                    columns[k].append(item)
-            score = gru.score(symbols, int(lex.symbol[lex.end])) / np.log(10) + np.array(columns["_tail"])
+                told.append((len(at), int((lex.count[own] > 0).sum()), float(seen_log[own].sum()), float(lex.tail_log[own].sum())))
             parts = [pa.array(rare_words, pa.binary()).cast(pa.string()), pa.array(list(map(tail_bucket, rare_words)), pa.int32()), pa.array(rare_counts, pa.int64())]
             rare = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(parts, names=["word", "tail", "n"]))
-            yield with_columns(batch, [BOX], _part=pa.array([part] * len(batch), pa.int64()), _row=pa.array(range(row, row + len(batch)), pa.int64()), _n=pa.array(columns["_n"], pa.int64()), _known=pa.array(columns["_known"], pa.int64()), _base=pa.array(columns["_base"], pa.float64()), _score=pa.array(score), _rare=rare)
+            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64())
+            n, known, base, tail = (pa.array(c, kind) for c, kind in zip(zip(*told) if told else ((),) * 4, kinds))
+            yield with_columns(batch, [BOX, "learn", "first"], part=pa.array([part] * len(batch), pa.int64()), row=pa.array(range(row, row + len(batch)), pa.int64()), n=n, known=known, base=base, tail=tail, symbols=pa.array(symbols, pa.binary()), rare=rare)
             row += len(batch)
 
-    kept = boxed(docs, keep, text=F.col(text))
-    schema = extended(StructType([kept.schema[BOX]]), "_part long, _row long, _n long, _known long, _base double, _score double, _rare array<struct<word:string,tail:int,n:bigint>>")
-    scored = written(kept.mapInArrow(run, schema), "scored")
-    rare = scored.select("_part", "_row", F.explode("_rare").alias("r")).select("_part", "_row", "r.*")
+    return boxes.mapInArrow(run, extended(StructType([boxes.schema[BOX]]), CODED))
+
+
+def language_model_scores(docs: DataFrame, *, id: str, text: str, where: Column) -> DataFrame:
+    """Learn from the rows of ``where`` and score every row.
+
+    Adds ``n_tokens`` (words and the end), ``n_known`` (those that occur in training), ``train_tokens``, ``base_score``
+    (the smoothed unigram log10 probability) and ``score`` (the model's log10 probability of the whole text).  A null or
+    empty text is its end alone; repeated rows are scored alike; without any training row every word is unseen.
+    Existing columns of the new names are replaced, all others are kept whatever their names; an empty table gives an
+    empty one.
+    """
+    spark = docs.sparkSession
+    new = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
+    keep = [c for c in docs.columns if c != text and c not in new]
+    learn = F.coalesce(where, F.lit(False))
+    counts = written(count_words(docs.where(learn).select(F.col(text).alias("text")), "text"), "word-counts")
+    lex = build_lexicon(counts)
+    first = learn & in_share(F.col(id), first_share(lex))
+    boxes = boxed(docs, keep, text=F.col(text), learn=learn, first=first)
+    # Texts are read as symbols once, for training and for scores.
+    coded = written(coded_texts(boxes, spark.sparkContext.broadcast(lex)), "coded")
+    model, end = spark.sparkContext.broadcast(train(coded, lex).w), int(lex.symbol[lex.end])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gru = GRU(model.value)
+        for batch in batches:
+            symbols = [np.frombuffer(value.as_buffer(), SYMBOL).astype(np.int64) for value in batch.column(batch.num_columns - 1)]
+            score = gru.score(symbols, end) / np.log(10) + batch.column(batch.num_columns - 2).to_numpy()
+            yield with_columns(batch, given, score=pa.array(score))
+
+    given = [BOX, "part", "row", "n", "known", "base", "rare"]
+    scored = written(coded.select(*given, "tail", "symbols").mapInArrow(run, extended(coded.select(*given).schema, "score double")), "scored")
+    rare = scored.select("part", "row", F.explode("rare").alias("r")).select("part", "row", "r.*")
     c = F.coalesce("c", F.lit(0)) + 0.5
     mass = F.element_at(F.array(*[F.lit(float(m)) for m in lex.tail_mass]), F.col("tail") + 1)
-    added = rare.join(counts.select("word", "c"), "word", "left").groupBy("_part", "_row").agg(
+    added = rare.join(counts.select("word", "c"), "word", "left").groupBy("part", "row").agg(
         F.sum(F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("k"), F.sum(F.col("n") * F.log10(c / lex.base_mass)).alias("b"), F.sum(F.col("n") * F.log10(c / mass)).alias("s")
     )
-    out = scored.drop("_rare").join(added, ["_part", "_row"], "left")
+    out = scored.drop("rare").join(added, ["part", "row"], "left")
     zero = lambda name: F.coalesce(name, F.lit(0))
-    return out.select(*unboxed(keep, kept.schema), F.col("_n").alias("n_tokens"), (F.col("_known") + zero("k")).alias("n_known"), F.lit(lex.tokens).cast("long").alias("train_tokens"), (F.col("_base") + zero("b")).alias("base_score"), (F.col("_score") + zero("s")).alias("score"))
+    return out.select(*unboxed(keep, boxes.schema), F.col("n").alias("n_tokens"), (F.col("known") + zero("k")).alias("n_known"), F.lit(lex.tokens).cast("long").alias("train_tokens"), (F.col("base") + zero("b")).alias("base_score"), (F.col("score") + zero("s")).alias("score"))
