@@ -14,7 +14,8 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 class KeyedTable:
     """Rows of ``schema`` by ``keys`` under ``path``; of two rows of a key the one of the greater ``order`` stays, and of equal
-    ones the greater row.  One writer at a time."""
+    ones the greater row.  A bucket is written by one task, so there should be as many as make buckets of a task's size;
+    their number stays as it was at first.  One writer at a time."""
 
     def __init__(self, spark: SparkSession, path: str, schema: StructType, *, keys: list[str], order: list[str], buckets: int = 64):
         self.spark, self.path, self.schema, self.keys, self.order, self.buckets = spark, path, schema, keys, order, buckets
