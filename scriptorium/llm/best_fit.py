@@ -3,10 +3,10 @@
 Pieces of equal length are interchangeable, and so are open sequences of equal room; both are kept as runs, tables of
 (size, n, first) whose rows depend on the limit and not on the number of pieces.  A superstep range-sorts the runs of
 waiting pieces and of gaps together, from large to small, and sweeps every range at once: a run of pieces takes the
-nearest larger gaps, its successors, as a closing bracket takes the nearest open one.  What a range leaves over is matched
-in a second sweep over the leftovers of all ranges.  Conflicts are resolved by rank: piece r of a run gets gap r, and the
-pieces beyond the gaps wait for the next superstep.  The gaps that took pieces come back with the room that they have
-left, new sequences are opened when no gap fits what waits, and the supersteps repeat until nothing waits.  Spark then
+nearest larger gaps, its successors, as a closing bracket takes the nearest open one.  Conflicts are resolved by rank:
+piece r of a run gets gap r, and the pieces beyond the gaps go on to the next larger ones.  Gaps are updated as they take
+pieces, and come back where the sweep reaches the room that they have left.  What the ranges leave over is swept in wider
+ranges.  New sequences are opened when no gap fits what waits, and the supersteps repeat until nothing waits.  Spark then
 ranks the pieces of each run across partitions and looks their places up in the table of matches.
 """
 
@@ -16,12 +16,13 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scriptorium.llm.common import BOX, boxed, extended, unboxed, with_columns, written
@@ -112,17 +113,30 @@ def word_ids(path: str) -> WordIds:
 
 GAP, WAITING, MATCH = range(3)
 RUNS = "kind int, size long, n long, first long, per long, seq long, room long"
-#: Runs of one range; a superstep sweeps as many ranges side by side as its runs need.
-RANGE_RUNS = 2048
+#: Runs of one range, and ranges whose leftovers are swept together next.
+RANGE_RUNS = 256
+MERGED_RANGES = 8
 
 
-def sweep(rows: list[tuple[int, int, int, int]]) -> tuple[list[tuple], list[tuple], list[tuple]]:
+def sweep(rows: list[tuple[int, int, int, int]]) -> tuple[list[tuple], list[tuple]]:
     """One pass over runs (kind, size, n, first), from large to small and gaps before pieces of the same size.
 
-    Returns matches (length, pieces, first rank, pieces a gap, first sequence, room), the gaps that come of them
-    (room, n, first), and the runs that found no match.  A gap takes as many pieces of one run as it holds."""
-    stack, matches, used, waiting = [], [], [], []
+    Returns matches (length, pieces, first rank, pieces a gap, first sequence, room) and what is left: runs without a
+    match, and gaps, whole or with the room that their pieces left them.  A gap takes as many pieces of one run as it
+    holds, and takes part again once the pass comes down to its new room."""
+    stack, back, matches, waiting = [], [], [], []
+
+    def returned(size: int) -> None:
+        while back and -back[0][0] >= size:
+            room, seq, n = heappop(back)
+            stack.append([-room, n, seq])
+
+    def give(room: int, n: int, seq: int) -> None:
+        if room and n:
+            heappush(back, (-room, seq, n))
+
     for kind, size, n, first in rows:
+        returned(size)
         if kind == GAP:
             stack.append([size, n, first])
             continue
@@ -133,67 +147,70 @@ def sweep(rows: list[tuple[int, int, int, int]]) -> tuple[list[tuple], list[tupl
             placed = min(n, take * per)
             matches.append((size, placed, first, per, seq, room))
             whole = placed // per
-            used.append((room - per * size, whole, seq))
+            give(room - per * size, whole, seq)
             if whole < take:
-                used.append((room - (placed - whole * per) * size, 1, seq + whole))
+                give(room - (placed - whole * per) * size, 1, seq + whole)
             n, first = n - placed, first + placed
             stack[-1] = [room, gaps - take, seq + take]
             if gaps == take:
                 stack.pop()
+            returned(size)
         if n:
             waiting.append((WAITING, size, n, first))
-    return matches, [g for g in used if g[0] and g[1]], waiting + [(GAP, *g) for g in stack]
+    return matches, waiting + [(GAP, *g) for g in stack] + [(GAP, -room, n, seq) for room, seq, n in back]
+
+
+def from_large_to_small() -> tuple[Column, ...]:
+    return F.desc("size"), F.asc("kind"), F.asc("first")
 
 
-def swept(runs: DataFrame, ranges: int) -> DataFrame:
-    """Sweep ``ranges`` ranges of the sorted runs side by side.  Rows of the kind ``GAP + 4`` are gaps of the next
-    superstep; the other gaps and the waiting runs are what found no match in their range."""
+def swept(ranges: DataFrame) -> DataFrame:
+    """Sweep the runs of every partition, all partitions side by side."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [row for batch in batches for row in zip(*(batch.column(c).to_pylist() for c in ("kind", "size", "n", "first")))]
-        matches, used, rest = sweep(rows)
-        out = [(MATCH, *m) for m in matches] + [(GAP + 4, *g, None, None, None) for g in used] + [(*r, None, None, None) for r in rest]
+        matches, rest = sweep(rows)
+        out = [(MATCH, *m) for m in matches] + [(*r, None, None, None) for r in rest]
         columns = list(zip(*out)) or [()] * 7
         yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32())] + [pa.array(c, pa.int64()) for c in columns[1:]], names=["kind", "size", "n", "first", "per", "seq", "room"])
 
-    order = (F.desc("size"), F.asc("kind"), F.asc("first"))
-    dealt = runs.repartitionByRange(ranges, *order) if ranges > 1 else runs.coalesce(1)
-    return dealt.sortWithinPartitions(*order).mapInArrow(run, RUNS)
+    return ranges.sortWithinPartitions(*from_large_to_small()).mapInArrow(run, RUNS)
 
 
-def best_fit_matches(counts: DataFrame, limit: int, classes: tuple[int, ...]) -> tuple[DataFrame, int]:
+def superstep(runs: DataFrame, n_runs: int) -> DataFrame:
+    """Matches, and the runs that are left.
+
+    Pieces find their successors within ranges of about ``RANGE_RUNS`` runs first; what the ranges leave over meets
+    within ranges ``MERGED_RANGES`` times as wide, and so on up to one."""
+    ranges, matched = -(-n_runs // RANGE_RUNS), []
+    while ranges > 1:
+        runs = written(swept(runs.repartitionByRange(ranges, *from_large_to_small())), "ranges")
+        matched.append(runs.where(F.col("kind") == MATCH))
+        runs, ranges = runs.where(F.col("kind") != MATCH), -(-ranges // MERGED_RANGES)
+    return reduce(DataFrame.union, matched, swept(runs.coalesce(1)))
+
+
+def best_fit_matches(counts: DataFrame, limit: int) -> tuple[DataFrame, int]:
     """All matches of (length, n) runs, and their number.
 
-    Pieces longer than ``limit / c`` are placed before shorter ones come in, for each c of ``classes``: long pieces are
-    the hard ones.  The rows of a superstep are bounded by the limit; the driver sees a few sums of each."""
+    The rows of a superstep are bounded by the limit; the driver sees a few sums of each."""
     spark = counts.sparkSession
     state = written(counts.select(F.lit(WAITING).alias("kind"), F.col("length").cast("long").alias("size"), F.col("n").cast("long").alias("n"), F.lit(0).cast("long").alias("first"), *[F.lit(None).cast("long").alias(c) for c in ("per", "seq", "room")]), "runs")
     opened = 0
-    edges = [*(limit // c for c in sorted(classes)), 0]
+    waits, takes = F.col("kind") == WAITING, F.col("kind") == GAP
     while True:
-        waits, takes = (F.col("kind") == WAITING) & (F.col("size") > edges[0]), F.col("kind") == GAP
         sums = state.agg(
             F.sum(F.when(waits, F.col("size") * F.col("n"))).alias("tokens"), F.sum(F.when(waits & (2 * F.col("size") > limit), F.col("n"))).alias("alone"),
-            F.min(F.when(waits, F.col("size"))).alias("least"), F.max(F.when(takes, F.col("size"))).alias("most"), F.count(F.when(F.col("kind") == MATCH, 1)).alias("matches"), F.count(F.when(waits | takes, 1)).alias("runs"),
+            F.min(F.when(waits, F.col("size"))).alias("least"), F.max(F.when(takes, F.col("size"))).alias("most"), F.count(F.when(~waits & ~takes, 1)).alias("matches"), F.count(F.when(waits | takes, 1)).alias("runs"),
         ).first()
         if not sums["least"]:
-            if len(edges) == 1:
-                return state.where(F.col("kind") == MATCH), sums["matches"]
-            edges.pop(0)
-            continue
+            return state.where(~waits & ~takes), sums["matches"]
         if (sums["most"] or 0) < sums["least"]:  # no gap fits anything that waits
             new = sums["alone"] or -(-sums["tokens"] // limit)  # pieces over half the limit take one each in any case
             state = state.union(spark.range(1).select(F.lit(GAP), F.lit(limit).cast("long"), F.lit(new).cast("long"), F.lit(opened).cast("long"), *[F.lit(None).cast("long")] * 3))
             opened += new
         taking = waits | (takes & (F.col("size") >= sums["least"]))
-        after, ranges = state.where(taking), -(-sums["runs"] // RANGE_RUNS)
-        if ranges > 1:
-            first = written(swept(after, ranges), "ranges")
-            left = F.col("kind").isin(GAP, WAITING)
-            after = first.where(~left).union(swept(first.where(left), 1))
-        else:
-            after = swept(after, 1)
-        state = written(state.where(~taking).union(after.withColumn("kind", F.col("kind") % 4)).coalesce(1), "runs")
+        state = written(state.where(~taking).union(superstep(state.where(taking), sums["runs"])).coalesce(1), "runs")
 
 
 def tokenized_pieces(docs: DataFrame, *, tokenizer: str, limit: int, end_id: int = 0) -> DataFrame:
@@ -224,7 +241,7 @@ def tokenized_pieces(docs: DataFrame, *, tokenizer: str, limit: int, end_id: int
 BROADCAST_MATCHES = 1 << 17
 
 
-def pack(docs: DataFrame, *, text: str, tokenizer: str, limit: int = 2048, end_id: int = 0, classes: tuple[int, ...] = (3, 4)) -> DataFrame:
+def pack(docs: DataFrame, *, text: str, tokenizer: str, limit: int = 2048, end_id: int = 0) -> DataFrame:
     """Pack all documents into as few sequences of at most ``limit`` tokens as best fit finds.
 
     Returns the other columns of ``docs`` and piece, start, length, ids_crc32, sequence_id and offset, a row for each
@@ -239,7 +256,7 @@ def pack(docs: DataFrame, *, text: str, tokenizer: str, limit: int = 2048, end_i
     runs = written(pieces.groupBy("length", "part").agg(F.count("*").alias("n")), "piece-runs")
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = runs.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
-    matches, n_matches = best_fit_matches(runs.groupBy("length").agg(F.sum("n").alias("n")), limit, classes)
+    matches, n_matches = best_fit_matches(runs.groupBy("length").agg(F.sum("n").alias("n")), limit)
     matches = matches.select(F.col("size").alias("length"), F.col("n").alias("placed"), "first", "per", "seq", "room")
     if n_matches <= BROADCAST_MATCHES:
         matches = F.broadcast(matches)

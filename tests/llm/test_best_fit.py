@@ -42,33 +42,28 @@ def test_sweep_gives_every_piece_its_successor_gap():
                 runs.append((bf.GAP, s, gap_runs[s], 100 * s))
             if rows[s]:
                 runs.append((bf.WAITING, s, rows[s], 0))
-        matches, used, rest = bf.sweep(runs)
+        matches, rest = bf.sweep(runs)
         free, want = sorted(gaps), []
-        waiting = sorted(pieces, reverse=True)
-        while waiting:  # a gap serves one length, as often as it goes in
-            n = waiting[0]
+        for n in sorted(pieces, reverse=True):
             fits = [g for g in free if g >= n]
-            if not fits:
-                waiting.pop(0)
-                continue
-            free.remove(min(fits))
-            k = min(waiting.count(n), min(fits) // n)
-            want.append((n, min(fits), k))
-            for _ in range(k):
-                waiting.remove(n)
-        got = [(length, room, min(per, n - i * per)) for length, n, _, per, _, room in matches for i in range(-(-n // per))]
+            if fits:  # the nearest larger gap, also one that has taken pieces
+                free.remove(min(fits))
+                free.append(min(fits) - n)
+                want.append((n, min(fits)))
+        got = [(length, room - i % per * length) for length, n, _, per, _, room in matches for i in range(n)]
         assert sorted(got) == sorted(want)
-        assert sum(n for k, _, n, _ in rest if k == bf.WAITING) == len(pieces) - sum(k for *_, k in want)
-        assert sum(r * n for r, n, _ in used) == sum(room - length * k for length, room, k in want)
+        assert sum(n for k, _, n, _ in rest if k == bf.WAITING) == len(pieces) - len(want)
+        assert sorted(s for k, s, n, _ in rest if k == bf.GAP for _ in range(n)) == sorted(g for g in free if g)
 
 
 def test_supersteps_are_near_best_fit_decreasing(spark, monkeypatch):
     monkeypatch.setattr(bf, "RANGE_RUNS", 3)
+    monkeypatch.setattr(bf, "MERGED_RANGES", 2)
     random.seed(5)
     for choice in ([1, 2, 3, 7, 20, 33, 50, 64], range(20, 45), [5]):
         lengths = [random.choice(choice) for _ in range(400)]
         runs = spark.createDataFrame(list(Counter(lengths).items()), "length long, n long")
-        matches, n = bf.best_fit_matches(runs, 64, (3, 4))
+        matches, n = bf.best_fit_matches(runs, 64)
         used, ranks = {}, Counter()
         for r in matches.collect():
             n -= 1
@@ -85,6 +80,24 @@ def test_supersteps_are_near_best_fit_decreasing(spark, monkeypatch):
         assert len(used) <= decreasing(lengths, 64) + 2
 
 
+def test_ranges_are_swept_side_by_side_at_the_production_limit(spark, monkeypatch):
+    random.seed(6)
+    lengths = [random.randrange(1, 2049) for _ in range(6000)]
+    seen, plain = [], bf.swept
+
+    def spied(ranges):
+        seen.append(ranges.rdd.getNumPartitions())
+        return plain(ranges)
+
+    monkeypatch.setattr(bf, "swept", spied)
+    runs = spark.createDataFrame(list(Counter(lengths).items()), "length long, n long")
+    matches, _ = bf.best_fit_matches(runs, 2048)
+    rows = matches.collect()
+    assert max(seen) >= 6 and sum(n > 1 for n in seen) >= len(seen) / 3
+    assert Counter(r.size for r in rows for _ in range(r.n)) == Counter(lengths)
+    assert max(r.seq + -(-r.n // r.per) for r in rows) <= decreasing(lengths, 2048) * 1.001 + 1
+
+
 def test_rows(spark):
     docs = spark.createDataFrame([(1, None, 0), (2, "", 0), (3, "hello world " * 30, 0), (3, "hello world " * 30, 0), (4, "a", 0)], "doc_id long, text string, piece int")
     got = bf.pack(docs, text="text", tokenizer=PATH, limit=16).orderBy("doc_id", "piece").collect()
