@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.group_ops import PandasCogroupedOps
 
 from scriptorium.functions.text import trigram_similarity, word_tokens
 
@@ -49,13 +50,9 @@ def top_k(rows: DataFrame, group: str, order: list[Column], k: int) -> DataFrame
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("rank") <= k)
 
 
-def vector_search(vectors: DataFrame, queries: DataFrame, *, id: str, vector: str, k: int) -> DataFrame:
-    """(query_id, id, rank, score): exact cosine top k for every query vector.
-
-    ``queries`` (query_id, vector) meet the vectors in tasks, in blocks of about ``QUERY_BYTES`` by slices of about
-    ``VECTOR_BYTES``; nothing but two sizes reaches the driver.  A block goes to every slice and a slice to every block,
-    and a pair of them keeps k rows for each query.  Null and zero vectors take no part.
-    """
+def paired(vectors: DataFrame, queries: DataFrame, *, id: str, vector: str) -> PandasCogroupedOps:
+    """Queries (query_id, vector) cogrouped with ``vectors``: a block of about ``QUERY_BYTES`` and a slice of about
+    ``VECTOR_BYTES`` in each group, and every block with every slice.  Nothing but two sizes reaches the driver."""
     asked = queries.where(F.col("vector").isNotNull()).select("query_id", F.col("vector").cast("array<double>").alias("vector"))
     known = vectors.where(F.col(vector).isNotNull()).select(id, F.col(vector).cast("array<double>").alias("vector"))
     size = lambda rows: 8 * (rows.agg(F.sum(F.size("vector"))).first()[0] or 0)
@@ -64,20 +61,30 @@ def vector_search(vectors: DataFrame, queries: DataFrame, *, id: str, vector: st
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
     left = asked.select("*", dealt("query_id", blocks).alias("block"), every(slices).alias("slice"))
     right = known.select("*", every(blocks).alias("block"), dealt(id, slices).alias("slice"))
+    return left.groupBy("block", "slice").cogroup(right.groupBy("block", "slice"))
+
+
+def with_norms(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    x = np.array(rows.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(rows), -1)
+    return x, np.linalg.norm(x, axis=1, keepdims=True)
 
-    def table(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        x = np.array(rows.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(rows), -1)
-        return x, np.linalg.norm(x, axis=1, keepdims=True)
+
+def vector_search(vectors: DataFrame, queries: DataFrame, *, id: str, vector: str, k: int) -> DataFrame:
+    """(query_id, id, rank, score): exact cosine top k for every query vector.
+
+    ``queries`` (query_id, vector) meet the vectors in tasks, see ``paired``; a pair of a block and a slice keeps k rows for
+    each query.  Null and zero vectors take no part.
+    """
 
     def run(q: pa.Table, v: pa.Table) -> pa.Table:
         if not len(q) or not len(v):
             return pa.table({"query_id": pa.array([], pa.int64()), id: pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        names, (asked_x, asked_norm) = q.column("query_id").to_numpy(), table(q)
+        names, (asked_x, asked_norm) = q.column("query_id").to_numpy(), with_norms(q)
         asked_x /= np.maximum(asked_norm, 1e-300)
         best_id, best = np.empty((len(names), 0), np.int64), np.empty((len(names), 0))
         for at in range(0, len(v), CHUNK):
             some = v.slice(at, CHUNK)
-            x, norm = table(some)
+            x, norm = with_norms(some)
             keep = norm[:, 0] > 0
             ids = some.column(id).to_numpy()[keep]
             score = np.round(asked_x @ (x[keep] / norm[keep]).T, 6)
@@ -86,7 +93,7 @@ def vector_search(vectors: DataFrame, queries: DataFrame, *, id: str, vector: st
             best, best_id = np.take_along_axis(score, order, 1), np.take_along_axis(ids, order, 1)
         return pa.table({"query_id": np.repeat(names, best.shape[1]), id: best_id.ravel(), "score": best.ravel()})
 
-    pairs = left.groupBy("block", "slice").cogroup(right.groupBy("block", "slice"))
+    pairs = paired(vectors, queries, id=id, vector=vector)
     return top_k(pairs.applyInArrow(run, f"query_id long, {id} long, score double"), "query_id", [F.desc("score"), F.asc(id)], k)
 
 

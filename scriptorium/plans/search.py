@@ -14,6 +14,7 @@ from scriptorium.operators import hooks as hk
 from scriptorium.operators import retrieval as rt
 from scriptorium.plans.retrieval import FUSED, JUDGED, TRIGRAMS, VECTOR, both, every, vector
 from scriptorium.registry import query
+from scriptorium.sources.shared import written
 
 
 def shaped(rows, kind, id, material, title, summary, metadata):
@@ -172,7 +173,7 @@ def approximate_candidates(spark, sf):
     """TK3: hashed candidates re-ranked exactly, with the share of the exact top ten that they hold."""
     v = fx.vectors(spark, sf)
     found = hk.approximate_then_exact(v, every(v), 10)
-    exact = vector(spark, sf, 10).select("query_id", "vec_id")
+    found, exact = written(found, "candidates"), vector(spark, sf, 10).select("query_id", "vec_id")
     hit = found.join(exact, ["query_id", "vec_id"], "left_semi").groupBy("query_id").agg((F.count("*") / 10).alias("recall"))
     gate = ev.candidate_gate(F.col("recall"), F.lit(1.0), F.lit(1.0), F.lit(0.0), F.lit(0))
     return found.join(hit, "query_id").select("query_id", "rank", "vec_id", "score", "recall", gate.alias("passed"))
