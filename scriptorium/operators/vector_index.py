@@ -3,7 +3,8 @@
 ``build`` fits centroids and code books on a bounded sample, in one task, and stores every vector in the folder of its
 nearest centroid, with a code of one byte for each part of it.  ``search`` opens the cells that lie nearest to a query,
 scores codes by table look-up, and takes the exact cosine of the best few candidates only.  Ids of both are longs.  How many cells are opened
-is measured when the index is built: as many as hold the asked share of the sample's own neighbours.
+is measured when the index is built: as many as hold the asked share of the sample's own neighbours.  So is the length of
+the codes: parts are halved until the candidates hold that share.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from scriptorium.sources.shared import written
 SAMPLE, CALIBRATED, NEIGHBOURS = 32_768, 256, 10
 #: Most centroids, and codes of a part.  With ``d`` dimensions the model has 4 * d * (MOST_CELLS + CODES) bytes.
 MOST_CELLS, CODES = 1024, 256
-#: Dimensions of a part, queries and codes that meet in a task, and codes that are scored at once.
+#: Most dimensions of a part, queries and codes that meet in a task, and codes that are scored at once.
 PART, QUERY_BLOCK, SLICE, CHUNK = 4, 1024, 262_144, 4096
 MODEL, CELL = "kind string, at int, value array<float>", "id long, vector array<float>, codes binary, cell int"
 
@@ -76,13 +77,30 @@ class Model:
         return np.stack([nearest(part, book) for part, book in zip(self.parts(x), self.books)], axis=1).astype(np.uint8)
 
 
-def fitted(x: np.ndarray, cells: int, target: float) -> Model:
+def by_codes(model: Model, asked: np.ndarray, stored: np.ndarray) -> np.ndarray:
+    """What the codes ``stored`` tell of the cosines with the rows of ``asked``."""
+    tables = [part @ book.T for part, book in zip(model.parts(asked), model.books)]
+    guess = np.zeros((len(asked), len(stored)), np.float32)
+    for i, table in enumerate(tables):
+        guess += table[:, stored[:, i]]
+    return guess
+
+
+def fitted(x: np.ndarray, cells: int, target: float, most: int, total: int) -> Model:
     rng = np.random.default_rng(0)
     centroids = means(x, cells, rng)
-    parts = np.array_split(x, max(1, x.shape[1] // PART), axis=1)
-    books = [means(part, CODES, rng) for part in parts]
     asked = x[rng.choice(len(x), min(CALIBRATED, len(x)), replace=False)]
     near = np.argsort(-asked @ x.T, axis=1)[:, 1 : NEIGHBOURS + 1]
+    # Of all vectors a query has NEIGHBOURS among ``most`` candidates; of the sample as many fewer as it is smaller.
+    first, held, part = max(1, NEIGHBOURS * len(x) // total), max(2, most * len(x) // total), PART
+    while True:
+        model = Model(centroids, [means(columns, CODES, rng) for columns in np.array_split(x, max(1, x.shape[1] // part), axis=1)], 0)
+        guess = by_codes(model, asked, model.codes(x))
+        least = -np.partition(-guess, min(held, len(x)) - 1, axis=1)[:, min(held, len(x)) - 1]
+        if part == 1 or np.mean(np.take_along_axis(guess, near[:, :first], axis=1) >= least[:, None]) >= target:
+            break
+        part //= 2
+    books = model.books
     own = nearest(x, centroids)
     order = np.argsort(((centroids**2).sum(axis=1) / 2 - asked @ centroids.T), axis=1)
     place = np.empty_like(order)
@@ -91,11 +109,12 @@ def fitted(x: np.ndarray, cells: int, target: float) -> Model:
     return Model(centroids, books, int(needed[int(np.ceil(target * len(needed))) - 1]) + 1 if len(needed) else 1)
 
 
-def build(vectors: DataFrame, *, id: str, vector: str, path: str, dimension: int, target: float = 0.995) -> None:
+def build(vectors: DataFrame, *, id: str, vector: str, path: str, dimension: int, target: float = 0.995, most: int = 50) -> None:
     """Write the index of ``vectors`` to the empty folder ``path``: the model, the cells, and vectors that take no part
     (null, of another dimension than the manifest's, zero, or with components that are not finite) as rejects.
 
-    ``target`` is the share of the sample's neighbours that lie in the opened cells.  A cell of any size is dealt over
+    ``target`` is the share of the sample's neighbours that lie in the opened cells, and that the first ``most`` candidates
+    by their codes hold; codes have a byte for each dimension at most.  A cell of any size is dealt over
     several files and tasks.
     """
     spark = vectors.sparkSession
@@ -109,7 +128,7 @@ def build(vectors: DataFrame, *, id: str, vector: str, path: str, dimension: int
         x = units(table.column("vector"), dimension)[0] if table is not None else np.empty((0, dimension), np.float32)
         if not len(x):
             return
-        model = fitted(x[:SAMPLE], cells, target)
+        model = fitted(x[:SAMPLE], cells, target, most, max(total, len(x)))
         named = [("probes", model.probes, np.zeros(0))] + [("cell", i, c) for i, c in enumerate(model.centroids)] + [(f"part{p:04d}", i, c) for p, book in enumerate(model.books) for i, c in enumerate(book)]
         kinds, places, values = zip(*named)
         yield pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(places, pa.int32()), pa.array([v.tolist() for v in values], pa.list_(pa.float32()))], names=["kind", "at", "value"])
@@ -190,15 +209,11 @@ def candidates(spark: SparkSession, path: str, queries: DataFrame, *, most: int)
             return schema.empty_table()
         binary = q.column("asked").to_pylist()
         x = np.frombuffer(b"".join(binary), np.float32).reshape(len(q), model.dimension)
-        tables = [part @ book.T for part, book in zip(model.parts(x), model.books)]
-        stored = np.frombuffer(b"".join(v.column("codes").to_pylist()), np.uint8).reshape(len(v), len(tables))
+        stored = np.frombuffer(b"".join(v.column("codes").to_pylist()), np.uint8).reshape(len(v), len(model.books))
         ids = v.column("id").to_numpy()
         best, best_id = np.empty((len(q), 0), np.float32), np.empty((len(q), 0), np.int64)
         for at in range(0, len(v), CHUNK):
-            some = stored[at : at + CHUNK]
-            guess = np.zeros((len(q), len(some)), np.float32)
-            for i, table in enumerate(tables):
-                guess += table[:, some[:, i]]
+            guess = by_codes(model, x, stored[at : at + CHUNK])
             guess, names = np.hstack([best, guess]), np.hstack([best_id, np.broadcast_to(ids[at : at + CHUNK], guess.shape)])
             order = np.lexsort((names, -guess), axis=1)[:, :most]
             best, best_id = np.take_along_axis(guess, order, 1), np.take_along_axis(names, order, 1)

@@ -25,7 +25,7 @@ RERANKED = 50
 def vector_index(spark, sf) -> str:
     """The index of all vectors of ``sf``, built once in a session."""
     path = new_path(spark, "vector-index")
-    vi.build(fx.vectors(spark, sf), id="vec_id", vector="vector", path=path, dimension=64)
+    vi.build(fx.vectors(spark, sf), id="vec_id", vector="vector", path=path, dimension=64, most=RERANKED)
     return path
 
 

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from scriptorium.operators import hooks as hk
 from scriptorium.operators import retrieval as rt
+from scriptorium.operators import vector_index as vi
+from scriptorium.sources.shared import new_path
 
 
 def test_hashed_candidates_meet_in_slices_and_shuffle_k_rows_of_each(spark, monkeypatch):
@@ -23,3 +25,13 @@ def test_hashed_candidates_meet_in_slices_and_shuffle_k_rows_of_each(spark, monk
     got = {(x["query_id"], x["vec_id"]): x["score"] for x in found.collect()}
     assert len(got) == len(exact) == 18 * 10 and len(exact.keys() & got.keys()) >= 0.95 * len(exact)
     assert all(exact[pair] == pytest.approx(got[pair], abs=2e-6) for pair in exact.keys() & got.keys())
+
+
+def test_codes_are_as_long_as_the_candidates_need(spark):
+    x = np.random.default_rng(5).normal(size=(3000, 32))  # without clusters
+    v = spark.createDataFrame([(i, [float(c) for c in row]) for i, row in enumerate(x)], "id long, vector array<double>")
+    path, queries = new_path(spark, "index"), v.where("id % 50 = 0").select(F.col("id").alias("query_id"), "vector")
+    vi.build(v, id="id", vector="vector", path=path, dimension=32, most=20)
+    pairs = lambda found: {(r["query_id"], r["id"]) for r in found.collect()}
+    exact, got = pairs(rt.vector_search(v, queries, id="id", vector="vector", k=10)), pairs(vi.search(spark, path, queries, k=10, most=20))
+    assert len(exact & got) >= 0.98 * len(exact) and len(vi.read_model(spark, path).books) > 32 // vi.PART
