@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.group_ops import PandasCogroupedOps
 
 from scriptorium.functions.text import trigram_similarity, word_tokens
+from scriptorium.sources.shared import written
 
 #: Bytes of queries, and of vectors, that meet in a task at once, and vectors of a slice that are scored at once.
 QUERY_BYTES, VECTOR_BYTES, CHUNK = 8 << 20, 64 << 20, 2048
@@ -19,19 +20,38 @@ def postings(docs: DataFrame, *, id: str, text: str) -> DataFrame:
     return docs.select(id, F.posexplode(word_tokens(F.col(text))).alias("pos", "term"))
 
 
+def rarest(terms: DataFrame, counts: DataFrame) -> DataFrame:
+    """(query_id, term): of the words (query_id, term) of every query the one that fewest documents have, by ``counts``
+    (term, n_docs); none of a query that has a word without documents."""
+    known = terms.join(counts, "term", "left").groupBy("query_id")
+    return known.agg(F.min_by("term", F.struct("n_docs", "term")).alias("term"), F.count_if(F.col("n_docs").isNull()).alias("missing")).where("missing = 0").select("query_id", "term")
+
+
+def with_rarest(docs: DataFrame, terms: DataFrame, *, id: str, text: str) -> DataFrame:
+    """(query_id, id): the documents with the rarest word of a query, of its words (query_id, term)."""
+    words = docs.select(id, F.explode(F.array_distinct(word_tokens(F.col(text)))).alias("term"))
+    counts = words.join(terms.select("term").distinct(), "term").groupBy("term").agg(F.count("*").alias("n_docs"))
+    return words.join(written(rarest(terms, counts), "rarest"), "term").select("query_id", id)
+
+
 def lexical_search(docs: DataFrame, queries: DataFrame, *, id: str, text: str, match: str = "all", limit: int = 200, title: str | None = None, ties: tuple[Column, ...] = ()) -> DataFrame:
     """(query_id, id, rank, score): documents with all (or any) words of the query, by cover density.
 
     The score is the number of places of query words over the span that they cover.  Ties go to the trigram similarity of
-    ``title`` with the query, then to the document type's own order ``ties``, then to the smaller id.  Only postings of
-    words that some query asks for are shuffled, counted for each document before they meet; titles are compared for
-    matches only.
+    ``title`` with the query, then to the document type's own order ``ties``, then to the smaller id.  Where all words must
+    be there, a query's rarest word names the documents that can match, and only those documents' postings of words that
+    some query asks for are shuffled, counted for each document before they meet; titles are compared for matches only.
     """
-    terms = queries.select("query_id", F.explode(F.array_distinct(word_tokens(F.col("query")))).alias("term"))
+    terms = written(queries.select("query_id", F.explode(F.array_distinct(word_tokens(F.col("query")))).alias("term")), "terms")
     wanted = terms.groupBy("query_id").agg(F.count("*").alias("n_terms"))
-    own = postings(docs, id=id, text=text).join(terms.select("term").distinct(), "term")
+    if match == "all":
+        possible = written(with_rarest(docs, terms, id=id, text=text), "possible")
+        docs_met, asked = docs.select(id, text).join(possible.select(id).distinct(), id, "left_semi"), possible.join(terms, "query_id")
+    else:
+        docs_met, asked = docs, terms
+    own = postings(docs_met, id=id, text=text).join(terms.select("term").distinct(), "term")
     own = own.groupBy(id, "term").agg(F.count("*").alias("n"), F.min("pos").alias("lo"), F.max("pos").alias("hi"))
-    met = own.join(terms, "term").groupBy("query_id", id).agg(F.count("*").alias("hit"), F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    met = own.join(asked, ["term", id] if match == "all" else ["term"]).groupBy("query_id", id).agg(F.count("*").alias("hit"), F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     if match == "all":
         met = met.join(wanted, "query_id").where("hit = n_terms")
     scored = met.withColumn("score", F.round(F.col("n") / (F.col("hi") - F.col("lo") + 1), 6))

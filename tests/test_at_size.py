@@ -35,3 +35,19 @@ def test_codes_are_as_long_as_the_candidates_need(spark):
     pairs = lambda found: {(r["query_id"], r["id"]) for r in found.collect()}
     exact, got = pairs(rt.vector_search(v, queries, id="id", vector="vector", k=10)), pairs(vi.search(spark, path, queries, k=10, most=20))
     assert len(exact & got) >= 0.98 * len(exact) and len(vi.read_model(spark, path).books) > 32 // vi.PART
+
+
+def test_only_documents_with_the_rarest_word_meet_a_query(spark, monkeypatch):
+    rows = [(i, "the rain and the wind" + (" over helsinki" if i % 40 == 0 else "")) for i in range(400)]
+    docs = spark.createDataFrame(rows, "id long, text string")
+    queries = spark.createDataFrame([(1, "the helsinki and the rain"), (2, "the nowhere"), (3, "wind"), (4, "")], "query_id long, query string")
+    seen, postings = [], rt.postings
+
+    def counted(docs, **names):
+        seen.append(docs.count())
+        return postings(docs, **names)
+
+    monkeypatch.setattr(rt, "postings", counted)
+    found = rt.lexical_search(docs, queries.where("query_id <> 3"), id="id", text="text", limit=50).collect()
+    assert seen == [10] and {(r["query_id"], r["id"]) for r in found} == {(1, i) for i in range(0, 400, 40)} and {r["score"] for r in found} == {round(5 / 7, 6)}
+    assert {(r["query_id"], r["id"]) for r in rt.lexical_search(docs, queries, id="id", text="text", limit=3).collect()} == {(1, 0), (1, 40), (1, 80), (3, 0), (3, 1), (3, 2)}
