@@ -12,7 +12,7 @@ from scriptorium.functions import text as tx
 from scriptorium.operators import evaluation as ev
 from scriptorium.operators import hooks as hk
 from scriptorium.operators import retrieval as rt
-from scriptorium.plans.retrieval import FUSED, JUDGED, TRIGRAMS, VECTOR, both, every, vector
+from scriptorium.plans.retrieval import FUSED, JUDGED, TRIGRAMS, VECTOR, both, every, judges, judgments, vector
 from scriptorium.registry import query
 from scriptorium.sources.shared import written
 
@@ -138,9 +138,7 @@ def evaluated_search(spark, sf):
     works = fx.read(spark, sf, "documents").select(F.col("doc_id").alias("result_id"), F.col("source").alias("material_id"))
     lists = both(spark, sf)
     cases = lists.select("query_id").distinct()
-    labels = fx.read(spark, sf, "labels").withColumn("m", F.col("doc_id") % 7)
-    judged = cases.withColumn("m", F.col("query_id") % 7).join(labels, "m").select("query_id", F.col("doc_id").alias("result_id"), (F.col("quality") * 2 + 1 - F.col("toxic")).alias("relevance"))
-    return hk.evaluated(cases, lambda asked: rt.reciprocal_rank_fusion(lists.join(asked, "query_id", "left_semi")).join(works, "result_id"), judged, 20).select("query_id", "recall", "ndcg")
+    return hk.evaluated(cases, lambda asked: rt.reciprocal_rank_fusion(lists.join(asked, "query_id", "left_semi")).join(works, "result_id"), judgments(spark, sf), 20, judges(lists)).select("query_id", "recall", "ndcg")
 
 
 @F.pandas_udf(ArrayType(FloatType()))

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from scriptorium.operators import evaluation as ev
 from scriptorium.operators import hooks as hk
 from scriptorium.operators import retrieval as rt
 from scriptorium.operators import vector_index as vi
@@ -51,3 +52,13 @@ def test_only_documents_with_the_rarest_word_meet_a_query(spark, monkeypatch):
     found = rt.lexical_search(docs, queries.where("query_id <> 3"), id="id", text="text", limit=50).collect()
     assert seen == [10] and {(r["query_id"], r["id"]) for r in found} == {(1, i) for i in range(0, 400, 40)} and {r["score"] for r in found} == {round(5 / 7, 6)}
     assert {(r["query_id"], r["id"]) for r in rt.lexical_search(docs, queries, id="id", text="text", limit=3).collect()} == {(1, 0), (1, 40), (1, 80), (3, 0), (3, 1), (3, 2)}
+
+
+def test_queries_that_share_judgments_are_judged_without_copies_of_them(spark):
+    r = np.random.default_rng(8)
+    ranked = spark.createDataFrame([(q, int(d), i + 1, int(d) % 3) for q in range(6) for i, d in enumerate(r.permutation(40)[:9])], "query_id long, result_id long, rank int, material_id long")
+    shared = spark.createDataFrame([(int(d) % 2, int(d), int(r.integers(4))) for d in range(0, 40)], "judged_by long, result_id long, relevance int")
+    groups = spark.createDataFrame([(q, q % 2) for q in range(7)], "query_id long, judged_by long")
+    own = ev.metrics_at(ranked, groups.join(shared, "judged_by").drop("judged_by"), 5).collect()
+    got = ev.metrics_at(ranked, shared, 5, groups).select(*own[0].asDict()).collect()
+    assert len(own) == 7 and sorted(map(tuple, own)) == sorted(map(tuple, got))
