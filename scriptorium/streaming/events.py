@@ -33,34 +33,50 @@ def sessions(events: DataFrame, gap: str = "60 minutes", late: str = LATE) -> Da
     return events.withWatermark("occurred_at", late).groupBy(F.session_window("occurred_at", gap), "run_id").agg(F.count("*").alias("n")).select("run_id", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
 
 
+#: Groups of keys of ``throttled``: a call and a state for each, so that keys cost no calls of their own.
+BUCKETS = 2048
+KEY = ["run_id", "stage_id", "event_name"]
+
+
 def throttled(events: DataFrame, first: int = 3, late: str = LATE) -> DataFrame:
     """The first diagnostics of every (run, stage, name) as they come, and their total once the watermark has passed.
 
-    State is a count for each key and is dropped at the time-out.  Within a micro-batch the first are the earliest of all
-    its rows, however many Arrow chunks they come in.
+    State is a count and a time-out for each key, which is dropped at the time-out; keys lie in ``BUCKETS`` by their hash,
+    and those of a bucket are counted together.  Within a micro-batch the first are the earliest of all its rows, however
+    many Arrow chunks they come in.
     """
 
-    def step(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        run, stage, name = key
-        row = lambda kind, n, event: pd.DataFrame({"run_id": [run], "stage_id": [stage], "event_name": [name], "kind": [kind], "n": [n], "event_id": [event]})
-        if state.hasTimedOut:
-            (n,) = state.get
+    def step(bucket, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        # With nullable types a null in a key stays one.
+        types = {"run_id": "Int64", "stage_id": "Int64", "event_name": "object", "n": "int64", "expiry": "int64"}
+        counts = pd.DataFrame(dict(zip(types, state.get if state.exists else ([],) * 5))).astype(types)
+        now, came, head = state.getCurrentWatermarkMs(), [], None
+        for batch in () if state.hasTimedOut else batches:
+            rows = batch.astype({"run_id": "Int64", "stage_id": "Int64"})
+            came.append(rows.groupby(KEY, dropna=False, sort=False).size().rename("n").reset_index())
+            rows = rows[[*KEY, "occurred_at", "event_id"]]
+            rows = (rows if head is None else pd.concat([head, rows])).sort_values(["occurred_at", "event_id"])
+            head = rows[rows.groupby(KEY, dropna=False, sort=False).cumcount() < first]
+        if came:
+            new = pd.concat(came).groupby(KEY, dropna=False, sort=False)["n"].sum().reset_index().assign(expiry=now + 60_000)
+            before = head.merge(counts[[*KEY, "n"]], on=KEY, how="left")["n"].fillna(0).astype("int64").to_numpy()
+            nth = before + head.groupby(KEY, dropna=False, sort=False).cumcount().to_numpy() + 1
+            yield head.assign(kind="sample", n=nth)[nth <= first][[*KEY, "kind", "n", "event_id"]]
+            counts = pd.concat([counts, new]).groupby(KEY, dropna=False, sort=False).agg({"n": "sum", "expiry": "max"}).reset_index()
+        over = counts["expiry"] < now
+        if over.any():
+            yield counts[over].assign(kind="total", event_id=-1)[[*KEY, "kind", "n", "event_id"]]
+        counts = counts[~over]
+        if len(counts):
+            state.update(tuple([None if v is pd.NA or v is None else v for v in counts[c].tolist()] for c in types))
+            state.setTimeoutTimestamp(int(counts["expiry"].min()))
+        elif state.exists:
             state.remove()
-            yield row("total", n, -1)
-            return
-        before = n = state.get[0] if state.exists else 0
-        head = None
-        for batch in batches:
-            n += len(batch)
-            rows = batch[["occurred_at", "event_id"]]
-            head = (rows if head is None else pd.concat([head, rows])).sort_values(["occurred_at", "event_id"]).head(max(0, first - before))
-        for i, event in enumerate([] if head is None else head["event_id"], before + 1):
-            yield row("sample", i, event)
-        state.update((n,))
-        state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + 60_000)
-
-    keyed = events.withWatermark("occurred_at", late).groupBy("run_id", "stage_id", "event_name")
-    return keyed.applyInPandasWithState(step, "run_id long, stage_id long, event_name string, kind string, n long, event_id long", "n long", "append", "EventTimeTimeout")
+
+    bucket = F.pmod(F.xxhash64(*KEY), F.lit(BUCKETS)).alias("bucket")
+    keyed = events.withWatermark("occurred_at", late).select(*KEY, "occurred_at", "event_id", bucket).groupBy("bucket")
+    states = "run_ids array<long>, stage_ids array<long>, event_names array<string>, n array<long>, expiry array<long>"
+    return keyed.applyInPandasWithState(step, "run_id long, stage_id long, event_name string, kind string, n long, event_id long", states, "append", "EventTimeTimeout")
 
 
 def late_events(events: DataFrame, late_seconds: int = 90) -> DataFrame:

@@ -11,6 +11,7 @@ from scriptorium.operators import hooks as hk
 from scriptorium.operators import retrieval as rt
 from scriptorium.operators import vector_index as vi
 from scriptorium.sources.shared import new_path
+from scriptorium.streaming import events as se
 
 
 def test_hashed_candidates_meet_in_slices_and_shuffle_k_rows_of_each(spark, monkeypatch):
@@ -62,3 +63,16 @@ def test_queries_that_share_judgments_are_judged_without_copies_of_them(spark):
     own = ev.metrics_at(ranked, groups.join(shared, "judged_by").drop("judged_by"), 5).collect()
     got = ev.metrics_at(ranked, shared, 5, groups).select(*own[0].asDict()).collect()
     assert len(own) == 7 and sorted(map(tuple, own)) == sorted(map(tuple, got))
+
+
+def test_throttle_counts_keys_in_buckets_over_micro_batches(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(se, "BUCKETS", 2)
+    slices = [[(1, 1, 1), (2, 2, 1), (1, 3, 2)], [(1, 4, 3), (1, 5, 4), (3, 6, 4)], [(2, 7, 2000)], [(1, 8, 4000)]]
+    for rows in slices:  # (run, event, minute); keys of a bucket time out each by its own
+        df = spark.createDataFrame(rows, "run_id long, event_id long, minute long").withColumns({"stage_id": F.lit(1).cast("long"), "event_name": F.when(F.col("run_id") != 3, "a")})
+        df.select("run_id", "stage_id", "event_name", "event_id", F.timestamp_seconds(F.col("minute") * 60 + 3_600_000).alias("occurred_at")).coalesce(1).write.mode("append").parquet(str(tmp_path))
+    e = spark.readStream.schema("run_id long, stage_id long, event_name string, event_id long, occurred_at timestamp").option("maxFilesPerTrigger", 1).parquet(str(tmp_path))
+    got = sorted((r["run_id"], r["kind"], r["n"], r["event_id"]) for r in se.drained(se.throttled(e), "append").collect())
+    samples = [(1, "sample", 1, 1), (1, "sample", 1, 8), (1, "sample", 2, 3), (1, "sample", 3, 4)]
+    assert [r for r in got if r[0] == 1] == [*samples, (1, "total", 1, -1), (1, "total", 4, -1)]
+    assert [r for r in got if r[0] == 2] == [(2, "sample", 1, 2), (2, "sample", 1, 7), (2, "total", 1, -1), (2, "total", 1, -1)] and [r for r in got if r[0] == 3] == [(3, "sample", 1, 6), (3, "total", 1, -1)]
