@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scriptorium.sources.shared import written
+
 CHAPTER = "chapter long, title string, type string, summary string"
 MANIFEST = "dimension int, model string"
 
@@ -23,7 +25,7 @@ def read_chapters(spark: SparkSession, path: str, types: DataFrame | None = None
     ``types`` (material_id, chapter, type) goes before the record's own, which is ``normal`` if it is missing."""
     read = spark.read.schema(CHAPTER).option("multiLine", True).option("mode", "DROPMALFORMED")
     one = lambda layer: read.json(f"{path}/*/*{layer}").select(_work(2).alias("material_id"), *[c.split()[0] for c in CHAPTER.split(", ")], F.lit(layer).alias("layer")).where("chapter is not null")
-    split = one("split")
+    split = written(one("split"), "split")  # files are opened once
     rows = split.unionByName(one("merged").join(split.select("material_id").distinct(), "material_id", "left_anti"))
     if types is not None:
         rows = rows.join(types.withColumnRenamed("type", "_type"), ["material_id", "chapter"], "left").withColumn("type", F.coalesce("_type", "type")).drop("_type")

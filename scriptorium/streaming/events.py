@@ -62,7 +62,7 @@ def throttled(events: DataFrame, first: int = 3, late: str = LATE) -> DataFrame:
             before = head.merge(counts[[*KEY, "n"]], on=KEY, how="left")["n"].fillna(0).astype("int64").to_numpy()
             nth = before + head.groupby(KEY, dropna=False, sort=False).cumcount().to_numpy() + 1
             yield head.assign(kind="sample", n=nth)[nth <= first][[*KEY, "kind", "n", "event_id"]]
-            counts = pd.concat([counts, new]).groupby(KEY, dropna=False, sort=False).agg({"n": "sum", "expiry": "max"}).reset_index()
+            counts = (pd.concat([counts, new]) if len(counts) else new).groupby(KEY, dropna=False, sort=False).agg({"n": "sum", "expiry": "max"}).reset_index()
         over = counts["expiry"] < now
         if over.any():
             yield counts[over].assign(kind="total", event_id=-1)[[*KEY, "kind", "n", "event_id"]]

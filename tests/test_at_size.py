@@ -10,6 +10,7 @@ from scriptorium.operators import evaluation as ev
 from scriptorium.operators import hooks as hk
 from scriptorium.operators import retrieval as rt
 from scriptorium.operators import vector_index as vi
+from scriptorium.sources import layers
 from scriptorium.sources.shared import new_path
 from scriptorium.streaming import events as se
 
@@ -76,3 +77,15 @@ def test_throttle_counts_keys_in_buckets_over_micro_batches(spark, tmp_path, mon
     samples = [(1, "sample", 1, 1), (1, "sample", 1, 8), (1, "sample", 2, 3), (1, "sample", 3, 4)]
     assert [r for r in got if r[0] == 1] == [*samples, (1, "total", 1, -1), (1, "total", 4, -1)]
     assert [r for r in got if r[0] == 2] == [(2, "sample", 1, 2), (2, "sample", 1, 7), (2, "total", 1, -1), (2, "total", 1, -1)] and [r for r in got if r[0] == 3] == [(3, "sample", 1, 6), (3, "total", 1, -1)]
+
+
+def test_chapter_files_are_opened_once(spark, tmp_path):
+    for chapter in range(6):
+        folder = tmp_path / "w1" / "split"
+        folder.mkdir(parents=True, exist_ok=True)
+        (folder / f"{chapter}.json").write_text(f'{{"chapter": {chapter}}}' if chapter else "[no object")
+    (tmp_path / "w2" / "merged").mkdir(parents=True)
+    (tmp_path / "w2" / "merged" / "all.json").write_text('[{"chapter": 1}, {"chapter": 2}]')
+    rows = layers.read_chapters(spark, str(tmp_path))
+    assert sorted((r["material_id"], r["chapter"]) for r in rows.collect()) == [("w1", i) for i in range(1, 6)] + [("w2", 1), ("w2", 2)]
+    assert not [f for f in rows.inputFiles() if "/split/" in f]  # they are not read again
