@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from scriptorium.operators.statistics import numbered_within
+from scriptorium.operators.statistics import numbered_within, spread
 
 
 def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -29,7 +29,8 @@ TEXT_CHAPTERS = "tc as (select source as material_id, cast(row_number() over (pa
 def order_chapters(spark: SparkSession, sf: str) -> DataFrame:
     """(material_id, chapter, chapter_key, tension_level, function, status, type, price, day): orders of a customer."""
     place = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
-    return read(spark, sf, "orders").select(
+    orders = read(spark, sf, "orders")
+    return spread(orders, "o_custkey", orders.count()).select(
         F.col("o_custkey").alias("material_id"),
         place.alias("chapter"),
         F.col("o_orderkey").alias("chapter_key"),
@@ -48,10 +49,19 @@ ORDER_CHAPTERS = """oc as (select o_custkey as material_id, cast(row_number() ov
 
 
 def appearances(spark: SparkSession, sf: str) -> DataFrame:
-    """(material_id, chapter, chapter_key, type, tension_level, function, name): a part's brand is a character."""
+    """(material_id, chapter, chapter_key, type, tension_level, function, name): a part's brand is a character.
+
+    A chapter's names are made distinct before they meet the chapter, which is a row of its own by work and number."""
     lines = read(spark, sf, "lineitem").select(F.col("l_orderkey").alias("chapter_key"), F.col("l_partkey").alias("p_partkey"))
     names = read(spark, sf, "part").select("p_partkey", F.col("p_brand").alias("name"))
-    return lines.join(names, "p_partkey").join(order_chapters(spark, sf), "chapter_key").select("material_id", "chapter", "chapter_key", "type", "tension_level", "function", "name").distinct()
+    named = spread(lines.join(names, "p_partkey").select("chapter_key", "name"), "chapter_key", lines.count()).distinct()
+    return named.join(order_chapters(spark, sf), "chapter_key").select("material_id", "chapter", "chapter_key", "type", "tension_level", "function", "name")
+
+
+def appearance_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """(material_id, name, n) over all chapters, by work in partitions of bounded rows."""
+    own = spread(appearances(spark, sf).select("material_id", "name"), "material_id", read(spark, sf, "lineitem").count())
+    return own.groupBy("material_id", "name").agg(F.count("*").alias("n"))
 
 
 APPEARANCES = ORDER_CHAPTERS + ", ap as (select distinct material_id, chapter, chapter_key, type, tension_level, function, p_brand as name from oc join lineitem on l_orderkey = chapter_key join part on p_partkey = l_partkey)"

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from scriptorium.sources.shared import new_path
 
 SPECIAL_TYPES = ("afterword", "author_note")
+#: Rows that a task sorts or counts at once, see ``spread``.
+TASK_ROWS = 1 << 19
 
 
 def regular(chapters: DataFrame) -> DataFrame:
@@ -82,6 +84,13 @@ def progressive_batches(rows: DataFrame, group: str, order: list[str], size: int
     return even_sample(rows, group, order, size * batches).withColumn("batch", F.floor(place / size) + 1)
 
 
+def spread(rows: DataFrame, key: str, n_rows: int) -> DataFrame:
+    """``rows``, about ``n_rows`` of them, by ``key`` in partitions of at most about ``TASK_ROWS``, however well they compress:
+    the number is given, so that adaptive execution does not put partitions together by their compressed bytes.  What is
+    grouped, numbered or joined by ``key`` next is not shuffled again."""
+    return rows.repartition(n_rows // TASK_ROWS + rows.sparkSession.sparkContext.defaultParallelism, key)
+
+
 def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
     """Adds the place of each row in the order of the whole table: by range, then within it, after those of all before.
 

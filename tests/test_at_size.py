@@ -6,14 +6,18 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from scriptorium import fixtures as fx
 from scriptorium.operators import evaluation as ev
 from scriptorium.operators import hooks as hk
 from scriptorium.operators import retrieval as rt
+from scriptorium.operators import statistics as st
 from scriptorium.operators import vector_index as vi
 from scriptorium.sources import layers
 from scriptorium.sources.shared import new_path
 from scriptorium.streaming import events as se
 
+SF = "/root/testdata/sf0.001"
+
 
 def test_hashed_candidates_meet_in_slices_and_shuffle_k_rows_of_each(spark, monkeypatch):
     r = np.random.default_rng(3)
@@ -89,3 +93,10 @@ def test_chapter_files_are_opened_once(spark, tmp_path):
     rows = layers.read_chapters(spark, str(tmp_path))
     assert sorted((r["material_id"], r["chapter"]) for r in rows.collect()) == [("w1", i) for i in range(1, 6)] + [("w2", 1), ("w2", 2)]
     assert not [f for f in rows.inputFiles() if "/split/" in f]  # they are not read again
+
+
+def test_appearances_and_chapters_lie_in_partitions_of_bounded_rows(spark, monkeypatch):
+    monkeypatch.setattr(st, "TASK_ROWS", 100)
+    most = lambda df: max(r["count"] for r in df.groupBy(F.spark_partition_id().alias("p")).count().collect())
+    for rows in (fx.appearances(spark, SF), fx.order_chapters(spark, SF), fx.appearance_counts(spark, SF)):
+        assert rows.count() > 1000 and most(rows) < 400  # a partition of compressed rows would hold all of them
