@@ -203,7 +203,7 @@ def work_context(spark, sf):
     """AG32: a record for each work from capped sides."""
     a = fx.order_chapters(spark, sf).where("chapter <= 80").groupBy("material_id").agg(F.count("*").alias("chapters"), F.countDistinct("function").alias("functions"))
     order = Window.partitionBy("material_id").orderBy(F.desc("n"), "name")
-    names = fx.appearances(spark, sf).groupBy("material_id", "name").agg(F.count("*").alias("n")).withColumn("r", F.row_number().over(order)).where("r <= 50")
+    names = fx.appearance_counts(spark, sf).withColumn("r", F.row_number().over(order)).where("r <= 50")
     b = names.groupBy("material_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "name"))), lambda x: x["name"]), ",").alias("cast_names"))
     return a.join(b, "material_id", "left").fillna("", ["cast_names"])
 
