@@ -1,15 +1,18 @@
 """An inverted index of texts on disk, in blocks of postings with their maxima, that takes new and changed documents.
 
 A posting is what the lexical score needs of a word in a document: how often it occurs, and its first and last place.  The
-postings of a word are cut into blocks by ranges of documents of like length, the same ranges for all words; a block tells
+postings of a word are cut into blocks by ranges of documents of like length, the same ranges for all words, and name documents by their places in the range; a block tells
 the most occurrences and the shortest span in it.  No document of a range that has all words can score more than the sum
 of its blocks' most over the longest of their shortest spans, and one that has any of them no more than the sum of most
 over shortest span.  A search reads the blocks' maxima of its words, scores the postings of the
 most promising ranges, and then those of other ranges only that could still reach the k-th score found so far.
 
+The texts of a range meet in one task, which makes its blocks; postings are not shuffled one by one.  A search brings the
+blocks of a range to one task too, with the queries that ask for them, and scores its documents there.
+
 Blocks lie in folders by the hash of their word, so that a search opens the folders of its words.  An update writes a
-segment of its own; the newest segment that names a document is the one that counts for it.  A segment counts once it is
-listed, and is listed when it is whole.
+segment of its own; the newest segment that names a document is the one that counts for it.  A merge tells
+by the places of a range, block by block, what counts.  A segment counts once it is listed, and is listed when it is whole.
 """
 
 from __future__ import annotations
@@ -21,8 +24,8 @@ from scriptorium.functions.text import word_tokens
 from scriptorium.operators.retrieval import top_k
 from scriptorium.sources.shared import written
 
-#: Folders by hash of the word, and documents of a range, over all lengths.
-FOLDERS, RANGE = 64, 2048
+#: Folders by hash of the word, and documents and characters of a range, about.
+FOLDERS, RANGE, RANGE_CHARS = 64, 1024, 1 << 23
 #: Ranges that are scored first for every query; at least as many as documents are asked for, so that there is a k-th score.
 FIRST = 4
 
@@ -47,26 +50,31 @@ class TextIndex:
     def _list(self, segment: int, replaces: int = -1) -> None:
         self.spark.createDataFrame([(segment, replaces)], "segment long, replaces long").coalesce(1).write.mode("append").json(f"{self.path}/segments")
 
-    def _write(self, postings: DataFrame, segment: int) -> None:
-        """Postings (term, range, id, n, lo, hi) as blocks."""
-        span = F.col("hi") - F.col("lo") + 1
-        entries = F.collect_list(F.struct("id", "n", "lo", "hi"))
-        blocks = postings.groupBy("term", "range").agg(F.count("*").alias("n_docs"), F.max("n").alias("most_n"), F.min(span).alias("least_span"), entries.alias("entries"))
-        placed = blocks.withColumn("folder", F.pmod(F.xxhash64("term"), F.lit(FOLDERS)).cast("int")).hint("rebalance", F.col("folder"))
-        placed.sortWithinPartitions("folder", "term").write.mode("overwrite").partitionBy("folder").parquet(f"{self.path}/blocks/segment={segment}")
+    def _write(self, blocks: DataFrame, documents: DataFrame, segment: int, replaces: int = -1) -> None:
+        """Blocks (term, range, entries) and documents (id, range, place) as a segment."""
+        e = F.col("entries")
+        maxima = [F.size(e).cast("long").alias("n_docs"), F.array_max(e["n"]).alias("most_n"), F.array_min(F.transform(e, lambda x: x["hi"] - x["lo"] + 1)).alias("least_span")]
+        placed = blocks.select("term", "range", "entries", F.pmod(F.xxhash64("term"), F.lit(FOLDERS)).cast("int").alias("folder")).hint("rebalance", F.col("folder"))
+        placed.select("term", "range", *maxima, "entries", "folder").sortWithinPartitions("folder", "term").write.mode("overwrite").partitionBy("folder").parquet(f"{self.path}/blocks/segment={segment}")
+        documents.select("id", F.lit(segment).cast("long").alias("since"), "range", "place").write.mode("overwrite").parquet(f"{self.path}/documents/segment={segment}")
+        self._list(segment, replaces)
 
     def upsert(self, docs: DataFrame, *, id: str, text: str) -> int:
         """Index ``docs``, of distinct ids; what earlier segments hold of them no longer counts.  A null text has no words.
         Returns the segment's number."""
         segment = max(self.segments(), default=-1) + 1
-        ranges = docs.count() // RANGE + 1
-        words = word_tokens(F.coalesce(F.col(text), F.lit("")))
-        length = F.floor(F.log2(F.size("words") + F.lit(1))).cast("long")
-        rows = docs.select(F.col(id).alias("id"), words.alias("words")).withColumn("range", length * (1 << 32) + F.pmod(F.xxhash64("id"), F.lit(ranges)))
-        postings = rows.select("id", "range", F.posexplode("words").alias("pos", "term")).groupBy("term", "range", "id").agg(F.count("*").alias("n"), F.min("pos").alias("lo"), F.max("pos").alias("hi"))
-        self._write(postings, segment)
-        docs.select(F.col(id).alias("id"), F.lit(segment).cast("long").alias("since")).write.mode("overwrite").parquet(f"{self.path}/documents/segment={segment}")
-        self._list(segment)
+        own = docs.select(F.col(id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+        own = own.withColumn("length", F.floor(F.log2(F.length("text") + F.lit(1))).cast("long"))
+        sizes = own.groupBy("length").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars")).collect()  # at most 32
+        ranges = {r["length"]: max(r["n"] // RANGE, r["chars"] // RANGE_CHARS) + 1 for r in sizes} or {0: 1}
+        dealt = F.create_map(*[F.lit(x).cast("long") for pair in ranges.items() for x in pair])[F.col("length")]
+        own = own.withColumn("range", F.col("length") * (1 << 32) + F.pmod(F.xxhash64("id"), dealt))
+        place = (F.row_number().over(Window.partitionBy("range").orderBy("id")) - 1).alias("place")
+        met = lambda *columns: own.select("range", "id", *columns).repartition(sum(ranges.values()), "range").select("*", place)
+        words = met("text").select("range", "place", F.posexplode(word_tokens(F.col("text"))).alias("pos", "term"))
+        postings = words.groupBy("range", "term", "place").agg(F.count("*").cast("int").alias("n"), F.min("pos").alias("lo"), F.max("pos").alias("hi"))
+        blocks = postings.groupBy("range", "term").agg(F.collect_list(F.struct("place", "n", "lo", "hi")).alias("entries"))
+        self._write(blocks, met(), segment)
         return segment
 
     def _read(self, kind: str) -> DataFrame:
@@ -86,16 +94,22 @@ class TextIndex:
         return newer.groupBy("id").agg(F.max("since").alias("since"))
 
     def merge(self) -> int:
-        """Write all that counts as one segment, which replaces the others."""
-        listed, current = self.segments(), self.current()
-        blocks = self.blocks().select("term", "range", F.col("segment").cast("long").alias("segment"), F.explode("entries").alias("e")).select("term", "range", "segment", "e.*")
-        documents = self._read("documents").groupBy("id").agg(F.max("since").alias("since"))
-        if current is not None:
-            blocks = blocks.join(current, "id", "left").where("since is null or segment = since")
-        segment = listed[-1] + 1
-        self._write(blocks.select("term", "range", "id", "n", "lo", "hi"), segment)
-        documents.select("id", F.lit(segment).cast("long").alias("since")).write.mode("overwrite").parquet(f"{self.path}/documents/segment={segment}")
-        self._list(segment, listed[-1])
+        """Write all that counts as one segment, which replaces the others; ranges of one number become one.  Blocks meet the
+        new places of their range's documents, and are shuffled by range only."""
+        segment = self.segments()[-1] + 1
+        counts = F.col("since") == F.max("since").over(Window.partitionBy("id"))
+        documents = self._read("documents").select("id", "since", "range", "place", counts.alias("counts"))
+        nth = F.row_number().over(Window.partitionBy("range").orderBy(F.desc("counts"), "since", "place")) - 1
+        documents = written(documents.withColumn("to", F.when(F.col("counts"), nth)), "documents")
+        n_ranges = documents.agg(F.countDistinct("range")).first()[0]
+        moves = F.transform(F.array_sort(F.collect_list(F.struct("place", "to"))), lambda x: x["to"])
+        moved = documents.groupBy("range", "since").agg(moves.alias("moves")).groupBy("range").agg(F.map_from_entries(F.collect_list(F.struct("since", "moves"))).alias("moved"))
+        blocks = self.blocks().select("term", "range", F.col("segment").cast("long").alias("since"), "entries").repartition(max(1, n_ranges), "range")
+        to = F.col("moved")[F.col("since")]
+        kept = F.filter(F.transform("entries", lambda e: F.struct(to[e["place"]].alias("place"), e["n"].alias("n"), e["lo"].alias("lo"), e["hi"].alias("hi"))), lambda e: e["place"].isNotNull())
+        blocks = blocks.join(moved, "range").select("range", "term", kept.alias("entries")).where(F.size("entries") > 0)
+        blocks = blocks.groupBy("range", "term").agg(F.flatten(F.collect_list("entries")).alias("entries"))
+        self._write(blocks, documents.where("counts").select("id", "range", F.col("to").alias("place")), segment, segment - 1)
         return segment
 
     def opened(self, terms: DataFrame) -> DataFrame:
@@ -120,20 +134,27 @@ class TextIndex:
         bound = F.least(F.lit(1.0), F.round(most, 6)).alias("bound")
         ranges = maxima.join(terms, "term").groupBy("query_id", "segment", "range").agg(F.count("*").alias("hit"), bound).join(wanted, "query_id")
         ranges = written(ranges.where("hit = n_terms") if match == "all" else ranges, "ranges")
-        first = top_k(ranges, "query_id", [F.desc("bound"), F.asc("segment"), F.asc("range")], max(FIRST, limit)).select("query_id", "segment", "range")
-        head = written(self._score(first, terms, wanted, match), "scored")
+        first = top_k(ranges, "query_id", [F.desc("bound"), F.asc("segment"), F.asc("range")], max(FIRST, limit)).select("query_id", "segment", "range", "n_terms")
+        head = written(self._score(first, terms, match), "scored")
         least = head.withColumn("nth", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("id")))).where(F.col("nth") == limit).select("query_id", F.col("score").alias("least"))
         rest = ranges.join(first, ["query_id", "segment", "range"], "left_anti").join(least, "query_id", "left").where("least is null or bound >= least")
-        return head.union(self._score(rest.select("query_id", "segment", "range"), terms, wanted, match))
-
-    def _score(self, ranges: DataFrame, terms: DataFrame, wanted: DataFrame, match: str) -> DataFrame:
-        """Exact scores of the documents in ``ranges`` (query_id, segment, range) that count."""
-        needed = ranges.join(terms, "query_id")
-        blocks = self.asked(terms).select("segment", "term", "range", "entries")
-        rows = needed.join(blocks, ["segment", "term", "range"]).select("query_id", "segment", F.explode("entries").alias("e")).select("query_id", F.col("segment").cast("long").alias("segment"), "e.*")
-        met = rows.groupBy("query_id", "segment", "id").agg(F.count("*").alias("hit"), F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+        return head.union(self._score(rest.select("query_id", "segment", "range", "n_terms"), terms, match))
+
+    def _score(self, ranges: DataFrame, terms: DataFrame, match: str) -> DataFrame:
+        """Exact scores of the documents in ``ranges`` (query_id, segment, range, n_terms) that count.
+
+        A block goes once to the task of its range, however many queries ask for it, and meets them there."""
+        askers = terms.groupBy("term").agg(F.collect_list("query_id").alias("askers"))
+        needed = ranges.groupBy("segment", "range").agg(F.map_from_entries(F.collect_list(F.struct("query_id", "n_terms"))).alias("needed"))
+        ids = self._read("documents").groupBy(F.col("since").alias("segment"), "range").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "id"))), lambda x: x["id"]).alias("ids"))
+        needed = written(needed.withColumn("segment", F.col("segment").cast("long")).join(ids, ["segment", "range"]), "needed")
+        blocks = self.opened(terms).select(F.col("segment").cast("long").alias("segment"), "term", "range", "entries").join(askers, "term")
+        blocks = blocks.join(needed.select("segment", "range"), ["segment", "range"], "left_semi").repartition(max(1, needed.count()), "segment", "range").join(needed, ["segment", "range"])
+        asking = F.transform(F.array_intersect("askers", F.map_keys("needed")), lambda q: F.struct(q.alias("query_id"), F.col("needed")[q].alias("n_terms")))
+        rows = blocks.select("segment", "range", "entries", "ids", F.inline(asking)).select("segment", "range", "query_id", "n_terms", "ids", F.inline("entries"))
+        met = rows.groupBy("segment", "range", "query_id", "n_terms", F.col("ids")[F.col("place")].alias("id")).agg(F.count("*").alias("hit"), F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
         if match == "all":
-            met = met.join(wanted, "query_id").where("hit = n_terms")
+            met = met.where("hit = n_terms")
         current = self.current()
         if current is not None:
             met = met.join(current, "id", "left").where("since is null or segment = since")

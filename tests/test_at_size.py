@@ -11,6 +11,7 @@ from scriptorium.operators import evaluation as ev
 from scriptorium.operators import hooks as hk
 from scriptorium.operators import retrieval as rt
 from scriptorium.operators import statistics as st
+from scriptorium.operators import text_index as ti
 from scriptorium.operators import vector_index as vi
 from scriptorium.sources import layers
 from scriptorium.sources.shared import new_path
@@ -100,3 +101,20 @@ def test_appearances_and_chapters_lie_in_partitions_of_bounded_rows(spark, monke
     most = lambda df: max(r["count"] for r in df.groupBy(F.spark_partition_id().alias("p")).count().collect())
     for rows in (fx.appearances(spark, SF), fx.order_chapters(spark, SF), fx.appearance_counts(spark, SF)):
         assert rows.count() > 1000 and most(rows) < 400  # a partition of compressed rows would hold all of them
+
+
+def test_postings_of_an_index_are_not_shuffled_one_by_one(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    seen, write = [], ti.TextIndex._write
+    monkeypatch.setattr(ti.TextIndex, "_write", lambda self, rows, *more: (seen.append(rows), write(self, rows, *more)))
+    index = ti.TextIndex(spark, new_path(spark, "text"))
+    index.upsert(docs, id="doc_id", text="text")
+    index.upsert(docs.where("doc_id % 3 = 0"), id="doc_id", text="text")
+    index.merge()
+    plans = [rows._jdf.queryExecution().executedPlan().toString() for rows in seen]
+    assert [len(re.findall(r"Exchange hashpartitioning\(range", p)) for p in plans[:2]] == [1, 1] and "explode(entries" not in plans[2]
+    assert not re.search("Exchange", plans[0][: plans[0].index("Generate")])  # words stay where their text's range is
+    queries = spark.read.parquet(f"{SF}/benchmark.parquet").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    for match in ("all", "any"):
+        plan = index.scored(queries, match=match, limit=3)._jdf.queryExecution().executedPlan().toString()
+        assert not re.search("Exchange", plan[: plan.index("Generate")])  # neither do the documents that a range's blocks name
