@@ -25,8 +25,9 @@ def cleaned(texts: DataFrame, *, id: str, text: str) -> DataFrame:
     blank lines at the ends of a text.  Null texts are empty, a null id is an id, texts of a repeated id are cleaned as one
     in an arbitrary order, other columns are left out.  The rows of a text meet once, at its id.
     """
-    plain = composed(tx.normalize_line_endings(F.coalesce(F.col(text), F.lit(""))))
+    plain = tx.normalize_line_endings(F.coalesce(F.col(text), F.lit("")))
     lines = texts.select(F.col(id).alias("id"), plain.alias("plain")).select("id", F.posexplode(F.split("plain", "\n")).alias("i", "line"))
+    lines = lines.select("id", "i", composed(F.col("line")).alias("line"))  # nothing composes with a line's end
     # A boilerplate line goes without a trace; one whose parts are cut out may be blank afterwards.
     lines = lines.select("id", "i", F.when(~tx.is_boilerplate(F.col("line")), F.col("line")).alias("line"))
     lines = lines.select("id", "i", tx.stripped(F.translate(tx.strip_boilerplate(F.col("line")), "　", " ")).alias("line"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -33,9 +35,24 @@ def nfc(text: pd.Series) -> pd.Series:
     return text.str.normalize("NFC")
 
 
+@lru_cache(None)
+def unsettled() -> str:
+    """A class of characters without which a text is in NFC: marks, those that NFC replaces or joins with the one before, with
+    gaps of up to 64 between them, and those that the JVM does not know."""
+    joins = {int(parts[1], 16) for c in range(0x80, 0x110000) if len(parts := unicodedata.decomposition(chr(c)).split()) == 2 and "<" not in parts[0]} | {*range(0x1160, 0x1200)}
+    spans = []
+    for c in range(0x80, 0x110000):
+        if c in joins and unicodedata.category(chr(c))[0] != "M" or not 0xD800 <= c < 0xE000 and not unicodedata.is_normalized("NFC", chr(c)):
+            if spans and c - spans[-1][1] <= 64:
+                spans[-1][1] = c
+            else:
+                spans.append([c, c])
+    return "[" + "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in spans) + r"\p{M}\p{Cn}]"
+
+
 def composed(text: Column) -> Column:
-    """Unicode NFC; a text in ASCII is composed as it is and is not sent to Python."""
-    return F.coalesce(nfc(F.when(text.rlike(r"[^\x00-\x7F]"), text)), text)
+    """Unicode NFC; a text without a character that NFC may touch is composed as it is and is not sent to Python."""
+    return F.coalesce(nfc(F.when(text.rlike(unsettled()), text)), text)
 
 
 def read_raw(spark: SparkSession, path: str) -> DataFrame:

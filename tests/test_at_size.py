@@ -1,6 +1,7 @@
 """Steps that failed at size: what they shuffle and write, against plain searches."""
 
 import re
+import unicodedata
 
 import numpy as np
 import pytest
@@ -13,7 +14,9 @@ from scriptorium.operators import retrieval as rt
 from scriptorium.operators import statistics as st
 from scriptorium.operators import text_index as ti
 from scriptorium.operators import vector_index as vi
+from scriptorium.operators.cleaning import cleaned
 from scriptorium.sources import layers
+from scriptorium.sources import tables as tb
 from scriptorium.sources.shared import new_path
 from scriptorium.streaming import events as se
 
@@ -103,6 +106,16 @@ def test_appearances_and_chapters_lie_in_partitions_of_bounded_rows(spark, monke
         assert rows.count() > 1000 and most(rows) < 400  # a partition of compressed rows would hold all of them
 
 
+def test_texts_are_composed_by_lines_and_only_where_something_may_change(spark):
+    texts = spark.createDataFrame([(1, "café\r\n江流第１章，　é\n한 Å\nक़")], "id long, text string")
+    rows = cleaned(texts, id="id", text="text")
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("ArrowEvalPython") < plan.index("Generate posexplode")  # lines go to Python, not texts
+    assert rows.first()["text"] == unicodedata.normalize("NFC", texts.first()["text"]).replace("\r\n", "\n").replace("　", " ")
+    touched = spark.createDataFrame([("江流第１章，é 가",), ("é",), ("Å",), ("하",)], "t string").select(F.col("t").rlike(tb.unsettled()).alias("x")).collect()
+    assert [r["x"] for r in touched] == [False, True, True, True]
+
+
 def test_postings_of_an_index_are_not_shuffled_one_by_one(spark, monkeypatch):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
     seen, write = [], ti.TextIndex._write
