@@ -12,6 +12,8 @@ CJK = r"一-鿿"
 WORD = r"[\p{L}\p{N}]+"
 # All white space of Unicode, and the separators of ASCII.
 WHITE_SPACE = "\t\n\v\f\r \x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Spaces of all scripts alone, without tabs, line ends and separators: what trim takes in SQL.
+SPACES = " \xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
 #: White space and digits of all scripts in \s and \d, for the patterns that it precedes.
 ALL_SCRIPTS = "(?U)"
 

@@ -17,6 +17,14 @@ def joined(key: str, value: str, when: Column, by: str) -> Column:
     return F.array_join(F.transform(F.array_sort(F.collect_list(F.when(when, F.struct(key, value)))), lambda x: x[value]), by)
 
 
+def without_repeats(paragraphs: DataFrame) -> DataFrame:
+    """(id, text): the paragraphs (id, paragraph, body) of a text in their order, one blank line apart, without blank ones; of
+    those with ``LEAST_REPEATED`` characters or more the first of each stays."""
+    nth = F.row_number().over(Window.partitionBy("id", "body").orderBy("paragraph"))
+    stays = (F.col("body") != "") & ((F.col("nth") == 1) | (F.length("body") < LEAST_REPEATED))
+    return paragraphs.withColumn("nth", nth).groupBy("id").agg(joined("paragraph", "body", stays, "\n\n").alias("text"))
+
+
 def cleaned(texts: DataFrame, *, id: str, text: str) -> DataFrame:
     """(id, text): line endings, NFC, boilerplate lines and parts, repeated paragraphs, headings in digits, white space.
 
@@ -34,7 +42,5 @@ def cleaned(texts: DataFrame, *, id: str, text: str) -> DataFrame:
     by_place = Window.partitionBy("id").orderBy("i")
     lines = lines.withColumn("paragraph", F.sum(F.coalesce((F.col("line") == "").cast("int"), F.lit(0))).over(by_place))
     paragraphs = lines.groupBy("id", "paragraph").agg(joined("i", "line", F.col("line") != "", "\n").alias("body"))
-    nth = F.row_number().over(Window.partitionBy("id", "body").orderBy("paragraph"))
-    stays = (F.col("body") != "") & ((F.col("nth") == 1) | (F.length("body") < LEAST_REPEATED))
-    whole = paragraphs.withColumn("nth", nth).groupBy("id").agg(joined("paragraph", "body", stays, "\n\n").alias("text"))
+    whole = without_repeats(paragraphs)
     return whole.select(F.col("id").alias(id), tx.arabic_headings(F.col("text")).alias(text))
