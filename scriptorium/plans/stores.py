@@ -99,13 +99,11 @@ def layered_chapters(spark, sf):
     record = F.struct("chapter", title.alias("title"), F.when(F.col("chapter") % 3 == 0, "own").alias("type"), F.lit("x").alias("summary"))
     path = new_path(spark, "works")
     broken = F.when(F.col("chapter") % 4 == 1, F.lit("[no object")).otherwise(F.to_json(record))
-    split = c.where("kind = 'split'").select("source", broken.alias("value"))
+    split = c.where("kind = 'split'").select("source", F.lit("split").alias("layer"), F.concat(F.col("chapter").cast("string"), F.lit(".json")).alias("name"), broken.alias("value"))
     # A work that has split files has a merged one as well, which must not count.
     merged = c.groupBy("source").agg(F.to_json(F.array_sort(F.collect_list(record))).alias("value"))
-    # A file for each chapter: written by as many tasks however few bytes they are, which else end up in one, and moved into place by the tasks themselves.
-    for layer, rows in (("split", split.repartition(64, "source", "value")), ("merged", merged.repartition("source"))):
-        rows = rows.select("source", F.lit(layer).alias("layer"), "value")
-        rows.write.mode("append").partitionBy("source", "layer").option("maxRecordsPerFile", 1).option("mapreduce.fileoutputcommitter.algorithm.version", 2).text(path)
+    layers.write_files(split, path)  # one for each chapter
+    merged.repartition("source").select("source", F.lit("merged").alias("layer"), "value").write.mode("append").partitionBy("source", "layer").option("maxRecordsPerFile", 1).text(path)
     types = c.where("chapter % 5 = 0").select(F.concat(F.lit("source="), "source").alias("material_id"), "chapter", F.lit("extra").alias("type"))
     rows = layers.read_chapters(spark, path, types)
     return rows.select(F.regexp_replace("material_id", "^source=", "").alias("material_id"), "chapter", "title", "type", "layer")

@@ -2,6 +2,7 @@
 
 import re
 import unicodedata
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -131,3 +132,17 @@ def test_postings_of_an_index_are_not_shuffled_one_by_one(spark, monkeypatch):
     for match in ("all", "any"):
         plan = index.scored(queries, match=match, limit=3)._jdf.queryExecution().executedPlan().toString()
         assert not re.search("Exchange", plan[: plan.index("Generate")])  # neither do the documents that a range's blocks name
+
+
+def test_chapter_files_are_written_without_a_process_each_and_read_by_few_tasks(spark):
+    path, works = new_path(spark, "works"), ["a", "b c", "d/e=f%", None]
+    rows = [(w, "split", f"{i}.json", "[no object" if i % 4 == 1 else f'{{"chapter": {i}, "title": "第{i}章\\r"}}') for w in works for i in range(120)]
+    layers.write_files(spark.createDataFrame(rows, "source string, layer string, name string, value string"), path)
+    top = Path(path.removeprefix("file:"))
+    assert sorted(p.name for p in top.rglob("*") if p.is_file()) == sorted(r[2] for r in rows)  # Hadoop leaves a .crc beside each
+    spark.createDataFrame([(w, "x") for w in works], "source string, value string").write.partitionBy("source").text(f"{path}-of-spark")
+    assert {p.name for p in top.iterdir()} == {p.name for p in Path(f"{top}-of-spark").iterdir() if p.is_dir()}
+    spark.createDataFrame([("a", "merged", "[]")], "source string, layer string, value string").write.mode("append").partitionBy("source", "layer").text(path)
+    found = layers.read_chapters(spark, path)
+    assert found.count() == 90 * len(works) and {r["title"] for r in found.collect()} == {f"第{i}章\r" for i in range(120) if i % 4 != 1}
+    assert len([f for f in found.inputFiles() if f.endswith(".parquet")]) <= 4  # one of each task; 32 files in a task made 15
