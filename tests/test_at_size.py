@@ -7,6 +7,7 @@ from pathlib import Path
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from scriptorium import fixtures as fx
 from scriptorium.operators import evaluation as ev
@@ -20,6 +21,8 @@ from scriptorium.sources import layers
 from scriptorium.sources import tables as tb
 from scriptorium.sources.shared import new_path
 from scriptorium.streaming import events as se
+from scriptorium.streaming import stateful
+from scriptorium.streaming.sinks import drained_by_batch
 
 SF = "/root/testdata/sf0.001"
 
@@ -146,3 +149,34 @@ def test_chapter_files_are_written_without_a_process_each_and_read_by_few_tasks(
     found = layers.read_chapters(spark, path)
     assert found.count() == 90 * len(works) and {r["title"] for r in found.collect()} == {f"第{i}章\r" for i in range(120) if i % 4 != 1}
     assert len([f for f in found.inputFiles() if f.endswith(".parquet")]) <= 4  # one of each task; 32 files in a task made 15
+
+
+def test_diagnostics_of_a_bucket_are_cut_together_and_key_by_key(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(stateful, "BUCKETS", 2)
+    wait = StreamingQuery.awaitTermination
+    monkeypatch.setattr(StreamingQuery, "awaitTermination", lambda q: (wait(q), progress.extend(q.recentProgress)))
+    progress, events, r = [], [], np.random.default_rng(7)
+    for i in range(5):  # slices after one another; keys are beyond what a fraction holds, or null in part
+        rows = [((2**60 + 1, 2**60 + 2, None)[r.integers(3)], (1, None)[r.integers(2)], ("a", None)[r.integers(2)], i * 100 + j, i * 400 + int(r.integers(400))) for j in range(60)]
+        events += rows
+        df = spark.createDataFrame(rows, "run_id long, stage_id long, event_name string, event_id long, minute long")
+        df.withColumn("occurred_at", F.timestamp_seconds(F.col("minute") * 60 + 3_600_000)).drop("minute").coalesce(1).write.mode("append").parquet(str(tmp_path))
+    want, end = [], max(e[4] for e in events) - 10
+    for key in {e[:3] for e in events}:
+        n, last = 0, None
+        for event, at in sorted((e[3:] for e in events if e[:3] == key), key=lambda x: x[::-1]):
+            if last is not None and at - last > 60:
+                want, n = [*want, (*key, "total", n, -1)], 0
+            n, last = n + 1, at
+            want += [(*key, "sample", n, event)] * (n <= 2)
+        want += [(*key, "total", n, -1)] * (last + 60 < end)
+    stream = spark.readStream.schema("run_id long, stage_id long, event_name string, event_id long, occurred_at timestamp").option("maxFilesPerTrigger", 1).parquet(str(tmp_path))
+    chunk = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(chunk)
+    spark.conf.set(chunk, 7)
+    try:
+        got = [tuple(x) for x in drained_by_batch(stateful.throttled_episodes(stream, 3600, first=2)).drop("batch").collect()]
+    finally:
+        spark.conf.set(chunk, before)
+    assert len({x[:3] for x in got}) == 12 and sorted(got, key=str) == sorted(want, key=str)
+    assert max(p.stateOperators[0].numRowsTotal for p in progress) <= 2  # not a state for each key
